@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import embedding_dedup, html_text, ngram_lm, warc_zip
 from .exact_dedup import exact_dedup
 from .minhash import near_dedup
 from .mixing import mix
@@ -50,7 +51,23 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"), default_model())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_mixing, op5_minhash, op6_sentencepiece)}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(spark, read(spark, sf_dir, "pages"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark, read(spark, sf_dir, "pages"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_dedup(spark, read(spark, sf_dir, "embeddings"))
+
+
+def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(spark, read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_mixing, op5_minhash, op6_sentencepiece, op7_warc, op8_html_text, op9_embedding_dedup, op10_ngram_lm)}
 
 ORACLE: dict[str, str] = {}
 
@@ -89,3 +106,20 @@ c AS (SELECT x, min(y) AS y FROM r GROUP BY x)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.y, w.doc_id) AS component_id, coalesce(c.y, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.x = w.doc_id
 """
+
+ORACLE["op7_warc"] = r"""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to FROM f
+"""
+
+ORACLE["op9_embedding_dedup"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id WHERE list_dot_product(x.e, y.e) >= 0.9),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y),
+c AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c.y AS component_id, c.y = vec_id AS kept FROM v LEFT JOIN n ON n.a = vec_id JOIN c ON c.x = vec_id
+"""
