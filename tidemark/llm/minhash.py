@@ -6,9 +6,10 @@ it shares one of the ``m - MATCH + 1`` rarest of a class's ``m`` pairs that occu
 frequent pairs behind the prefix are never merged, they are counted on the signatures themselves (skip merging).
 
 Within a posting list all classes are compared to the list's least class first, and the confirmed links are joined to
-components.  Only lists that still hold several components are compared pair by pair, in blocks of bounded size, and only
-across components.  So a list of copies costs as many rows as it has members, and no link between components is lost.
-Every link is confirmed on the full shingle sets.
+components.  Classes connected by shared lists, whether confirmed or not, form a candidate group; a link can't leave it.
+Only groups that still hold several components are compared pair by pair, in blocks of bounded size, only across
+components, and a block pair returns a spanning forest of its links.  So copies cost as many rows as there are copies,
+and no link between components is lost.  Every link is confirmed on the full shingle sets.
 
 A pair at the similarity bound 0.85 collides in fewer than 16 of 32 coordinates with probability 1e-6, and in fewer than
 88 of 128 with 1e-6; closer pairs far less often.
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import table
 
-SHINGLE, COORDS, MATCH, WIDE, WIDE_MATCH, BLOCK = 5, 32, 16, 128, 88, 256
+SHINGLE, COORDS, MATCH, WIDE, WIDE_MATCH, BLOCK = 5, 32, 16, 128, 88, 512
+#: Bits of the filter with which texts are picked before they are moved; it is broadcast, 16 MB at most.
+FILTER_BITS = 27
 #: Links are pairs with PERCENT or more of 100 * intersection / union.
 PERCENT = 85
 
@@ -97,13 +100,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose full sets are similar enough."""
     for batch in batches:
-        a, b, keep = batch.column(2), batch.column(3), []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = 0
-            if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        pairs = zip(batch.column(2), batch.column(3))
+        keep = [_similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) for pair in pairs]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -116,29 +114,53 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= WIDE_MATCH))
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _across(group: pa.Table) -> pa.Table:
-    """Pairs of one pair of blocks of a posting list, across components, whose signatures collide often enough."""
+    """A spanning forest of the links between the components of one pair of blocks of a candidate group."""
     reps, labels, blocks = (group.column(c).to_numpy() for c in ("rep", "label", "block"))
+    labels = np.unique(labels, return_inverse=True)[1]
     wide = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint16).reshape(-1, WIDE)
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
     one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
     left, right = np.flatnonzero(blocks == one), np.flatnonzero(blocks == two)
     a, b = [], []
-    for i in left:
-        other = right[(labels[right] != labels[i]) & ((reps[right] > reps[i]) if one == two else True)]
-        other = other[(wide[other] == wide[i]).sum(1) >= WIDE_MATCH]
-        a.append(np.minimum(reps[other], reps[i]))
-        b.append(np.maximum(reps[other], reps[i]))
-    return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
-
-
-def _confirm(spark: SparkSession, docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
-    """Edges (a, b) of the candidate table ``pairs`` that hold on the full sets; only sets in some pair are made and moved."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    sets = docs.where("doc_id is not null").join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
-    sets = table(spark, sets.dropDuplicates(["doc_id"]).mapInArrow(_sets, "rep long, shingles binary"), f"{label}-sets")
+    for at, i in enumerate(left):
+        other = right[at + 1 :] if one == two else right
+        other = other[labels[other] != labels[i]]
+        hits = (wide[other] == wide[i]).sum(1)
+        for j in other[np.argsort(-hits, kind="stable")][: int((hits >= WIDE_MATCH).sum())]:
+            if labels[i] != labels[j] and _similar(sets[i], sets[j]):
+                a.append(reps[i])
+                b.append(reps[j])
+                labels[labels == labels[j]] = labels[i]
+    return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``wanted`` (rep).
+
+    Rows are picked by a filter of FILTER_BITS bits before they are moved, so that texts that aren't wanted mostly stay
+    where they are; the semi-join then is exact, whatever the filter lets through."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    marks = wanted.select(F.bitmap_bucket_number(place("rep")).alias("mark"), F.bitmap_bit_position(place("rep")).alias("bit"))
+    marks = marks.groupBy("mark").agg(F.bitmap_construct_agg("bit").alias("bits"))  # (1 << FILTER_BITS) / 32768 rows of 4 kB at most
+    own = docs.where("doc_id is not null").withColumn("mark", F.bitmap_bucket_number(place("doc_id"))).withColumn("bit", F.bitmap_bit_position(place("doc_id")).cast("int"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    own = own.join(F.broadcast(marks), "mark").where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1)
+    return own.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text")
+
+
+def _confirm(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) of the candidate table ``pairs`` that hold on the full sets."""
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
     both = both.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return table(spark, both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long"), f"{label}-links")
+    return table(spark, both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long"), "links")
 
 
 def posted(spark: SparkSession, classes: DataFrame) -> DataFrame:
@@ -161,23 +183,25 @@ def near_dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     postings = posted(spark, classes)
     # Stars: every member of a list with the list's least member.
     least = table(spark, postings.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "least")
-    stars = postings.join(least, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    stars = stars.join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("wide_b")), "b").join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("wide_a")), "a")
-    stars = table(spark, stars.select("a", "b", "wide_a", "wide_b").mapInArrow(_alike, "a long, b long"), "stars")
-    links = _confirm(spark, docs, stars, "stars")
+    stars = table(spark, postings.join(least, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
+    wanted = table(spark, stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct(), "wanted")
+    sets = table(spark, _picked(docs, wanted).mapInArrow(_sets, "rep long, shingles binary"), "sets")
+    alike = stars.join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("wide_b")), "b").join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("wide_a")), "a")
+    alike = table(spark, alike.select("a", "b", "wide_a", "wide_b").mapInArrow(_alike, "a long, b long"), "alike")
+    links = _confirm(spark, alike, sets)
     labels = table(spark, components(spark, links), "labels")
-    # Lists that hold several components: blocks against blocks, across components.
-    labelled = postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    # Candidate groups that hold several components: blocks against blocks, across components.
+    groups = components(spark, stars).select(F.col("node").alias("rep"), F.col("label").alias("group"))
+    labelled = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("group", "rep", F.coalesce("label", "rep").alias("label"))
     labelled = table(spark, labelled, "labelled")
-    mixed = table(spark, labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    rest = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(wide, "rep")
+    mixed = labelled.groupBy("group").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    mixed = table(spark, mixed.select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rest = labelled.join(mixed, "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(wide, "rep").join(sets, "rep")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rest = rest.select("key", "rep", "label", "wide", "block", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("other")
-    pairs = rest.groupBy("key", "one", "two").applyInArrow(_across, "a long, b long").distinct()
-    pairs = table(spark, pairs, "pairs")
-    if not pairs.isEmpty():
-        links = links.union(_confirm(spark, docs, pairs, "pairs"))
-        labels = table(spark, components(spark, links), "labels")
+    rest = rest.select("group", "rep", "label", "wide", "shingles", "block", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("other")
+    more = table(spark, rest.groupBy("group", "one", "two").applyInArrow(_across, "a long, b long"), "more")
+    if not more.isEmpty():
+        labels = table(spark, components(spark, links.union(more)), "labels")
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("label"))
     named = table(spark, named, "named")
     out = signed.join(named, "set_key", "left")
