@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .queries import corpus, windowing
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple = ()
+MODULES = (windowing, corpus)
 
 
 def queries() -> dict[str, Query]:
