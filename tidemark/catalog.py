@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import corpus, windowing
+from .queries import corpus, evaluation, windowing
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (windowing, corpus)
+MODULES = (windowing, corpus, evaluation)
 
 
 def queries() -> dict[str, Query]:

@@ -1 +1 @@
-
+"""Evaluation plans: clustering, summary and question metrics as aggregations."""

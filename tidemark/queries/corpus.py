@@ -274,7 +274,7 @@ SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS summary, md5(
     "date_normalise": """
 SELECT * FROM (VALUES ('Dec 3, 2024', DATE '2024-12-03', NULL::DATE, 'Dec 3, 2024', NULL::VARCHAR), ('3 December 2024', DATE '2024-12-03', NULL, '3 December 2024', NULL), ('2024/12/3', DATE '2024-12-03', NULL, '2024/12/3', NULL),
 ('March 2024', DATE '2024-03-01', NULL, 'March 2024', NULL), ('n/a', NULL, NULL, 'n/a', NULL), ('2024-1-5', DATE '2024-01-05', DATE '2024-01-05', '2024-1-5', NULL), ('2024.02.30', NULL, NULL, '2024.02.30', NULL),
-('on 7 Aug 2023, a Monday', DATE '2023-08-07', NULL, 'on 7 Aug 2023, a Monday', NULL), ('Sept. 9, 2021', NULL, NULL, 'Sept. 9, 2021', NULL), ('2024_03_07', NULL, NULL, '2024-03-07', NULL),
+('on 7 Aug 2023, a Monday', DATE '2023-08-07', NULL, 'on 7 Aug 2023, a Monday', NULL), ('Sept. 9, 2021', DATE '2021-09-09', NULL, 'Sept. 9, 2021', NULL), ('2024_03_07', NULL, NULL, '2024-03-07', NULL),
 ('2024_March_7', NULL, NULL, '2024-March-7', '2024_03_07'), ('2024', NULL, NULL, '2024', NULL)) AS t(raw, free, strict, hyphens, heading)""",
     "order_date_forms": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_date, strftime(o_orderdate, '%Y-%m-%d') AS hyphens FROM orders",
     "budget_rule": """
