@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import corpus, evaluation, windowing
+from .queries import corpus, evaluation, generation, windowing
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (windowing, corpus, evaluation)
+MODULES = (windowing, corpus, evaluation, generation)
 
 
 def queries() -> dict[str, Query]:

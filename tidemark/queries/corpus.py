@@ -139,7 +139,7 @@ def smart_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_marker_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.concat(F.substring("text", 1, 60), F.lit("[12] and [x][3]"))
+    marked = F.concat("text", F.lit("[12] and [x][3]"))
     return read(spark, sf_dir, "documents").select("doc_id", text.without_references(marked).alias("plain"))
 
 
@@ -265,7 +265,7 @@ SELECT conv_id, count(*) AS n, md5(string_agg(t, '|' ORDER BY turn)) AS digest F
     "smart_truncate": r"""
 WITH h AS (SELECT doc_id, text, substr(text, 1, 300) AS h FROM documents), p AS (SELECT *, length(regexp_extract(h, '(?s)^(.*[.!?])', 1)) AS s, length(regexp_extract(h, '(?s)^(.*) ', 1)) AS w FROM h)
 SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN s - 1 > 210 THEN substr(h, 1, s) WHEN w > 0 THEN substr(h, 1, w) || '...' ELSE h || '...' END AS cut FROM p""",
-    "reference_marker_strip": "SELECT doc_id, substr(text, 1, 60) || ' and [x]' AS plain FROM documents",
+    "reference_marker_strip": r"SELECT doc_id, regexp_replace(text, '\[\d+\]', '', 'g') || ' and [x]' AS plain FROM documents",
     "prefix_strip": "SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'Other: Policy: kept, ' WHEN doc_id % 5 = 4 THEN 'kept, ' ELSE 'Policy: kept, ' END || source AS plain FROM documents",
     "preview_200": f"SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview, length(text) // 4 AS tokens, CAST(len({_WORDS.format('text')}) AS BIGINT) AS words FROM documents",
     "clean_text": r"""

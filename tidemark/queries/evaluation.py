@@ -116,13 +116,13 @@ def rubric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def choice_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as choices: conversations whose first four turns are four distinct texts."""
     turns = read(spark, sf_dir, "conversations").where("turn < 4").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    choices = F.transform("x", lambda s: F.substring(s["text"], 1, 2))
+    choices = F.transform("x", lambda s: s["text"])
     return turns.select("conv_id", parsing.valid_choices(choices).alias("valid"), F.array_join(parsing.structural_reasons(F.lit("q"), choices, F.when(F.col("conv_id") % 5 != 0, "a")), ";").alias("reasons"))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = read(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", (F.col("user_id") % 50).cast("string")).alias("question"), "event_id", "value")
-    return events.where("event_id % 3 = 0 AND event_id < 600"), events.where("event_id % 3 = 1 AND event_id < 600")
+    return events.where("event_id % 3 = 0"), events.where("event_id % 3 = 1")
 
 
 def paired_run_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +202,7 @@ s AS (SELECT w, sum(n * n / b) / first(total) AS p, sum(n * n / a) / first(total
 z AS (SELECT row_number() OVER (ORDER BY w) - 1 AS window_index, round(p, 6) AS precision, round(r, 6) AS recall, n_items, n_true, n_predicted, round(2 * p * r / (p + r), 6) AS f1 FROM s)"""
 _KINDS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{m}')" for m in marks) + f" THEN '{name}'" for name, marks in parsing.QUESTION_TYPES) + " ELSE 'other' END"
 _RUBRIC = ", ".join(f"CASE WHEN doc_id % {i + 2} = 0 THEN 0.0 ELSE 1.0 END AS {c}" for i, c in enumerate(parsing.RUBRIC[:4]))
-_RUN = "r AS (SELECT event_type || '-' || CAST(user_id % 50 AS VARCHAR) AS question, event_id, value FROM events WHERE event_id < 600)"
+_RUN = "r AS (SELECT event_type || '-' || CAST(user_id % 50 AS VARCHAR) AS question, event_id, value FROM events)"
 _LAST = "{0} AS (SELECT question, event_id, value FROM r WHERE event_id % 3 = {1} QUALIFY row_number() OVER (PARTITION BY question ORDER BY event_id DESC) = 1)"
 _SCORE = "s AS (SELECT doc_id, doc_id % 3 AS q, quality * 2 AS a, quality + toxic AS c, doc_id % 4 AS hq, quality + 1 AS ha, quality AS hc FROM labels)"
 
@@ -240,7 +240,7 @@ SELECT t AS n_topics, e AS n_events, n AS n_articles, q AS n_questions, round_ev
 WITH r AS (SELECT toxic = 1 AS is_struct, {_RUBRIC} FROM labels) SELECT is_struct, count(*) AS n, round(avg(relevance)::DOUBLE, 6) AS relevance, round(avg(coverage)::DOUBLE, 6) AS coverage, round(avg(consistency)::DOUBLE, 6) AS consistency, round(avg(fluency)::DOUBLE, 6) AS fluency,
 0.0::DOUBLE AS conciseness, round(avg((relevance + coverage + consistency + fluency) / 5)::DOUBLE, 6) AS overall FROM r GROUP BY is_struct""",
     "choice_sanity": """
-WITH c AS (SELECT conv_id, list(substr(text, 1, 2) ORDER BY turn) AS x FROM conversations WHERE turn < 4 GROUP BY conv_id), v AS (SELECT conv_id, len(x) = 4 AND len(list_distinct(x)) = 4 AND len(list_filter(x, lambda t: trim(t) = '')) = 0 AS valid FROM c)
+WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS x FROM conversations WHERE turn < 4 GROUP BY conv_id), v AS (SELECT conv_id, len(x) = 4 AND len(list_distinct(x)) = 4 AND len(list_filter(x, lambda t: trim(t) = '')) = 0 AS valid FROM c)
 SELECT conv_id, valid, CASE WHEN valid THEN CASE WHEN conv_id % 5 = 0 THEN 'missing answer' ELSE '' END ELSE CASE WHEN conv_id % 5 = 0 THEN 'invalid choices;missing answer' ELSE 'invalid choices' END END AS reasons FROM v""",
     "paired_run_intersection": f"WITH {_RUN}, {_LAST.format('a', 0)}, {_LAST.format('b', 1)} SELECT question, a.value AS value_a, b.value AS value_b FROM a JOIN b USING (question)",
     "run_pairing": f"WITH {_RUN}, {_LAST.format('a', 0)}, {_LAST.format('b', 1)} SELECT question, coalesce(a.event_id, -1) AS id_a, coalesce(b.event_id, -1) AS id_b, a.event_id IS NOT NULL AND b.event_id IS NOT NULL AS intersection FROM a FULL JOIN b USING (question)",
