@@ -115,7 +115,7 @@ def rouge_n_plain(rows: DataFrame, key: str, hyp: str, ref: str, n: int) -> Data
         seq = words(metric_text(F.col(c)))
         spans = seq
         for k in range(2, n + 1):  # each step adds the next word; what runs over the end is null
-            spans = F.zip_with(spans, F.slice(seq, k, (1 << 31) - 1), lambda g, w: F.concat(g, F.lit(" "), w))
+            spans = F.zip_with(spans, F.slice(seq, F.lit(k), F.size(seq)), lambda g, w: F.concat(g, F.lit(" "), w))
         spans = F.array_compact(spans)
         return rows.select(key, F.explode(spans).alias("g")).groupBy(key, "g").agg(F.count("*").alias(side))
 
