@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .graded import featured, sample, scored
 from .ordinal import CumulativeLink
 
-DIMS, MAX_SAMPLE, STRONG, GRADES, STEM = 1 << 20, 8000, 1.0, 3, 4
+DIMS, MAX_SAMPLE, STRONG, GRADES, STEMS = 1 << 20, 8000, 1.0, 3, (4,)
 PENALTIES = {"l2": 1e-4, "l1": 1e-4}
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -29,7 +29,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 def word_features(text: str) -> np.ndarray:
     """Indices of a text's distinct lower-case words and of the stems with which longer words begin."""
     words = set(_WORDS.findall(text.lower()))
-    words |= {w[:STEM] + "-" for w in words if len(w) > STEM}
+    words |= {w[:n] + "-" for w in words for n in STEMS if len(w) > n}
     return np.unique(np.fromiter((zlib.crc32(w.encode()) & (DIMS - 1) for w in words), np.int32, len(words)))
 
 
@@ -44,7 +44,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_SAMPLE) -> Cumul
     return CumulativeLink.fit(rows, toxic * (1 + many), GRADES, DIMS, **PENALTIES)
 
 
-def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5, max_rows: int = MAX_SAMPLE) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.4, max_rows: int = MAX_SAMPLE) -> DataFrame:
     """doc_id, expected_severity, p_toxic, p_severe, severity (the likeliest grade) and toxic (p_toxic >= cut) of every row."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = scored(docs, fit(docs, labels, max_rows), word_features)
