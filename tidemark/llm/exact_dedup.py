@@ -1,9 +1,10 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame functions only.
 
 A text loses its ASCII white space and is cut where its content says so: after at least ``MIN_CHUNK`` characters, at the
-next sentence mark, at ``MAX_CHUNK`` at the latest.  Every chunk is moved once, to find the distinct chunks and to verify
-that no two of them share an identifier; if two do, identifiers get wider and the check is repeated.  A document then is
-its recipe, the ordered list of its chunks' identifiers, and only recipes are compared, grouped and joined.
+next sentence mark behind certain letters, at ``MAX_CHUNK`` at the latest.  Every chunk is moved once, to find the
+distinct chunks and to verify that no two of them share an identifier; if two do, identifiers get wider and the check is
+repeated.  A document then is its recipe, the ordered list of its chunks' identifiers, and only recipes are compared,
+grouped and joined.
 
 Defined cases: a null text counts as empty, and all empty texts are equal; of rows with the same id and equal text the
 one read first stays, the others are dropped; a null id loses every tie; an empty table gives an empty result; columns
@@ -17,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .scratch import table
 
-MIN_CHUNK, MAX_CHUNK = 512, 4096
+MIN_CHUNK, MAX_CHUNK = 128, 4096
 WHITE = r"[\x20\x09-\x0D]+"
-#: A cut comes after one of these marks.
-MARKS = r"[.!?;:,|。！？]"
+#: A cut comes after a mark behind some of the letters and digits; as not every mark is one, cuts meet again after a change.
+CUT = r"[a-h0-3à-ïァ-ノ一-廿][.!?;:|。！？]"
 
 
 def normalised(text: Column) -> Column:
@@ -29,7 +30,7 @@ def normalised(text: Column) -> Column:
 
 def chunks(norm: Column) -> Column:
     """The chunks of a text in order; joined they are the text."""
-    pattern = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?(?<={MARKS})|.{{1,{MAX_CHUNK}}}"
+    pattern = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?(?<={CUT})|.{{1,{MAX_CHUNK}}}"
     return F.regexp_extract_all(norm, F.lit(pattern), F.lit(0))
 
 
