@@ -153,3 +153,32 @@ def model_limit(name: Column, table: Sequence[tuple[str, int]], default: int = 8
     for key, value in table:
         out = F.coalesce(out, F.when(F.contains(name, F.lit(key)), F.lit(value)))
     return F.coalesce(out, F.lit(default))
+
+
+def truncated_cues(strings: Column, share: Column | int) -> Column:
+    """Cue lists within a share of characters: a list whose text is longer keeps its first three, each cut at a quarter of the share."""
+    share = F.lit(share) if isinstance(share, int) else share
+    cut = lambda x: F.when(F.length(x) > share / 4, F.concat(F.substring(x, F.lit(1), (share / 4).cast("int")), F.lit("..."))).otherwise(x)
+    long = F.length(F.array_join(strings, ", ")) > share
+    return F.transform(F.when(long, F.slice(strings, 1, 3)).otherwise(strings), cut)
+
+
+def shrunk_length(n: int, limit: int = 7000, chars_per_token: int = 2, rate: float = 0.85, least: int = 500) -> int:
+    """How long a text may stay so that its estimate is within the limit: it loses a rate at each step, down to the least."""
+    while n // chars_per_token > limit:
+        new = max(least, int(n * rate))
+        if new >= n:
+            break
+        n = new
+    return n
+
+
+def shrunk_prompt(c: Column, limit: int = 7000) -> Column:
+    """The text cut as ``shrunk_length`` says."""
+    import pandas as pd
+
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: None if t is None else t[: shrunk_length(len(t), limit)])
+
+    run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(c)

@@ -98,3 +98,25 @@ def scrape_counters(rows: DataFrame, text: str, error: str) -> DataFrame:
 
 def n_words(c: Column) -> Column:
     return F.size(words(c))
+
+
+def enrichment_counters(events: DataFrame, added: str, fallback: str) -> DataFrame:
+    """Events, new articles, mean per event and how many events used the fallback."""
+    return events.agg(F.count("*").alias("n_events"), F.sum(added).alias("n_articles"), F.avg(added).alias("mean_articles"), F.count_if(F.col(fallback)).alias("n_fallback"))
+
+
+def most_reduced(events: DataFrame, key: str, before: str, after: str, k: int = 5) -> DataFrame:
+    """The k events that lost most, ties by key."""
+    lost = F.col(before) - F.col(after)
+    return events.select(key, before, after, lost.alias("removed")).where("removed > 0").orderBy(F.desc("removed"), key).limit(k)
+
+
+def reduction(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """Totals before and after a filter and the percentage that stayed."""
+    b, a = F.sum(before), F.sum(after)
+    return rows.agg(b.alias("total_before"), a.alias("total_after"), F.bround(F.coalesce(F.try_divide(100.0 * a, b), F.lit(0.0)), 2).alias("percent_kept"))
+
+
+def completion(rows: DataFrame, file: str, event: str, done: Column) -> DataFrame:
+    """Rows, distinct files and (file, event) pairs, and the percentage that is annotated."""
+    return rows.agg(F.count("*").alias("n_rows"), F.countDistinct(file).alias("n_files"), F.countDistinct(file, event).alias("n_events"), F.bround(100 * F.avg(done.cast("int")), 2).alias("percent_done"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import etl, joins, sampling, similarity
+from ..sources import connectors
 from ..sources.tables import articles, dated_events, read, text_events
 
 TARGET = "src3"
@@ -199,10 +200,60 @@ def sampled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_events(spark, sf_dir).select("conv_id", F.size(picked).cast("long").alias("n"), F.md5(F.array_join(picked, "|")).alias("digest"))
 
 
+def news_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of a day in English that hold both words most often; the limit is the search's own."""
+    found = connectors.search(articles(spark, sf_dir), ["the", "and"], "text", "lang", "en", "event_date", F.lit("2024-01-05").cast("date"), 10, "doc_id")
+    return found.select("doc_id", F.col("mentions").cast("long").alias("mentions"))
+
+
+def enrichment_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("added"))
+    out = etl.enrichment_counters(per.withColumn("fallback", F.col("added") < 4), "added", "fallback")
+    return out.withColumn("mean_articles", F.round("mean_articles", 6))
+
+
+def _reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return docs.groupBy("source").agg(F.count("*").alias("before"), F.countDistinct("text").alias("after"))
+
+
+def most_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.most_reduced(_reduced(spark, sf_dir), "source", "before", "after")
+
+
+def reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.reduction(_reduced(spark, sf_dir), "before", "after")
+
+
+def annotation_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.completion(read(spark, sf_dir, "conversations"), "role", "conv_id", F.col("turn") < 3)
+
+
+def articles_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per topic and date, most first, as the rank within the topic."""
+    per = articles(spark, sf_dir).groupBy("topic", "event_date").agg(F.count("*").alias("n"))
+    return per.withColumn("rank", F.row_number().over(etl.Window.partitionBy("topic").orderBy(F.desc("n"), "event_date")).cast("long"))
+
+
+def prefix_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of events matched to the references of their name or the first that begins with it."""
+    marks = read(spark, sf_dir, "events").select(F.substring("event_type", 1, 2).alias("marker")).distinct()
+    refs = read(spark, sf_dir, "events").groupBy(F.concat_ws("-", "event_type", (F.col("user_id") % 3).cast("string")).alias("reference")).agg(F.min("event_id").alias("at"))
+    return joins.exact_then_prefix(marks, refs, "marker", "reference", "at")
+
+
+def backfilled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that are missing for every third page come from another fetch."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 != 0, F.col("url")).otherwise("").alias("url"))
+    got = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("again "), "url").alias("url"))
+    return joins.backfill(pages, got, "page_id", ["url"])
+
+
 QUERIES = {f.__name__: f for f in (
     corpus_statistics, events_per_topic, modal_date_per_group, at_modal_date, dedupe_prefer_target, duplicate_counts, removal_reason_counts, script_filter, url_new_anti_join, distinct_url_count,
     topk_keywords_per_source, proper_noun_counts, scrape_counters, reference_groups, nearest_topic_assign, topic_bounds_after_merge, semantic_filter, jaccard_pairs_in_group, greedy_dedup,
     token_budget_greedy, token_budget_equal, smart_truncate, reference_marker_strip, prefix_strip, preview_200, clean_text, word_cap, date_normalise, order_date_forms, budget_rule,
+    news_search, enrichment_counters, most_reduced, reduction_report, annotation_progress, articles_by_date, prefix_references, backfilled_texts,
     balanced_sample, stratified_k_sample, ten_percent_sample, sampled_texts,
 )}
 
@@ -218,6 +269,18 @@ _NEAREST = f"""{_CENTERS}, s AS (SELECT vec_id, c.label, {_COS} AS s FROM v CROS
 b AS (SELECT vec_id, arg_max(label, (round(s, 9), -label)) AS label, round(max(s), 6) AS similarity FROM s GROUP BY vec_id)"""
 
 ORACLE = {
+    "news_search": f"""
+WITH {_ART}, h AS (SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 + (length(lower(text)) - length(replace(lower(text), 'and', ''))) / 3 AS BIGINT) AS mentions FROM a
+WHERE lang = 'en' AND d = DATE '2024-01-05' AND contains(lower(text), 'the') AND contains(lower(text), 'and')) SELECT * FROM h ORDER BY mentions DESC, doc_id LIMIT 10""",
+    "enrichment_counters": "WITH p AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT count(*) AS n_events, CAST(sum(n) AS BIGINT) AS n_articles, round(avg(n), 6) AS mean_articles, count(*) FILTER (n < 4) AS n_fallback FROM p",
+    "most_reduced": "WITH r AS (SELECT source, count(*) AS before, count(DISTINCT text) AS after FROM documents GROUP BY source) SELECT *, before - after AS removed FROM r WHERE before > after ORDER BY removed DESC, source LIMIT 5",
+    "reduction_report": "WITH r AS (SELECT source, count(*) AS b, count(DISTINCT text) AS a FROM documents GROUP BY source) SELECT CAST(sum(b) AS BIGINT) AS total_before, CAST(sum(a) AS BIGINT) AS total_after, round_even(100.0::DOUBLE * sum(a) / sum(b), 2) AS percent_kept FROM r",
+    "annotation_progress": "SELECT count(*) AS n_rows, count(DISTINCT role) AS n_files, (SELECT count(*) FROM (SELECT DISTINCT role, conv_id FROM conversations)) AS n_events, round_even(100 * avg(CAST(turn < 3 AS INT)), 2) AS percent_done FROM conversations",
+    "articles_by_date": f"WITH {_ART}, g AS (SELECT topic, d AS event_date, count(*) AS n FROM a GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, event_date) AS rank FROM g",
+    "prefix_references": """
+WITH r AS (SELECT event_type || '-' || CAST(user_id % 3 AS VARCHAR) AS reference, min(event_id) AS i FROM events GROUP BY 1), m AS (SELECT DISTINCT substr(event_type, 1, 2) AS marker FROM events)
+SELECT marker, arg_min(reference, i) AS reference FROM m JOIN r ON starts_with(reference, marker) GROUP BY marker""",
+    "backfilled_texts": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'again ' || url ELSE url END AS url FROM pages",
     "corpus_statistics": f"""
 WITH {_ART}, p AS (SELECT topic, count(*) AS n FROM a GROUP BY topic) SELECT CAST(sum(n) AS BIGINT) AS n_events, count(*) AS n_topics, 1.0::DOUBLE AS mean_texts, (SELECT min(d) FROM a) AS start_date, (SELECT max(d) FROM a) AS last_date,
 round(avg(n), 6) AS mean_per_topic, min(n) AS min_per_topic, max(n) AS max_per_topic FROM p""",

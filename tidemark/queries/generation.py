@@ -12,6 +12,7 @@ from ..functions.parsing import judge_score
 from ..functions.text import greedy_budget, keywords
 from ..operators import cluster_state, similarity, windows
 from ..plans import summary_metrics as sm
+from ..plans import tasks
 from ..sources.tables import articles, dated_events, read
 from ..streaming import stateful
 
@@ -118,9 +119,31 @@ def stream_cluster_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.run_to_table(stream, f"clusters_{uuid.uuid4().hex[:8]}", checkpoint_folder(spark), "append")
 
 
+def task_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics per window of documents clustered by the stub, with their source as the truth."""
+    docs = articles(spark, sf_dir)
+    return tasks.clustering(docs, 5, 5, "doc_id", "text", "topic")[1]
+
+
+def task_summarization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = articles(spark, sf_dir).withColumn("reference", F.concat_ws(" ", "source", "lang"))
+    return tasks.summarization(docs, 10, 10, "doc_id", "text", "reference", "topic", 500, 60)
+
+
+def task_temporal_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions about benchmark texts in windows of documents, answered by the stub from documents that aren't later."""
+    held = windows.window_events(articles(spark, sf_dir).select("doc_id", "event_date", "text"), 5, 5)
+    texts = held.select("window_index", F.col("doc_id").alias("article_id"), F.col("event_date").alias("article_date"), "text")
+    start = F.lit("2024-01-01").cast("date")
+    items = read(spark, sf_dir, "benchmark").withColumn("question_date", F.date_add(start, (F.col("item_id") % 30).cast("int")))
+    choices = F.map_from_arrays(F.array(*[F.lit(x) for x in "abcd"]), F.slice(F.array_distinct(F.split("text", " ")), 1, 4))
+    asked = items.select(F.floor(F.datediff("question_date", start) / 5).alias("window_index"), F.col("item_id").alias("question_id"), "question_date", F.concat(F.lit("When was it said that "), "text", F.lit("?")).alias("question"), choices.alias("choices"), F.lit("a").alias("answer"), F.lit(None).cast("string").alias("question_type"))
+    return tasks.temporal_qa(asked, texts, 1000).drop("question")
+
+
 QUERIES = {f.__name__: f for f in (
     rouge1_f, rouge2_f, summary_sequence_metrics, summary_averages, novelty_tokens, distinctiveness, embedded_similarity, window_summaries, window_clustering_stub, story_clustering_stub, question_building,
-    html_link_extract, html_article_text, stream_window_counts, stream_cluster_state,
+    task_clustering, task_summarization, task_temporal_qa, html_link_extract, html_article_text, stream_window_counts, stream_cluster_state,
 )}
 
 _PAIRS = """n AS (SELECT count(*) AS n FROM benchmark), p AS (SELECT doc_id, source AS topic, d.text AS h, b.text AS r
