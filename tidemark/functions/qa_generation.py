@@ -6,6 +6,8 @@ check, judge.  Random picks are by hash of a key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ from .parsing import four_choices, structural_reasons
 KINDS = ("result_recognition", "entity_tracking")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def prompt(task: str, *parts: Column) -> Column:
     return F.concat_ws("\n", F.lit(f"[TASK: {task}]"), *parts)
 
@@ -73,8 +80,11 @@ def candidates(answer: Column, pool: Column, seed: int, key: Column, n: int = 10
 
 def finished(question: Column, answer: Column, pool: Column, seed: int, key: Column) -> Column:
     """struct(choices map, answer letter, reasons): four shuffled choices with the answer's letter, and what is wrong."""
-    chosen = four_choices(F.slice(candidates(answer, pool, seed, key), 1, 4), answer)
-    mixed = shuffled_choices(chosen, answer, seed, key)
     letters = F.array(*[F.lit(x) for x in "abcd"])
-    as_map = F.when(F.size(mixed["choices"]) == 4, F.map_from_arrays(letters, mixed["choices"]))
-    return F.struct(as_map.alias("choices"), mixed["answer"].alias("answer"), structural_reasons(question, mixed["choices"], mixed["answer"]).alias("reasons"))
+
+    def result(mixed: Column) -> Column:
+        as_map = F.when(F.size(mixed["choices"]) == 4, F.map_from_arrays(letters, mixed["choices"]))
+        return F.struct(as_map.alias("choices"), mixed["answer"].alias("answer"), structural_reasons(question, mixed["choices"], mixed["answer"]).alias("reasons"))
+
+    chosen = bound(F.slice(candidates(answer, pool, seed, key), 1, 4), lambda c: four_choices(c, answer))
+    return bound(bound(chosen, lambda c: shuffled_choices(c, answer, seed, key)), result)

@@ -125,8 +125,12 @@ def token_set(c: Column) -> Column:
     return F.array_distinct(words(F.lower(c)))
 
 
+def keyword_pattern(least: int) -> str:
+    return rf"(?U)\b([a-z]{{{least},}})\b"
+
+
 def keywords(c: Column, least: int = 3) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(rf"(?U)\b([a-z]{{{least},}})\b"), F.lit(1)), lambda w: ~w.isin(*STOP_WORDS))
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(keyword_pattern(least)), F.lit(1)), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def proper_nouns(c: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, keywords, truthy, words
+from ..functions.text import STOP_WORDS, collapse, keyword_pattern, truthy, words
 
 
 def removal_reason(date: Column, texts: Column, urls: Column, cutoff: Column, script: str) -> Column:
@@ -67,7 +67,8 @@ def duplicate_counts(rows: DataFrame, key: Column) -> DataFrame:
 
 def top_keywords(rows: DataFrame, key: str, text: str, k: int, *order: str, least: int = 3) -> DataFrame:
     """Each group's k most frequent words, the first seen on a tie; a group without any has 'unknown'."""
-    tokens = rows.select(key, *order, F.posexplode(keywords(F.col(text), least)).alias("_at", "word"))
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(keyword_pattern(least)), F.lit(1))
+    tokens = rows.select(key, *order, F.posexplode(found).alias("_at", "word")).where(~F.col("word").isin(*STOP_WORDS))
     counted = tokens.groupBy(key, "word").agg(F.count("*").alias("n"), F.min(F.struct(*order, "_at")).alias("_first"))
     rank = Window.partitionBy(key).orderBy(F.desc("n"), "_first")
     top = counted.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(key, "rank", "word", "n")

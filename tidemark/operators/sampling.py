@@ -46,5 +46,5 @@ def shuffled_choices(choices: Column, answer: Column, seed: int, key: Column) ->
     """struct(choices, answer): choices in hash order and the letter under which the answer then stands."""
     hashed = F.transform(choices, lambda c: F.struct(order_key(seed, key, c).alias("h"), c.alias("c")))
     ordered = F.transform(F.sort_array(hashed), lambda s: s["c"])
-    letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.array_position(ordered, answer).cast("int"), F.lit(1))
-    return F.struct(ordered.alias("choices"), letter.alias("answer"))
+    letter = lambda o: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.array_position(o, answer).cast("int"), F.lit(1))
+    return F.transform(F.array(ordered), lambda o: F.struct(o.alias("choices"), letter(o).alias("answer")))[0]  # so that the order is made once

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.qa_generation import bound
 from ..functions.stemming import stem
 from ..functions.text import jaccard, metric_text, token_set, words
 
@@ -112,11 +113,13 @@ def rouge_n_plain(rows: DataFrame, key: str, hyp: str, ref: str, n: int) -> Data
     """(key, f) without stemming, by counting n-grams in aggregates."""
 
     def grams(c: str, side: str) -> DataFrame:
-        seq = words(metric_text(F.col(c)))
-        spans = seq
-        for k in range(2, n + 1):  # each step adds the next word; what runs over the end is null
-            spans = F.zip_with(spans, F.slice(seq, F.lit(k), F.size(seq)), lambda g, w: F.concat(g, F.lit(" "), w))
-        spans = F.array_compact(spans)
+        def joined(seq: Column) -> Column:
+            spans = seq
+            for k in range(2, n + 1):  # each step adds the next word; what runs over the end is null
+                spans = F.zip_with(spans, F.slice(seq, F.lit(k), F.size(seq)), lambda g, w: F.concat(g, F.lit(" "), w))
+            return F.array_compact(spans)
+
+        spans = bound(words(metric_text(F.col(c))), joined)
         return rows.select(key, F.explode(spans).alias("g")).groupBy(key, "g").agg(F.count("*").alias(side))
 
     both = grams(hyp, "h").join(grams(ref, "r"), [key, "g"], "full_outer").na.fill(0, ["h", "r"])

@@ -266,7 +266,7 @@ x AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v WHERE
 c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label)"""
 _COS = "list_dot_product(e, c) / sqrt(list_dot_product(e, e) * list_dot_product(c, c))"
 _NEAREST = f"""{_CENTERS}, s AS (SELECT vec_id, c.label, {_COS} AS s FROM v CROSS JOIN c WHERE vec_id % 2 = 1),
-b AS (SELECT vec_id, arg_max(label, (round(s, 9), -label)) AS label, round(max(s), 6) AS similarity FROM s GROUP BY vec_id)"""
+b AS (SELECT vec_id, arg_max(label, (round(s, 9), -label)) AS label, round(round(max(s), 9), 6) AS similarity FROM s GROUP BY vec_id)"""
 
 ORACLE = {
     "news_search": f"""
