@@ -20,17 +20,20 @@ from .scratch import table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
-LEVELS, BITS = 5, 12
+#: Bits of the hash that each level of histograms splits by; a level after the first sees the boundary buckets only.
+BITS = (12, 24, 24)
+WIDTH = sum(BITS)
+FIRST = WIDTH - BITS[0]
 
 
 def hashed(key: Column, salt: str) -> Column:
-    """A document's fixed hash, LEVELS * BITS bits of an md5."""
+    """A document's fixed hash, WIDTH bits of an md5."""
     name = F.concat(F.lit(salt), F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(name.cast("binary")), 1, LEVELS * BITS // 4), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, WIDTH // 4), 16, 10).cast("long")
 
 
 def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, salt: str) -> DataFrame:
-    """doc_id, source, no_source, size and the hash h, a number of LEVELS * BITS bits."""
+    """doc_id, source, no_source, size and the hash h, a number of WIDTH bits."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
     return docs.select(
         "doc_id",
@@ -80,17 +83,17 @@ def thresholds(spark: SparkSession, sized: DataFrame, goals: DataFrame) -> DataF
     goals = goals.withColumn("need", F.col("target") - F.col("rounds") * F.col("source_size"))
     rows, first, found = sized, None, []
     before = F.lit(0).cast("long")
-    for level in range(LEVELS):
-        shift = (LEVELS - 1 - level) * BITS
+    for level in range(len(BITS)):
+        shift = WIDTH - sum(BITS[: level + 1])
         rows = rows.withColumn("bucket", F.shiftright("h", shift))
         sums = rows.groupBy(*keys, "bucket").agg(F.sum("size").alias("words"), *([] if level == 0 else [F.first("before").alias("before"), F.first("need").alias("need")]))
         if level == 0:
             sums = sums.join(goals, keys).withColumn("before", before)
-        over = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # 2 ** BITS rows at most
+        over = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most the boundary bucket's rows, 2 ** BITS[0] in the first level
         sums = sums.withColumn("upto", F.col("before") + F.sum("words").over(over))
         sums = sums.withColumn("lower", F.col("upto") - F.col("words"))
         # In the last level a bucket is one hash: it counts if that brings the sum nearer to what is needed.
-        last = level == LEVELS - 1
+        last = level == len(BITS) - 1
         sums = table(spark, sums, f"level{level}")
         if level == 0:
             first = sums
@@ -102,11 +105,11 @@ def thresholds(spark: SparkSession, sized: DataFrame, goals: DataFrame) -> DataF
             edge = edge.select(*keys, "bucket", F.col("lower").alias("before"), "need")
             rows = rows.drop("before", "need").join(edge, [*keys, "bucket"])
     # Buckets of the first level below the edge are taken whole, those above not at all; on the edge the limit decides.
-    low = F.shiftleft("bucket", (LEVELS - 1) * BITS)
-    found = found.withColumn("bucket", F.shiftright("limit", (LEVELS - 1) * BITS))
+    low = F.shiftleft("bucket", FIRST)
+    found = found.withColumn("bucket", F.shiftright("limit", FIRST))
     edge_key = first.where((F.col("lower") <= F.col("need")) & (F.col("need") < F.col("upto"))).select(*keys, F.col("bucket").alias("edge"))
     found = edge_key.join(found.drop("bucket"), keys).select(*keys, F.col("edge").alias("bucket"), "limit")
-    high = low + F.lit(1 << ((LEVELS - 1) * BITS))
+    high = low + F.lit(1 << (FIRST))
     return first.join(found, [*keys, "bucket"], "left").select(
         *keys, "bucket", "rounds", "source_size", "target",
         F.coalesce("limit", F.when(F.col("upto") <= F.col("need"), high).otherwise(low)).alias("limit"),
@@ -117,9 +120,9 @@ def mix(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: st
     """One row per row of ``df``: doc_id, size, source_size, target, taken, copies (how often the mix takes the document)."""
     sized = table(spark, sizes(df, id_col, text_col, source_col, salt), "sizes")
     cuts = table(spark, thresholds(spark, sized, targets(spark, sized)), "cuts")
-    keyed = sized.withColumn("bucket", F.shiftright("h", (LEVELS - 1) * BITS))
+    keyed = sized.withColumn("bucket", F.shiftright("h", FIRST))
     copies = F.col("rounds") + F.when(F.col("h") < F.col("limit"), 1).otherwise(0)
-    # The join is on source and bucket, so a source with a third of all rows is spread over 2 ** BITS keys.
+    # The join is on source and bucket, so a source with a third of all rows is spread over 2 ** BITS[0] keys.
     joined = keyed.join(cuts, ["no_source", "source", "bucket"]).withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("long"))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
@@ -131,7 +134,7 @@ def mixed_rows(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     cuts = table(spark, cuts.select(*[F.col(c).alias(f"_mix_{c}") for c in cuts.columns]), "cuts")
     own = F.col(source_col).cast("string")
     h = hashed(F.col(id_col), salt)
-    keyed = df.withColumns({"_mix_h": h, "_mix_no_source": own.isNull(), "_mix_source": F.coalesce(own, F.lit("")), "_mix_bucket": F.shiftright(h, (LEVELS - 1) * BITS)})
+    keyed = df.withColumns({"_mix_h": h, "_mix_no_source": own.isNull(), "_mix_source": F.coalesce(own, F.lit("")), "_mix_bucket": F.shiftright(h, FIRST)})
     copies = F.col("_mix_rounds") + F.when(F.col("_mix_h") < F.col("_mix_limit"), 1).otherwise(0)
     joined = keyed.join(cuts, ["_mix_no_source", "_mix_source", "_mix_bucket"]).withColumn("_mix_copies", copies.cast("int"))
     joined = joined.where((F.col("_mix_copies") > 0) & F.regexp_like(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)))
