@@ -141,6 +141,26 @@ def test_cluster_state_caps_what_is_visible():
     assert len(cs.shortened("x" * 5000)) == 2000 + len("... [truncated]")
 
 
+def test_seeded_and_incremental_folds(spark):
+    docs = spark.createDataFrame([(i, "s", f"alpha{'' if i < 2 else 'bet'} words here", i < 2) for i in range(4)], "id long, story string, text string, head boolean")
+    seeded = {r.id: r.cluster for r in cs.cluster_windows(docs, "story", "id", "text", ["id"]).collect()}
+    assert seeded[0] == seeded[1] == 0
+    inc = {r.id: r.cluster for r in cs.cluster_incrementally(docs, "story", "id", "text", ["id"], "head").collect()}
+    assert inc[0] == inc[1] == 0 and len(inc) == 4
+    assert cs.seed_keywords(StubClient(failing="x"), "x") == ["unknown"] and cs.seed_keywords(StubClient(("one big cat",)), "") == ["one", "big", "cat"]
+
+
+def test_backups_results_and_years(spark, tmp_path):
+    rows = spark.createDataFrame([("x/a.json", 2024, "s"), ("x/b.json", 2025, "t")], "file string, year int, story string")
+    assert sinks.write_with_backup(spark, rows, f"{tmp_path}/out", "1") is None
+    assert sinks.write_with_backup(spark, rows.limit(1), f"{tmp_path}/out", "2").endswith(".backup-2")
+    assert spark.read.json(f"{tmp_path}/out").count() == 1 and spark.read.json(f"{tmp_path}/out.backup-2").count() == 2
+    sinks.write_per_file(rows, f"{tmp_path}/each")
+    assert {p.name for p in (tmp_path / "each").glob("input=*")} == {"input=a", "input=b"}
+    assert corpus.read_results(spark, f"{tmp_path}/none", "a int").count() == 0
+    assert [r.story for r in corpus.allowed_runs(spark, rows, {2024: ["s", "t"]}).collect()] == ["s"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = [(i, f"s{i % 3}", f"alpha{i % 4} beta{i % 4} gamma{i % 4} text") for i in range(60)]
     for part in range(3):

@@ -155,5 +155,7 @@ def test_model_calls(spark):
         models.make_client("nope")
     v = rows.select(models.embed("p").alias("v")).first().v
     assert len(v) == 64 and sum(x * x for x in v) == pytest.approx(1, abs=1e-5)
+    m = spark.createDataFrame([("a b", "a b"), ("", "a")], "x string, y string").select(models.token_match("x", "y").alias("m")).collect()
+    assert m[0].m == pytest.approx(1, abs=1e-6) and m[1].m == 0
     e = models.hashed_vector("a b")[None, :]
     assert models.greedy_match(e, e) == pytest.approx(1) and models.greedy_match(e, e[:0]) == 0

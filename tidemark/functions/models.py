@@ -154,6 +154,21 @@ def hashed_vector(text: str | None, dims: int = 64) -> np.ndarray:
     return out / length if length else out
 
 
+def token_match(hyp: Column | str, ref: Column | str, dims: int = 64) -> Column:
+    """F of greedy matching between the token embeddings of two texts; any model of tokens may take the place of the hashes."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def rows(text: str | None) -> np.ndarray:
+            found = re.findall(r"\w+", (text or "").lower())
+            return np.stack([hashed_vector(w, dims) for w in found]) if found else np.zeros((0, dims), np.float32)
+
+        for h, r in batches:
+            yield pd.Series([greedy_match(rows(x), rows(y)) for x, y in zip(h, r)], dtype="float64")
+
+    return run(hyp, ref)
+
+
 def greedy_match(a: np.ndarray, b: np.ndarray) -> float:
     """F of greedy matching of token embeddings, rows of unit length."""
     if not len(a) or not len(b):

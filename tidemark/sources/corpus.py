@@ -142,3 +142,19 @@ def read_runs(spark: SparkSession, base: str, schema: str) -> DataFrame:
     path = F.input_file_name()
     named = rows.withColumns({"model": F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+/[^/]+$", 1), "run": run_name(path)})
     return named.where(F.col("run.task").isNotNull() & ~path.contains("experiment_summary"))
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Results of earlier runs; a path that doesn't exist yet gives an empty table."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def allowed_runs(spark: SparkSession, runs: DataFrame, stories: dict[int, list[str]]) -> DataFrame:
+    """Runs of the stories that a year allows; the configuration is a small literal table."""
+    table = spark.createDataFrame([(y, s) for y, names in stories.items() for s in names], "year int, story string")
+    return runs.join(table, ["year", "story"], "left_semi")

@@ -24,6 +24,23 @@ def write_json(rows: DataFrame, path: str, first: Sequence[str] = (), mode: str
     rows.select(*first, *[c for c in rows.columns if c not in first]).write.mode(mode).json(path)
 
 
+def write_per_file(rows: DataFrame, path: str, file: str = "file") -> None:
+    """One folder of JSON per input file, named by it."""
+    rows.withColumn("input", F.regexp_extract(file, r"([^/]+?)(?:\.json)?$", 1)).repartition("input").write.mode("overwrite").partitionBy("input").json(path)
+
+
+def write_with_backup(spark: SparkSession, rows: DataFrame, path: str, stamp: str) -> str | None:
+    """Writes JSON; what was there is renamed with the stamp first, and its new path returned."""
+    jvm = spark.sparkContext._jvm
+    old = jvm.org.apache.hadoop.fs.Path(path)
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kept = f"{path.rstrip('/')}.backup-{stamp}" if fs.exists(old) else None
+    if kept:
+        fs.rename(old, jvm.org.apache.hadoop.fs.Path(kept))
+    rows.write.mode("error").json(path)
+    return kept
+
+
 def annotation_rows(rows: DataFrame, texts: str = "event_text", choices: str = "choices", cut: int = 5000) -> DataFrame:
     """Choices as four columns, lists joined, and articles joined with a rule and cut."""
     letters = {f"choice_{x}": F.try_element_at(choices, F.lit(x)) for x in "abcd"}
