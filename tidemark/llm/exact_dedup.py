@@ -69,10 +69,10 @@ def exact_dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
         docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "points", F.sha2("norm", 256).alias("text_sha256"), recipes(docs, width).alias("recipe")),
         "recipes",
     )
-    best = F.max(F.struct("points", (-F.col("doc_id")).alias("id"), (-F.col("row")).alias("row")))
+    best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row").alias("row")))
     # Written before the join, so that both sides are plain exchanges and a hot recipe's rows can be split among tasks.
     groups = table(spark, rows.groupBy("recipe").agg(F.count("*").alias("group_size"), best.alias("best")).where("group_size > 1"), "copies")
-    groups = groups.select("recipe", "group_size", (-F.col("best.id")).alias("best_id"), (-F.col("best.row")).alias("best_row"))
+    groups = groups.select("recipe", "group_size", F.bitwise_not("best.id").alias("best_id"), F.bitwise_not("best.row").alias("best_row"))
     return rows.join(groups, "recipe", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("best_id")).alias("keep_id"),
