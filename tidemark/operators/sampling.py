@@ -21,15 +21,23 @@ def per_group(rows: DataFrame, groups: Sequence[str], keys: Sequence[str], k: in
 
 def balanced(rows: DataFrame, group: str, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """As many rows of every group as the smallest has."""
-    least = rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.min("n")).scalar()
-    order = Window.partitionBy(group).orderBy(order_key(seed, *keys), *keys)
-    return rows.withColumn("_rn", F.row_number().over(order)).withColumn("_least", least).where("_rn <= _least").drop("_rn", "_least")
+    least = rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
+    return per_group(rows, [group], keys, least, seed)  # a number, so that groups are cut before they are moved
 
 
 def exact_share(rows: DataFrame, keys: Sequence[str], share: float, seed: int = 42) -> DataFrame:
-    """The share of all rows, rounded down, one at least. The size is one number; the rows are the least hashes."""
+    """The share of all rows, rounded down, one at least: those with the least hashes.
+
+    Rows are counted by the first four digits of their hashes; whole buckets are taken, and within a bucket the least
+    hashes as far as there is room, so that neither all rows nor all that are taken meet in one task."""
     n = rows.count()
-    return rows.orderBy(order_key(seed, *keys), *keys).limit(max(1, int(n * share)) if n else 0)
+    wanted = max(1, int(n * share)) if n else 0
+    keyed = rows.withColumn("_h", order_key(seed, *keys)).withColumn("_b", F.substring("_h", 1, 4))
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 65,536 rows at most
+    sums = keyed.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+    room = sums.where(F.col("_before") < wanted).select("_b", (F.lit(wanted) - F.col("_before")).alias("_room"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys))
+    return keyed.join(room, "_b").withColumn("_rn", rank).where("_rn <= _room").drop("_h", "_b", "_room", "_rn")
 
 
 def in_order(texts: Column, k: int, seed: int, key: Column) -> Column:

@@ -64,27 +64,29 @@ def window_events(events: DataFrame, size: int, stride: int, date_col: str = "ev
     return assigned.join(index, "window_number").drop("window_number")
 
 
-def ordered_number(events: DataFrame, date_col: str, *ties: str) -> DataFrame:
+def ordered_number(events: DataFrame, date_col: str, *ties: str, bucket: Column | None = None) -> DataFrame:
     """Adds ``number``, from 0 in the order of date and ``ties``.
 
-    Numbers come from a count within each day and the sums of the days before, so no task sees all events."""
-    within = F.row_number().over(Window.partitionBy(date_col).orderBy(*ties)) - 1
-    days = events.groupBy(date_col).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(date_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per day
-    return events.withColumn("_within", within).join(days.select(date_col, before.alias("_before")), date_col).withColumn("number", F.col("_before") + F.col("_within")).drop("_within", "_before")
+    Numbers come from a count within each bucket and the sums of the buckets before, so no task sees all events.  A bucket
+    is a day, or what ``bucket`` says where days are too large, as the hour; it must follow the order."""
+    events = events.withColumn("_bucket", F.col(date_col) if bucket is None else bucket)
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(date_col, *ties)) - 1
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per bucket
+    starts = events.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", before.alias("_before"))
+    return events.withColumn("_within", within).join(starts, "_bucket").withColumn("number", F.col("_before") + F.col("_within")).drop("_within", "_before", "_bucket")
 
 
-def assign_count_windows(events: DataFrame, size: int, stride: int, date_col: str, *ties: str) -> DataFrame:
+def assign_count_windows(events: DataFrame, size: int, stride: int, date_col: str, *ties: str, bucket: Column | None = None) -> DataFrame:
     """One row per window and event; only full windows, starting at 0, stride, ...; none if there are fewer events than ``size``."""
     check(size, stride)
-    numbered = ordered_number(events, date_col, *ties)
+    numbered = ordered_number(events, date_col, *ties, bucket=bucket)
     last = F.floor((events.agg(F.count("*")).scalar() - size) / stride)
     return numbered.withColumn("window_index", F.explode(window_numbers(F.col("number"), size, stride))).where(F.col("window_index") <= last)
 
 
-def incremental_windows(events: DataFrame, date_col: str, *ties: str) -> DataFrame:
+def incremental_windows(events: DataFrame, date_col: str, *ties: str, bucket: Column | None = None) -> DataFrame:
     """One row per window, the window's new event: window i holds the events 0 to i; start_date stays, end_date is the new event's."""
-    numbered = ordered_number(events, date_col, *ties)
+    numbered = ordered_number(events, date_col, *ties, bucket=bucket)
     return numbered.withColumns({"window_index": F.col("number"), "start_date": events.agg(F.min(date_col)).scalar(), "end_date": F.col(date_col), "event_count": F.col("number") + 1}).drop("number")
 
 

@@ -33,12 +33,12 @@ def per_type_sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def count_window_100_50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned = windows.assign_count_windows(dated_events(spark, sf_dir), 100, 50, "event_date", "ts", "event_id")
+    assigned = windows.assign_count_windows(dated_events(spark, sf_dir), 100, 50, "event_date", "ts", "event_id", bucket=F.date_trunc("hour", "ts"))
     return assigned.groupBy("window_index").agg(F.min("event_date").alias("start_date"), F.max("event_date").alias("end_date"), F.count("*").alias("event_count"), F.sum("event_id").alias("id_sum"))
 
 
 def incremental_window_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = windows.incremental_windows(dated_events(spark, sf_dir), "event_date", "ts", "event_id")
+    out = windows.incremental_windows(dated_events(spark, sf_dir), "event_date", "ts", "event_id", bucket=F.date_trunc("hour", "ts"))
     return out.select("window_index", "start_date", "end_date", "event_count", F.col("event_id").alias("new_event"))
 
 
