@@ -80,55 +80,42 @@ def join_leaves(ids_a, n_a, raw_a, ids_b, n_b, raw_b, axes: np.ndarray, same: bo
     if same:
         links |= links.T
         np.fill_diagonal(links, False)
-    count_a, count_b = links @ n_b.astype(np.float64), n_a.astype(np.float64) @ links
-    hit_a, hit_b = links.any(1), links.any(0)
-    la, lb = np.arange(len(a)), (np.arange(len(b)) if same else np.arange(len(b)) + len(a))
-    rows, columns = np.flatnonzero(hit_a), np.flatnonzero(hit_b)
-    part = links[np.ix_(rows, columns)]
-    big = len(a) + len(b)
-    label = np.arange(big)
-    if len(rows):
-        x, y = la[rows], lb[columns]
-        while True:
-            before = label.copy()
-            label[x] = np.minimum(label[x], np.where(part, label[y][None, :], big).min(1))
-            label[y] = np.minimum(label[y], np.where(part, label[x][:, None], big).min(0))
-            label = label[label]
-            if (label == before).all():
-                break
+    # Everything over the whole matrix goes in strips of rows, so that no copy of it in wide numbers is made.
+    strips = [slice(i, min(i + TILE, len(a))) for i in range(0, len(a), TILE)]
+    count_a = np.concatenate([links[s] @ n_b.astype(np.float64) for s in strips])
+    count_b = sum(n_a[s].astype(np.float64) @ links[s] for s in strips)
+    big = np.int32(len(a) + len(b))
+    label = np.arange(big, dtype=np.int32)
+    at_b = slice(0, len(b)) if same else slice(len(a), len(a) + len(b))
+    while links.any():
+        before = label.copy()
+        for s in strips:
+            label[s] = np.minimum(label[s], np.where(links[s], label[at_b], big).min(1))
+            label[at_b] = np.minimum(label[at_b], np.where(links[s], label[s][:, None], big).min(0))
+        label = label[label]
+        if (label == before).all():
+            break
     ids = np.concatenate([ids_a, ids_b])
     child = np.flatnonzero(label != np.arange(big))
     return count_a.astype(np.int64), count_b.astype(np.int64), ids[child], ids[label[child]]
 
 
-_LEAF = "part int, seq_in int, dim int, reps binary, sizes binary, raw binary, lo array<double>, hi array<double>"
+_LEAF = "node long, dim int, reps binary, sizes binary, raw binary, lo array<double>, hi array<double>"
 
 
-def _leaves(axes: dict[int, np.ndarray]):
-    """Cuts a sorted partition into leaves; a leaf holds vectors of one length."""
+def _leaf(axes: dict[int, np.ndarray], dims: list[int]):
+    """One row for a leaf, an interval of the sequence with vectors of one length."""
+    kinds = pa.schema([("node", pa.int64()), ("dim", pa.int32()), ("reps", pa.binary()), ("sizes", pa.binary()), ("raw", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        n_out = 0
-
-        def leaf(rows: list[tuple]) -> pa.RecordBatch:
-            nonlocal n_out
-            raw = np.array([r[4] for r in rows], np.float32)
-            p = unit_rows(raw.astype(np.float64)) @ axes[rows[0][1]]
-            wide = np.zeros((2, AXES))
-            wide[:, : p.shape[1]] = p.min(0), p.max(0)
-            out = {"part": [rows[0][0]], "seq_in": [n_out], "dim": [rows[0][1]], "reps": [np.array([r[2] for r in rows], np.int64).tobytes()], "sizes": [np.array([r[3] for r in rows], np.int64).tobytes()], "raw": [raw.tobytes()], "lo": [wide[0].tolist()], "hi": [wide[1].tolist()]}
-            n_out += 1
-            return pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int32()), ("seq_in", pa.int32()), ("dim", pa.int32()), ("reps", pa.binary()), ("sizes", pa.binary()), ("raw", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))]))
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (len(held) >= LEAF or held[0][1] != row[1]):
-                    yield leaf(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield leaf(held)
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("seq")
+        dim, leaf = group.column("dim")[0].as_py(), group.column("leaf")[0].as_py()
+        raw = np.array(group.column("embedding").to_pylist(), np.float32)
+        p = unit_rows(raw.astype(np.float64)) @ axes[dim]
+        box = np.zeros((2, AXES))
+        box[:, : p.shape[1]] = p.min(0), p.max(0)
+        packed = [group.column(c).to_numpy().astype(np.int64).tobytes() for c in ("rep", "size")]
+        return pa.Table.from_pydict({"node": [leaf * len(dims) + dims.index(dim)], "dim": [dim], "reps": packed[:1], "sizes": packed[1:], "raw": [raw.tobytes()], "lo": [box[0].tolist()], "hi": [box[1].tolist()]}, kinds)
 
     return run
 
@@ -152,11 +139,8 @@ def _cells(axes: dict[int, np.ndarray]):
 
 def _pairs(spark: SparkSession, leaves: DataFrame) -> DataFrame:
     """(one, two) for the pairs of leaves that aren't provably distant, by recursion over intervals of the sequence."""
-    by_part = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
-    before = leaves.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("before"))
-    nodes = leaves.select("part", "seq_in", "dim", "lo", "hi").join(before, "part").withColumn("node", F.col("before") + F.col("seq_in"))
     flat = [F.col("lo")[i].alias(f"lo{i}") for i in range(AXES)] + [F.col("hi")[i].alias(f"hi{i}") for i in range(AXES)]
-    nodes = nodes.select("node", "part", "seq_in", F.col("dim").alias("dim_lo"), F.col("dim").alias("dim_hi"), *flat)
+    nodes = leaves.select("node", F.col("dim").alias("dim_lo"), F.col("dim").alias("dim_hi"), *flat)
     levels = [table(spark, nodes, "nodes0")]
     while levels[-1].limit(2).count() > 1:
         low = [F.min(c).alias(c) for c in ["dim_lo"] + [f"lo{i}" for i in range(AXES)]]
@@ -173,10 +157,7 @@ def _pairs(spark: SparkSession, leaves: DataFrame) -> DataFrame:
         meet = (F.col("a_node") <= F.col("b_node")) & (F.col("a_dim_lo") <= F.col("b_dim_hi")) & (F.col("b_dim_lo") <= F.col("a_dim_hi")) & (gap2 <= EPS * EPS + SLACK)
         joined = pairs.join(a, F.col("one") == F.col("a_up")).join(b, F.col("two") == F.col("b_up")).where(meet)
         pairs = table(spark, joined.select(F.col("a_node").alias("one"), F.col("b_node").alias("two")), f"pairs{level}")
-    named = levels[0].select("node", "part", "seq_in")
-    one = named.select(F.col("node").alias("one"), F.col("part").alias("part_a"), F.col("seq_in").alias("seq_a"))
-    two = named.select(F.col("node").alias("two"), F.col("part").alias("part_b"), F.col("seq_in").alias("seq_b"))
-    return pairs.join(one, "one").join(two, "two")
+    return pairs
 
 
 def _joined(axes: dict[int, np.ndarray]):
@@ -211,14 +192,18 @@ def near_dedup(spark: SparkSession, df: DataFrame, id_col: str = "vec_id", vecto
     placed = classes.select(F.size("embedding").alias("dim"), F.col("class").alias("rep"), "size", "embedding").mapInArrow(_cells(axes), "dim int, rep long, size long, embedding array<float>, cells array<int>")
     n = max(1, round(classes.count() / (4 * LEAF)))
     order = ["dim", *[F.col("cells")[i] for i in range(AXES)], "rep"]
-    placed = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    leaves = placed.select(F.spark_partition_id().alias("part"), "dim", "rep", "size", "embedding").mapInArrow(_leaves(axes), _LEAF)
-    leaves = table(spark, leaves, "leaves")
+    placed = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    # Leaves are intervals of the whole sequence, whatever its partitions: the id holds the partition and the place in it.
+    placed = table(spark, placed.select(F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place"), "dim", "rep", "size", "embedding"), "placed")
+    by_part = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    before = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("before"))
+    numbered = placed.join(before, "part").withColumn("seq", F.col("before") + F.col("place")).withColumn("leaf", F.floor(F.col("seq") / LEAF).cast("long"))
+    leaves = table(spark, numbered.select("leaf", "seq", "dim", "rep", "size", "embedding").groupBy("leaf", "dim").applyInArrow(_leaf(axes, sorted(dims)), _LEAF), "leaves")
     pairs = table(spark, _pairs(spark, leaves), "pairs")
-    data = leaves.select("part", "seq_in", "dim", "reps", "sizes", "raw")
-    left = pairs.join(data, (F.col("part_a") == F.col("part")) & (F.col("seq_a") == F.col("seq_in"))).withColumn("side", F.lit(0))
-    right = pairs.where("one <> two").join(data, (F.col("part_b") == F.col("part")) & (F.col("seq_b") == F.col("seq_in"))).withColumn("side", F.lit(1))
-    both = left.unionByName(right).where("dim is not null").select("one", "two", "side", "dim", "reps", "sizes", "raw")
+    data = leaves.select("node", "dim", "reps", "sizes", "raw")
+    left = pairs.join(data, F.col("one") == F.col("node")).withColumn("side", F.lit(0))
+    right = pairs.where("one <> two").join(data, F.col("two") == F.col("node")).withColumn("side", F.lit(1))
+    both = left.unionByName(right).select("one", "two", "side", "dim", "reps", "sizes", "raw")
     found = table(spark, both.groupBy("one", "two").applyInArrow(_joined(axes), "a long, b long, n long"), "found")
     counts = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
     labels = components(spark, found.where("b is not null").select("a", "b")).withColumnRenamed("node", "class")
