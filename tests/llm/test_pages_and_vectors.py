@@ -93,7 +93,8 @@ def test_blocks():
     by = {k: [t for r, t in ht.blocks(page) if r == k] for k in (0, 1, 2)}
     assert by[0] == ["Head & line", "one two three", "fourfive", "a", "b"]
     assert by[1] == [] and set(by[2]) >= {"menu", "we use", "by me", "first!", "side", "mail", "foot", "no"}
-    assert ht.blocks("") == [] and ht.blocks("<p>never closed <a href='x") != None  # noqa: E711
+    assert ht.blocks("") == [] and ht.blocks("<p>never closed <a href='x") == [(1, "never closed")]
+    assert ht.blocks('<p>a <b title="x>y">c</b> </ > d <i class="q>e') == [(1, "a c d e")]
     assert ht.blocks("a < b <!-- c --> d") == [(1, "a < b d")]
 
 
