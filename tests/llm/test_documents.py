@@ -253,6 +253,12 @@ def test_language_model(spark, docs, rows):
         assert g[:5] == e[:5] and g[5] == pytest.approx(e[5], rel=1e-9) and g[6] == pytest.approx(e[6], rel=1e-9)
 
 
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(0)
+    for keys in (np.empty(0, np.uint64), np.unique(rng.integers(0, 1 << 40, 5000, dtype=np.uint64)), np.array([0, 5, (1 << 40) - 1], np.uint64)):
+        assert (lm._unpack(lm._pack(keys)) == keys).all()
+
+
 def test_model_sums_to_one():
     counts = np.array([3.0, 1.0, 0.0])  # the last is the unknown token
     p = (counts + 0.5) / (4 + 0.5 * 3)

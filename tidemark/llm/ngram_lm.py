@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 #: Pseudo-count of the unigram distribution behind each state.
 STRENGTH = 1000.0
-BLOCK_BYTES, LEAST_BLOCKS, FOLDS, HELD = 6_000_000, 64, 5, 1
+BLOCK_BYTES, LEAST_BLOCKS, FOLDS, HELD = 16_000_000, 64, 5, 1
 # Hashes of the two tokens that aren't words.
 END, START = np.uint64(0x9E6C63D0876A9A47), np.uint64(0x3C79AC492BA7B653)
 
@@ -126,14 +126,20 @@ def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """The 40 bits behind the bucket's, as 5 bytes each."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """Sorted keys of a bucket, 40 bits each: steps of 4 bytes, or of 5 where a step is too long, as the first byte tells."""
+    low = keys.astype(np.uint64) & np.uint64((1 << 40) - 1)
+    steps = np.diff(low, prepend=np.uint64(0))
+    if not len(steps) or steps.max() < 1 << 32:
+        return b"\x04" + steps.astype("<u4").tobytes()
+    return b"\x05" + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
+    if raw[0] == 4:
+        return np.cumsum(np.frombuffer(raw, "<u4", offset=1), dtype=np.uint64)
+    out = np.zeros(((len(raw) - 1) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, 5)
+    return np.cumsum(out.view("<u8").reshape(-1), dtype=np.uint64)
 
 
 def _narrow(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -178,7 +184,7 @@ def _sum(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.nda
     for end, own in zip(ends, counts):
         whole = total[place[end - len(own) : end]]
         differ = np.flatnonzero(whole != own)
-        at.append(differ.astype(np.uint32))
+        at.append(np.diff(differ, prepend=0).astype(np.uint32))  # steps compress better than places
         new.append(whole[differ].astype(np.uint64))
     return at, new, keys, total
 
@@ -219,8 +225,8 @@ def _score(bits: int, strength: float):
         p_from = np.r_[0, np.searchsorted(p, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(40)), len(p)]
         for row in answers.to_pylist():
             for counts, first, at, new in ((w_n, w_from, row["word_at"], row["word_counts"]), (p_n, p_from, row["pair_at"], row["pair_counts"])):
-                at = np.frombuffer(at, np.uint32)
-                counts[first[row["bucket"]] + at.astype(np.int64)] = _large(new, len(at))
+                at = np.cumsum(np.frombuffer(at, np.uint32), dtype=np.int64)
+                counts[first[row["bucket"]] + at] = _large(new, len(at))
         n, v = (sum(answers.column(c).to_pylist()) for c in ("n", "v"))
         n_docs, n_tok = len(texts.starts), len(texts.tokens)
         symbols = w_at[:n_tok]
