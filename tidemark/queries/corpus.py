@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import etl, joins, sampling, similarity
 from ..sources import connectors
-from ..sources.tables import articles, dated_events, read, text_events
+from ..sources.tables import articles, dated_events, read, spread, text_events
 
 TARGET = "src3"
 # Literal cases for date forms.
@@ -63,11 +63,11 @@ def distinct_url_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topk_keywords_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.top_keywords(read(spark, sf_dir, "documents"), "source", "text", 5, "doc_id").withColumn("rank", F.col("rank").cast("long"))
+    return etl.top_keywords(spread(read(spark, sf_dir, "documents")), "source", "text", 5, "doc_id").withColumn("rank", F.col("rank").cast("long"))
 
 
 def proper_noun_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nouns = read(spark, sf_dir, "documents").select("source", F.explode(text.proper_nouns(F.col("text"))).alias("noun"))
+    nouns = spread(read(spark, sf_dir, "documents")).select("source", F.explode(text.proper_nouns(F.col("text"))).alias("noun"))
     ranked = nouns.groupBy("source", "noun").agg(F.count("*").alias("n"))
     return ranked.withColumn("rank", F.row_number().over(etl.Window.partitionBy("source").orderBy(F.desc("n"), "noun")).cast("long")).where("rank <= 3")
 
@@ -114,7 +114,7 @@ def semantic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_pairs_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumn("tokens", text.token_set(F.col("text")))
+    docs = spread(read(spark, sf_dir, "documents")).withColumn("tokens", text.token_set(F.col("text")))
     return similarity.jaccard_pairs(docs, "source", "doc_id", "tokens", 0.9).withColumn("similarity", F.round("similarity", 6))
 
 

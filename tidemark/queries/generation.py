@@ -13,7 +13,7 @@ from ..functions.text import greedy_budget, keywords
 from ..operators import cluster_state, similarity, windows
 from ..plans import summary_metrics as sm
 from ..plans import tasks
-from ..sources.tables import articles, dated_events, read
+from ..sources.tables import articles, dated_events, read, spread
 from ..streaming import stateful
 
 
@@ -21,7 +21,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document as the summary of the benchmark text of its number."""
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("reference"))
     n = items.agg(F.count("*")).scalar()
-    keyed = read(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % n)
+    keyed = spread(read(spark, sf_dir, "documents")).withColumn("item_id", F.col("doc_id") % n)
     return keyed.join(items, "item_id").select("doc_id", "item_id", F.col("source").alias("topic"), F.col("text").alias("hypothesis"), "reference")
 
 

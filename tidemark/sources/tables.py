@@ -10,6 +10,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Up to so many bytes and files, rows are dealt to all cores before heavy work; larger tables have splits enough.
+SMALL_BYTES, FEW_FILES = 256 << 20, 3
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small table in few files on all cores, as one row group is read by one task; others as they are."""
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    small = int(str(size)) <= SMALL_BYTES and 0 < len(rows.inputFiles()) <= FEW_FILES
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if small else rows
+
+
 def dated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with ``event_date``; the topic of an event is its type."""
     return read(spark, sf_dir, "events").withColumn("event_date", F.to_date("ts"))
@@ -22,7 +33,7 @@ def document_date() -> Column:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with ``topic`` (their source) and ``event_date``."""
-    return read(spark, sf_dir, "documents").withColumns({"topic": F.col("source"), "event_date": document_date()})
+    return spread(read(spark, sf_dir, "documents")).withColumns({"topic": F.col("source"), "event_date": document_date()})
 
 
 def text_events(spark: SparkSession, sf_dir: str) -> DataFrame:
