@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import table
+from .scratch import spread, table
 
 SHINGLE, COORDS, MATCH, WIDE, WIDE_MATCH, BLOCK = 5, 32, 16, 128, 88, 512
 #: Bits of the filter with which texts are picked before they are moved; it is broadcast, 16 MB at most.
@@ -176,7 +176,7 @@ def posted(spark: SparkSession, classes: DataFrame) -> DataFrame:
 def near_dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = table(spark, docs.mapInArrow(_signed, "doc_id long, n_shingles long, set_key binary, coords array<long>, wide binary"), "signed")
+    signed = table(spark, spread(docs).mapInArrow(_signed, "doc_id long, n_shingles long, set_key binary, coords array<long>, wide binary"), "signed")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("coords").alias("coords"), F.min("wide").alias("wide"))
     classes = table(spark, classes, "classes")
     wide = classes.select("rep", "wide")

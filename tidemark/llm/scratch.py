@@ -41,3 +41,27 @@ def table(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     path = f"{new_folder(spark, label)}/t"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Up to so many bytes and files, rows are dealt to all cores before heavy work; larger tables have splits enough.
+SMALL_BYTES, FEW_FILES = 256 << 20, 3
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small table in few files on all cores, as one row group is read by one task; others as they are.
+
+    What follows reads long texts in Python, so batches get small."""
+    long_rows(rows.sparkSession)
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    small = int(str(size)) <= SMALL_BYTES and 0 < len(rows.inputFiles()) <= FEW_FILES
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if small else rows
+
+
+#: Rows of an Arrow batch at most.
+BATCH_ROWS, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def long_rows(spark: SparkSession) -> None:
+    """Lets Python see texts in batches of at most BATCH_ROWS rows, which bounds its memory; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)

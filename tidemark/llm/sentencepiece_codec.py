@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import spread
+
 SPACE = "▁".encode()
 
 
@@ -156,7 +158,7 @@ def encoded(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array([codec.decode(r[0]) for r in rows], pa.string())], ["doc_id", "ids", "begins", "ends", "decoded"])
 
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")
+    return spread(rows).mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
 
 def digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,4 +177,4 @@ def digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.string()) for c in columns[1:]]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return spread(rows).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

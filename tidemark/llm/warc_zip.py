@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import new_folder, table
+from .scratch import long_rows, new_folder, table
 
 LEAST, PACKAGE_BYTES, RANGE_BYTES = 100, 24 << 20, 4 << 20
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -276,6 +276,7 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes ``pages`` as packages, reads them back and gives page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Length and digest of responses are those of the payload as it was read."""
+    long_rows(spark)
     folder = new_folder(spark, "packages")
     manifest = write_packages(spark, pages, folder)
     tasks = max(1, min(manifest.count(), spark.sparkContext.defaultParallelism * 64))
