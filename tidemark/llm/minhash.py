@@ -32,8 +32,8 @@ from .components import components
 from .scratch import spread, table
 
 SHINGLE, COORDS, MATCH, WIDE, WIDE_MATCH, BLOCK = 5, 32, 16, 128, 88, 512
-#: Bits of the filter with which texts are picked before they are moved; it is broadcast, 16 MB at most.
-FILTER_BITS = 27
+#: Bits of the filter with which texts are picked before they are moved; it is broadcast, 2 MB at most.
+FILTER_BITS = 24
 #: Links are pairs with PERCENT or more of 100 * intersection / union.
 PERCENT = 85
 

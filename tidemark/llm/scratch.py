@@ -58,7 +58,7 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 #: Rows of an Arrow batch at most.
-BATCH_ROWS, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_KEY = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def long_rows(spark: SparkSession) -> None:
