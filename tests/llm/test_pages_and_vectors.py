@@ -169,3 +169,23 @@ def test_repeated_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, ed.near_dedup(spark, df).collect()), key=str)
     assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 2, True), (None, 1, 2, False)], key=str)
+
+
+def texts_of(spark, rows):
+    """Texts by page id."""
+    out = ht.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    return {r.page_id: r.text for r in out.collect()}
+
+
+def some_words(i, n=30):
+    return " ".join(f"w{(i * 7919 + k * 104729) % 1_000_003}" for k in range(n))
+
+
+def test_copies_and_quotes_stay_and_runs_are_cut(spark):
+    plate, quote = some_words(900, 12), some_words(901, 20)
+    rows = [(i, f"http://copies.org/{i}", f"<p>{some_words(1)}</p><p>{some_words(2)}</p>") for i in range(5)]
+    rows += [(10 + i, f"http://h.org/{i}", f"<p>{some_words(10 + i)}</p>" + (f"<p>{quote} end</p>" if i < 2 else "") + f"<div>own{i} {plate} tail{i}</div>") for i in range(8)]
+    got = texts_of(spark, rows)
+    assert {got[i] for i in range(5)} == {f"{some_words(1)}\n{some_words(2)}"}
+    for i in range(8):
+        assert got[10 + i] == "\n".join([some_words(10 + i), *([f"{quote} end"] if i < 2 else []), f"own{i} tail{i}"])

@@ -1,24 +1,28 @@
-"""Main text of web pages, with a suffix array for each host that finds its boilerplate.
+"""Main text of web pages, with suffix arrays over the pages of each host that find its boilerplate.
 
 A page is cut into blocks of text.  A block is *article* inside an article or main element, *chrome* inside menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments, and *open* anywhere else.  Article text is the
-main text as it stands.  Where a page has no article, its open blocks are candidates, and the host's own pages decide:
-the token streams of all blocks outside articles are concatenated, a suffix array, sorted by the first ``RUN`` tokens of
-each suffix, shows the runs that occur on distinct pages, and open blocks covered by such runs go; unique runs stay.
-Article text isn't cut by the array, as passages that articles share belong to the text.
+headers, footers, sidebars, notices, adverts, forms and reader comments, and *open* anywhere else.  The text of a page is
+its article or, if it has none, its open blocks, less the runs of ``RUN`` tokens or more that are boilerplate of its host: blocks
+that such runs cover as a whole go, out of other blocks the runs inside are cut, and all other tokens stay.  In open blocks a run is boilerplate if it is in open blocks or chrome
+of half of the host's distinct pages, and of three at least.  Article text isn't cut.
 
-Only blocks outside articles travel to the hosts' groups.  Hosts with more than ``HOST_PAGES`` pages are dealt into
-shards of about that many by a hash of the page id; boilerplate of such a host is what repeats within a shard.
+The token streams of a host's pages are concatenated, and a suffix array, sorted by the first ``RUN`` tokens of each
+suffix, shows on how many distinct pages a run is.  Large hosts are dealt into shards by a hash of the stream.  What
+reaches its share of the pages in a shard is cut in the host's pages.
+
+Pages are parsed twice, once for the hosts' runs and once for the texts; no text is moved or written in between.
 
 Defined cases: null or empty html, or html without text, gives an empty text; a null or hostless URL belongs to the
-host ''; copies of a page on one host are distinct pages if their ids differ, rows of one id are one page; columns other
-than page_id, url and html are not read; an empty table gives an empty result.
+host ''; pages of a host whose article and open tokens are equal are one distinct page, whatever their ids, and so are the
+versions of one id; hosts of one or two distinct pages lose nothing but chrome; columns other than page_id, url and html
+are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,10 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .minhash import _mix
 from .scratch import spread, table
 
-RUN_DOUBLINGS, HOST_PAGES, COVERED = 3, 1000, 0.5
+RUN_DOUBLINGS = 3
 RUN = 1 << RUN_DOUBLINGS
+#: Pages and characters of html in a shard, about.
+HOST_PAGES, HOST_CHARS = 1000, 16 << 20
+#: By region: percent of a host's distinct pages that a run of boilerplate is on, and how many at least.
+SHARE, LEAST = (90, 50), (4, 3)
 
 # Names of HTML elements by their role.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
@@ -45,7 +54,9 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)(
 _BROKEN = re.compile(r"<[^>]*>?")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WHITE = re.compile(r"[\s ]+")
-_HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
+_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+#: Tokens are below; from here on they end a stream.
+_END = 1 << 32
 
 
 def _is_chrome(name: str, attributes: str) -> bool:
@@ -153,78 +164,177 @@ def suffix_order(tokens: np.ndarray, doublings: int = RUN_DOUBLINGS) -> tuple[np
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeated(tokens: np.ndarray, pages: np.ndarray, doublings: int = RUN_DOUBLINGS) -> np.ndarray:
-    """Marks the tokens covered by a run of 2 ** doublings tokens or more that occurs on distinct pages."""
+def distinct_pages(tokens: np.ndarray, pages: np.ndarray, doublings: int = RUN_DOUBLINGS) -> np.ndarray:
+    """On how many distinct pages the run of 2 ** doublings tokens from each place on occurs; 0 where no whole run begins."""
     run, n = 1 << doublings, len(tokens)
-    covered = np.zeros(n, bool)
     if n < run:
-        return covered
+        return np.zeros(n, np.int64)
     order, rank = suffix_order(tokens, doublings)
-    ranks, page = rank[order], pages[order]
-    starts = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]])
-    varied = np.minimum.reduceat(page, starts) != np.maximum.reduceat(page, starts)
-    hits = order[np.repeat(varied, np.diff(np.r_[starts, n]))]
-    hits = hits[hits + run <= n]
+    ranks, page = rank[order], np.unique(pages, return_inverse=True)[1][order]
+    both = np.unique(ranks * (int(page.max()) + 1) + page) // (int(page.max()) + 1)
+    counts = np.bincount(both, minlength=int(ranks[-1]) + 1)[rank]
+    counts[_covered_backwards(tokens >= _END, run)] = 0
+    return counts
+
+
+def _covered_backwards(ends: np.ndarray, run: int) -> np.ndarray:
+    """Places whose run goes over an end or beyond the last token."""
+    upto = np.concatenate([[0], np.cumsum(ends)])
+    last = np.arange(len(ends)) + run
+    return (last > len(ends)) | (upto[np.minimum(last, len(ends))] > upto[:-1])
+
+
+def _covered(starts: np.ndarray, n: int, run: int) -> np.ndarray:
+    """Marks of n tokens: those in a run that begins at one of ``starts``."""
     edges = np.zeros(n + 1, np.int64)
-    np.add.at(edges, hits, 1)
-    np.add.at(edges, hits + run, -1)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + run, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
-def _host(url: str | None) -> str:
-    found = _HOST.match(url or "")
-    return found[1].lower() if found else ""
+def repeated(tokens: np.ndarray, pages: np.ndarray, doublings: int = RUN_DOUBLINGS, least: int = 2) -> np.ndarray:
+    """Marks the tokens covered by a run of 2 ** doublings tokens or more that occurs on ``least`` distinct pages."""
+    return _covered(np.flatnonzero(distinct_pages(tokens, pages, doublings) >= least), len(tokens), 1 << doublings)
+
+
+def run_hashes(tokens: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of RUN tokens, by where they begin."""
+    n = len(tokens) - RUN + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for i in range(RUN if n > 0 else 0):
+        out = _mix(out + tokens[i : i + n].astype(np.uint64))
+    return out.view(np.int64)
+
+
+def _tokens(texts: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for t in texts for w in t.split()], np.uint32)
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("open", pa.list_(pa.string())), ("chrome", pa.list_(pa.string()))])
+def _regions(html: str | None) -> tuple[list[str], list[str], list[str]]:
+    by: tuple[list[str], ...] = ([], [], [])
+    for region, text in blocks(html or ""):
+        by[region].append(text)
+    return by
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text: the article's, null if the page has none; open and chrome: its blocks outside articles."""
+def _page(streams: list[bytes], version_of: int | None) -> int:
+    """What names a distinct page: its id's key if the id has versions, or else its article and open tokens."""
+    if version_of is not None:
+        return version_of
+    import xxhash
+
+    named = streams[:2] if streams[0] or streams[1] else streams
+    return xxhash.xxh3_64_intdigest(b"".join(len(x).to_bytes(8, "big") + x for x in named)) >> 1
+
+
+_STREAMS = "host string, shard int, shards int, page long, article binary, open binary, chrome binary"
+_STREAMS_ARROW = pa.schema([("host", pa.string()), ("shard", pa.int32()), ("shards", pa.int32()), ("page", pa.int64()), ("article", pa.binary()), ("open", pa.binary()), ("chrome", pa.binary())])
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The token streams of (host, shards, version_of, html) by region; of equal pages a task sends one."""
+    import xxhash
+
+    seen: set[bytes] = set()
     for batch in batches:
         rows = []
-        for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns)):
-            by: tuple[list[str], ...] = ([], [], [])
-            for region, text in blocks(html or ""):
-                by[region].append(text)
-            rows.append({"page_id": page_id, "url": url, "host": _host(url), "text": "\n".join(by[0]) if by[0] else None, "open": by[1], "chrome": by[2]})
-        yield pa.RecordBatch.from_pylist(rows, _PARSED)
-
-
-def _unique_runs(group: pa.Table) -> pa.Table:
-    """The open blocks that stay, joined, of the pages without an article; the group is a host's shard."""
-    import zlib
-
-    rows = group.select(["row", "page_id", "open", "chrome", "wanted"]).to_pylist()
-    rows.sort(key=lambda r: r["row"])
-    tokens, pages, spans = [], [], []
-    for i, row in enumerate(rows):
-        for kind in ("chrome", "open"):
-            for k, text in enumerate(row[kind]):
-                own = [zlib.crc32(w.encode()) for w in text.split()]
-                if kind == "open" and row["wanted"]:
-                    spans.append((i, k, len(tokens), len(tokens) + len(own)))
-                tokens += own
-                pages += [row["page_id"] if row["page_id"] is not None else -1 - row["row"]] * len(own)
-        tokens.append((1 << 32) + i)  # ends a page: no run goes over it
-        pages.append(-1)
-    covered = np.concatenate([[0], np.cumsum(repeated(np.array(tokens, np.int64), np.array(pages, np.int64)))])
-    kept: dict[int, list[str]] = {i: [] for i, row in enumerate(rows) if row["wanted"]}
-    for i, k, a, b in spans:
-        if covered[b] - covered[a] < COVERED * (b - a):
-            kept[i].append(rows[i]["open"][k])
-    return pa.table({"row": pa.array([rows[i]["row"] for i in kept], pa.int64()), "kept": pa.array(["\n".join(v) for v in kept.values()], pa.string())})
+        for host, shards, version_of, html in zip(*(c.to_pylist() for c in batch.columns)):
+            streams = [_tokens(texts).tobytes() for texts in _regions(html)]
+            page = _page(streams, version_of)
+            whole = xxhash.xxh3_128_digest(b"".join(len(x).to_bytes(8, "big") + x for x in (host.encode(), page.to_bytes(8, "big"), *streams)))
+            if whole not in seen and any(streams):
+                seen.add(whole)
+                rows.append({"host": host, "shard": page % shards, "shards": shards, "page": page, "article": streams[0], "open": streams[1], "chrome": streams[2]})
+        yield pa.RecordBatch.from_pylist(rows, _STREAMS_ARROW)
+
+
+def _least(region: int, pages: int, whole: bool) -> int:
+    """On how many of so many distinct pages a run must be; of a shard's pages, to be a candidate."""
+    return max(LEAST[region] if whole else 1, -(-SHARE[region] * pages // 100))
+
+
+_FOUND = "host string, shards int, region int, pages long, runs array<long>"
+_FOUND_ARROW = pa.schema([("host", pa.string()), ("shards", pa.int32()), ("region", pa.int32()), ("pages", pa.int64()), ("runs", pa.list_(pa.int64()))])
+
+
+def _frequent(group: pa.Table) -> pa.Table:
+    """Distinct pages of a host's shard and the runs on enough of them, for articles (0) and for what is outside (1)."""
+    page, out = group.column("page").to_numpy(), []
+    host, shards = group.column("host")[0].as_py(), group.column("shards")[0].as_py()
+    for region, names in enumerate((["article"], ["open", "chrome"])):
+        parts, owners = [], []
+        for name in names:
+            for i, raw in enumerate(group.column(name)):
+                own = np.frombuffer(raw.as_buffer(), np.uint32).astype(np.int64)
+                if len(own):
+                    parts += [own, np.array([_END + len(parts)])]
+                    owners.append(np.full(len(own) + 1, page[i]))
+        own_pages = page if region else page[[len(x.as_buffer()) > 0 for x in group.column("article")]]
+        n, runs = len(np.unique(own_pages)), []
+        least = _least(region, n, True)
+        if parts and n >= least:
+            tokens = np.concatenate(parts)
+            starts = np.flatnonzero(distinct_pages(tokens, np.concatenate(owners)) >= least)
+            runs = np.unique(run_hashes(tokens)[starts]).tolist()
+        out.append({"host": host, "shards": shards, "region": region, "pages": n, "runs": runs})
+    return pa.Table.from_pylist(out, _FOUND_ARROW)
+
+
+def _by_host(found: DataFrame) -> DataFrame:
+    """(host, article, open): the runs of each host for both regions."""
+    of = lambda region: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("region") == region, F.col("runs")))))
+    return found.where("size(runs) > 0").groupBy("host").agg(of(0).alias("article"), of(1).alias("open"))
+
+
+def boilerplate(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """(host, article, open): hashes of the runs that are boilerplate, for hosts that have some. ``rows``: page_id, host, html."""
+    shards = F.ceil(F.greatest(F.count("*") / HOST_PAGES, F.sum(F.length("html")) / HOST_CHARS)).cast("int")
+    large = table(spark, rows.groupBy("host").agg(shards.alias("shards")).where("shards > 1"), "hosts")
+    versions = rows.where("page_id is not null").groupBy("host", "page_id").agg(F.min(F.xxhash64("html")).alias("low"), F.max(F.xxhash64("html")).alias("high"))
+    versions = table(spark, versions.where("low <> high").select("host", "page_id", F.shiftrightunsigned(F.xxhash64("page_id"), 1).alias("version_of")), "versions")
+    dealt = rows.join(large, "host", "left").join(versions, ["host", "page_id"], "left").select("host", F.coalesce("shards", F.lit(1)).alias("shards"), "version_of", "html")
+    found = table(spark, dealt.mapInArrow(_streams, _STREAMS).groupBy("host", "shard").applyInArrow(_frequent, _FOUND), "frequent")
+    sets = found.select("host", "region", "runs")
+    return table(spark, _by_host(sets), "boilerplate")
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url and text of (page_id, url, html, article, open); the last two are the host's boilerplate."""
+    for batch in batches:
+        texts = []
+        for html, *runs in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            found = [b for b in blocks(html or "") if b[0] < 2]
+            found = [b for b in found if b[0] == 0] or found
+            for region in (1,):
+                if runs[region]:
+                    found = _cut(found, region, np.array(runs[region], np.int64))
+            texts.append("\n".join(text for _, text in found))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
+def _cut(found: list[tuple[int, str]], region: int, runs: np.ndarray) -> list[tuple[int, str]]:
+    """A page's blocks without the runs of one region: blocks that runs cover as a whole go, of others what runs inside cover."""
+    own = [text.split() for of, text in found if of == region]
+    tokens, block = _tokens([" ".join(words) for words in own]), np.repeat(np.arange(len(own)), [len(words) for words in own])
+    starts = np.flatnonzero(np.isin(run_hashes(tokens), runs))
+    covered = _covered(starts, len(tokens), RUN)
+    inside = _covered(starts[block[starts] == block[starts + RUN - 1]], len(tokens), RUN)
+    out, at = [], 0
+    for of, text in found:
+        if of == region:
+            words = text.split()
+            here, at = slice(at, at + len(words)), at + len(words)
+            if covered[here].all():
+                continue
+            if inside[here].any():
+                text = " ".join(w for w, x in zip(words, inside[here]) if not x)
+        out.append((of, text))
+    return out
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of ``pages`` (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = spread(rows).mapInArrow(_parse, "page_id long, url string, host string, text string, open array<string>, chrome array<string>")
-    parsed = table(spark, parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
-    outside = parsed.select("row", "page_id", "host", "open", "chrome", F.col("text").isNull().alias("wanted"))
-    shards = table(spark, parsed.groupBy("host").agg(F.ceil(F.count("*") / HOST_PAGES).cast("int").alias("shards")).where("shards > 1"), "hosts")
-    outside = outside.join(shards, "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))))
-    runs = table(spark, outside.groupBy("host", "shard").applyInArrow(_unique_runs, "row long, kept string"), "runs")
-    article = parsed.where("text is not null").select("page_id", "url", "text")
-    bare = parsed.where("text is null").select("row", "page_id", "url").join(runs, "row", "left").select("page_id", "url", F.coalesce("kept", F.lit("")).alias("text"))
-    return article.unionByName(bare).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    rows = spread(rows).withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)))
+    texts = rows.join(boilerplate(spark, rows.drop("url")), "host", "left").select("page_id", "url", "html", "article", "open").mapInArrow(_texts, "page_id long, url string, text string")
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
