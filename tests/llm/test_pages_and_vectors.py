@@ -189,3 +189,13 @@ def test_copies_and_quotes_stay_and_runs_are_cut(spark):
     assert {got[i] for i in range(5)} == {f"{some_words(1)}\n{some_words(2)}"}
     for i in range(8):
         assert got[10 + i] == "\n".join([some_words(10 + i), *([f"{quote} end"] if i < 2 else []), f"own{i} tail{i}"])
+
+
+def test_pages_with_articles_keep_open_text_and_lose_boilerplate(spark):
+    plate, shared = some_words(902, 12), some_words(903, 12)
+    page = lambda i: f"<article>teaser {i}</article><div>{some_words(20 + i)}</div><main><p>{plate}</p><p>{some_words(50 + i)}" + (f" {shared}" if i % 2 else "") + f"</p></main><div>{plate}</div>"
+    got = texts_of(spark, [(i, f"http://h.org/{i}", page(i)) for i in range(8)] + [(9, "http://x.org/", "<article>card</article><div>real text</div>")])
+    for i in range(8):
+        body = some_words(50 + i) + (f" {shared}" if i % 2 else "")
+        assert got[i] == f"teaser {i}\n{some_words(20 + i)}\n{body}"
+    assert got[9] == "card\nreal text"

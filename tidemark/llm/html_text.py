@@ -2,9 +2,10 @@
 
 A page is cut into blocks of text.  A block is *article* inside an article or main element, *chrome* inside menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments, and *open* anywhere else.  The text of a page is
-its article or, if it has none, its open blocks, less the runs of ``RUN`` tokens or more that are boilerplate of its host: blocks
+its article and open blocks in page order, less the runs of ``RUN`` tokens or more that are boilerplate of its host: blocks
 that such runs cover as a whole go, out of other blocks the runs inside are cut, and all other tokens stay.  In open blocks a run is boilerplate if it is in open blocks or chrome
-of half of the host's distinct pages, and of three at least.  Article text isn't cut.
+of half of the host's distinct pages, and of three at least.  In articles it must be in the articles of nine tenths of
+the distinct pages that have one, and of four at least, as passages that articles share belong to the text.
 
 The token streams of a host's pages are concatenated, and a suffix array, sorted by the first ``RUN`` tokens of each
 suffix, shows on how many distinct pages a run is.  Large hosts are dealt into shards by a hash of the stream.  What
@@ -304,8 +305,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for html, *runs in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
             found = [b for b in blocks(html or "") if b[0] < 2]
-            found = [b for b in found if b[0] == 0] or found
-            for region in (1,):
+            for region in (0, 1):
                 if runs[region]:
                     found = _cut(found, region, np.array(runs[region], np.int64))
             texts.append("\n".join(text for _, text in found))
