@@ -199,3 +199,13 @@ def test_pages_with_articles_keep_open_text_and_lose_boilerplate(spark):
         body = some_words(50 + i) + (f" {shared}" if i % 2 else "")
         assert got[i] == f"teaser {i}\n{some_words(20 + i)}\n{body}"
     assert got[9] == "card\nreal text"
+
+
+def test_shards_do_not_change_texts(spark, monkeypatch):
+    plate, quote, half = some_words(904, 12), some_words(905, 12), some_words(906, 12)
+    rows = [(i, f"http://h.org/{i}", f"<p>{some_words(100 + i)}</p><div>{plate}</div>" + f"<p>{quote}</p>" * (i % 3 == 0) + f"<p>{half}</p>" * (i % 3 > 0) + f"<article>{some_words(200 + i)} {plate}</article>" * (i % 5 < 2)) for i in range(40)]
+    rows += [(50 + i, f"http://h.org/{i}", rows[2][2]) for i in range(9)] + [(7, "http://h.org/v", f"<p>version {plate}</p>"), (None, "http://h.org/n", f"<p>no id {plate}</p>")]
+    whole = texts_of(spark, rows)
+    assert plate not in whole[0] and quote in whole[0] and half not in whole[1] and some_words(200) in whole[0] and whole[50] == whole[2] and whole[None] == "no id"
+    monkeypatch.setattr(ht, "HOST_PAGES", 4)
+    assert texts_of(spark, rows) == whole

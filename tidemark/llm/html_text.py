@@ -8,8 +8,9 @@ of half of the host's distinct pages, and of three at least.  In articles it mus
 the distinct pages that have one, and of four at least, as passages that articles share belong to the text.
 
 The token streams of a host's pages are concatenated, and a suffix array, sorted by the first ``RUN`` tokens of each
-suffix, shows on how many distinct pages a run is.  Large hosts are dealt into shards by a hash of the stream.  What
-reaches its share of the pages in a shard is cut in the host's pages.
+suffix, shows on how many distinct pages a run is.  Large hosts are dealt into shards by a hash of the stream.  A run that
+is on its share of all pages is on that share in some shard, so what reaches it in a shard is a candidate; candidates are
+then counted in all shards of the host, and the sums decide.  So the number of shards can't change a result.
 
 Pages are parsed twice, once for the hosts' runs and once for the texts; no text is moved or written in between.
 
@@ -272,7 +273,7 @@ def _frequent(group: pa.Table) -> pa.Table:
                     owners.append(np.full(len(own) + 1, page[i]))
         own_pages = page if region else page[[len(x.as_buffer()) > 0 for x in group.column("article")]]
         n, runs = len(np.unique(own_pages)), []
-        least = _least(region, n, True)
+        least = _least(region, n, shards == 1)
         if parts and n >= least:
             tokens = np.concatenate(parts)
             starts = np.flatnonzero(distinct_pages(tokens, np.concatenate(owners)) >= least)
@@ -281,6 +282,35 @@ def _frequent(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, _FOUND_ARROW)
 
 
+_HITS = "host string, shard int, page long, region int, runs array<long>"
+_HITS_ARROW = pa.schema([("host", pa.string()), ("shard", pa.int32()), ("page", pa.int64()), ("region", pa.int32()), ("runs", pa.list_(pa.int64()))])
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates of its host on each page of (host, shards, version_of, html, article, open)."""
+    for batch in batches:
+        rows = []
+        for host, shards, version_of, html, *candidates in zip(*(c.to_pylist() for c in batch.columns)):
+            streams = [_tokens(texts) for texts in _regions(html)]
+            page = _page([x.tobytes() for x in streams], version_of)
+            found = [run_hashes(streams[0]), np.concatenate([run_hashes(streams[1]), run_hashes(streams[2])])]
+            for region in (0, 1):
+                own = np.intersect1d(found[region], np.array(candidates[region] or [], np.int64))
+                if len(own):
+                    rows.append({"host": host, "shard": page % shards, "page": page, "region": region, "runs": own.tolist()})
+        yield pa.RecordBatch.from_pylist(rows, _HITS_ARROW)
+
+
+def _counted(group: pa.Table) -> pa.Table:
+    """On how many distinct pages of a host's shard each candidate is."""
+    sizes = group.column("runs").combine_chunks().value_lengths().to_numpy()
+    runs = np.concatenate([np.array(x, np.int64) for x in group.column("runs").to_pylist()])
+    pairs = np.unique(np.stack([runs, np.repeat(group.column("page").to_numpy(), sizes)]), axis=1)
+    values, counts = np.unique(pairs[0], return_counts=True)
+    same = {c: pa.array([group.column(c)[0].as_py()] * len(values), group.schema.field(c).type) for c in ("host", "region")}
+    return pa.table({"host": same["host"], "region": same["region"], "run": pa.array(values, pa.int64()), "n": pa.array(counts, pa.int64())})
+
+
 def _by_host(found: DataFrame) -> DataFrame:
     """(host, article, open): the runs of each host for both regions."""
     of = lambda region: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("region") == region, F.col("runs")))))
@@ -295,7 +325,16 @@ def boilerplate(spark: SparkSession, rows: DataFrame) -> DataFrame:
     versions = table(spark, versions.where("low <> high").select("host", "page_id", F.shiftrightunsigned(F.xxhash64("page_id"), 1).alias("version_of")), "versions")
     dealt = rows.join(large, "host", "left").join(versions, ["host", "page_id"], "left").select("host", F.coalesce("shards", F.lit(1)).alias("shards"), "version_of", "html")
     found = table(spark, dealt.mapInArrow(_streams, _STREAMS).groupBy("host", "shard").applyInArrow(_frequent, _FOUND), "frequent")
-    sets = found.select("host", "region", "runs")
+    sets = found.where("shards = 1").select("host", "region", "runs")
+    candidates = table(spark, _by_host(found.where("shards > 1")), "candidates")
+    if not candidates.isEmpty():
+        counts = dealt.join(candidates, "host").select("host", "shards", "version_of", "html", "article", "open").mapInArrow(_hits, _HITS)
+        counts = counts.groupBy("host", "shard", "region").applyInArrow(_counted, "host string, region int, run long, n long")
+        counts = table(spark, counts, "counts").groupBy("host", "region", "run").agg(F.sum("n").alias("n"))
+        whole = found.where("shards > 1").groupBy("host", "region").agg(F.sum("pages").alias("pages"))
+        by_region = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("region") + 1)
+        enough = (F.col("n") * 100 >= F.col("pages") * by_region(SHARE)) & (F.col("n") >= by_region(LEAST))
+        sets = sets.union(counts.join(whole, ["host", "region"]).where(enough).groupBy("host", "region").agg(F.collect_list("run").alias("runs")))
     return table(spark, _by_host(sets), "boilerplate")
 
 
