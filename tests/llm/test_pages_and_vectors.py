@@ -209,3 +209,13 @@ def test_shards_do_not_change_texts(spark, monkeypatch):
     assert plate not in whole[0] and quote in whole[0] and half not in whole[1] and some_words(200) in whole[0] and whole[50] == whole[2] and whole[None] == "no id"
     monkeypatch.setattr(ht, "HOST_PAGES", 4)
     assert texts_of(spark, rows) == whole
+
+
+@pytest.mark.parametrize("start", ["<body class='no-sidebar'>", "<body class='single comments-open'>", "<main class='with-sidebar'>", "<article class='related-news'>", "<article id='comments'>", "<html class='sidebar'>", "<div class='has-sidebar no-ads'>"])
+def test_main_elements_and_longer_names_are_not_chrome(start):
+    assert [(r < 2, t) for r, t in ht.blocks(f"{start}<p>text</p>")] == [(True, "text")]
+
+
+@pytest.mark.parametrize("name", ["ad", "box cookie-notice", "site_footer", "main-nav", "related-posts", "Comments-Area", "sidebar__widget"])
+def test_known_names_are_chrome(name):
+    assert ht.blocks(f"<main><div class='{name}'>menu</div>text</main>") == [(2, "menu"), (0, "text")]
