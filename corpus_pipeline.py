@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.exact_dedup import exact_dedup, normalised
+from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.minhash import near_dedup
 from tidemark.llm.mixing import mixed_rows
 from tidemark.llm.quality import quality_filter
@@ -18,32 +18,41 @@ from tidemark.llm.queries import default_model, read
 from tidemark.llm.scratch import table
 from tidemark.llm.sentencepiece_codec import digests
 
+#: The column of the row key within a dedup stage.
+KEY = "_row_key"
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of good quality is one half or more."""
     return quality_filter(docs, read(spark, sf_dir, "labels"))
 
 
-def _without_dropped(spark: SparkSession, docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` without rows that ``decided`` (doc_id, kept) drops; of repeated rows of one id and text one stays."""
-    by_id = table(spark, decided.groupBy("doc_id").agg(F.max("kept").alias("any"), F.count(F.when(F.col("kept"), 1)).alias("n_kept"), F.count("*").alias("n")).where("n > 1 or not any"), "decided")
-    gone = by_id.where("not any").select(F.col("doc_id").alias("gone"))
-    stay = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    repeated = by_id.where("any and n > 1").select(F.col("doc_id").alias("repeated"))
-    if repeated.isEmpty():
-        return stay
-    once = stay.join(repeated, F.col("doc_id").eqNullSafe(F.col("repeated")), "left_semi").withColumn("_norm", normalised(F.col("text"))).dropDuplicates(["doc_id", "_norm"]).drop("_norm")
-    return stay.join(repeated, F.col("doc_id").eqNullSafe(F.col("repeated")), "left_anti").unionByName(once)
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` written with a key of each row, as ids may be null or stand on several texts."""
+    return table(spark, docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def _without(spark: SparkSession, keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose key isn't in ``gone`` (gone)."""
+    return keyed.join(table(spark, gone, "gone"), F.col(KEY) == F.col("gone"), "left_anti").drop(KEY)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _without_dropped(spark, docs, exact_dedup(spark, docs).select("doc_id", "kept"))
+    """One row of each group of equal texts."""
+    keyed = _keyed(spark, docs)
+    return _without(spark, keyed, exact_dedup(spark, keyed, key_col=KEY).where("not kept").select(F.col(KEY).alias("gone")))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return _without_dropped(spark, docs, near_dedup(spark, docs).select("doc_id", "kept"))
+    """One row of each component of near copies: that of the least id; a null id loses, and equal ids go by the row."""
+    keyed = _keyed(spark, docs)
+    found = table(spark, near_dedup(spark, keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id"), "components")
+    several = table(spark, found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"), "several")
+    # Written tables make both sides of the joins plain exchanges, so that a hot component's rows can be split among tasks.
+    members = table(spark, found.join(several, "component_id", "left_semi").join(keyed.select(KEY, "doc_id"), KEY), "members")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.col(KEY).alias("row")))
+    stay = table(spark, members.groupBy("component_id").agg(least.alias("least")).select("component_id", F.col("least.row").alias("stays")), "stay")
+    return _without(spark, keyed, members.join(stay, "component_id").where(F.col(KEY) != F.col("stays")).select(F.col(KEY).alias("gone")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,16 @@ def test_near_stage(spark, docs, sf):
     assert {k[0] for k in kept if k[0] is not None} == {i for i in label if label[i] == i} and kept[6, "twice over again here now", "en", "c", 1] == 1
 
 
+def test_dedup_stages_decide_by_rows(spark, sf):
+    a, b, c, d = (" ".join(words(60, 900 + i)) for i in range(4))
+    near_a = a + " end"
+    rows = [(1, a, "en", "s", 1), (None, b, "en", "s", 1), (None, c, "en", "s", 1), (None, near_a, "en", "s", 1), (2, near_a, "en", "s", 1), (2, d, "en", "s", 1), (3, a, "en", "s", 1), (3, c + " of its own", "en", "s", 1), (2, a, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    exact = rows_of(cp.without_copies(spark, docs, sf))
+    assert exact == Counter(r for r in rows if r not in {rows[3], rows[6], rows[8]})
+    assert rows_of(cp.without_near_copies(spark, docs, sf)) == Counter([rows[0], rows[1], rows[5], rows[7]])
+
+
 def test_mixing_stage(spark, docs, sf):
     out = cp.mixed(spark, docs, sf)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))

@@ -56,17 +56,18 @@ def recipes(docs: DataFrame, width: int) -> Column:
     return F.flatten(F.transform(chunks(F.col("norm")), lambda c: F.array(*identifier(c, width))))
 
 
-def exact_dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
-    """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
+def exact_dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, key_col: str | None = None) -> DataFrame:
+    """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256, n_chunks; and ``key_col``, if it is given.
 
     Of equal texts the row with the most code points in its original text stays, then the one with the smallest id.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("points"), normalised(F.col("text")).alias("norm"))
+    key = [key_col] if key_col else []
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *key)
+    docs = docs.select(*key, "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("points"), normalised(F.col("text")).alias("norm"))
     width = verified_width(docs, width)
     rows = table(
         spark,
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "points", F.sha2("norm", 256).alias("text_sha256"), recipes(docs, width).alias("recipe")),
+        docs.select(F.monotonically_increasing_id().alias("row"), *key, "doc_id", "points", F.sha2("norm", 256).alias("text_sha256"), recipes(docs, width).alias("recipe")),
         "recipes",
     )
     best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row").alias("row")))
@@ -80,4 +81,5 @@ def exact_dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
         (F.col("best_row").isNull() | (F.col("best_row") == F.col("row"))).alias("kept"),
         "text_sha256",
         (F.size("recipe") / F.lit(max(width, 1))).cast("long").alias("n_chunks"),
+        *key,
     )
