@@ -229,25 +229,32 @@ def test_character_map_takes_the_longest_prefix():
     assert source.tolist() == [1, 1, 3, 4, 4, 4, 5, 6, 6, 6, 7, 7, 10]
 
 
-def brute_lm(rows, strength):
-    c, b, toks = Counter(), Counter(), []
+def brute_lm(rows, strength, order=3):
+    c, toks = Counter(), []
     train = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1
     for i, t, *_ in rows:
-        toks.append(re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + ["END"])
+        toks.append(["START", *re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), "END"])
         if train(i):
-            c["START"] += 1
-            c.update(toks[-1])
-            b.update(zip(["START", *toks[-1]], toks[-1]))
-    n, v = sum(c.values()) - c["START"], len(c) - 1
-    p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+            c.update(tuple(toks[-1][j : j + k]) for k in range(1, order + 1) for j in range(len(toks[-1]) - k + 1))
+    single = {g[0]: k for g, k in c.items() if len(g) == 1 and g[0] != "START"}
+    n, v = sum(single.values()), len(single)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (single.get(gram[0], 0) + 0.5) / (n + 0.5 * (v + 1))
+        return (c[gram] + strength * p(gram[1:])) / (c[gram[:-1]] + strength)
+
     for (i, *_), own in zip(rows, toks):
-        pairs = list(zip(["START", *own], own))
-        yield i, not train(i), len(own), sum(c[w] > 0 for w in own), n, sum(math.log10(p(w)) for w in own), sum(math.log10((b[u, w] + strength * p(w)) / (c[u] + strength)) for u, w in pairs)
+        grams = [tuple(own[max(0, j - order + 1) : j + 1]) for j in range(1, len(own))]
+        yield i, not train(i), len(own) - 1, sum(w in single for w in own[1:]), n, sum(math.log10(p((w,))) for w in own[1:]), sum(math.log10(p(g)) for g in grams)
 
 
-def test_language_model(spark, docs, rows):
-    got = sorted(map(tuple, lm.score(spark, docs, strength=7.0).collect()), key=str)
-    expected = sorted(brute_lm(rows, 7.0), key=str)
+@pytest.mark.parametrize(("order", "block", "hop", "segment"), [(1, 16_000_000, 10, 2048), (2, 2_000, 10, 2048), (3, 2_000, 3, 7), (4, 20_000, 2, 100)])
+def test_language_model(spark, docs, rows, monkeypatch, order, block, hop, segment):
+    for name, value in (("BLOCK_BYTES", block), ("HOP", hop), ("SEGMENT", segment), ("DISTRICT", 3)):
+        monkeypatch.setattr(lm, name, value)
+    got = sorted(map(tuple, lm.score(spark, docs, strength=7.0, order=order).collect()), key=str)
+    expected = sorted(brute_lm(rows, 7.0, order), key=str)
     key = lambda r: (str(r[0]), r[2], r[5])
     for g, e in zip(sorted(got, key=key), sorted(expected, key=key), strict=True):
         assert g[:5] == e[:5] and g[5] == pytest.approx(e[5], rel=1e-9) and g[6] == pytest.approx(e[6], rel=1e-9)
@@ -255,19 +262,52 @@ def test_language_model(spark, docs, rows):
 
 def test_packed_keys_come_back():
     rng = np.random.default_rng(0)
-    for keys in (np.empty(0, np.uint64), np.unique(rng.integers(0, 1 << 40, 5000, dtype=np.uint64)), np.array([0, 5, (1 << 40) - 1], np.uint64)):
-        assert (lm._unpack(lm._pack(keys)) == keys).all()
-
-
-def test_model_sums_to_one():
-    counts = np.array([3.0, 1.0, 0.0])  # the last is the unknown token
-    p = (counts + 0.5) / (4 + 0.5 * 3)
-    assert p.sum() == pytest.approx(1)
-    left, right = np.repeat([0, 1], 3), np.tile([0, 1, 2], 2)
-    pair = np.array([2.0, 1.0, 0.0, 1.0, 0.0, 0.0])
-    model = lm.Automaton.build(counts, pair, left, right, 4, 2, 5.0)
-    walk = np.array([10 ** model.walk(np.array([s]), np.array([w]), np.array([3 * s + w]), np.array([0]))[0] for s in (0, 1) for w in (0, 1, 2)])
-    assert walk.reshape(2, 3).sum(1) == pytest.approx([1, 1])
+    for keys in (np.empty(0, np.uint64), np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)), np.array([0, 5, (1 << 64) - 1], np.uint64), np.zeros(3, np.uint64)):
+        assert (lm._unpack_sorted(lm._pack_sorted(keys)) == keys).all() and (lm._unpack(lm._pack(keys)) == keys).all()
+
+
+def test_rows_asked_follow_the_input():
+    """A block sends at most a row for each prefix, and none without keys: what it sends does not depend on other blocks."""
+    lengths = []
+    for n in (1, 4):
+        sent = 0
+        for i in range(n):
+            grams = lm.Grams(lm.Block.read([" ".join(words(200, 10 * n + i, 50))], [False]))
+            level = grams.add()
+            found = list(lm._by_prefix(2, level.keys[level.asked], level.own[level.asked], i, 6))
+            assert all(len(lm._unpack(r["counts"])) for r in found)
+            sent += len(found)
+        lengths.append(sent)
+    assert lengths[1] <= 4.4 * lengths[0] and lengths[0] <= 64
+
+
+@pytest.mark.parametrize("history", ["", "a b", "a zz", "d c", "b a b"])
+def test_model_sums_to_one(history):
+    trained = ["a b a c", "b a", "a b c d"]
+    tried = [f"{history} {w}".strip() for w in ("a", "b", "c", "d", "unknown")] + [history]
+    grams = lm.Grams(lm.Block.read(trained + tried, [False] * len(trained) + [True] * len(tried)))
+    levels = [grams.levels[0], grams.add(), grams.add()]
+    model, total = lm.Automaton(levels, 13, 5, 5.0), 0.0
+    for start in grams.starts[len(trained) :]:
+        depth = np.array([1])
+        for i in range(1, len(history.split()) + 2):
+            weight, depth = model.step(np.array([start + i]), depth)
+        total += 10 ** weight[0]
+    assert total == pytest.approx(1)
+
+
+def test_copies_are_told_apart(spark):
+    """Training texts that occur twice gain more on the base than most that occur once, far more often than by chance (0.1)."""
+    rng = np.random.default_rng(3)
+    common = rng.zipf(1.3, 400_000)
+    texts = [" ".join(f"v{x}" for x in common[i * 200 : (i + 1) * 200]) for i in range(1500)]
+    rows = [(i, texts[i]) for i in range(1500)] + [(2000 + i, texts[i]) for i in range(60)]
+    out = lm.score(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("not held_out").collect()
+    trained = {r.doc_id for r in out}
+    gain = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in out}
+    twice = [gain[i] for i in range(60) if i in trained and 2000 + i in trained]
+    once = [gain[i] for i in range(60, 1500) if i in trained]
+    assert np.mean(np.array(twice) > np.quantile(once, 0.9)) > 0.3
 
 
 def test_ordinal_model_orders_grades():

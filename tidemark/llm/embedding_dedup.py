@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import long_rows, table
+from .scratch import narrowed, table
 
 COSINE, AXES, SAMPLE, LEAF, TILE, FAN = 0.9, 8, 4096, 2048, 256, 16
 EPS = float(np.sqrt(2 - 2 * COSINE))
@@ -178,7 +178,6 @@ def _joined(axes: dict[int, np.ndarray]):
 def near_dedup(spark: SparkSession, df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per row of ``df``: vec_id, n_links, component_id and kept (vec_id = component_id)."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
-    long_rows(spark)
     sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("embedding", F.when(F.coalesce(sound, F.lit(False)), F.col("embedding")))
     classes = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import narrowed, table
 
 MIN_CHUNK, MAX_CHUNK = 128, 4096
 WHITE = r"[\x20\x09-\x0D]+"
@@ -62,7 +62,7 @@ def exact_dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
     Of equal texts the row with the most code points in its original text stays, then the one with the smallest id.
     """
     key = [key_col] if key_col else []
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *key)
+    docs = narrowed(df, doc_id=(id_col, None), text=(text_col, "string"), **{k: (k, None) for k in key})
     docs = docs.select(*key, "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("points"), normalised(F.col("text")).alias("norm"))
     width = verified_width(docs, width)
     rows = table(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordinal import CumulativeLink
-from .scratch import long_rows, spread
+from .scratch import place, slices, spread
 
 Features = Callable[[str], np.ndarray]
 
@@ -18,21 +18,22 @@ Features = Callable[[str], np.ndarray]
 def sample(docs: DataFrame, labels: DataFrame, grade: Column, max_rows: int) -> DataFrame:
     """(doc_id, text, grade) of at most ``max_rows`` labelled rows, the first in the order of a hash of their ids.
 
-    The sample's ids are broadcast; ``max_rows`` bounds their size."""
+    The sample's ids are broadcast; ``max_rows`` bounds their size.  Of several rows of an id one is taken, by a hash of
+    its text, so that ``max_rows`` bounds the sample too."""
     chosen = labels.select("doc_id", grade.cast("int").alias("grade")).where("grade is not null and doc_id is not null")
     chosen = chosen.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
+    found = docs.join(F.broadcast(chosen), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    return found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("grade").alias("grade"))
 
 
 def featured(rows: DataFrame, features: Features) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Feature rows, grades and ids of a sample, in the order of their ids, made on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [features(t.as_py() or "").astype("<i4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], ["doc_id", "f", "grade"])
 
-    long_rows(rows.sparkSession)
     got = sorted(rows.mapInArrow(run, "doc_id long, f binary, grade int").collect(), key=lambda r: (r.doc_id, r.f))
     return [np.frombuffer(r.f, "<i4") for r in got], np.array([r.grade for r in got], int), np.array([r.doc_id for r in got], np.int64)
 
@@ -52,11 +53,11 @@ def _sent(model: CumulativeLink) -> Callable[[], CumulativeLink]:
 
 def passing(df: DataFrame, text_col: str, model: CumulativeLink, features: Features, cut: float) -> DataFrame:
     """The rows of ``df`` for which P(grade >= 1) reaches ``cut``, in one pass without a join."""
-    made, at = _sent(model), df.columns.index(text_col)
+    made, at = _sent(model), place(df, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = made()
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([own.tails(features(t.as_py() or ""))[0] >= cut for t in batch.column(at)], pa.bool_()))
 
     return spread(df).mapInArrow(run, df.schema)
@@ -68,7 +69,7 @@ def scored(docs: DataFrame, model: CumulativeLink, features: Features) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = made()
-        for batch in batches:
+        for batch in slices(batches):
             tails = [own.tails(features(t.as_py() or "")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails, pa.list_(pa.float64()))], ["doc_id", "tails"])
 

@@ -17,7 +17,7 @@ Pages are parsed twice, once for the hosts' runs and once for the texts; no text
 Defined cases: null or empty html, or html without text, gives an empty text; a null or hostless URL belongs to the
 host ''; pages of a host whose article and open tokens are equal are one distinct page, whatever their ids, and so are the
 versions of one id; hosts of one or two distinct pages lose nothing but chrome; columns other than page_id, url and html
-are not read; an empty table gives an empty result.
+are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import _mix
-from .scratch import spread, table
+from .scratch import narrowed, slices, spread, table
 
 RUN_DOUBLINGS = 3
 RUN = 1 << RUN_DOUBLINGS
@@ -344,7 +344,7 @@ def boilerplate(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """page_id, url and text of (page_id, url, html, article, open); the last two are the host's boilerplate."""
-    for batch in batches:
+    for batch in slices(batches):
         texts = []
         for html, *runs in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
             found = [b for b in blocks(html or "") if b[0] < 2]
@@ -377,7 +377,7 @@ def _cut(found: list[tuple[int, str]], region: int, runs: np.ndarray) -> list[tu
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of ``pages`` (page_id, url, html)."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = narrowed(pages, page_id=("page_id", "long"), url=("url", "string"), html=("html", "string"))
     rows = spread(rows).withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)))
     texts = rows.join(boilerplate(spark, rows.drop("url")), "host", "left").select("page_id", "url", "html", "article", "open").mapInArrow(_texts, "page_id long, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -8,20 +8,22 @@ bucket, the bucket in which the target falls is the only one that is split furth
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own, the last; rows with the same
 id have the same hash and are taken or left together; sources without words have target 0; an empty table gives an
-empty result; columns other than id, text and source are not read.
+empty result; columns other than id, text and source are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from math import lcm
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import narrowed, numbered_columns, place, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Bits of the hash that each level of histograms splits by; a level after the first sees the boundary buckets only.
-BITS = (12, 24, 24)
+BITS = (12, 12, 12, 12, 12)
 WIDTH = sum(BITS)
 FIRST = WIDTH - BITS[0]
 
@@ -34,7 +36,7 @@ def hashed(key: Column, salt: str) -> Column:
 
 def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, salt: str) -> DataFrame:
     """doc_id, source, no_source, size and the hash h, a number of WIDTH bits."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
+    docs = narrowed(df, doc_id=(id_col, None), text=(text_col, "string"), source=(source_col, "string"))
     return docs.select(
         "doc_id",
         F.coalesce("source", F.lit("")).alias("source"),
@@ -44,36 +46,39 @@ def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, salt: str)
     )
 
 
-def numbered(spark: SparkSession, sources: DataFrame) -> DataFrame:
-    """Adds ``place``, the number from 0 in code-point order with null last, without one task for all sources."""
-    ranged = sources.repartitionByRange("no_source", "source").withColumn("part", F.spark_partition_id())
-    ranged = table(spark, ranged, "sources")
+def prefixed(spark: SparkSession, rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each of ``sums`` its sum over the rows before, in an order, without one task for all rows."""
+    ranged = table(spark, rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
     by_part = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
-    before = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy("no_source", "source"))
-    return ranged.withColumn("within", within).join(before, "part").withColumn("place", F.col("before") + F.col("within") - 1).drop("part", "within", "before")
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("part").agg(*[F.sum(c).alias(f"{k}_part") for k, c in sums.items()])
+    before = before.select("part", *[F.coalesce(F.sum(f"{k}_part").over(by_part), F.lit(0)).alias(f"{k}_before") for k in sums])
+    out = ranged.join(before, "part")
+    return out.select(*rows.columns, *[(F.col(f"{k}_before") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(k) for k, c in sums.items()])
 
 
 def targets(spark: SparkSession, sized: DataFrame, share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
-    """A row for each source: source, no_source, source_size, target."""
-    per = numbered(spark, sized.groupBy("no_source", "source").agg(F.sum("size").alias("source_size")))
-    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
-    per = table(spark, per.withColumn("weight", weight.cast("long")), "weights")
+    """A row for each source: source, no_source, source_size, target.
+
+    In the order of size for a weight of 1, the sources that get ``most`` times their size come first.  The first that
+    doesn't sets the level: what those before it leave of the budget, for a weight of 1 of all the others.  Whole numbers, so exact."""
+    per = prefixed(spark, sized.groupBy("no_source", "source").agg(F.sum("size").alias("source_size")), ["no_source", "source"], {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS) + 1).cast("int")).cast("long")
+    whole = "decimal(38,0)"
+    per = per.withColumn("weight", weight).withColumn("ratio", F.col("source_size").cast(whole) * (F.lit(lcm(*WEIGHTS)) / F.col("weight")).cast("int"))
+    per = table(spark, prefixed(spark, per, ["ratio", "no_source", "source"], {"words": F.col("source_size"), "weights": F.col("weight")}), "weights")
+    total, weights = per.agg(F.sum("source_size"), F.sum("weight")).first()
     top, bottom = share
-    # The level L = num / den of a weight of 1: a source is full if most * size <= L * weight. Whole numbers, so exact.
-    total = per.agg(F.sum("source_size")).first()[0] or 0
-    num, den, seen = 0, 1, None
-    while True:
-        full = F.lit(False) if seen is None else (F.lit(most * den) * F.col("source_size").cast("decimal(38,0)") <= F.lit(num) * F.col("weight"))
-        rest, weights, n_full = per.agg(
-            F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("weight"))), F.count(F.when(full, 1))
-        ).first()
-        if n_full == seen or not weights:
-            break
-        num, den, seen = top * total - bottom * most * (rest or 0), bottom * weights, n_full
-    full = F.lit(most * den) * F.col("source_size").cast("decimal(38,0)") <= F.lit(num) * F.col("weight")
-    target = F.when(full, (most * F.col("source_size")).cast("double")).otherwise((F.lit(num) * F.col("weight")).cast("double") / F.lit(float(den)))
-    return per.select("no_source", "source", "source_size", target.alias("target"))
+    num = F.lit(top * (total or 0)).cast(whole) - F.lit(bottom * most).cast(whole) * F.col("words")
+    den = F.lit(bottom).cast(whole) * (F.lit(weights or 0) - F.col("weights"))
+    level = per.withColumns({"num": num, "den": den}).where(F.lit(most).cast(whole) * F.col("source_size") * F.col("den") > F.col("num") * F.col("weight"))
+    level = level.agg(F.min(F.struct("ratio", "no_source", "source", "num", "den")).alias("level")).first()[0]
+    most_words = (most * F.col("source_size")).cast("double")
+    if level is None:
+        return per.select("no_source", "source", "source_size", most_words.alias("target"))
+    full = F.struct("ratio", "no_source", "source") < F.struct(F.lit(level.ratio).cast(per.schema["ratio"].dataType).alias("ratio"), F.lit(level.no_source).alias("no_source"), F.lit(level.source).alias("source"))
+    share_of = (F.lit(level.num).cast(whole) * F.col("weight")).cast("double") / F.lit(float(level.den))
+    return per.select("no_source", "source", "source_size", F.when(full, most_words).otherwise(share_of).alias("target"))
 
 
 def thresholds(spark: SparkSession, sized: DataFrame, goals: DataFrame) -> DataFrame:
@@ -130,12 +135,12 @@ def mix(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: st
 def mixed_rows(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", salt: str = "mix:") -> DataFrame:
     """The mix itself: every row of ``df``, with all its columns, as often as the mix takes it."""
     sized = table(spark, sizes(df, id_col, text_col, source_col, salt), "sizes")
-    cuts = thresholds(spark, sized, targets(spark, sized)).select("no_source", "source", "bucket", "rounds", "limit")
-    cuts = table(spark, cuts.select(*[F.col(c).alias(f"_mix_{c}") for c in cuts.columns]), "cuts")
-    own = F.col(source_col).cast("string")
-    h = hashed(F.col(id_col), salt)
-    keyed = df.withColumns({"_mix_h": h, "_mix_no_source": own.isNull(), "_mix_source": F.coalesce(own, F.lit("")), "_mix_bucket": F.shiftright(h, FIRST)})
-    copies = F.col("_mix_rounds") + F.when(F.col("_mix_h") < F.col("_mix_limit"), 1).otherwise(0)
-    joined = keyed.join(cuts, ["_mix_no_source", "_mix_source", "_mix_bucket"]).withColumn("_mix_copies", copies.cast("int"))
-    joined = joined.where((F.col("_mix_copies") > 0) & F.regexp_like(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*df.columns)
+    cuts = table(spark, thresholds(spark, sized, targets(spark, sized)).select("no_source", "source", "bucket", "rounds", "limit"), "cuts")
+    # Columns of df are numbered meanwhile, so that their names can't clash with those of the mix.
+    own, h = F.col(f"_{place(df, source_col)}").cast("string"), hashed(F.col(f"_{place(df, id_col)}"), salt)
+    keyed = numbered_columns(df).withColumns({"h": h, "no_source": own.isNull(), "source": F.coalesce(own, F.lit("")), "bucket": F.shiftright(h, FIRST)})
+    copies = F.col("rounds") + F.when(F.col("h") < F.col("limit"), 1).otherwise(0)
+    joined = keyed.join(cuts, ["no_source", "source", "bucket"]).withColumn("copies", copies.cast("int"))
+    text = F.coalesce(F.col(f"_{place(df, text_col)}").cast("string"), F.lit(""))
+    joined = joined.where((F.col("copies") > 0) & F.regexp_like(text, F.lit(WORD)))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[f"_{i}" for i in range(len(df.columns))]).toDF(*df.columns)

@@ -1,42 +1,58 @@
-"""Language-model scoring by a weighted backoff automaton over smoothed bigrams.
+"""Language-model scoring by a weighted backoff automaton over smoothed n-grams.
 
-The model is a bigram model with Dirichlet smoothing down to add-half unigrams,
+The model of order n (``ORDER``) is smoothed by pseudo-counts down to add-half unigrams,
 
-    P(w)     = (c(w) + 1/2) / (N + (V + 1) / 2)
-    P(w | v) = (c(v w) + STRENGTH * P(w)) / (c(v) + STRENGTH),
+    P(w)        = (c(w) + 1/2) / (N + (V + 1) / 2)
+    P(w | h)    = (c(h w) + STRENGTH * P(w | h')) / (c(h) + STRENGTH),    h' = h without its first token,
 
-which sums to one over the V known tokens and one unknown.  As an automaton every token seen in training, and the start
-of a text, is a state.  An arc (v, w) exists for every bigram seen and weighs log P(w | v); where it is missing the
-failure arc of v leads to the root, weighs log STRENGTH / (c(v) + STRENGTH), and the root's arc for w weighs log P(w).
-One traversal of a text from left to right carries the state and adds up the weights.
+which sums to one over the V known tokens and one unknown; a history that was never seen adds nothing.  As an automaton,
+every n-gram of up to n - 1 tokens that was seen in training, the start of a text included, is a state, and the root is
+the empty one.  State h has an arc for every w of which h w was seen, of weight log P(w | h), to the longest state that
+h w ends with.  Where there is no arc, the failure arc of h leads to the longest shorter state, h', and weighs
+log STRENGTH / (c(h) + STRENGTH).  One traversal of a text from left to right carries the state and adds up the weights.
 
-No table of the whole model ever exists in one place.  Documents are dealt into blocks by a hash of their ids.  A block
-sends each hash bucket the distinct n-grams of its texts, with its own counts in training texts.  A bucket adds up the
-counts of all blocks and answers each block with those counts that differ from its own, so n-grams which no other block
-has cost no answer.  A block then builds the part of the automaton that its own texts can reach and walks it.  Blocks
-and buckets are of bounded size and their number follows the input.
+No table of the whole model ever exists in one place.  Texts are tokenised once, into blocks of bounded size that hold
+token numbers and the hashes of distinct tokens.  A block sends the keys of its distinct tokens and bigrams, with its own
+counts in training texts, to hash buckets; a bucket adds up the counts of all blocks and answers a block with the sums of
+those keys that other blocks have too.  Higher orders follow one by one: an n-gram can occur in another block only if both
+(n-1)-grams in it do, so only such n-grams are sent, and for all others the block's own counts are the sums.  A row goes only where
+there are keys.  Beyond ``HOP`` bits of buckets, rows go through nodes that merge the keys of many blocks, so that a
+node writes at most 2 ** HOP rows, whatever the input.  In the end a block builds the part of the automaton that its own
+texts can reach and walks it.
 
-Keys are hashes: 64 bits for words, and for bigrams 40 bits besides the bucket, so that about one bigram in a million
-shares its key with another one, at any size of the corpus.
+Keys are 64-bit hashes, chained from token to token.  They aren't verified: of n distinct n-grams about n / 2**65 share
+their key with another, one in four million at 10**13.
 
 Defined cases: a null text counts as empty, has the end token only, and is trained on like any other; a null id counts as
 an empty text for the hash that holds documents out; rows with the same id are scored and trained on each by itself;
-columns other than id and text are not read; an empty table gives an empty result.
+columns other than id and text are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pseudo-count of the unigram distribution behind each state.
-STRENGTH = 1000.0
-BLOCK_BYTES, LEAST_BLOCKS, FOLDS, HELD = 16_000_000, 64, 5, 1
+from .scratch import narrowed, spread, table
+
+ORDER = 3
+#: Pseudo-count of the distribution behind each state.
+STRENGTH = 64.0
+FOLDS, HELD = 5, 1
+#: Bytes of text in a block, about, and blocks for each bucket.
+BLOCK_BYTES, BUCKET_BLOCKS, LEAST_BITS = 16_000_000, 4, 6
+#: Bits of the bucket's number that one hop settles, and askers that one node of a hop merges, about.
+HOP, DISTRICT = 10, 1024
+#: Tokens that a step of the walk goes through in a row; longer texts are cut there, after a run-up.
+SEGMENT = 2048
 # Hashes of the two tokens that aren't words.
 END, START = np.uint64(0x9E6C63D0876A9A47), np.uint64(0x3C79AC492BA7B653)
 
@@ -51,211 +67,409 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+# Packed numbers: planes of bytes, as the high ones compress.
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers, compressed; a first byte says how many bytes of each are kept."""
+    import zstandard
+
+    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    width = int(np.flatnonzero(raw.any(1))[-1]) + 1 if len(values) and values.any() else 1
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(raw[:width].tobytes())
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw), dtype=np.uint64)
+
+
+# Blocks.
+
+
 @dataclass
-class Texts:
-    """The token streams of a block: hashes of all tokens, and where each text begins; every text ends with END."""
+class Block:
+    """Texts as token numbers: ``tokens`` without start and end, ``lengths`` by text, and the tokens' ``hashes``."""
 
     tokens: np.ndarray
-    starts: np.ndarray
-    train: np.ndarray
+    lengths: np.ndarray
+    hashes: np.ndarray
+    held_out: np.ndarray
 
     @classmethod
-    def read(cls, texts: list[str | None], held_out: list[bool]) -> Texts:
+    def read(cls, texts: list[str | None], held_out: list[bool]) -> Block:
         import xxhash
 
-        known: dict[bytes, int] = {}
-        out, starts, n = [], [], 0
+        known: defaultdict[bytes, int] = defaultdict(count().__next__)
+        parts, lengths = [np.empty(0, np.int64)], []
         for text in texts:
             own = words(text)
-            for w in own:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            starts.append(n)
-            out.append(np.fromiter(map(known.__getitem__, own), np.uint64, len(own)))
-            out.append(np.array([END], np.uint64))
-            n += len(own) + 1
-        tokens = np.concatenate(out) if out else np.empty(0, np.uint64)
-        starts = np.array(starts, np.int64)
-        lengths = np.diff(np.r_[starts, n])
-        return cls(tokens, starts, np.repeat(~np.array(held_out, bool), lengths) if len(starts) else np.empty(0, bool))
-
-    def bigrams(self) -> np.ndarray:
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = START
-        return _mix(before * np.uint64(0x9E3779B97F4A7C15) + self.tokens)
-
-    def distinct(self) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
-        """For words and for bigrams: distinct keys, counts in training texts, and each token's place among the keys.
-
-        The start of a text is among the words, counted once for each training text."""
-        marked = np.r_[self.tokens, np.full(len(self.starts), START)]
-        train = np.r_[self.train, self.train[self.starts]]
-        out = []
-        for keys, own in ((marked, train), (self.bigrams(), self.train)):
-            distinct, place = np.unique(keys, return_inverse=True)
-            out.append((distinct, np.bincount(place, weights=own, minlength=len(distinct)).astype(np.uint32), place))
-        return tuple(out)
+            parts.append(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
+            lengths.append(len(own))
+        tokens = np.concatenate(parts)
+        often = np.argsort(-np.bincount(tokens, minlength=len(known)), kind="stable")  # frequent tokens get small numbers
+        number = np.empty(len(often), np.int64)
+        number[often] = np.arange(len(often))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+        return cls(number[tokens], np.array(lengths, np.int64), hashes[often], np.array(held_out, bool))
+
+    def row(self) -> dict[str, object]:
+        return {"tokens": _pack(self.tokens), "lengths": _pack(self.lengths), "hashes": self.hashes.tobytes(), "held_out": self.held_out.tolist()}
+
+    @classmethod
+    def of(cls, group: pa.Table) -> Block:
+        """A block's one row."""
+        tokens, lengths, hashes, held_out = (group.column(c)[0].as_py() for c in ("tokens", "lengths", "hashes", "held_out"))
+        return cls(_unpack(tokens).astype(np.int64), _unpack(lengths).astype(np.int64), np.frombuffer(hashes, np.uint64), np.array(held_out, bool))
 
 
 @dataclass
+class Level:
+    """The distinct n-grams of one order in a block.
+
+    ``at``: each place's n-gram, or -1. ``prefix``, ``suffix``, ``last``: an n-gram without its last and first token (of one
+    order less), and its last token. ``own``: counts in the block's training texts; ``total``: in all training texts.
+    ``asked``: the n-grams that may occur in other blocks, by key; ``shared``: those that do."""
+
+    at: np.ndarray
+    keys: np.ndarray
+    own: np.ndarray
+    prefix: np.ndarray
+    suffix: np.ndarray
+    last: np.ndarray
+    total: np.ndarray = field(init=False)
+    shared: np.ndarray = field(init=False)
+    asked: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.total, self.shared = self.own.copy(), np.zeros(len(self.keys), bool)
+        self.asked = np.argsort(self.keys, kind="stable")
+
+
+class Grams:
+    """The n-grams of a block, order by order. Every text is a stretch of the stream: start, its tokens, end."""
+
+    def __init__(self, block: Block) -> None:
+        n, v = len(block.lengths), len(block.hashes)
+        self.ends = np.cumsum(block.lengths + 2) - 1
+        self.starts = self.ends - block.lengths - 1
+        stream = np.full(len(block.tokens) + 2 * n, v, np.int64)
+        stream[self.ends] = v + 1
+        inside = np.ones(len(stream), bool)
+        inside[self.starts] = inside[self.ends] = False
+        stream[inside] = block.tokens
+        self.stream, self.start_token = stream, v
+        self.depth = np.arange(len(stream)) - np.repeat(self.starts, block.lengths + 2)
+        self.train = np.repeat(~block.held_out, block.lengths + 2)
+        hashes = np.r_[block.hashes, START, END]
+        own = np.bincount(stream[self.train], minlength=v + 2)
+        none = np.empty(0, np.int64)
+        self.levels = [Level(stream.astype(np.int32), hashes, own, none, none, none)]
+
+    def add(self) -> Level:
+        """The next order."""
+        low, word = self.levels[-1], self.levels[0]
+        order, v = len(self.levels) + 1, len(word.keys)
+        where = np.flatnonzero(self.depth >= order - 1)
+        pair = low.at[where - 1].astype(np.int64) * v + self.stream[where]
+        distinct, place = np.unique(pair, return_inverse=True)
+        at = np.full(len(self.stream), -1, np.int32)
+        at[where] = place
+        prefix, last = distinct // v, distinct % v
+        suffix = np.empty(len(distinct), np.int64)
+        suffix[place] = low.at[where]
+        keys = _mix(low.keys[prefix] * np.uint64(0x9E3779B97F4A7C15) + word.keys[last])
+        self.levels.append(Level(at, keys, np.bincount(place[self.train[where]], minlength=len(distinct)), prefix, suffix, last))
+        level = self.levels[-1]
+        if order > 2:
+            level.asked = level.asked[low.shared[level.prefix[level.asked]] & low.shared[level.suffix[level.asked]]]
+        return level
+
+    def fill(self, order: int, answers: list[dict]) -> None:
+        """Takes the sums of n-grams that other blocks have too."""
+        level = self.levels[order - 1]
+        for row in answers:
+            if row["level"] == order:
+                first, _ = _range(level.keys[level.asked], row["prefix"], row["bits"])
+                at = first + np.cumsum(_unpack(row["places"]).astype(np.int64))
+                level.total[level.asked[at]] = _unpack(row["sums"]).astype(np.int64)
+                level.shared[level.asked[at]] = True
+
+
+def _range(keys: np.ndarray, prefix: int, bits: int) -> tuple[int, int]:
+    """Where sorted keys begin and end that have ``prefix`` as their first ``bits`` bits."""
+    low = np.uint64(prefix << (64 - bits))
+    high = (prefix + 1) << (64 - bits)
+    return int(np.searchsorted(keys, low)), len(keys) if high >= 1 << 64 else int(np.searchsorted(keys, np.uint64(high)))
+
+
+# The automaton.
+
+
 class Automaton:
-    """The reachable part of the model. ``root``: log10 P(w) of each local word; ``fail``: the weight of its failure arc."""
+    """The part of the model that a block's texts can reach; states and arcs are numbered as the block's n-grams are."""
+
+    def __init__(self, levels: list[Level], n: int, v: int, strength: float) -> None:
+        p = (levels[0].total + 0.5) / (n + 0.5 * (v + 1))
+        self.levels, self.root = levels, np.log10(p)
+        self.arcs, self.fails = [self.root], []
+        for low, level in zip(levels, levels[1:]):
+            context = low.total[level.prefix]
+            p = (level.total + strength * p[level.suffix]) / (context + strength)
+            self.arcs.append(np.log10(p))
+            self.fails.append(np.log10(strength / (low.total + strength)))
+
+    def step(self, where: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reads the tokens at places ``where``, each in the state of the ``depth`` tokens before it: (weights, new depths)."""
+        order = len(self.levels)
+        weight, new = np.zeros(len(where)), np.zeros(len(where), np.int64)
+        depth = depth.copy()
+        for d in range(order - 1, 0, -1):
+            here = np.flatnonzero(depth == d)
+            if len(here):
+                gram = self.levels[d].at[where[here]]
+                has = self.levels[d].total[gram] > 0
+                weight[here[has]] += self.arcs[d][gram[has]]
+                new[here[has]] = min(d + 1, order - 1)
+                depth[here[has]] = -1
+                fails = here[~has]
+                weight[fails] += self.fails[d - 1][self.levels[d - 1].at[where[fails] - 1]]
+                depth[fails] = d - 1
+        here = np.flatnonzero(depth == 0)
+        token = self.levels[0].at[where[here]]
+        weight[here] += self.root[token]
+        new[here] = np.minimum(self.levels[0].total[token] > 0, order - 1)
+        return weight, new
+
+    def walk(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log-probability of each text. ``starts``: where the start tokens are; ``ends``: the end tokens.
+
+        All texts are walked at once, from left to right.  A long text is cut into segments; since a state has order - 1
+        tokens at most, a segment that reads as many tokens before its first one, from the root, is in the right state."""
+        order = len(self.levels)
+        pieces = -(-(ends - starts) // SEGMENT)
+        text = np.repeat(np.arange(len(starts)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = starts[text] + 1 + nth * SEGMENT
+        stop = np.minimum(first + SEGMENT, ends[text] + 1)
+        longest = np.argsort(first - stop, kind="stable")
+        text, first, stop = text[longest], first[longest], stop[longest]
+        depth = np.zeros(len(text), np.int64)
+        for back in range(order - 1, 0, -1):
+            ahead = np.flatnonzero(first - back >= starts[text])
+            depth[ahead] = self.step(first[ahead] - back, depth[ahead])[1]
+        total, live = np.zeros(len(text)), len(text)
+        for i in range(int((stop - first).max(initial=0))):
+            while live and stop[live - 1] - first[live - 1] <= i:
+                live -= 1
+            weight, depth[:live] = self.step(first[:live] + i, depth[:live])
+            total[:live] += weight
+        return np.bincount(text, weights=total, minlength=len(starts))
+
+
+# Counting over all blocks.
+
+_ASKED = "level int, prefix long, asker long, keys binary, counts binary"
+_ASKED_ARROW = pa.schema([("level", pa.int32()), ("prefix", pa.int64()), ("asker", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ANSWER = "level int, prefix long, bits int, asker long, places binary, sums binary, n long, v long"
+_ANSWER_ARROW = pa.schema([("level", pa.int32()), ("prefix", pa.int64()), ("bits", pa.int32()), ("asker", pa.int64()), ("places", pa.binary()), ("sums", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+
+
+def _by_prefix(level: int, keys: np.ndarray, counts: np.ndarray, asker: int, bits: int) -> Iterator[dict]:
+    """A row for each prefix of ``bits`` bits that sorted keys have."""
+    prefix = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.r_[np.flatnonzero(np.diff(prefix, prepend=-1)), len(keys)]
+    for i, j in zip(edges, edges[1:]):
+        yield {"level": level, "prefix": int(prefix[i]), "asker": asker, "keys": _pack_sorted(keys[i:j]), "counts": _pack(counts[i:j])}
 
-    root: np.ndarray
-    fail: np.ndarray
-    arcs: np.ndarray
-    has_arc: np.ndarray
+
+@dataclass
+class Merged:
+    """What several askers ask: all keys in order, their sums, which of them are shared, and each asker's places among them."""
+
+    askers: list[int]
+    keys: np.ndarray
+    sums: np.ndarray
+    shared: np.ndarray
+    places: list[np.ndarray]
 
     @classmethod
-    def build(cls, word_counts: np.ndarray, pair_counts: np.ndarray, pair_left: np.ndarray, pair_right: np.ndarray, n: int, v: int, strength: float = STRENGTH) -> Automaton:
-        p = (word_counts + 0.5) / (n + 0.5 * (v + 1))
-        context = word_counts[pair_left]
-        return cls(np.log10(p), np.log10(strength / (word_counts + strength)), np.log10((pair_counts + strength * p[pair_right]) / (context + strength)), pair_counts > 0)
+    def of(cls, group: pa.Table) -> Merged:
+        parts = [_unpack_sorted(x) for x in group.column("keys").to_pylist()]
+        own = np.concatenate([_unpack(x) for x in group.column("counts").to_pylist()]).astype(np.float64)
+        keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+        sums = np.bincount(place, weights=own, minlength=len(keys)).astype(np.int64)
+        shared = np.bincount(place, minlength=len(keys)) > 1
+        return cls(group.column("asker").to_pylist(), keys, sums, shared, np.split(place, np.cumsum([len(p) for p in parts])[:-1]))
 
-    def walk(self, states: np.ndarray, symbols: np.ndarray, arcs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Log-probability of each text. The state before a symbol is the token before it, so all texts are walked at once."""
-        weight = np.where(self.has_arc[arcs], self.arcs[arcs], self.fail[states] + self.root[symbols])
-        return np.add.reduceat(weight, starts) if len(starts) else np.empty(0)
+    def replies(self, group: pa.Table, bits: int) -> Iterator[dict]:
+        level, prefix = group.column("level")[0].as_py(), group.column("prefix")[0].as_py()
+        for asker, place in zip(self.askers, self.places):
+            at = np.flatnonzero(self.shared[place])
+            if len(at):
+                yield {"level": level, "prefix": prefix, "bits": bits, "asker": asker, "places": _pack(np.diff(at, prepend=0)), "sums": _pack(self.sums[place[at]]), "n": None, "v": None}
 
 
-def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket begins in sorted keys."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)
-    return np.r_[0, np.searchsorted(keys, edges), len(keys)]
+def _answer(bits: int):
+    """The sums of a bucket, and for order 1 what it adds to N and V."""
 
+    def run(group: pa.Table) -> pa.Table:
+        merged = Merged.of(group)
+        rows = list(merged.replies(group, bits))
+        if group.column("level")[0].as_py() == 1:
+            token = merged.sums[merged.keys != START]  # the start is a state, not a token
+            rows.append({"level": 0, "n": int(token.sum()), "v": int((token > 0).sum())})
+        return pa.Table.from_pylist(rows, _ANSWER_ARROW)
 
-def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys of a bucket, 40 bits each: steps of 4 bytes, or of 5 where a step is too long, as the first byte tells."""
-    low = keys.astype(np.uint64) & np.uint64((1 << 40) - 1)
-    steps = np.diff(low, prepend=np.uint64(0))
-    if not len(steps) or steps.max() < 1 << 32:
-        return b"\x04" + steps.astype("<u4").tobytes()
-    return b"\x05" + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return run
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    if raw[0] == 4:
-        return np.cumsum(np.frombuffer(raw, "<u4", offset=1), dtype=np.uint64)
-    out = np.zeros(((len(raw) - 1) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, 5)
-    return np.cumsum(out.view("<u8").reshape(-1), dtype=np.uint64)
+def _up(bits: int):
+    """What a node of a hop asks for its askers."""
 
+    def run(group: pa.Table) -> pa.Table:
+        merged = Merged.of(group)
+        return pa.Table.from_pylist(list(_by_prefix(group.column("level")[0].as_py(), merged.keys, merged.sums, group.column("node")[0].as_py(), bits)), _ASKED_ARROW)
 
-def _narrow(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Keys of ``bits`` + 40 bits, left in the high part so that the order by bucket stays."""
-    return keys >> np.uint64(24 - bits)
+    return run
 
 
-_ASKED = "bucket int, block int, words binary, word_counts binary, pairs binary, pair_counts binary"
-_ANSWER = "block int, bucket int, n long, v long, word_at binary, word_counts binary, pair_at binary, pair_counts binary"
+def _down(bits: int):
+    """What a node of a hop answers its askers, when it has been answered itself."""
 
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return _ANSWER_ARROW.empty_table()
+        merged = Merged.of(group)
+        for row in answers.to_pylist():
+            first, _ = _range(merged.keys, row["prefix"], row["bits"])
+            at = first + np.cumsum(_unpack(row["places"]).astype(np.int64))
+            merged.sums[at], merged.shared[at] = _unpack(row["sums"]).astype(np.int64), True
+        return pa.Table.from_pylist(list(merged.replies(group, bits)), _ANSWER_ARROW)
 
-def _keys(texts: Texts, bits: int):
-    (w, w_n, w_at), (p, p_n, p_at) = texts.distinct()
-    short = _narrow(p, bits)
-    p, first = np.unique(short, return_inverse=True)
-    return (w, w_n, w_at), (p, np.bincount(first, weights=p_n, minlength=len(p)).astype(np.uint32), first[p_at] if len(first) else p_at)
+    return run
 
 
-def _ask(bits: int):
-    def run(group: pa.Table) -> pa.Table:
-        texts = Texts.read(group.column("text").to_pylist(), group.column("held_out").to_pylist())
-        (w, w_n, _), (p, p_n, _) = _keys(texts, bits)
-        block = group.column("block")[0].as_py()
-        w_at = _buckets(w, bits)
-        p_at = np.r_[0, np.searchsorted(p, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(40)), len(p)]
-        out = []
-        for b in range(1 << bits):
-            ws, ps = slice(w_at[b], w_at[b + 1]), slice(p_at[b], p_at[b + 1])
-            # Also without keys: every block needs each bucket's sums of N and V.
-            out.append((b, block, w[ws].tobytes(), w_n[ws].tobytes(), _pack(p[ps]), p_n[ps].tobytes()))
-        columns = list(zip(*out)) or [()] * 6
-        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=["bucket", "block", "words", "word_counts", "pairs", "pair_counts"])
+def counted(spark: SparkSession, asked: DataFrame, askers: int, settled: int, bits: int) -> DataFrame:
+    """Answers to ``asked``, whose prefixes have ``settled`` bits of the ``bits`` that number the buckets."""
+    if settled >= bits:
+        return asked.groupBy("level", "prefix").applyInArrow(_answer(settled), _ANSWER)
+    districts, further = -(-askers // DISTRICT), min(bits, settled + HOP)
+    node = (F.col("prefix") * districts + F.pmod(F.xxhash64("asker"), F.lit(districts))).alias("node")
+    asked = table(spark, asked.select("*", node), "asked")
+    up = asked.groupBy("level", "node").applyInArrow(_up(further), _ASKED)
+    answers = table(spark, counted(spark, up, districts << settled, further, bits), "relayed")
+    down = asked.groupBy("level", "node").cogroup(answers.where("level > 0").withColumn("node", F.col("asker")).groupBy("level", "node")).applyInArrow(_down(settled), _ANSWER)
+    return down.unionByName(answers.where("level = 0"))
+
+
+# Documents to blocks to scores.
+
+_BLOCKS = "block long, doc_ids array<long>, held_out array<boolean>, tokens binary, lengths binary, hashes binary"
+_BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("tokens", pa.binary()), ("lengths", pa.binary()), ("hashes", pa.binary())])
 
-    return run
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (doc_id, text, held_out), in the order of the rows."""
+    held: tuple[list, list, list] = ([], [], [])
+    size, number = 0, count(TaskContext.get().partitionId() << 32)
 
-def _sum(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Answers for each block, (places, counts) where the sum over blocks differs from its own; and all keys with sums."""
-    keys, place = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(keys))
-    ends, at, new = np.cumsum([len(p) for p in parts]), [], []
-    for end, own in zip(ends, counts):
-        whole = total[place[end - len(own) : end]]
-        differ = np.flatnonzero(whole != own)
-        at.append(np.diff(differ, prepend=0).astype(np.uint32))  # steps compress better than places
-        new.append(whole[differ].astype(np.uint64))
-    return at, new, keys, total
+    def block() -> pa.RecordBatch:
+        row = {"block": next(number), "doc_ids": held[0], **Block.read(held[1], held[2]).row()}
+        out = pa.RecordBatch.from_pylist([row], _BLOCKS_ARROW)
+        for column in held:
+            column.clear()
+        return out
 
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for column, value in zip(held, row):
+                column.append(value)
+            size += len(row[1] or "") + 8
+            if size >= BLOCK_BYTES:
+                yield block()
+                size = 0
+    if held[0]:
+        yield block()
 
-def _small(counts: np.ndarray) -> bytes:
-    """Counts in two bytes where they fit, which most do; the length tells which."""
-    return counts.astype("<u2").tobytes() if not len(counts) or counts.max() < 1 << 16 else counts.astype("<u8").tobytes()
 
+def _asked(block: pa.Table, answers: pa.Table | None, orders: tuple[int, ...], bits: int) -> pa.Table:
+    """The keys of these orders; counts of lower ones come from ``answers``."""
+    grams, rows = _restored(block, answers, orders[0] - 1), []
+    for order in orders:
+        level = grams.levels[order - 1] if order <= len(grams.levels) else grams.add()
+        rows += _by_prefix(order, level.keys[level.asked], level.own[level.asked], block.column("block")[0].as_py(), bits)
+    return pa.Table.from_pylist(rows, _ASKED_ARROW)
 
-def _large(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u8").astype(np.float64)
 
+def _ask(orders: tuple[int, ...], bits: int):
+    return lambda block: _asked(block, None, orders, bits)
 
-def _answer(group: pa.Table) -> pa.Table:
-    blocks = group.column("block").to_pylist()
-    w = [np.frombuffer(x, np.uint64) for x in group.column("words").to_pylist()]
-    w_n = [np.frombuffer(x, np.uint32) for x in group.column("word_counts").to_pylist()]
-    p = [_unpack(x) for x in group.column("pairs").to_pylist()]
-    p_n = [np.frombuffer(x, np.uint32) for x in group.column("pair_counts").to_pylist()]
-    w_at, w_new, keys, total = _sum(w, w_n)
-    p_at, p_new, _, _ = _sum(p, p_n)
-    token = keys != START  # the start is a state, not a token
-    n, v = int(total[token].sum()), int((total[token] > 0).sum())
-    bucket, k = group.column("bucket")[0].as_py(), len(blocks)
-    # Each bucket's words and pairs lie together in a block's sorted keys, so places within them are enough.
-    return pa.table([pa.array(blocks, pa.int32()), pa.array([bucket] * k, pa.int32()), pa.array([n] * k, pa.int64()), pa.array([v] * k, pa.int64()), *[pa.array([f(x) for x in c], pa.binary()) for f, c in ((np.ndarray.tobytes, w_at), (_small, w_new), (np.ndarray.tobytes, p_at), (_small, p_new))]], names=["block", "bucket", "n", "v", "word_at", "word_counts", "pair_at", "pair_counts"])
+
+def _ask_on(orders: tuple[int, ...], bits: int):
+    return lambda block, answers: _asked(block, answers, orders, bits)
+
+
+def _restored(block: pa.Table, answers: pa.Table | None, order: int) -> Grams:
+    """A block's n-grams up to an order, with the sums over all blocks."""
+    grams = Grams(Block.of(block))
+    rows = answers.to_pylist() if answers is not None else []
+    for k in range(1, order + 1):
+        if k > 1:
+            grams.add()
+        grams.fill(k, rows)
+    return grams
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(bits: int, strength: float):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = Texts.read(docs.column("text").to_pylist(), docs.column("held_out").to_pylist())
-        (w, w_n, w_at), (p, p_n, p_at) = _keys(texts, bits)
-        w_n, p_n = w_n.astype(np.float64), p_n.astype(np.float64)
-        w_from = _buckets(w, bits)
-        p_from = np.r_[0, np.searchsorted(p, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(40)), len(p)]
-        for row in answers.to_pylist():
-            for counts, first, at, new in ((w_n, w_from, row["word_at"], row["word_counts"]), (p_n, p_from, row["pair_at"], row["pair_counts"])):
-                at = np.cumsum(np.frombuffer(at, np.uint32), dtype=np.int64)
-                counts[first[row["bucket"]] + at] = _large(new, len(at))
-        n, v = (sum(answers.column(c).to_pylist()) for c in ("n", "v"))
-        n_docs, n_tok = len(texts.starts), len(texts.tokens)
-        symbols = w_at[:n_tok]
-        states = np.empty_like(symbols)
-        states[1:] = symbols[:-1]
-        states[texts.starts] = w_at[n_tok] if n_docs else 0
-        left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-        left[p_at], right[p_at] = states, symbols
-        model = Automaton.build(w_n, p_n, left, right, n, v, strength)
-        add = lambda x: np.add.reduceat(x, texts.starts) if n_docs else np.empty(0)
+def _score(order: int, n: int, v: int, strength: float):
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = _restored(block, answers, order)
+        model, token = Automaton(grams.levels, n, v, strength), grams.stream != grams.start_token
+        text = np.repeat(np.arange(len(grams.starts)), grams.ends - grams.starts + 1)[token]
+        token = grams.stream[token]
+        add = lambda x: np.bincount(text, weights=x, minlength=len(grams.starts))
         return pa.table({
-            "doc_id": docs.column("doc_id").combine_chunks(), "held_out": docs.column("held_out").combine_chunks(),
-            "n_tokens": pa.array(np.diff(np.r_[texts.starts, n_tok]), pa.int64()), "n_known": pa.array(add((w_n[symbols] > 0).astype(np.int64)), pa.int64()),
-            "train_tokens": pa.array(np.full(n_docs, n), pa.int64()), "base_score": pa.array(add(model.root[symbols]), pa.float64()),
-            "score": pa.array(model.walk(states, symbols, p_at, texts.starts), pa.float64()),
+            "doc_id": block.column("doc_ids").combine_chunks().flatten(), "held_out": block.column("held_out").combine_chunks().flatten(),
+            "n_tokens": pa.array(grams.ends - grams.starts, pa.int64()), "n_known": pa.array(add(grams.levels[0].total[token] > 0).astype(np.int64), pa.int64()),
+            "train_tokens": pa.array(np.full(len(grams.starts), n), pa.int64()), "base_score": pa.array(add(model.root[token]), pa.float64()),
+            "score": pa.array(model.walk(grams.starts, grams.ends), pa.float64()),
         })
 
     return run
 
 
-def score(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = STRENGTH) -> DataFrame:
+def score(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = STRENGTH, order: int = ORDER) -> DataFrame:
     """One row per row of ``df``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, both log10."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    blocks = max(LEAST_BLOCKS, -(-(size or 0) // BLOCK_BYTES))
-    bits = max(6, int(blocks - 1).bit_length() - 1)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    docs = docs.withColumn("held_out", F.crc32(key.cast("binary")) % FOLDS == HELD)
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
-    asked = docs.groupBy("block").applyInArrow(_ask(bits), _ASKED)
-    answers = asked.groupBy("bucket").applyInArrow(_answer, _ANSWER)
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(bits, strength), _SCORES)
+    docs = narrowed(df, doc_id=(id_col, "long"), text=(text_col, "string"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
+    docs = spread(docs.withColumn("held_out", F.crc32(key) % FOLDS == HELD))
+    blocks = table(spark, docs.mapInArrow(_blocks, _BLOCKS), "blocks")
+    n_blocks = blocks.count()
+    bits = max(LEAST_BITS, (n_blocks // BUCKET_BLOCKS).bit_length())
+    first, answers, n, v = min(bits, HOP), None, 0, 0
+    for orders in [tuple(range(1, min(order, 2) + 1)), *((k,) for k in range(3, order + 1))]:
+        if answers is None:
+            asked = blocks.groupBy("block").applyInArrow(_ask(orders, first), _ASKED)
+        else:
+            asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_on(orders, first), _ASKED)
+        found = table(spark, counted(spark, asked, n_blocks, first, bits), "answers")
+        if answers is None:
+            n, v = (x or 0 for x in found.where("level = 0").agg(F.sum("n"), F.sum("v")).first())
+        own = found.where("level > 0").withColumn("block", F.col("asker"))
+        answers = own if answers is None else answers.unionByName(own)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, n, v, strength), _SCORES)

@@ -1,16 +1,20 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Intermediate tables in the folder that driver and executors share, and columns by their exact names.
 
 Operators cut lineage by writing a Parquet table below ``spark.checkpoint.dir`` and reading it again, so a lost executor
 costs a re-read and never a recomputation from the source.  The folder is read from the session; only where it is unset
-(local tests) a temporary one is chosen.  Tables are removed when the JVM ends.
+and the master is local (tests) a temporary one is chosen.  Operators drop a table when its last reader has been written;
+what is left goes when the JVM ends.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -20,27 +24,87 @@ def shared_root(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder URI below the shared root; created, and removed at the end of the JVM."""
     path = f"{shared_root(spark)}/tidemark/{label}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hadoop, fs = _path(spark, path)
     fs.mkdirs(hadoop)
     fs.deleteOnExit(hadoop)
     return path
 
 
+#: Rows of an Arrow batch at most, as texts may be long.
+BATCH_ROWS, BATCH_KEY = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Frees the shuffle files of a query at its end.
+CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return the table read back, with the schema it was written with."""
+    """Write ``df`` once and return the table read back, with the schema it was written with.
+
+    While it is written, Arrow batches are small and shuffle files go with the query; then the settings are what they were."""
     path = f"{new_folder(spark, label)}/t"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = {k: spark.conf.get(k, None) for k in (BATCH_KEY, CLEAN_KEY)}
+    try:
+        if not 0 < int(held[BATCH_KEY] or 0) <= BATCH_ROWS:
+            spark.conf.set(BATCH_KEY, BATCH_ROWS)
+        spark.conf.set(CLEAN_KEY, "true")
+        df.write.parquet(path)
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._folder = path.removesuffix("/t")
+    return back
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables whose readers have all been written."""
+    for t in tables:
+        hadoop, fs = _path(spark, t._folder)
+        fs.delete(hadoop, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what is made of long texts goes on soon."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def place(df: DataFrame, name: str) -> int:
+    """Where the column of a name is: of its exact spelling, or else of the only spelling there is."""
+    exact = [i for i, c in enumerate(df.columns) if c == name]
+    found = exact or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are named {name}")
+    return found[0]
+
+
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """``df`` with columns _0, _1 and so on, so that no name in it can clash with another."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
+def narrowed(df: DataFrame, **wanted: tuple[str, str | None]) -> DataFrame:
+    """Only the ``wanted`` columns of ``df``: new name = (name in df, type or None); other columns may have any names."""
+    def of(name: str, kind: str | None) -> Column:
+        own = F.col(f"_{place(df, name)}")
+        return own.cast(kind) if kind else own
+
+    return numbered_columns(df).select(*[of(*v).alias(k) for k, v in wanted.items()])
 
 
 #: Up to so many bytes and files, rows are dealt to all cores before heavy work; larger tables have splits enough.
@@ -48,20 +112,7 @@ SMALL_BYTES, FEW_FILES = 256 << 20, 3
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a small table in few files on all cores, as one row group is read by one task; others as they are.
-
-    What follows reads long texts in Python, so batches get small."""
-    long_rows(rows.sparkSession)
+    """Rows of a small table in few files on all cores, as one row group is read by one task; others as they are."""
     size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     small = int(str(size)) <= SMALL_BYTES and 0 < len(rows.inputFiles()) <= FEW_FILES
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if small else rows
-
-
-#: Rows of an Arrow batch at most.
-BATCH_ROWS, BATCH_KEY = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def long_rows(spark: SparkSession) -> None:
-    """Lets Python see texts in batches of at most BATCH_ROWS rows, which bounds its memory; a smaller setting stays."""
-    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
-        spark.conf.set(BATCH_KEY, BATCH_ROWS)

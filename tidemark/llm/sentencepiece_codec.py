@@ -3,26 +3,34 @@
 The text is normalised here as the model says: at each place the longest prefix in the model's compiled character map is
 replaced, spaces are escaped, a dummy prefix may be added and extra spaces removed.  For every normalised byte the
 original byte from which it comes is kept, so that a piece's extent in the normalised text projects to a span of the
-original.  The pieces themselves are those of the sentencepiece library.
+original.  The normalised text is segmented here too: its characters are merged pair by pair, the best-scored piece
+first and the leftmost of equals, and what is no piece falls back to its bytes, or to the unknown id, of which adjacent
+ones are one.  Stretches between a space and the next are segmented alone, as long as no piece goes over such a place,
+and short ones are remembered.  Ids equal those of the sentencepiece library, which decodes them.
 
 Defined cases: a null text counts as empty; an empty text has only the begin and end ids, whose spans are empty; an
-unknown piece covers what lies between its neighbours; rows are independent, so copies give equal results; columns other
-than id and text are not read; an empty table gives an empty result.
+unknown piece covers the characters that it stands for; rows are independent, so copies give equal results; columns
+other than id and text are not read, whatever their names; an empty table gives an empty result.  Models other than
+merging ones, and pieces that a user has defined, raise an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .scratch import spread
+from .scratch import narrowed, slices, spread
 
 SPACE = "▁".encode()
+#: Stretches of up to so many characters are remembered, so many of them.
+SHORT, REMEMBERED = 32, 1 << 17
 
 
 @dataclass
@@ -80,11 +88,18 @@ class Codec:
         self.suffix = model.trainer_spec.treat_whitespace_as_suffix
         self.map = CharMap.parse(spec.precompiled_charsmap)
         kinds = model.SentencePiece
-        # Bytes that a piece covers in the normalised text; -1 where only the text can tell.
-        width = {kinds.BYTE: lambda p: 1, kinds.CONTROL: lambda p: 0, kinds.UNKNOWN: lambda p: -1}
-        self.widths = np.array([width.get(p.type, lambda p: len(p.piece.encode()))(p) for p in model.pieces], np.int64)
+        if model.trainer_spec.model_type != model.trainer_spec.BPE or any(p.type == kinds.USER_DEFINED for p in model.pieces):
+            raise ValueError("the model must be a merging one (BPE) without pieces that a user has defined")
+        self.pieces = {p.piece: (i, p.score) for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.UNUSED)}
+        self.unused = {p.piece for p in model.pieces if p.type == kinds.UNUSED}
+        self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE} if model.trainer_spec.byte_fallback else {}
+        self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
+        space = SPACE.decode() if self.escape else " "
+        alone = not any(re.search(f"[^{space}]{space}", p) for p in self.pieces)
+        self.stretches = re.compile(f"{space}*[^{space}]+|{space}+" if alone else "(?s).+")
         self.library = sentencepiece.SentencePieceProcessor(model_proto=self.proto)
-        self._steps: dict[str, bytes] = {}
+        self.begin, self.end = self.library.bos_id(), self.library.eos_id()
+        self._known: dict[str, tuple[list[int], list[int]]] = {}
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised text and for each of its bytes, and its end, the byte of the original from which it comes."""
@@ -127,19 +142,78 @@ class Codec:
                 del out[-len(space) :], source[-len(space) :]
         return bytes(out), np.array(source, np.int64)
 
+    def merged(self, text: str) -> list[str]:
+        """A stretch of normalised text in pieces."""
+        parts: list[str] = list(text)
+        n, pieces, made = len(parts), self.pieces, {}
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        agenda = [(-hit[1], i, i + 1, pair) for i in range(n - 1) if (hit := pieces.get(pair := parts[i] + parts[i + 1]))]
+        for _, i, j, pair in agenda:
+            if pair in self.unused:
+                made[pair] = parts[i], parts[j]
+        heapify(agenda)
+        while agenda:
+            _, i, j, pair = heappop(agenda)
+            if right[i] != j or not parts[i] or parts[i] + parts[j] != pair:
+                continue
+            parts[i], parts[j], after = pair, "", right[j]
+            right[i] = after
+            if after >= 0:
+                left[after] = i
+            for x, y in ((left[i], i), (i, after)):
+                if x >= 0 and y >= 0 and (hit := pieces.get(new := parts[x] + parts[y])):
+                    heappush(agenda, (-hit[1], x, y, new))
+                    if new in self.unused:
+                        made[new] = parts[x], parts[y]
+        out, todo = [], [p for p in reversed(parts) if p]
+        while todo:  # unused pieces come apart again
+            piece = todo.pop()
+            if piece in made:
+                todo += reversed(made[piece])
+            else:
+                out.append(piece)
+        return out
+
+    def segment(self, text: str) -> tuple[list[int], list[int]]:
+        """ids of a stretch, and how many bytes of it each covers."""
+        known = self._known.get(text)
+        if known is None:
+            ids, widths = [], []
+            for piece in self.merged(text):
+                hit = None if piece in self.unused else self.pieces.get(piece)
+                raw = piece.encode()
+                if hit:
+                    ids.append(hit[0])
+                    widths.append(len(raw))
+                elif self.bytes:
+                    ids += [self.bytes[b] for b in raw]
+                    widths += [1] * len(raw)
+                else:
+                    ids.append(self.unknown)
+                    widths.append(len(raw))
+            known = ids, widths
+            if len(text) <= SHORT:
+                if len(self._known) >= REMEMBERED:
+                    self._known.clear()
+                self._known[text] = known
+        return known
+
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids with begin and end, and the first and last byte (exclusive) of each in the original text."""
-        text = text or ""
-        ids = np.array(self.library.encode(text, add_bos=True, add_eos=True), np.int64)
-        norm, source = self.normalise(text)
-        width = self.widths[ids]
-        if (open_ := np.flatnonzero(width < 0)).size:
-            pieces = self.library.encode(text, add_bos=True, add_eos=True, out_type=str)
-            width[open_] = [len(pieces[i].encode()) for i in open_]
+        norm, source = self.normalise(text or "")
+        ids, widths = [self.begin], [0]
+        for stretch in self.stretches.findall(norm.decode()):
+            own = self.segment(stretch)
+            ids += own[0]
+            widths += own[1]
+        ids.append(self.end)
+        widths.append(0)
+        numbers, width = np.array(ids, np.int64), np.array(widths, np.int64)
+        if not self.bytes:
+            keep = np.r_[True, (numbers[1:] != self.unknown) | (numbers[:-1] != self.unknown)]
+            numbers, width = numbers[keep], np.add.reduceat(width, np.flatnonzero(keep))
         upto = np.cumsum(width)
-        if upto[-1] != len(norm):
-            raise ValueError(f"pieces cover {upto[-1]} of {len(norm)} normalised bytes")
-        return ids, source[upto - width], source[upto]
+        return numbers, source[upto - width], source[upto]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
@@ -152,12 +226,12 @@ def encoded(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(proto)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [codec.encode(t.as_py()) for t in batch.column(1)]
             lists = [pa.array([r[i].astype(np.int32) for r in rows], pa.list_(pa.int32())) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array([codec.decode(r[0]) for r in rows], pa.string())], ["doc_id", "ids", "begins", "ends", "decoded"])
 
-    rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+    rows = narrowed(df, doc_id=(id_col, "long"), text=(text_col, "string"))
     return spread(rows).mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
 
@@ -168,7 +242,7 @@ def digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sha = Codec(proto), lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1):
                 ids, begins, ends = codec.encode(text.as_py())
@@ -176,5 +250,5 @@ def digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.string()) for c in columns[1:]]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
-    rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+    rows = narrowed(df, doc_id=(id_col, "long"), text=(text_col, "string"))
     return spread(rows).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

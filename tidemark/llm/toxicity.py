@@ -6,7 +6,7 @@ is the median number of such words among toxic rows.  One weight vector then ser
 
 Defined cases: a null text counts as empty; labels of unknown or repeated ids and null labels do no harm, of
 contradicting labels the higher holds; without labels nothing is toxic; one result for each row, whatever its copies;
-columns other than id and text are not read; an empty table gives an empty result.
+columns other than id and text are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .graded import featured, sample, scored
 from .ordinal import CumulativeLink
+from .scratch import narrowed
 
 DIMS, MAX_SAMPLE, STRONG, GRADES, STEMS = 1 << 20, 8000, 1.0, 3, (4,)
 PENALTIES = {"l2": 1e-4, "l1": 1e-4}
@@ -34,7 +35,7 @@ def word_features(text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_SAMPLE) -> CumulativeLink:
-    rows, toxic, _ = featured(sample(docs, labels, F.col("toxic"), max_rows), word_features)
+    rows, toxic, _ = featured(sample(docs, narrowed(labels, doc_id=("doc_id", None), toxic=("toxic", "int")), F.col("toxic"), max_rows), word_features)
     toxic = (toxic > 0).astype(int)
     plain = CumulativeLink.fit(rows, toxic, 2, DIMS, **PENALTIES)
     if not toxic.any():
@@ -46,7 +47,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_SAMPLE) -> Cumul
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.4, max_rows: int = MAX_SAMPLE) -> DataFrame:
     """doc_id, expected_severity, p_toxic, p_severe, severity (the likeliest grade) and toxic (p_toxic >= cut) of every row."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = narrowed(df, doc_id=(id_col, "long"), text=(text_col, "string"))
     out = scored(docs, fit(docs, labels, max_rows), word_features)
     p1, p2 = F.col("tails")[0], F.col("tails")[1]
     likeliest = F.when((1 - p1 >= p1 - p2) & (1 - p1 >= p2), 0).when(p1 - p2 >= p2, 1).otherwise(2)

@@ -12,7 +12,8 @@ that nobody reads, and no record twice.
 Defined cases: a null payload counts as empty; of records with equal payloads of at least ``LEAST`` bytes that with the
 smallest page_id is the response and others revisit it; rows with the same page_id and payload are all responses; a null
 page_id is never referred to; a null URL is empty, and control characters in URLs are escaped; an empty table gives no
-packages and an empty result; columns other than page_id, url and html are not read.
+packages and an empty result; columns other than page_id, url and html are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import long_rows, new_folder, table
+from .scratch import narrowed, new_folder, table
 
 LEAST, PACKAGE_BYTES, RANGE_BYTES = 100, 24 << 20, 4 << 20
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -207,7 +208,8 @@ def _writer(folder: str):
 
 def write_packages(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record for each row of ``pages`` (page_id, url, html) and returns the manifest (package, records)."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = narrowed(pages, page_id=("page_id", "long"), url=("url", "string"), html=("html", "string"))
+    rows = rows.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
     first = rows.where(F.col("n_bytes") >= LEAST).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id")).where("n > 1 and first_id is not null").select("digest", "first_id")
     # Written before the join, so that both sides are plain exchanges and a hot payload's rows can be split among tasks.
@@ -276,7 +278,6 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes ``pages`` as packages, reads them back and gives page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Length and digest of responses are those of the payload as it was read."""
-    long_rows(spark)
     folder = new_folder(spark, "packages")
     manifest = write_packages(spark, pages, folder)
     tasks = max(1, min(manifest.count(), spark.sparkContext.defaultParallelism * 64))
