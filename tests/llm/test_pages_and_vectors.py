@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import io
 import zipfile
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -151,9 +153,10 @@ def brute_links(vectors: dict[int, list | None]):
     return {i: (len(links[i]), label[i]) for i in vectors}
 
 
-@pytest.mark.parametrize("leaf", [2048, 24])
-def test_embedding_links(spark, monkeypatch, leaf):
-    monkeypatch.setattr(ed, "LEAF", leaf)
+@pytest.mark.parametrize(("strips", "size"), [(1, 1 << 20), (6, 1 << 20), (3, 24 * 64)])
+def test_embedding_links(spark, monkeypatch, strips, size):
+    monkeypatch.setattr(ed, "STRIPS", strips)
+    monkeypatch.setattr(ed, "STRIP_BYTES", size)
     monkeypatch.setattr(ed, "TILE", 8)
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(6, 16))
@@ -171,6 +174,25 @@ def test_repeated_vectors(spark):
     assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 2, True), (None, 1, 2, False)], key=str)
 
 
+def test_vectors_in_double_precision_stay_so(spark):
+    angle = np.arccos(0.9) - 1e-10
+    df = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [float(np.cos(angle)), float(np.sin(angle))], "y"), (3, [0.89, 0.46], "z")], "vec_id long, embedding array<double>, VEC_ID string")
+    got = {r[0]: r[1:] for r in ed.near_dedup(spark, df).collect()}
+    assert got == {1: (1, 1, True), 2: (2, 1, False), 3: (1, 1, False)}
+
+
+def test_strips_are_moved_a_bounded_number_of_times(spark, monkeypatch):
+    """Strip pairs don't grow with the table as long as strips are below their bound."""
+    pairs = []
+    found = ed._pairs
+    monkeypatch.setattr(ed, "_pairs", lambda *a: pairs.append(found(*a)) or pairs[-1])
+    rng = np.random.default_rng(1)
+    for n in (300, 1500):
+        df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(n)], "vec_id long, embedding array<float>")
+        ed.near_dedup(spark, df)
+    assert all(p.count() <= ed.STRIPS * (ed.STRIPS + 1) // 2 for p in pairs)
+
+
 def texts_of(spark, rows):
     """Texts by page id."""
     out = ht.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
@@ -211,6 +233,100 @@ def test_shards_do_not_change_texts(spark, monkeypatch):
     assert texts_of(spark, rows) == whole
 
 
+class PlainParser(HTMLParser):
+    """A second parser, for well-formed pages: (region, text) of blocks by the elements around them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.found, self.held = [], [], []
+
+    def flush(self):
+        text = " ".join("".join(self.held).split())
+        if text:
+            kinds = {k for _, k in self.stack}
+            self.found.append((2 if "chrome" in kinds else 0 if "article" in kinds else 1, text))
+        self.held.clear()
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.held.append(" ")
+            return
+        kind = "chrome" if tag in ("nav", "footer", "aside", "form", "script", "style", "head") or dict(attrs).get("class") in ("ad", "comments", "cookie-notice") else "article" if tag in ("article", "main") else ""
+        if tag not in ("b", "a", "i", "script", "style"):
+            self.flush()
+        self.stack.append((tag, kind))
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a", "i", "script", "style"):
+            self.flush()
+        assert self.stack.pop()[0] == tag
+
+    def handle_data(self, data):
+        if not self.stack or self.stack[-1][0] not in ("script", "style", "title"):
+            self.held.append(data)
+
+
+def brute_texts(rows):
+    """Main texts by the definition: runs of 8 words that are on enough distinct pages of a host, counted in dictionaries."""
+    parsed, out = {}, {}
+    for i, url, html in rows:
+        parser = PlainParser()
+        parser.feed(html)
+        parser.flush()
+        parsed[i] = parser.found
+    runs = lambda words: {tuple(words[j : j + 8]) for j in range(len(words) - 7)}
+    for host in {u.split("/")[2] for _, u, _ in rows}:
+        own = [i for i, u, _ in rows if u.split("/")[2] == host]
+        streams = {i: tuple(tuple(w for r, t in parsed[i] if r == k for w in t.split()) for k in (0, 1, 2)) for i in own}
+        pages = {(x[:2] if x[0] or x[1] else x): x for x in streams.values() if any(x)}
+        plates = []
+        for kinds, percent, least, some in (((0,), 90, 4, [x for x in pages.values() if x[0]]), ((1, 2), 50, 3, list(pages.values()))):
+            n = Counter(r for x in some for r in set().union(*(runs(x[k]) for k in kinds)))
+            plates.append({r for r, c in n.items() if c >= max(least, -(-percent * len(some) // 100))})
+        for i in own:
+            drop, inner, at = {}, {}, {}
+            for k in (0, 1):
+                words = [(b, w) for b, (r, t) in enumerate(parsed[i]) if r == k for w in t.split()]
+                drop[k], inner[k], at[k] = [False] * len(words), [False] * len(words), 0
+                for j in range(len(words) - 7):
+                    if tuple(w for _, w in words[j : j + 8]) in plates[k]:
+                        drop[k][j : j + 8] = [True] * 8
+                        if words[j][0] == words[j + 7][0]:
+                            inner[k][j : j + 8] = [True] * 8
+            texts = []
+            for r, t in parsed[i]:
+                if r < 2:
+                    here = slice(at[r], at[r] + len(t.split()))
+                    at[r] = here.stop
+                    if not all(drop[r][here]):
+                        texts.append(" ".join(w for w, x in zip(t.split(), inner[r][here]) if not x) if any(inner[r][here]) else t)
+            out[i] = "\n".join(texts)
+    return out
+
+
+@pytest.mark.parametrize("host_pages", [1000, 23])
+def test_extract_against_a_second_parser_and_dictionaries(spark, monkeypatch, host_pages):
+    monkeypatch.setattr(ht, "HOST_PAGES", host_pages)
+    rng = np.random.default_rng(12)
+    plates = [some_words(2000 + k, int(rng.integers(8, 30))) for k in range(4)]
+    bits = [f"all rights reserved &copy; {some_words(2100, 9)}", *plates]
+
+    def page(i):
+        parts = [f"<nav><ul><li>home</li><li>{bits[0]}</li></ul></nav>"]
+        for k in range(int(rng.integers(1, 6))):
+            own = some_words(10_000 + 10 * i + k, int(rng.integers(1, 40)))
+            kind, with_plate = rng.choice(["article", "main", "div", "p", "ad", "quote"]), rng.random() < 0.6
+            inside = f"{own} {bits[rng.integers(0, 5)]} tail" if with_plate else f"<p>{own} &amp; <b>bold</b></p>\n <p>x<br>y {k}</p>"
+            if kind == "quote":
+                inside = f"<p>{some_words(3000 + i % 7, 20)} {own}</p>"
+            parts.append(f"<div class='ad'>{inside}</div>" if kind == "ad" else f"<div>{inside}</div>" if kind == "quote" else f"<{kind}>{inside}</{kind}>" if kind != "p" or with_plate else f"<div>{inside}</div>")
+        return f"<html><head><title>t</title><script>var a = 1;</script></head><body>{''.join(parts)}<div>{bits[1]}</div><footer>{bits[0]}</footer></body></html>"
+
+    rows = [(i, f"http://{'hot' if i % 3 else f'h{i % 9}'}.org/{i}", page(i)) for i in range(240)]
+    rows += [(1000 + i, rows[i][1], rows[i][2]) for i in range(0, 60, 4)]
+    assert texts_of(spark, rows) == brute_texts(rows)
+
+
 @pytest.mark.parametrize("start", ["<body class='no-sidebar'>", "<body class='single comments-open'>", "<main class='with-sidebar'>", "<article class='related-news'>", "<article id='comments'>", "<html class='sidebar'>", "<div class='has-sidebar no-ads'>"])
 def test_main_elements_and_longer_names_are_not_chrome(start):
     assert [(r < 2, t) for r, t in ht.blocks(f"{start}<p>text</p>")] == [(True, "text")]

@@ -107,6 +107,21 @@ def test_stages_take_empty_tables(spark, docs, sf):
         assert stage(spark, none, sf).count() == 0
 
 
+def test_stages_take_any_columns(spark, docs, sf):
+    """Extra columns named as the stages name theirs, or as another column but for case, go along and change nothing."""
+    extra = ["gone", "repeated", "_norm", "_mix_h", "key", "h", "copies", "DOC_ID", "Text", "a.b", "_0"]
+    odd = docs.toDF(*docs.columns).select("*", *[F.concat(F.lit(f"{i}:"), F.coalesce("text", F.lit("-"))) for i in range(len(extra))]).toDF(*docs.columns, *extra)
+    for name, stage in cp.STAGES:
+        out = stage(spark, odd, sf)
+        if name == cp.STAGES[-1][0]:
+            assert Counter(map(tuple, out.collect())) == Counter(map(tuple, stage(spark, docs, sf).collect()))
+        else:
+            assert out.columns == odd.columns
+            rows = out.collect()
+            assert Counter(tuple(r)[:5] for r in rows) == Counter(map(tuple, stage(spark, docs, sf).collect())), name
+            assert all(v == f"{i}:{r[1] if r[1] is not None else '-'}" for r in rows for i, v in enumerate(tuple(r)[5:]))
+
+
 def test_run(spark, sf):
     out = cp.run(spark, sf)
     assert out.where(F.col("n_tokens") < 2).count() == 0 and out.where("doc_id >= 200").count() == 0

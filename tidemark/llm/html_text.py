@@ -52,7 +52,7 @@ CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button"
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 # Whole names in class, id and role that mark what isn't main text, and compounds that are known to.
 CHROME_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "disclaimer", "disqus", "footer", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "promotion", "related", "share", "sharing", "sidebar", "sponsor", "sponsored", "subscribe", "widget"}
-CHROME_COMPOUNDS = {f"{a}-{b}" for a in ("ad", "ads", "advert", "banner", "breadcrumb", "comment", "comments", "cookie", "footer", "menu", "nav", "navbar", "navigation", "newsletter", "promo", "share", "sharing", "sidebar", "sponsor", "subscribe", "widget") for b in ("area", "banner", "bar", "block", "box", "button", "buttons", "consent", "container", "form", "item", "items", "links", "list", "menu", "notice", "popup", "section", "signup", "slot", "unit", "widget", "widgets", "wrap", "wrapper")}
+CHROME_COMPOUNDS = {f"{a}-{b}" for a in ("ad", "ads", "advert", "banner", "breadcrumb", "comment", "comments", "cookie", "footer", "menu", "nav", "navbar", "navigation", "newsletter", "promo", "share", "sharing", "sidebar", "sponsor", "subscribe", "widget") for b in ("area", "banner", "bar", "block", "box", "button", "buttons", "consent", "container", "form", "links", "list", "menu", "notice", "popup", "section", "signup", "slot", "unit", "widget", "widgets", "wrap", "wrapper")}
 CHROME_COMPOUNDS |= {f"{a}-{b}" for a in ("bottom", "footer", "global", "left", "main", "mobile", "page", "primary", "right", "secondary", "side", "site", "sub", "top") for b in ("ad", "ads", "banner", "breadcrumbs", "footer", "menu", "nav", "navbar", "navigation", "sidebar")}
 CHROME_COMPOUNDS |= {f"related-{b}" for b in ("articles", "content", "links", "news", "pages", "posts", "reading", "stories")} | {"breadcrumb-trail", "comment-respond", "comments-section", "disqus-thread", "gdpr-cookie", "legal-disclaimer", "social-share", "social-sharing"}
 

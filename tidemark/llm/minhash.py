@@ -5,18 +5,24 @@ Documents with equal shingle sets form one class.  A class has a signature of ``
 it shares one of the ``m - MATCH + 1`` rarest of a class's ``m`` pairs that occur twice at all (prefix merging); the
 frequent pairs behind the prefix are never merged, they are counted on the signatures themselves (skip merging).
 
-Within a posting list all classes are compared to the list's least class first, and the confirmed links are joined to
-components.  Classes connected by shared lists, whether confirmed or not, form a candidate group; a link can't leave it.
-Only groups that still hold several components are compared pair by pair, in blocks of bounded size, only across
-components, and a block pair returns a spanning forest of its links.  So copies cost as many rows as there are copies,
-and no link between components is lost.  Every link is confirmed on the full shingle sets.
+Within a posting list all classes are compared to the list's least class first; pairs that collide often enough on their
+whole signatures are confirmed on the full shingle sets, and confirmed links are joined to components.  Classes connected
+by shared lists form a candidate group; a link can't leave it.  Groups that hold several components are searched for
+collisions across components, signature by signature, in strips: what comes back are the classes that collide at all and
+a spanning forest of their collisions, which is confirmed next.  Only what then still collides across components is
+compared set by set, in strips bounded in bytes, of which each pair returns a spanning forest of its links.  So copies
+cost as many rows as there are copies, documents that only share a template move their signatures and no texts, and no
+link between components is lost.  Every link is confirmed on the full shingle sets.
+
+A group has up to ``STRIPS`` strips until they reach their bound, so that its rows are moved STRIPS times at most,
+whatever its size; beyond that the number of strips follows its size.
 
 A pair at the similarity bound 0.85 collides in fewer than 16 of 32 coordinates with probability 1e-6, and in fewer than
 88 of 128 with 1e-6; closer pairs far less often.
 
 Defined cases: a text without words, or null, has an empty set, links with nothing and is its own component; with fewer
 than five words the whole sequence is one shingle; rows with the same id share one result; rows with a null id link with
-nothing and have a null component; columns other than id and text are not read; an empty table gives an empty result.
+nothing and have a null component; columns other than id and text are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import spread, table
+from .scratch import narrowed, spread, table
 
-SHINGLE, COORDS, MATCH, WIDE, WIDE_MATCH, BLOCK = 5, 32, 16, 128, 88, 512
+SHINGLE, COORDS, MATCH, WIDE, WIDE_MATCH = 5, 32, 16, 128, 88
+#: Classes that one strip of a group holds at least, if there are so many; strips of a group at first; bounds of a strip.
+BLOCK, STRIPS, STRIP_ROWS, STRIP_BYTES = 512, 8, 8192, 8 << 20
+#: Bytes of sets that are compared to one copy of another set, about.
+CHUNK_BYTES = 4 << 20
 #: Bits of the filter with which texts are picked before they are moved; it is broadcast, 2 MB at most.
 FILTER_BITS = 24
 #: Links are pairs with PERCENT or more of 100 * intersection / union.
@@ -68,7 +78,7 @@ def signature(s: np.ndarray) -> np.ndarray:
     out = np.empty(WIDE, np.uint64)
     base = _mix(s)
     for i in range(WIDE):
-        out[i] = (base * _SEEDS[i] >> np.uint64(32)).min() if i < WIDE else 0
+        out[i] = (base * _SEEDS[i] >> np.uint64(32)).min()
     return out.astype(np.uint32)
 
 
@@ -98,10 +108,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose full sets are similar enough."""
+    """Of (a, b, shingles) sorted by a, where b is null in the row of a's own set: the pairs whose sets are similar enough."""
+    own = np.empty(0, np.uint64)
     for batch in batches:
-        pairs = zip(batch.column(2), batch.column(3))
-        keep = [_similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) for pair in pairs]
+        keep = []
+        for b, raw in zip(batch.column(1), batch.column(2)):
+            other = np.frombuffer(raw.as_buffer(), np.uint64)
+            if not b.is_valid:
+                own = other.copy()
+            keep.append(b.is_valid and _similar(own, other))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -121,25 +136,71 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def _across(group: pa.Table) -> pa.Table:
-    """A spanning forest of the links between the components of one pair of blocks of a candidate group."""
-    reps, labels, blocks = (group.column(c).to_numpy() for c in ("rep", "label", "block"))
-    labels = np.unique(labels, return_inverse=True)[1]
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Components (numbered), signatures, the rows of either strip, and whether they are one strip."""
+    labels, blocks = np.unique(group.column("label").to_numpy(), return_inverse=True)[1], group.column("block").to_numpy()
     wide = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint16).reshape(-1, WIDE)
-    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
     one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
-    left, right = np.flatnonzero(blocks == one), np.flatnonzero(blocks == two)
-    a, b = [], []
-    for at, i in enumerate(left):
-        other = right[at + 1 :] if one == two else right
-        other = other[labels[other] != labels[i]]
-        hits = (wide[other] == wide[i]).sum(1)
-        for j in other[np.argsort(-hits, kind="stable")][: int((hits >= WIDE_MATCH).sum())]:
-            if labels[i] != labels[j] and _similar(sets[i], sets[j]):
+    return labels, wide, np.flatnonzero(blocks == one), np.flatnonzero(blocks == two), one == two
+
+
+def _collisions(labels: np.ndarray, wide: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, step: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of the left strip, the rows of the right one in other components with WIDE_MATCH equal coordinates or more."""
+    columns = np.ascontiguousarray(wide[right].T)
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
+        wanted = labels[rows][:, None] != labels[right][None, :]
+        if same:
+            wanted &= np.arange(len(right))[None, :] > np.arange(at, at + len(rows))[:, None]
+        if not wanted.any():
+            continue
+        count = np.zeros(wanted.shape, np.uint8)
+        for c in range(WIDE):
+            count += wide[rows, c][:, None] == columns[c][None, :]
+        wanted &= count >= WIDE_MATCH
+        for k in np.flatnonzero(wanted.any(1)):
+            yield int(rows[k]), right[wanted[k]]
+
+
+def _colliding(group: pa.Table) -> pa.Table:
+    """Of one pair of strips: classes that collide across components (b is null), and a spanning forest of the collisions."""
+    reps, (labels, *rest) = group.column("rep").to_numpy(), _sides(group)
+    marked, joined, edges = np.zeros(len(reps), bool), labels.copy(), []
+    for i, hits in _collisions(labels, *rest):
+        marked[i] = marked[hits] = True
+        while len(other := hits[joined[hits] != joined[i]]):
+            edges.append((reps[i], reps[other[0]]))
+            joined[joined == joined[other[0]]] = joined[i]
+    a = [*reps[marked], *(x for x, _ in edges)]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([None] * int(marked.sum()) + [y for _, y in edges], pa.int64())})
+
+
+def _across(group: pa.Table) -> pa.Table:
+    """A spanning forest of the links between the components of one pair of strips."""
+    reps, (labels, *rest) = group.column("rep").to_numpy(), _sides(group)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+    joined, a, b = labels.copy(), [], []
+    for i, hits in _collisions(labels, *rest):
+        for j in hits:
+            if joined[i] != joined[j] and _similar(sets[i], sets[j]):
                 a.append(reps[i])
                 b.append(reps[j])
-                labels[labels == labels[j]] = labels[i]
-    return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                joined[joined == joined[j]] = joined[i]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _paired(rows: DataFrame, strips: DataFrame) -> DataFrame:
+    """``rows`` with ``strips`` (group, blocks): once for each pair of strips of its group that a row is in."""
+    rows = rows.join(strips, "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("other", "blocks")
+
+
+def _strips(members: DataFrame, heavy: Column) -> DataFrame:
+    """(group, blocks) of the groups of ``members`` (group, label, n_shingles) that hold several components."""
+    few = F.least(F.lit(STRIPS), F.ceil(F.count("*") / BLOCK))
+    mixed = members.groupBy("group").agg(F.greatest(few, F.ceil(heavy)).cast("int").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return mixed.where("low <> high").select("group", "blocks")
 
 
 def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -157,10 +218,18 @@ def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _confirm(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) of the candidate table ``pairs`` that hold on the full sets."""
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = both.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return table(spark, both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long"), "links")
+    """Links (a, b) among the candidate ``pairs`` that hold on the full ``sets`` (rep, shingles).
+
+    A set is sent once for about CHUNK_BYTES of sets that are compared to it."""
+    size = sets.select(F.col("rep").alias("b"), F.octet_length("shingles").alias("bytes"))
+    hubs = pairs.join(size, "b").groupBy("a").agg(F.ceil(F.sum("bytes") / CHUNK_BYTES).cast("int").alias("chunks"))
+    hubs = table(spark, hubs.withColumn("chunks", F.greatest("chunks", F.lit(1))), "hubs")
+    members = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b")
+    members = members.join(sets, F.col("b") == F.col("rep")).select("a", "chunk", "b", "shingles")
+    heads = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(sets, F.col("a") == F.col("rep"))
+    both = members.union(heads.select("a", "chunk", F.lit(None).cast("long").alias("b"), "shingles"))
+    both = both.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    return table(spark, both.select("a", "b", "shingles").mapInArrow(_confirmed, "a long, b long"), "links")
 
 
 def posted(spark: SparkSession, classes: DataFrame) -> DataFrame:
@@ -173,35 +242,51 @@ def posted(spark: SparkSession, classes: DataFrame) -> DataFrame:
     return table(spark, shared.where(F.size("pairs") >= MATCH).select("rep", F.explode(prefix).alias("pair")).select("pair.key", "rep"), "postings")
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with their component, which is their own where they have no link."""
+    return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def _sets_of(spark: SparkSession, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, shingles) of the classes in the first column of ``reps``."""
+    wanted = table(spark, reps.toDF("rep").distinct(), "wanted")
+    return table(spark, _picked(docs, wanted).mapInArrow(_sets, "rep long, shingles binary"), "sets")
+
+
 def near_dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = narrowed(df, doc_id=(id_col, "long"), text=(text_col, "string"))
     signed = table(spark, spread(docs).mapInArrow(_signed, "doc_id long, n_shingles long, set_key binary, coords array<long>, wide binary"), "signed")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("coords").alias("coords"), F.min("wide").alias("wide"))
-    classes = table(spark, classes, "classes")
-    wide = classes.select("rep", "wide")
+    firsts = [F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("coords").alias("coords"), F.min("wide").alias("wide")]
+    classes = table(spark, signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(*firsts), "classes")
+    wide = classes.select("rep", "wide", "n_shingles")
     postings = posted(spark, classes)
     # Stars: every member of a list with the list's least member.
     least = table(spark, postings.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "least")
     stars = table(spark, postings.join(least, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
-    wanted = table(spark, stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct(), "wanted")
-    sets = table(spark, _picked(docs, wanted).mapInArrow(_sets, "rep long, shingles binary"), "sets")
     alike = stars.join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("wide_b")), "b").join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("wide_a")), "a")
     alike = table(spark, alike.select("a", "b", "wide_a", "wide_b").mapInArrow(_alike, "a long, b long"), "alike")
+    sets = _sets_of(spark, docs, alike.select("a").union(alike.select("b")))
     links = _confirm(spark, alike, sets)
     labels = table(spark, components(spark, links), "labels")
-    # Candidate groups that hold several components: blocks against blocks, across components.
+    # Candidate groups that hold several components: strips of signatures against strips, across components.
     groups = components(spark, stars).select(F.col("node").alias("rep"), F.col("label").alias("group"))
-    labelled = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("group", "rep", F.coalesce("label", "rep").alias("label"))
-    labelled = table(spark, labelled, "labelled")
-    mixed = labelled.groupBy("group").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    mixed = table(spark, mixed.select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    rest = labelled.join(mixed, "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(wide, "rep").join(sets, "rep")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rest = rest.select("group", "rep", "label", "wide", "shingles", "block", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("other")
-    more = table(spark, rest.groupBy("group", "one", "two").applyInArrow(_across, "a long, b long"), "more")
-    if not more.isEmpty():
-        labels = table(spark, components(spark, links.union(more)), "labels")
+    members = table(spark, _labelled(groups.join(wide, "rep"), labels), "members")
+    strips = table(spark, _strips(members, F.count("*") / STRIP_ROWS), "strips")
+    found = _paired(members, strips).groupBy("group", "one", "two").applyInArrow(_colliding, "a long, b long")
+    found = table(spark, found, "collisions")
+    forest, marked = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("rep")).distinct()
+    if not forest.isEmpty():
+        more = table(spark, marked.join(sets, "rep", "left_anti"), "more")
+        sets = sets.union(_sets_of(spark, docs, more))
+        links = links.union(_confirm(spark, forest, sets))
+        new = table(spark, components(spark, links), "labels")
+        # What collides is connected by the forest and by the components that the search began with.
+        stems = components(spark, forest.union(labels.select("node", "label"))).select(F.col("node").alias("rep"), F.col("label").alias("group"))
+        members = table(spark, _labelled(marked.join(stems, "rep").join(wide, "rep"), new), "members")
+        strips = table(spark, _strips(members, F.sum("n_shingles") * 8 / STRIP_BYTES), "strips")
+        rest = _paired(members, strips).join(sets, "rep").groupBy("group", "one", "two").applyInArrow(_across, "a long, b long")
+        labels = table(spark, components(spark, links.union(table(spark, rest, "more"))), "labels")
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("label"))
     named = table(spark, named, "named")
     out = signed.join(named, "set_key", "left")

@@ -30,13 +30,14 @@ columns other than id and text are not read, whatever their names; an empty tabl
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ BLOCK_BYTES, BUCKET_BLOCKS, LEAST_BITS = 16_000_000, 4, 6
 #: Bits of the bucket's number that one hop settles, and askers that one node of a hop merges, about.
 HOP, DISTRICT = 10, 1024
 #: Tokens that a step of the walk goes through in a row; longer texts are cut there, after a run-up.
-SEGMENT = 2048
+SEGMENT = 256
 # Hashes of the two tokens that aren't words.
 END, START = np.uint64(0x9E6C63D0876A9A47), np.uint64(0x3C79AC492BA7B653)
 
@@ -63,8 +64,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each key, distinct keys), numbered as they first appear; by a hash table, as sorting takes far longer."""
+    place, distinct = pd.factorize(keys)
+    return place, np.asarray(distinct)
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """What sorts keys. Their high bits are sorted together with their places, as values are sorted much faster than places."""
+    bits = max(1, len(keys).bit_length())
+    mask = np.uint64((1 << bits) - 1)
+    order = (np.sort((keys & ~mask) | np.arange(len(keys), dtype=np.uint64)) & mask).astype(np.int64)
+    for _ in range(8):  # keys that are equal in their high bits are rare, and then neighbours change places
+        bad = np.flatnonzero(keys[order[1:]] < keys[order[:-1]])
+        bad = bad[np.diff(bad, prepend=-2) > 1]
+        if not len(bad):
+            return order
+        order[bad], order[bad + 1] = order[bad + 1], order[bad]
+    return np.argsort(keys, kind="stable")
 
 
 # Packed numbers: planes of bytes, as the high ones compress.
@@ -109,21 +126,20 @@ class Block:
     held_out: np.ndarray
 
     @classmethod
-    def read(cls, texts: list[str | None], held_out: list[bool]) -> Block:
+    def read(cls, texts: pa.Array, held_out: pa.Array) -> Block:
         import xxhash
 
-        known: defaultdict[bytes, int] = defaultdict(count().__next__)
-        parts, lengths = [np.empty(0, np.int64)], []
-        for text in texts:
-            own = words(text)
-            parts.append(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
-            lengths.append(len(own))
-        tokens = np.concatenate(parts)
-        often = np.argsort(-np.bincount(tokens, minlength=len(known)), kind="stable")  # frequent tokens get small numbers
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        found, text = split.flatten(), np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
+        some = pc.not_equal(pc.binary_length(found), 0)  # white space at an end gives an empty word
+        named = found.filter(some).dictionary_encode()
+        tokens = named.indices.to_numpy().astype(np.int64)
+        lengths = np.bincount(text[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
+        often = np.argsort(-np.bincount(tokens, minlength=len(named.dictionary)), kind="stable")  # frequent tokens get small numbers
         number = np.empty(len(often), np.int64)
         number[often] = np.arange(len(often))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
-        return cls(number[tokens], np.array(lengths, np.int64), hashes[often], np.array(held_out, bool))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, named.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(often))
+        return cls(number[tokens], lengths, hashes[often], held_out.to_numpy(zero_copy_only=False).astype(bool))
 
     def row(self) -> dict[str, object]:
         return {"tokens": _pack(self.tokens), "lengths": _pack(self.lengths), "hashes": self.hashes.tobytes(), "held_out": self.held_out.tolist()}
@@ -155,7 +171,7 @@ class Level:
 
     def __post_init__(self) -> None:
         self.total, self.shared = self.own.copy(), np.zeros(len(self.keys), bool)
-        self.asked = np.argsort(self.keys, kind="stable")
+        self.asked = _order(self.keys)
 
 
 class Grams:
@@ -184,7 +200,7 @@ class Grams:
         order, v = len(self.levels) + 1, len(word.keys)
         where = np.flatnonzero(self.depth >= order - 1)
         pair = low.at[where - 1].astype(np.int64) * v + self.stream[where]
-        distinct, place = np.unique(pair, return_inverse=True)
+        place, distinct = _numbered(pair)
         at = np.full(len(self.stream), -1, np.int32)
         at[where] = place
         prefix, last = distinct // v, distinct % v
@@ -297,7 +313,7 @@ def _by_prefix(level: int, keys: np.ndarray, counts: np.ndarray, asker: int, bit
 
 @dataclass
 class Merged:
-    """What several askers ask: all keys in order, their sums, which of them are shared, and each asker's places among them."""
+    """What several askers ask: all keys, their sums, which of them are shared, and each asker's places among them."""
 
     askers: list[int]
     keys: np.ndarray
@@ -306,10 +322,15 @@ class Merged:
     places: list[np.ndarray]
 
     @classmethod
-    def of(cls, group: pa.Table) -> Merged:
+    def of(cls, group: pa.Table, ordered: bool = False) -> Merged:
         parts = [_unpack_sorted(x) for x in group.column("keys").to_pylist()]
         own = np.concatenate([_unpack(x) for x in group.column("counts").to_pylist()]).astype(np.float64)
-        keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+        place, keys = _numbered(np.concatenate(parts))
+        if ordered:
+            order = _order(keys)
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            keys, place = keys[order], number[place]
         sums = np.bincount(place, weights=own, minlength=len(keys)).astype(np.int64)
         shared = np.bincount(place, minlength=len(keys)) > 1
         return cls(group.column("asker").to_pylist(), keys, sums, shared, np.split(place, np.cumsum([len(p) for p in parts])[:-1]))
@@ -340,7 +361,7 @@ def _up(bits: int):
     """What a node of a hop asks for its askers."""
 
     def run(group: pa.Table) -> pa.Table:
-        merged = Merged.of(group)
+        merged = Merged.of(group, True)
         return pa.Table.from_pylist(list(_by_prefix(group.column("level")[0].as_py(), merged.keys, merged.sums, group.column("node")[0].as_py(), bits)), _ASKED_ARROW)
 
     return run
@@ -352,7 +373,7 @@ def _down(bits: int):
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
             return _ANSWER_ARROW.empty_table()
-        merged = Merged.of(group)
+        merged = Merged.of(group, True)
         for row in answers.to_pylist():
             first, _ = _range(merged.keys, row["prefix"], row["bits"])
             at = first + np.cumsum(_unpack(row["places"]).astype(np.int64))
@@ -383,25 +404,27 @@ _BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64(
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of (doc_id, text, held_out), in the order of the rows."""
-    held: tuple[list, list, list] = ([], [], [])
+    held: list[pa.RecordBatch] = []
     size, number = 0, count(TaskContext.get().partitionId() << 32)
 
     def block() -> pa.RecordBatch:
-        row = {"block": next(number), "doc_ids": held[0], **Block.read(held[1], held[2]).row()}
-        out = pa.RecordBatch.from_pylist([row], _BLOCKS_ARROW)
-        for column in held:
-            column.clear()
-        return out
+        ids, texts, held_out = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+        held.clear()
+        return pa.RecordBatch.from_pylist([{"block": next(number), "doc_ids": ids.to_pylist(), **Block.read(texts, held_out).row()}], _BLOCKS_ARROW)
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            for column, value in zip(held, row):
-                column.append(value)
-            size += len(row[1] or "") + 8
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+        begin = 0
+        while begin < batch.num_rows:
+            before = upto[begin - 1] if begin else 0
+            end = min(batch.num_rows, int(np.searchsorted(upto, before + BLOCK_BYTES - size)) + 1)
+            held.append(batch.slice(begin, end - begin))
+            size += int(upto[end - 1] - before)
+            begin = end
             if size >= BLOCK_BYTES:
                 yield block()
                 size = 0
-    if held[0]:
+    if held:
         yield block()
 
 
