@@ -49,7 +49,7 @@ ORDER = 3
 STRENGTH = 64.0
 FOLDS, HELD = 5, 1
 #: Bytes of text in a block, about, and blocks for each bucket.
-BLOCK_BYTES, BUCKET_BLOCKS, LEAST_BITS = 16_000_000, 4, 6
+BLOCK_BYTES, BUCKET_BLOCKS, LEAST_BITS = 4_000_000, 16, 6
 #: Bits of the bucket's number that one hop settles, and askers that one node of a hop merges, about.
 HOP, DISTRICT = 10, 1024
 #: Tokens that a step of the walk goes through in a row; longer texts are cut there, after a run-up.
@@ -127,8 +127,6 @@ class Block:
 
     @classmethod
     def read(cls, texts: pa.Array, held_out: pa.Array) -> Block:
-        import xxhash
-
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
         found, text = split.flatten(), np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
         some = pc.not_equal(pc.binary_length(found), 0)  # white space at an end gives an empty word
@@ -138,7 +136,7 @@ class Block:
         often = np.argsort(-np.bincount(tokens, minlength=len(named.dictionary)), kind="stable")  # frequent tokens get small numbers
         number = np.empty(len(often), np.int64)
         number[often] = np.arange(len(often))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, named.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(often))
+        hashes = pd.util.hash_array(named.dictionary.to_numpy(zero_copy_only=False), categorize=False)
         return cls(number[tokens], lengths, hashes[often], held_out.to_numpy(zero_copy_only=False).astype(bool))
 
     def row(self) -> dict[str, object]:
@@ -216,9 +214,10 @@ class Grams:
     def fill(self, order: int, answers: list[dict]) -> None:
         """Takes the sums of n-grams that other blocks have too."""
         level = self.levels[order - 1]
+        keys = level.keys[level.asked]
         for row in answers:
             if row["level"] == order:
-                first, _ = _range(level.keys[level.asked], row["prefix"], row["bits"])
+                first, _ = _range(keys, row["prefix"], row["bits"])
                 at = first + np.cumsum(_unpack(row["places"]).astype(np.int64))
                 level.total[level.asked[at]] = _unpack(row["sums"]).astype(np.int64)
                 level.shared[level.asked[at]] = True
