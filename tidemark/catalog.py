@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import corpus, evaluation, generation, windowing
+from .queries import corpus, evaluation, generation, records, windowing
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (windowing, corpus, evaluation, generation)
+MODULES = (windowing, corpus, evaluation, generation, records)
 
 
 def queries() -> dict[str, Query]:

@@ -41,7 +41,7 @@ def heading_date(c: Column) -> Column:
 
 def free_date(c: Column) -> Column:
     """The first date in free text: numeric year first, or with a month's name; a missing day is the first."""
-    number = r"(\d{4})[-./](\d{1,2})[-./](\d{1,2})"
+    number = r"((?:19|20)\d{2})[-./](\d{1,2})[-./](\d{1,2})"
     name = r"(?i)\b(Jan[a-z]*|Feb[a-z]*|Mar[a-z]*|Apr[a-z]*|May|Jun[a-z]*|Jul[a-z]*|Aug[a-z]*|Sep[a-z]*|Oct[a-z]*|Nov[a-z]*|Dec[a-z]*)\.?"
     md, dm, my = name + r"\s+(\d{1,2}),?\s+(\d{4})", r"\b(\d{1,2})\s+" + name.replace("(?i)", "(?i:") .replace(r"\.?", r")\.?") + r",?\s+(\d{4})", name + r",?\s+(\d{4})"
 

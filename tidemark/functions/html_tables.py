@@ -8,12 +8,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import date
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dates import MONTHS
+
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _MARK = re.compile(r"\[\d+\]")
 
@@ -143,12 +146,49 @@ def external_link(node: Node) -> str:
     return marked[0].attrs["href"] if marked else ""
 
 
-def references(html: str | None) -> list[tuple[int, str, str, str]]:
-    """(ordinal, id, text, link) of the reference lists' items; without such a list, of all items with an id."""
+_NUMERIC = re.compile(r"\b((?:19|20)\d\d)[-./](\d{1,2})[-./](\d{1,2})(?!\d)")
+_NAMED = re.compile(rf"\b(?:(\d{{1,2}})\s+)?({'|'.join(m[:3] for m in MONTHS)})[a-z]*\.?,?\s*(\d{{1,2}})?,?\s*((?:19|20)\d\d)\b", re.I)
+
+
+def iso_date(text: str) -> str:
+    """The first date in a text as year-month-day: numeric, or with a month's name; '' if there is none."""
+    for found in (_NUMERIC.search(text), _NAMED.search(text)):
+        if found:
+            g = found.groups()
+            month = int(g[1]) if g[1].isdigit() else 1 + [m[:3] for m in MONTHS].index(g[1][:3].lower())
+            year, day = (g[0], g[2]) if g[1].isdigit() else (g[3], g[2] or g[0] or "1")
+            try:
+                return date(int(year), month, int(day)).isoformat()
+            except ValueError:
+                continue
+    return ""
+
+
+def reference_date(item: Node) -> str:
+    """A reference's date: of the elements that mark dates, the best kind first, or else of its whole text."""
+    marks = (lambda n: n.tag == "span" and "reference-date" in n.classes(), lambda n: n.tag == "span" and "date" in n.classes(), lambda n: n.tag == "time" and "datetime" in n.attrs, lambda n: n.tag == "time")
+    for is_mark in marks:
+        node = next((n for n in item.walk() if is_mark(n)), None)
+        text = node and (node.attrs.get("datetime") or flat(node.text()))
+        if text and iso_date(text):
+            return iso_date(text)
+    return iso_date(flat(item.text()))
+
+
+def references(html: str | None) -> list[tuple[int, str, str, str, str]]:
+    """(ordinal, id, text, link, date) of references: items with an id between the heading References and the next of its rank.
+
+    Without the heading they are those of lists of class references, and without such lists all items with an id."""
     root = tree(html)
+    inside, items = False, []
+    for node in root.walk():
+        if node.tag == "h2":
+            inside = "References" in (node.attrs.get("id"), *(n.attrs.get("id") for n in node.find("span")))
+        elif inside and node.tag == "li" and node.attrs.get("id"):
+            items.append(node)
     lists = [n for n in root.find("ol", "ul") if "references" in n.classes()]
-    items = [li for n in (lists or [root]) for li in n.find("li") if li.attrs.get("id")]
-    return [(i, li.attrs["id"], flat(li.text()), external_link(li)) for i, li in enumerate(items)]
+    items = items or [li for n in (lists or [root]) for li in n.find("li") if li.attrs.get("id")]
+    return [(i, li.attrs["id"], flat(li.text()), external_link(li), reference_date(li)) for i, li in enumerate(items)]
 
 
 def citations(html: str | None) -> list[tuple[int, str, str, str]]:
@@ -178,7 +218,7 @@ class TopicTable:
             yield r["date"], r["category"], r["topics"], r["summary"], r["articles"]
 
 
-@F.udtf(returnType="ordinal int, reference_id string, text string, link string")
+@F.udtf(returnType="ordinal int, reference_id string, text string, link string, date string")
 class ReferenceTable:
     def eval(self, html: str):
         yield from references(html)

@@ -53,6 +53,10 @@ class StubClient:
             return "ABCD"[digest % 4]
         if "[TASK: judge]" in prompt:
             return json.dumps({"criteria": [{"is_satisfied": bool(digest & 1)}, {"is_satisfied": bool(digest & 2)}]})
+        if "[TASK: validate]" in prompt:
+            return json.dumps({"is_valid": digest % 4 > 0, "overall_reason": "by digest"})
+        if "[TASK: rephrase]" in prompt:
+            return prompt.rpartition("[QUESTION]")[2].strip()
         if "[TASK: keywords]" in prompt:
             return json.dumps(top_words(prompt.rpartition("[DOCUMENT]")[2], 5))
         body = prompt.rpartition("[DOCUMENTS]")[2].strip() or prompt

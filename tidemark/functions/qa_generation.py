@@ -45,8 +45,8 @@ def judge_prompt(aspect: str, question: Column, choices: Column, answer: Column,
     return prompt("judge", F.lit(f"Judge the {aspect} by two criteria, as JSON with criteria and is_satisfied."), question, choices, answer, article)
 
 
-def redundancy_prompt(kind: str, questions: Column) -> Column:
-    return prompt("judge", F.lit(f"Do these {kind} questions ask the same?"), F.array_join(questions, "\n"))
+def redundancy_prompt(kind: Column, questions: Column) -> Column:
+    return prompt("judge", F.concat(F.lit("Do these "), kind, F.lit(" questions ask the same? As JSON with criteria and is_satisfied.")), F.array_join(questions, "\n"))
 
 
 def rubric_prompt(reference: Column, generated: Column) -> Column:

@@ -14,7 +14,7 @@ WHITE = r"(?U)\s+"
 # The prefixes of results that name their kind.
 RESULT_KINDS = ("Impact", "Status", "Agenda", "Policy", "Action")
 # Frequent English words that are no keywords.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "this", "to", "was", "were", "will", "with")
+STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should")
 
 
 def truthy(c: Column, kind: str = "string") -> Column:

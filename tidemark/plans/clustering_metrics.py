@@ -6,6 +6,7 @@ any other.  All metrics come from cell counts and their marginals, so items neve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,8 +16,19 @@ from pyspark.sql import functions as F
 def contingency(rows: DataFrame, truth: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, t, p, n, a, b, total): cell counts with both marginals."""
     cells = rows.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(*keys, F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    over = lambda *c: Window.partitionBy(*keys, *c)  # noqa: E731  cells, not items
-    return cells.withColumns({"a": F.sum("n").over(over("t")), "b": F.sum("n").over(over("p")), "total": F.sum("n").over(over())})
+    over = lambda c: Window.partitionBy(*keys, c)  # noqa: E731  cells, not items
+    totals = cells.groupBy(*keys).agg(F.sum("n").alias("total"))
+    joined = cells.join(totals, list(keys)) if keys else cells.crossJoin(F.broadcast(totals))  # one row without keys
+    return joined.withColumns({"a": F.sum("n").over(over("t")), "b": F.sum("n").over(over("p"))}).select(*keys, "t", "p", "n", "a", "b", "total")
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n!, by Stirling's series for n + 9 and the product of the factors between."""
+    z = n + 9.0
+    below = F.ln(n + 1.0)
+    for i in range(2, 9):
+        below = below + F.ln(n + float(i))
+    return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0))) + 1 / (1188 * F.pow(z, F.lit(9.0))) - below
 
 
 def harmonic(p: Column, r: Column) -> Column:
@@ -48,21 +60,17 @@ def mutual_information(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def expected_information(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, emi): the mean information of random partitions with these marginals, by the hypergeometric sum.
 
-    Pairs of equal marginal sizes are computed once; logarithms of factorials are running sums, as there is no lgamma."""
+    Pairs of equal marginal sizes are computed once."""
     sizes = lambda label, size: cells.select(*keys, label, size, "total").distinct().groupBy(*keys, size, "total").agg(F.count("*").alias(f"m_{size}"))
     a, b = sizes("t", "a"), sizes("p", "b")
     pairs = a.join(b.drop("total"), list(keys)) if keys else a.crossJoin(b.drop("total"))  # distinct sizes, at most sqrt(2 * total) each
     low = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - F.col("total"))
     terms = pairs.withColumn("k", F.explode(F.sequence(low, F.least("a", "b"))))
-    total = cells.agg(F.max("total")).first()[0] or 0
-    log_fact = cells.sparkSession.range(1, total + 1).select(F.col("id"), F.sum(F.ln("id")).over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)).alias("lf"))
-    log_fact = log_fact.union(cells.sparkSession.sql("SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS lf"))
-    parts = {"f_a": F.col("a"), "f_b": F.col("b"), "f_na": F.col("total") - F.col("a"), "f_nb": F.col("total") - F.col("b"), "f_n": F.col("total"), "f_k": F.col("k"), "f_ak": F.col("a") - F.col("k"), "f_bk": F.col("b") - F.col("k"), "f_r": F.col("total") - F.col("a") - F.col("b") + F.col("k")}
-    for name, arg in parts.items():
-        terms = terms.withColumn("_at", arg).join(log_fact.select(F.col("id").alias("_at"), F.col("lf").alias(name)), "_at").drop("_at")
-    log_p = F.col("f_a") + F.col("f_b") + F.col("f_na") + F.col("f_nb") - F.col("f_n") - F.col("f_k") - F.col("f_ak") - F.col("f_bk") - F.col("f_r")
-    k, n = F.col("k"), F.col("total")
-    return terms.groupBy(*keys).agg(F.sum(F.col("m_a") * F.col("m_b") * k / n * F.ln(n * k / (F.col("a") * F.col("b"))) * F.exp(log_p)).alias("emi"))
+    a, b, k, n = (F.col(c).cast("double") for c in ("a", "b", "k", "total"))
+    above = (log_factorial(x) for x in (a, b, n - a, n - b))
+    under = (log_factorial(x) for x in (n, k, a - k, b - k, n - a - b + k))
+    log_p = sum(above, F.lit(0.0)) - sum(under, F.lit(0.0))
+    return terms.groupBy(*keys).agg(F.sum(F.col("m_a") * F.col("m_b") * k / n * F.ln(n * k / (a * b)) * F.exp(log_p)).alias("emi"))
 
 
 def adjusted(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -86,5 +94,14 @@ def adjusted_rand(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return joined.select(*keys, F.when(best == chance, 1.0).otherwise((F.col("both") - chance) / (best - chance)).alias("ari"))
 
 
+def scored_or_error(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """B-cubed with ``error``: one row, also where there is nothing to score or a label is missing on one side."""
+    counts = rows.agg(F.count(truth).alias("n_truth"), F.count(predicted).alias("n_labels"))
+    error = F.when((F.col("n_truth") == 0) | (F.col("n_labels") == 0), "empty input").when(F.col("n_truth") != F.col("n_labels"), "unequal lengths")
+    scored = b_cubed(contingency(rows, truth, predicted))
+    joined = counts.withColumn("error", error).join(F.broadcast(scored), F.col("error").isNull(), "left")  # one row on either side
+    return joined.select("precision", "recall", "f1", "n_items", "n_true", "n_predicted", "error")
+
+
 def macro(per_key: DataFrame, *metrics: str) -> DataFrame:
     return per_key.agg(*[F.avg(m).alias(m) for m in metrics], F.count("*").alias("n_windows"))

@@ -135,13 +135,14 @@ def token_similarity(a: Column, b: Column) -> Column:
 
 def previous(rows: DataFrame, topic: str, order: str, hyp: str, mode: str = "first") -> DataFrame:
     """Adds ``previous``: the topic's earliest summary, null on itself, or with mode 'lag' the one just before."""
-    w = Window.partitionBy(topic).orderBy(order)
     if mode == "lag":
-        return rows.withColumn("previous", F.lag(hyp).over(w))
+        return rows.withColumn("previous", F.lag(hyp).over(Window.partitionBy(topic).orderBy(order)))
     if mode != "first":
         raise ValueError(f"unknown mode {mode!r}")
-    first = F.first(hyp).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("previous", F.when(F.row_number().over(w) > 1, first))
+    # A row per topic from a partial aggregate, so that a topic's texts needn't meet in one task.
+    first = rows.groupBy(F.col(topic).alias("_topic")).agg(F.min_by(hyp, order).alias("_first"), F.min(order).alias("_from"))
+    joined = rows.join(first, F.col(topic).eqNullSafe(F.col("_topic")), "left")
+    return joined.withColumn("previous", F.when(F.col(order) > F.col("_from"), F.col("_first"))).drop("_topic", "_first", "_from")
 
 
 def novelty(hyp: Column, prev: Column, ref: Column, sim: Callable[[Column, Column], Column] = token_similarity) -> Column:
@@ -153,8 +154,9 @@ def novelty(hyp: Column, prev: Column, ref: Column, sim: Callable[[Column, Colum
 def distinctiveness(rows: DataFrame, key: str, topic: str, hyp: str, ref: str, sim: Callable[[Column, Column], Column] = token_similarity) -> DataFrame:
     """(key, distinctiveness): mean distance to the references of other topics over the distance to one's own; 1 without others.
 
-    Each distinct reference text is compared once to a summary and counts for all its other topics; references are dealt to
-    shards that the summaries meet, so that no cross join is planned and no side is collected."""
+    The metric is defined over all pairs of a summary and a reference of another topic, so its work is the number of
+    summaries times that of distinct references, which are few.  Each distinct reference is compared once to a summary and
+    counts for all its other topics; references are dealt to shards that the summaries meet, so that no side is collected."""
     refs = rows.groupBy(F.col(ref).alias("_ref")).agg(F.collect_set(topic).alias("_topics")).withColumn("_s", F.pmod(F.xxhash64("_ref"), F.lit(32)))
     met = rows.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long")))).join(refs, "_s")
     others = F.size("_topics") - F.array_contains("_topics", F.col(topic)).cast("int")

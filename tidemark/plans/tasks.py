@@ -5,7 +5,7 @@ A window or a model call that fails is a row with an error; nothing stops the ru
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import models, qa_generation
@@ -17,7 +17,7 @@ from . import summary_metrics as sm
 
 
 def clustering(docs: DataFrame, size: int, stride: int, key: str, text: str, truth: str, cap: int = 10, engine: str = "stub", **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(assignments, metrics per window, macro averages). ``docs`` have event_date; a failed document is in cluster -1."""
+    """(assignments, metrics per window, macro averages). ``docs`` have event_date; a failed document is in cluster -1, with its error."""
     held = windows.window_events(docs.select(key, text, truth, "event_date"), size, stride)
     found = cluster_state.cluster_windows(held, "window_index", key, text, ["event_date", key], cap, engine, **options)
     assigned = held.select("window_index", key, truth).join(found, ["window_index", key])
@@ -32,15 +32,25 @@ def micro_clustering(assigned: DataFrame, truth: str) -> DataFrame:
     return cm.b_cubed(cm.contingency(assigned, truth, "cluster"))
 
 
+def budgeted(rows: DataFrame, keys: list[str], order: list[str], text: Column, max_tokens: int, name: str, *aggs: Column) -> DataFrame:
+    """(keys, ``name``, aggs): each group's texts in order as far as the budget goes.
+
+    A running sum of tokens leaves only the texts within the budget, and the one that exceeds it, to be collected."""
+    own = rows.withColumn("_text", text)
+    before = F.sum(token_estimate(F.col("_text"))).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("_in", F.when(F.coalesce(before, F.lit(0)) <= max_tokens, F.struct(*order, "_text")))
+    texts = F.transform(F.sort_array(F.collect_list("_in")), lambda s: s["_text"])
+    return own.groupBy(*keys).agg(greedy_budget(texts, max_tokens).alias(name), *aggs)
+
+
 def summarization(docs: DataFrame, size: int, stride: int, key: str, text: str, reference: str, topic: str, max_input: int = 4000, limit: int = 200, engine: str = "stub", **options) -> DataFrame:
     """One row per topic and window: the summary, the reference label, their lengths, error, and the evolution metrics.
 
     The reference label is the join of the window's references in order; texts go in by date until the budget is used."""
     held = windows.assign_date_windows(docs, size, stride)
-    ordered = F.sort_array(F.collect_list(F.struct("event_date", key, text, reference)))
-    dated = F.transform(ordered, lambda s: F.concat(F.lit("[Date: "), F.date_format(s["event_date"], "yyyy-MM-dd"), F.lit("]\n"), s[text]))
-    label = F.array_join(F.transform(ordered, lambda s: s[reference]), " ")
-    per = held.groupBy(topic, "window_number", "window_start").agg(greedy_budget(dated, max_input).alias("inputs"), label.alias("reference"), F.count("*").alias("event_count"))
+    dated = F.concat(F.lit("[Date: "), F.date_format("event_date", "yyyy-MM-dd"), F.lit("]\n"), F.col(text))
+    label = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_date", key, reference))), lambda s: s[reference]), " ")
+    per = budgeted(held, [topic, "window_number", "window_start"], ["event_date", key], dated, max_input, "inputs", label.alias("reference"), F.count("*").alias("event_count"))
     made = per.withColumn("_m", models.generate(qa_generation.summary_prompt(F.col("inputs"), limit), engine, max_tokens=limit * 2, **options))
     rows = made.select(topic, "window_number", "window_start", "event_count", F.coalesce("_m.text", F.lit("")).alias("generated"), "reference", F.col("_m.error").alias("error"))
     rows = sm.previous(rows, topic, "window_number", "generated")
@@ -58,10 +68,13 @@ def temporal_qa(questions: DataFrame, articles: DataFrame, max_input: int = 4000
     from ..operators.sampling import per_group
 
     asked = per_group(questions, ["window_index"], ["question_id"], cap)
-    texts = articles.select("window_index", "article_id", "article_date", "text")
-    seen = asked.join(texts, "window_index", "left").where(F.col("article_date").isNull() | (F.col("article_date") <= F.col("question_date")))
+    # A question's context is a prefix of its window's articles in order, so what is behind the budget helps no question.
     line = F.concat(F.lit("["), F.date_format("article_date", "yyyy-MM-dd"), F.lit("] "), F.col("text"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("article_date", "article_id", line.alias("line"))))), lambda s: s["line"])
+    lines = articles.where("text is not null").select("window_index", "article_id", "article_date", line.alias("line"))
+    before = F.sum(token_estimate(F.col("line"))).over(Window.partitionBy("window_index").orderBy("article_date", "article_id").rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") <= max_input).drop("_before")
+    seen = asked.join(lines, "window_index", "left").where(F.col("article_date").isNull() | (F.col("article_date") <= F.col("question_date")))
+    ordered = F.transform(F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("article_date", "article_id", "line")))), lambda s: s["line"])
     context = seen.groupBy("window_index", "question_id").agg(greedy_budget(ordered, max_input).alias("context"))
     joined = asked.join(context, ["window_index", "question_id"], "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
     prompt = qa_generation.answer_prompt(F.col("question"), F.col("choices"), F.col("context"), F.lit(""))

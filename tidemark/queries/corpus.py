@@ -58,8 +58,7 @@ def url_new_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_url_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").groupBy(F.col("page_id") % 10).agg(F.collect_list("url").alias("urls"))
-    return etl.distinct_urls(pages, "urls")
+    return etl.distinct_urls(read(spark, sf_dir, "pages").withColumn("urls", F.array("url")), "urls")
 
 
 def topk_keywords_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:

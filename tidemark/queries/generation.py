@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html_tables, models, qa_generation
-from ..functions.parsing import judge_score
-from ..functions.text import greedy_budget, keywords
+from ..functions.parsing import batch_answers, rubric_score
+from ..functions.text import keywords
 from ..operators import cluster_state, similarity, windows
 from ..plans import summary_metrics as sm
-from ..plans import tasks
-from ..sources.tables import articles, dated_events, read, spread
+from ..plans import questions, tasks
+from ..sources.tables import articles, dated_events, read, spread, text_events
 from ..streaming import stateful
 
 
@@ -60,9 +60,7 @@ def embedded_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stub summary per five-day window and topic, from its documents as far as the budget goes, and its overlap with the first of them."""
     held = windows.assign_date_windows(articles(spark, sf_dir), 5, 5)
-    heads = F.sort_array(F.collect_list(F.struct("event_date", "doc_id", F.col("text").alias("head"))))
-    texts = F.transform(heads, lambda s: s["head"])
-    per = held.groupBy("topic", "window_start").agg(greedy_budget(texts, 1000).alias("texts"), F.count("*").alias("n"))
+    per = tasks.budgeted(held, ["topic", "window_start"], ["event_date", "doc_id"], F.col("text"), 1000, "texts", F.count("*").alias("n"))
     out = per.withColumn("summary", models.generate(qa_generation.summary_prompt(F.col("texts"), 60), max_tokens=120)["text"])
     return out.select("topic", "window_start", "n", "summary", F.round(sm.score("summary", F.col("texts")[0], "rouge_l"), 6).alias("rouge_l"))
 
@@ -84,8 +82,58 @@ def question_building(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = docs.where(F.size("words") >= 4).withColumn("q", q).where("q is not null")
     made = asked.withColumn("m", qa_generation.finished(F.col("q.question"), F.col("q.answer"), F.col("words"), 42, F.col("doc_id")))
     listed = F.array_join(F.map_values("m.choices"), " | ")
-    judge = qa_generation.judge_prompt("question", F.col("q.question"), listed, F.col("m.answer"), F.col("article"))
-    return made.select("doc_id", "q.question", "m.answer", listed.alias("choices"), F.array_join("m.reasons", ";").alias("reasons"), judge_score(models.generate(judge)["text"]).alias("score"))
+    scored = questions.judged(made, F.col("q.question"), listed, F.col("m.answer"), F.col("article"))
+    return scored.select("doc_id", "q.question", "m.answer", listed.alias("choices"), F.array_join("m.reasons", ";").alias("reasons"), *[f"{a}_score" for a in questions.ASPECTS])
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = articles(spark, sf_dir).select("doc_id", "topic", "event_date", "text", F.array_distinct(keywords(F.col("text"), 5)).alias("words")).where(F.size("words") >= 4)
+    docs = docs.withColumns({"kind": qa_generation.pick_kind(F.col("doc_id")), "target": F.col("words")[0]})
+    return docs.withColumn("q", questions.questions(F.col("kind"), F.col("event_date"), F.col("text"), F.col("target")))
+
+
+def question_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions about documents with at most three attempts each: how many took how many, and how many failed."""
+    return _asked(spark, sf_dir).groupBy("kind", F.col("q.attempts").alias("attempts"), F.col("q.question").isNotNull().alias("made")).agg(F.count("*").alias("n"))
+
+
+def question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten proposed candidates for each question, four of them chosen, checked and shuffled."""
+    rows = _asked(spark, sf_dir).where("q.question is not null").withColumn("pool", questions.proposed(F.col("q.question"), F.col("target"), F.col("text")))
+    made = rows.withColumn("m", qa_generation.finished(F.col("q.question"), F.col("target"), F.col("pool"), 42, F.col("doc_id")))
+    return made.select("doc_id", F.size("pool").cast("long").alias("n_candidates"), "m.answer", F.array_join(F.map_values("m.choices"), " | ").alias("choices"), F.array_join("m.reasons", ";").alias("reasons"))
+
+
+def question_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a topic's questions of one kind and day ask the same."""
+    rows = _asked(spark, sf_dir).where("q.question is not null").select(F.concat_ws("/", "topic", F.col("event_date").cast("string")).alias("event"), "kind", "doc_id", "q.question")
+    return questions.redundancy(rows, "event", "kind", "question", "doc_id")
+
+
+def rubric_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries judged by the rubric's criteria."""
+    rows = _pairs(spark, sf_dir)
+    raw = models.generate(qa_generation.rubric_prompt(F.col("reference"), F.col("hypothesis")), temperature=0.0)["text"]
+    return rows.select("doc_id", rubric_score(raw).alias("r")).groupBy("r.overall").agg(F.count("*").alias("n"))
+
+
+def batched_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns as tasks of one prompt, and as many answers."""
+    events = text_events(spark, sf_dir)
+    answers = models.generate(qa_generation.batch_prompt(F.col("texts"), "###"), max_tokens=400)["text"]
+    return events.select("conv_id", F.size("texts").cast("long").alias("n"), F.size(batch_answers(answers, "###", F.size("texts"))).cast("long").alias("n_answers"))
+
+
+def cluster_level_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = articles(spark, sf_dir)
+    found = cluster_state.cluster_stories(docs, "topic", "doc_id", "text", ["event_date", "doc_id"]).select("doc_id", "cluster")
+    named = cluster_state.cluster_keywords(docs.join(found, "doc_id"), "topic", "cluster", "text", "doc_id")
+    return named.select("topic", "cluster", F.array_join("keywords", " ").alias("keywords"))
+
+
+def micro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows' clusters scored at once."""
+    return tasks.micro_clustering(tasks.clustering(articles(spark, sf_dir), 10, 10, "doc_id", "text", "topic")[0], "topic")
 
 
 def html_link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +164,7 @@ def stream_cluster_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     stream = cluster_state.cluster_stream(docs.select("doc_id", "source", "text"), "source", "doc_id", "text", ["doc_id"])
-    return stateful.run_to_table(stream, f"clusters_{uuid.uuid4().hex[:8]}", checkpoint_folder(spark), "append")
+    return stateful.run_to_parquet(stream, f"{checkpoint_folder(spark)}/clusters", checkpoint_folder(spark))
 
 
 def task_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +191,7 @@ def task_temporal_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     rouge1_f, rouge2_f, summary_sequence_metrics, summary_averages, novelty_tokens, distinctiveness, embedded_similarity, window_summaries, window_clustering_stub, story_clustering_stub, question_building,
+    question_attempts, question_candidates, question_redundancy, rubric_judge, batched_answers, cluster_level_keywords, micro_metrics,
     task_clustering, task_summarization, task_temporal_qa, html_link_extract, html_article_text, stream_window_counts, stream_cluster_state,
 )}
 

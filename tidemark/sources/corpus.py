@@ -99,6 +99,66 @@ def cues(exclude: tuple[str, ...] = ()) -> Column:
     return F.when(some, F.struct(*[c.alias(k) for k, c in parts.items()]))
 
 
+#: Cue fields that prompts show, by the columns of a flattened event.
+SHOWN = {"People": "people", "Location": "location", "Result": "result", "Event Attributes": "event_attributes"}
+
+
+def _quoted(c: Column) -> Column:
+    """A JSON string; letters beyond ASCII stay as they are."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+
+
+def cue_json(exclude: tuple[str, ...] = ()) -> Column:
+    """The filled cue fields that prompts show as JSON text, indented by two; relations are left out."""
+    parts = []
+    for name, c in SHOWN.items():
+        if name in exclude:
+            continue
+        if c == "event_attributes":
+            lines = F.transform(F.map_entries(c), lambda e: F.concat(F.lit("    "), _quoted(e["key"]), F.lit(": "), _quoted(e["value"])))
+            opened, closed, some = "{", "}", F.col(c).isNotNull() & (F.size(F.map_keys(c)) > 0)
+        else:
+            lines = F.transform(F.col(c), lambda v: F.concat(F.lit("    "), _quoted(v)))
+            opened, closed, some = "[", "]", truthy(F.col(c), "array")
+        parts.append(F.when(some, F.concat(F.lit(f'  "{name}": {opened}\n'), F.array_join(lines, ",\n"), F.lit(f"\n  {closed}"))))
+    body = F.concat_ws(",\n", *parts)
+    return F.when(body == "", "{}").otherwise(F.concat(F.lit("{\n"), body, F.lit("\n}")))
+
+
+def has_sections() -> Column:
+    """Flattened events that questions can be asked about: people or places, a result, and an article."""
+    some = lambda c: F.coalesce(truthy(F.col(c), "array"), F.lit(False))
+    return (some("people") | some("location")) & some("result") & some("texts")
+
+
+def is_cut(text: Column) -> Column:
+    """Texts that end in three dots are taken for truncated and worth fetching again."""
+    return F.coalesce(F.endswith(text, F.lit("...")), F.lit(False))
+
+
+def article_contexts(events: DataFrame, n: int = 2, seed: int = 42) -> DataFrame:
+    """An event once for each of at most ``n`` of its articles, chosen by hash, with that article alone as ``texts``."""
+    from ..operators.sampling import order_key
+
+    each = events.select("*", F.posexplode("texts").alias("text_idx", "article"))
+    rank = F.row_number().over(_part(["file", "topic_idx", "event_idx"], order_key(seed, "text_idx")))
+    return each.withColumn("_n", rank).where(F.col("_n") <= n).withColumn("texts", F.array("article")).drop("_n")
+
+
+def annotation_entries(judged: DataFrame) -> DataFrame:
+    """``judged`` (file, event_idx, qa_idx and three scores) with unique_id and total_score, in which a null score is 0."""
+    scores = ("question_score", "answer_score", "choice_score")
+    total = sum((F.coalesce(F.col(c), F.lit(0)) for c in scores[1:]), F.coalesce(F.col(scores[0]), F.lit(0)))
+    return judged.withColumns({"unique_id": F.concat_ws("_", "file", F.col("event_idx").cast("string"), F.col("qa_idx").cast("string")), "total_score": total})
+
+
+def to_annotate(entries: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Entries that nobody has annotated, with a total score from ``low`` to ``high``."""
+    left = entries.where(~F.coalesce("human_annotated", F.lit(False)))
+    left = left if low is None else left.where(F.col("total_score") >= low)
+    return left if high is None else left.where(F.col("total_score") <= high)
+
+
 def cue_lines(date: Column) -> Column:
     """The dated text of an event's cues: a line for each filled field, attributes as key: value; relations are left out."""
     line = lambda name, c: F.when(truthy(F.col(c), "array"), F.concat(F.lit(f"- {name}: "), F.array_join(c, ", ")))
