@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordinal import CumulativeLink
-from .scratch import place, slices, spread
+from .scratch import numbered_columns, place, slices, spread
 
 Features = Callable[[str], np.ndarray]
 
@@ -60,7 +60,8 @@ def passing(df: DataFrame, text_col: str, model: CumulativeLink, features: Featu
         for batch in slices(batches):
             yield batch.filter(pa.array([own.tails(features(t.as_py() or ""))[0] >= cut for t in batch.column(at)], pa.bool_()))
 
-    return spread(df).mapInArrow(run, df.schema)
+    rows = numbered_columns(df)  # so that names of columns can't clash
+    return spread(rows).mapInArrow(run, rows.schema).toDF(*df.columns)
 
 
 def scored(docs: DataFrame, model: CumulativeLink, features: Features) -> DataFrame:
