@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread  # noqa: F401  operators take it from here
+
 
 def shared_root(spark: SparkSession) -> str:
     """URI of the shared folder, without a slash at its end."""
@@ -105,14 +107,3 @@ def narrowed(df: DataFrame, **wanted: tuple[str, str | None]) -> DataFrame:
         return own.cast(kind) if kind else own
 
     return numbered_columns(df).select(*[of(*v).alias(k) for k, v in wanted.items()])
-
-
-#: Up to so many bytes and files, rows are dealt to all cores before heavy work; larger tables have splits enough.
-SMALL_BYTES, FEW_FILES = 256 << 20, 3
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a small table in few files on all cores, as one row group is read by one task; others as they are."""
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    small = int(str(size)) <= SMALL_BYTES and 0 < len(rows.inputFiles()) <= FEW_FILES
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if small else rows
