@@ -5,8 +5,7 @@ replaced, spaces are escaped, a dummy prefix may be added and extra spaces remov
 original byte from which it comes is kept, so that a piece's extent in the normalised text projects to a span of the
 original.  The normalised text is segmented here too: its characters are merged pair by pair, the best-scored piece
 first and the leftmost of equals, and what is no piece falls back to its bytes, or to the unknown id, of which adjacent
-ones are one.  Stretches between a space and the next are segmented alone, as long as no piece goes over such a place,
-and short ones are remembered.  Ids equal those of the sentencepiece library, which decodes them.
+ones are one.  Stretches that no piece goes over the ends of are segmented alone, and short ones are remembered.  Ids equal those of the sentencepiece library, which decodes them.
 
 Defined cases: a null text counts as empty; an empty text has only the begin and end ids, whose spans are empty; an
 unknown piece covers the characters that it stands for; rows are independent, so copies give equal results; columns
@@ -18,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from .scratch import narrowed, slices, spread
 
 SPACE = "▁".encode()
-#: Stretches of up to so many characters are remembered, so many of them.
-SHORT, REMEMBERED = 32, 1 << 17
+#: Stretches of up to so many characters are remembered, so many new ones until those that haven't come again are forgotten.
+SHORT, REMEMBERED = 32, 1 << 18
+_NONE = float("-inf")
 
 
 @dataclass
@@ -99,7 +100,10 @@ class Codec:
         self.stretches = re.compile(f"{space}*[^{space}]+|{space}+" if alone else "(?s).+")
         self.library = sentencepiece.SentencePieceProcessor(model_proto=self.proto)
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
-        self._known: dict[str, tuple[list[int], list[int]]] = {}
+        self.scores = {piece: score for piece, (_, score) in self.pieces.items()}
+        self.adjacent = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised text and for each of its bytes, and its end, the byte of the original from which it comes."""
@@ -142,8 +146,22 @@ class Codec:
                 del out[-len(space) :], source[-len(space) :]
         return bytes(out), np.array(source, np.int64)
 
+    def merged_short(self, text: str) -> list[str]:
+        """A short stretch in pieces, for a model without unused ones: the best of all pairs is looked for at each step."""
+        parts, score = list(text), self.scores.get
+        scores = [score(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) != _NONE:
+            i = scores.index(best)  # the leftmost of equals
+            parts[i] += parts.pop(i + 1)
+            del scores[i]
+            if i < len(scores):
+                scores[i] = score(parts[i] + parts[i + 1], _NONE)
+            if i:
+                scores[i - 1] = score(parts[i - 1] + parts[i], _NONE)
+        return parts
+
     def merged(self, text: str) -> list[str]:
-        """A stretch of normalised text in pieces."""
+        """A stretch of normalised text in pieces, with a queue of pairs."""
         parts: list[str] = list(text)
         n, pieces, made = len(parts), self.pieces, {}
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -174,41 +192,42 @@ class Codec:
                 out.append(piece)
         return out
 
-    def segment(self, text: str) -> tuple[list[int], list[int]]:
-        """ids of a stretch, and how many bytes of it each covers."""
-        known = self._known.get(text)
+    def segment(self, text: str) -> bytes:
+        """The ids of a stretch, each with how many bytes of it the id covers, as pairs of 32-bit numbers."""
+        short = len(text) <= SHORT
+        known = self._older.get(text) if short else None
+        if known is None:
+            # No piece goes over a pair of characters that no piece has, so what lies between such pairs is segmented alone.
+            cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.adjacent]
+            if cuts:
+                parts = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])]
+                known = b"".join([self._known.get(part) or self.segment(part) for part in parts])
         if known is None:
-            ids, widths = [], []
-            for piece in self.merged(text):
+            found = []
+            for piece in self.merged_short(text) if short and not self.unused else self.merged(text):
                 hit = None if piece in self.unused else self.pieces.get(piece)
-                raw = piece.encode()
                 if hit:
-                    ids.append(hit[0])
-                    widths.append(len(raw))
+                    found += hit[0], len(piece) if piece.isascii() else len(piece.encode())
                 elif self.bytes:
-                    ids += [self.bytes[b] for b in raw]
-                    widths += [1] * len(raw)
+                    for b in piece.encode():
+                        found += self.bytes[b], 1
                 else:
-                    ids.append(self.unknown)
-                    widths.append(len(raw))
-            known = ids, widths
-            if len(text) <= SHORT:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[text] = known
+                    found += self.unknown, len(piece.encode())
+            known = array("I", found).tobytes()
+        if short:
+            if len(self._known) >= REMEMBERED:
+                self._known, self._older = {}, self._known
+            self._known[text] = known
         return known
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids with begin and end, and the first and last byte (exclusive) of each in the original text."""
         norm, source = self.normalise(text or "")
-        ids, widths = [self.begin], [0]
+        found = [array("I", [self.begin, 0]).tobytes()]
         for stretch in self.stretches.findall(norm.decode()):
-            own = self.segment(stretch)
-            ids += own[0]
-            widths += own[1]
-        ids.append(self.end)
-        widths.append(0)
-        numbers, width = np.array(ids, np.int64), np.array(widths, np.int64)
+            found.append(self._known.get(stretch) or self.segment(stretch))
+        found.append(array("I", [self.end, 0]).tobytes())
+        numbers, width = np.frombuffer(b"".join(found), np.uint32).reshape(-1, 2).T.astype(np.int64)
         if not self.bytes:
             keep = np.r_[True, (numbers[1:] != self.unknown) | (numbers[:-1] != self.unknown)]
             numbers, width = numbers[keep], np.add.reduceat(width, np.flatnonzero(keep))
