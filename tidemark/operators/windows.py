@@ -90,14 +90,16 @@ def incremental_windows(events: DataFrame, date_col: str, *ties: str, bucket: Co
     return numbered.withColumns({"window_index": F.col("number"), "start_date": events.agg(F.min(date_col)).scalar(), "end_date": F.col(date_col), "event_count": F.col("number") + 1}).drop("number")
 
 
-def create_windows(events: DataFrame, kind: str, size: int = 5, stride: int = 1, date_col: str = "event_date", ties: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
-    """Dispatch by kind; tumbling is sliding with a stride of the size, ``keys`` gives each topic windows of its own."""
+def create_windows(events: DataFrame, kind: str, size: int = 5, stride: int = 1, date_col: str = "event_date", ties: Sequence[str] = (), keys: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
+    """Dispatch by kind; tumbling is sliding with a stride of the size, ``keys`` gives each topic windows of its own.
+
+    ``bucket``: what numbers events in place of the day, where days are too large for a task."""
     if kind not in KINDS:
         raise ValueError(f"unknown window kind {kind!r}")
     if kind == "count":
-        return assign_count_windows(events, size, stride, date_col, *ties)
+        return assign_count_windows(events, size, stride, date_col, *ties, bucket=bucket)
     if kind == "incremental":
-        return incremental_windows(events, date_col, *ties)
+        return incremental_windows(events, date_col, *ties, bucket=bucket)
     return assign_date_windows(events, size, size if kind == "tumbling" else stride, date_col, keys)
 
 

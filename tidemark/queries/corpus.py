@@ -327,6 +327,18 @@ SELECT conv_id, count(*) AS n, md5(string_agg(t, '|' ORDER BY turn)) AS digest F
     "smart_truncate": r"""
 WITH h AS (SELECT doc_id, text, substr(text, 1, 300) AS h FROM documents), p AS (SELECT *, length(regexp_extract(h, '(?s)^(.*[.!?])', 1)) AS s, length(regexp_extract(h, '(?s)^(.*) ', 1)) AS w FROM h)
 SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN s - 1 > 210 THEN substr(h, 1, s) WHEN w > 0 THEN substr(h, 1, w) || '...' ELSE h || '...' END AS cut FROM p""",
+    "token_budget_equal": rf"""
+WITH {_TEXTS}, n AS (SELECT conv_id, texts, len(texts) AS k, list_sum(list_transform(texts, lambda t: length(t) // 4)) AS total FROM t),
+e AS (SELECT conv_id, k, total, i - 1 AS at, texts[i] AS t, 100 // k + CASE WHEN i - 1 < 100 % k THEN 1 ELSE 0 END AS share FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM n)),
+h AS (SELECT *, substr(t, 1, 4 * share) AS h FROM e), p AS (SELECT *, length(regexp_extract(h, '(?s)^(.*[.!?])', 1)) AS s, length(regexp_extract(h, '(?s)^(.*) ', 1)) AS w FROM h),
+c AS (SELECT conv_id, length(CASE WHEN total <= 100 OR length(t) // 4 <= share OR length(t) <= 4 * share THEN t WHEN s - 1 > 4 * share * 0.7 THEN substr(h, 1, s) WHEN w > 0 THEN substr(h, 1, w) || '...' ELSE h || '...' END) AS size FROM p)
+SELECT conv_id, count(*) AS n, max(size) AS longest, CAST(sum(size // 4) AS BIGINT) AS tokens FROM c GROUP BY conv_id""",
+    "greedy_dedup": rf"""
+WITH RECURSIVE {_TEXTS}, s AS (SELECT conv_id, list_transform(list_concat(texts, texts), lambda t: list_distinct({_WORDS.format('lower(t)')})) AS s FROM t),
+r(conv_id, i, kept) AS (SELECT conv_id, 0::BIGINT, []::BIGINT[] FROM s UNION ALL
+SELECT r.conv_id, i + 1, CASE WHEN len(list_filter(kept, lambda k: len(list_intersect(s[k + 1], s[i + 1])) >= 0.9 * (len(s[k + 1]) + len(s[i + 1]) - len(list_intersect(s[k + 1], s[i + 1]))) AND len(s[k + 1]) + len(s[i + 1]) > 0)) > 0 THEN kept ELSE list_append(kept, i) END
+FROM r JOIN s USING (conv_id) WHERE i < len(s))
+SELECT conv_id, CAST(len(s) AS BIGINT) AS before, array_to_string(kept, ',') AS kept FROM r JOIN s USING (conv_id) WHERE i = len(s)""",
     "reference_marker_strip": r"SELECT doc_id, regexp_replace(text, '\[\d+\]', '', 'g') || ' and [x]' AS plain FROM documents",
     "prefix_strip": "SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'Other: Policy: kept, ' WHEN doc_id % 5 = 4 THEN 'kept, ' ELSE 'Policy: kept, ' END || source AS plain FROM documents",
     "preview_200": f"SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview, length(text) // 4 AS tokens, CAST(len({_WORDS.format('text')}) AS BIGINT) AS words FROM documents",

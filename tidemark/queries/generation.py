@@ -220,6 +220,9 @@ SELECT doc_id, round(CASE WHEN len(d) = 0 THEN 0.0 ELSE {_JACCARD.format('d', 'r
 WITH {_PAIRS}, s AS (SELECT doc_id, topic, {_SET.format('h')} AS h, {_SET.format('r')} AS r FROM p), o AS (SELECT DISTINCT topic, {_SET.format('r')} AS r FROM p),
 m AS (SELECT s.doc_id, sum(1 - {_JACCARD.format('s.h', 'o.r')}) AS far, count(*) AS n FROM s JOIN o ON o.topic <> s.topic GROUP BY s.doc_id)
 SELECT s.doc_id, round(coalesce(far / (n * (1 - {_JACCARD.format('s.h', 's.r')} + 1e-8)), 1.0), 5) AS distinctiveness FROM s LEFT JOIN m ON m.doc_id = s.doc_id""",
+    "html_link_extract": r"""
+WITH x AS (SELECT page_id, regexp_extract_all(html, '<a href="[^"]+">[^<]*</a>') AS x FROM pages), i AS (SELECT page_id, x, unnest(range(1, len(x) + 1)) AS i FROM x)
+SELECT page_id, CAST(i - 1 AS INT) AS ordinal, regexp_extract(x[i], 'href="([^"]+)"', 1) AS href, trim(regexp_replace(regexp_extract(x[i], '>([^<]*)<', 1), '\s+', ' ', 'g')) AS label FROM i""",
     "stream_window_counts": """
 WITH e AS (SELECT CAST(ts AS DATE) AS d, event_id FROM events), b AS (SELECT min(d) AS lo, max(d) AS hi FROM e), w AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS s FROM b),
 a AS (SELECT s AS window_start, CAST(s + INTERVAL 7 DAY AS DATE) AS window_end, count(*) AS event_count, CAST(sum(event_id) AS BIGINT) AS id_sum FROM w JOIN e ON d >= s AND d < s + INTERVAL 7 DAY GROUP BY s)

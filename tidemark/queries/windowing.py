@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import joins, windows
 from ..sources.tables import articles, dated_events, read
 
-COUNTS = (F.count, F.countDistinct)
-
 
 def _date_window(size: int, stride: int):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
