@@ -40,6 +40,8 @@ from .scratch import narrowed, spread, table
 SHINGLE, COORDS, MATCH, WIDE, WIDE_MATCH = 5, 32, 16, 128, 88
 #: Classes that one strip of a group holds at least, if there are so many; strips of a group at first; bounds of a strip.
 BLOCK, STRIPS, STRIP_ROWS, STRIP_BYTES = 512, 8, 8192, 8 << 20
+#: Shingles from which on a signature is made coordinate by coordinate.
+LARGE = 8192
 #: Bytes of sets that are compared to one copy of another set, about.
 CHUNK_BYTES = 4 << 20
 #: Bits of the filter with which texts are picked before they are moved; it is broadcast, 2 MB at most.
@@ -75,11 +77,12 @@ _SEEDS = _mix(np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963E
 
 def signature(s: np.ndarray) -> np.ndarray:
     """WIDE coordinates of 32 bits: the least values of a set under as many multiplicative hashes."""
-    out = np.empty(WIDE, np.uint64)
     base = _mix(s)
-    for i in range(WIDE):
-        out[i] = (base * _SEEDS[i] >> np.uint64(32)).min()
-    return out.astype(np.uint32)
+    if len(s) >= LARGE:
+        least = np.array([(base * seed).min() for seed in _SEEDS])
+    else:  # all coordinates of some shingles at once, as a call for each coordinate takes longer than its work
+        least = np.min([(base[at : at + 256, None] * _SEEDS).min(0) for at in range(0, len(base), 256)], axis=0)
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
