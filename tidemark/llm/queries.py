@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, html_text, ngram_lm, warc_zip
+from . import embedding_dedup, html_text, merkle, ngram_lm, packing, resampling, warc_zip
 from .exact_dedup import exact_dedup
 from .minhash import near_dedup
 from .mixing import mix
@@ -27,6 +27,12 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -67,7 +73,19 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(spark, read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_mixing, op5_minhash, op6_sentencepiece, op7_warc, op8_html_text, op9_embedding_dedup, op10_ngram_lm)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(spark, read(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(spark, read(spark, sf_dir, "documents"), default_vocabulary())
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_mixing, op5_minhash, op6_sentencepiece, op7_warc, op8_html_text, op9_embedding_dedup, op10_ngram_lm, op11_resampling, op12_merkle, op13_packing)}
 
 ORACLE: dict[str, str] = {}
 
@@ -123,3 +141,75 @@ r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.b FROM r JOIN l ON
 c AS (SELECT x, min(y) AS y FROM r GROUP BY x)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, c.y AS component_id, c.y = vec_id AS kept FROM v LEFT JOIN n ON n.a = vec_id JOIN c ON c.x = vec_id
 """
+
+
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of a text's bytes, byte by byte over a table."""
+    table = "[" + ", ".join(str(c) for c in CRC_TABLE) + "]"
+    hexa = f"hex(encode({text}))"
+    steps = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: CAST('0x' || substr({hexa}, 2 * i - 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(c >> 8, {table}[xor(c & 255, b) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _crc_row(c: int) -> int:
+    for _ in range(8):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+CRC_TABLE = [_crc_row(b) for b in range(256)]
+
+ORACLE["op11_resampling"] = rf"""
+WITH w AS (SELECT true AS raw, row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    UNION ALL SELECT false, row_number() OVER (), item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT raw, r, array_to_string(w[i : i + k - 1], ' ') AS f FROM (SELECT raw, r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT raw, r, w, unnest([1, 2, 3]) AS k FROM w) WHERE len(w) >= k)),
+d AS (SELECT f, count(*) FILTER (WHERE raw) AS s, count(*) FILTER (WHERE NOT raw) AS t FROM f GROUP BY f),
+k AS (SELECT f, s, t, {_crc32("f")} % 10000 AS bucket FROM d),
+b AS (SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM k GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM b) + 10000) / ((s + 1) * ((SELECT sum(t) FROM b) + 10000)))) AS BIGINT) AS gain FROM b),
+p AS (SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN k USING (f) JOIN g USING (bucket) WHERE raw GROUP BY r),
+x AS (SELECT w.r, doc_id, len(w) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN p ON p.r = w.r WHERE raw),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank, 5 * count(*) OVER () // 100 AS drawn FROM x WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM x LEFT JOIN o ON o.r = x.r
+"""
+
+
+def _merkle_sql(levels: int = 20) -> str:
+    """Levels of all trees as lists; a tree that is one node stays as it is."""
+
+    def field(c: str) -> str:
+        return f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def climb(name: str, first: str) -> str:
+        parts = [first]
+        for i in range(levels):
+            up = f"CASE WHEN len(l{i}) > 1 THEN list_transform(range(0, CAST(ceil(len(l{i}) / 3) AS BIGINT)), lambda i: sha256(array_to_string(l{i}[3 * i + 1 : 3 * i + 3], ''))) ELSE l{i} END"
+            parts.append(f"{name}{i + 1} AS (SELECT *, {up} AS l{i + 1} FROM {name}{i})")
+        return ", ".join(parts)
+
+    def path(place: str, t: str) -> str:
+        steps = []
+        for i in range(levels):
+            at = f"(({place}) // {3**i})"
+            left, right = f"array_to_string({t}.l{i}[{at} // 3 * 3 + 1 : {at}], '')", f"array_to_string({t}.l{i}[{at} + 2 : {at} // 3 * 3 + 3], '')"
+            steps.append(f"CASE WHEN len({t}.l{i}) > 1 THEN [{{'a': {left}, 'b': {right}}}] ELSE [] END")
+        return f"flatten([{', '.join(steps)}])"
+
+    own = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    seen = own.replace(field("text"), field(f"(CASE WHEN doc_id IS NOT NULL AND {_crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)"))
+    return f"""
+WITH d AS (SELECT doc_id, source, sha256({own}) AS leaf, sha256({seen}) AS seen FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS LAST, leaf) - 1 AS place FROM d),
+{climb("t", "t0 AS (SELECT source, list(leaf ORDER BY place) AS l0 FROM n GROUP BY source)")},
+s AS (SELECT *, l{levels}[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM t{levels}),
+{climb("r", "r0 AS (SELECT list(subroot ORDER BY tree) AS l0 FROM s)")},
+p AS (SELECT n.doc_id, n.leaf, n.seen, s.subroot, r.l{levels}[1] AS root, {path("n.place", "s")} || {path("s.tree", "r")} AS path
+    FROM n JOIN s ON n.source IS NOT DISTINCT FROM s.source CROSS JOIN r{levels} AS r),
+f AS (SELECT *, array_to_string(list_transform(path, lambda x: x.a || x.b), '') AS proof,
+    list_reduce(list_transform(path, lambda x: [x.a, x.b]), lambda acc, x: [sha256(x[1] || acc[1] || x[2])], [seen])[1] AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
+
+
+ORACLE["op12_merkle"] = _merkle_sql()
