@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,3 +60,39 @@ def free_date(c: Column) -> Column:
         made(get(dm, 3), month_number(get(dm, 2)), get(dm, 1)),
         made(get(my, 2), month_number(get(my, 1)), F.lit("1")),
     )
+
+
+def first_date(text: str) -> date | None:
+    """The first date in a text: one with the year in front in numbers, or else one with a month's name and the year behind it.
+
+    The text is read as its numbers and names with what stands between them, from year to year; a missing day is the first."""
+    words = [(m[0], m.start(), m.end()) for m in re.finditer(r"[0-9]+|[A-Za-z]+", text)]
+    between = lambda i: text[words[i][2] : words[i + 1][1]] if 0 <= i < len(words) - 1 else None  # noqa: E731  behind word i
+    number = lambda i: int(words[i][0]) if 0 <= i < len(words) and words[i][0].isdigit() and len(words[i][0]) <= 2 else 0
+    years = [i for i, (w, _, _) in enumerate(words) if len(w) == 4 and w.isdigit() and 1900 <= int(w) < 2100]
+
+    def month(i: int) -> int:
+        name = words[i][0].lower() if 0 <= i < len(words) else ""
+        return next((k + 1 for k, m in enumerate(MONTHS) if len(name) >= 3 and m.startswith(name)), 0)
+
+    def loose(i: int) -> bool:
+        return between(i) is not None and not between(i).strip(" ,.\n\t\xa0")
+
+    def numbers() -> list[tuple[int, int, int]]:
+        return [(i, number(i + 1), number(i + 2)) for i in years if between(i) in tuple("-./") and between(i + 1) in tuple("-./")]
+
+    def names() -> list[tuple[int, int, int]]:
+        found = []
+        for i in years:
+            day_behind = number(i - 1) if loose(i - 1) and loose(i - 2) else 0
+            at = i - 2 if day_behind else i - 1
+            if month(at) and loose(i - 1):
+                found.append((i, month(at), day_behind or (number(at - 1) if loose(at - 1) else 0) or 1))
+        return found
+
+    for i, m, d in [*numbers(), *names()]:
+        try:
+            return date(int(words[i][0]), m, d)
+        except ValueError:
+            continue
+    return None

@@ -8,14 +8,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from datetime import date
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import MONTHS
+from .dates import first_date
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _MARK = re.compile(r"\[\d+\]")
@@ -146,33 +145,18 @@ def external_link(node: Node) -> str:
     return marked[0].attrs["href"] if marked else ""
 
 
-_NUMERIC = re.compile(r"\b((?:19|20)\d\d)[-./](\d{1,2})[-./](\d{1,2})(?!\d)")
-_NAMED = re.compile(rf"\b(?:(\d{{1,2}})\s+)?({'|'.join(m[:3] for m in MONTHS)})[a-z]*\.?,?\s*(\d{{1,2}})?,?\s*((?:19|20)\d\d)\b", re.I)
-
-
-def iso_date(text: str) -> str:
-    """The first date in a text as year-month-day: numeric, or with a month's name; '' if there is none."""
-    for found in (_NUMERIC.search(text), _NAMED.search(text)):
-        if found:
-            g = found.groups()
-            month = int(g[1]) if g[1].isdigit() else 1 + [m[:3] for m in MONTHS].index(g[1][:3].lower())
-            year, day = (g[0], g[2]) if g[1].isdigit() else (g[3], g[2] or g[0] or "1")
-            try:
-                return date(int(year), month, int(day)).isoformat()
-            except ValueError:
-                continue
-    return ""
+# The elements that mark a reference's date, the best first, as tag, attribute and the class that it has to name.
+DATE_MARKS = (("span", "class", "reference-date"), ("span", "class", "date"), ("time", "datetime", ""), ("time", "", ""))
 
 
 def reference_date(item: Node) -> str:
     """A reference's date: of the elements that mark dates, the best kind first, or else of its whole text."""
-    marks = (lambda n: n.tag == "span" and "reference-date" in n.classes(), lambda n: n.tag == "span" and "date" in n.classes(), lambda n: n.tag == "time" and "datetime" in n.attrs, lambda n: n.tag == "time")
-    for is_mark in marks:
-        node = next((n for n in item.walk() if is_mark(n)), None)
-        text = node and (node.attrs.get("datetime") or flat(node.text()))
-        if text and iso_date(text):
-            return iso_date(text)
-    return iso_date(flat(item.text()))
+    for tag, attribute, name in DATE_MARKS:
+        marked = next((n for n in item.find(tag) if (not attribute or attribute in n.attrs) and (not name or name in n.classes())), None)
+        if marked is not None and (found := first_date(marked.attrs.get("datetime") or marked.text())):
+            return found.isoformat()
+    found = first_date(item.text())
+    return found.isoformat() if found else ""
 
 
 def references(html: str | None) -> list[tuple[int, str, str, str, str]]:
