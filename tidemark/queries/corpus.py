@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import etl, joins, sampling, similarity
+from ..operators import etl, greedy, joins, metric_index, sampling, similarity
 from ..sources import connectors
 from ..sources.tables import articles, dated_events, read, spread, text_events
 
@@ -92,9 +92,8 @@ def _topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def nearest_topic_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, topics = _topics(spark, sf_dir)
-    orphans = vectors.where("vec_id % 2 = 1").select("vec_id", similarity.unit(F.col("embedding")).alias("v"))
-    out = joins.nearest(orphans, topics, "vec_id", "label", F.round(similarity.dot(F.col("v"), F.col("center")), 9), shard=8)
-    return out.withColumn("similarity", F.round("similarity", 6))
+    out = metric_index.nearest_indexed(spark, vectors.where("vec_id % 2 = 1"), topics, "vec_id", "label", "embedding", "center")
+    return out.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
 def topic_bounds_after_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +122,11 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("conv_id", F.size("texts").cast("long").alias("before"), F.array_join(similarity.greedy_dedup(F.col("texts"), 0.9), ",").alias("kept"))
 
 
+def greedy_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source that stay, the earlier id first, by rounds over posting lists."""
+    return greedy.greedy_rows(spark, spread(read(spark, sf_dir, "documents")), "source", "doc_id", "text", 0.9)
+
+
 def token_budget_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = text.greedy_budget(F.col("texts"), 150)
     return text_events(spark, sf_dir).select("conv_id", F.size(kept).cast("long").alias("n"), F.md5(F.array_join(kept, "|")).alias("digest"))
@@ -250,7 +254,7 @@ def backfilled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     corpus_statistics, events_per_topic, modal_date_per_group, at_modal_date, dedupe_prefer_target, duplicate_counts, removal_reason_counts, script_filter, url_new_anti_join, distinct_url_count,
-    topk_keywords_per_source, proper_noun_counts, scrape_counters, reference_groups, nearest_topic_assign, topic_bounds_after_merge, semantic_filter, jaccard_pairs_in_group, greedy_dedup,
+    topk_keywords_per_source, proper_noun_counts, scrape_counters, reference_groups, nearest_topic_assign, topic_bounds_after_merge, semantic_filter, jaccard_pairs_in_group, greedy_dedup, greedy_removal,
     token_budget_greedy, token_budget_equal, smart_truncate, reference_marker_strip, prefix_strip, preview_200, clean_text, word_cap, date_normalise, order_date_forms, budget_rule,
     news_search, enrichment_counters, most_reduced, reduction_report, annotation_progress, articles_by_date, prefix_references, backfilled_texts,
     balanced_sample, stratified_k_sample, ten_percent_sample, sampled_texts,
@@ -339,6 +343,12 @@ r(conv_id, i, kept) AS (SELECT conv_id, 0::BIGINT, []::BIGINT[] FROM s UNION ALL
 SELECT r.conv_id, i + 1, CASE WHEN len(list_filter(kept, lambda k: len(list_intersect(s[k + 1], s[i + 1])) >= 0.9 * (len(s[k + 1]) + len(s[i + 1]) - len(list_intersect(s[k + 1], s[i + 1]))) AND len(s[k + 1]) + len(s[i + 1]) > 0)) > 0 THEN kept ELSE list_append(kept, i) END
 FROM r JOIN s USING (conv_id) WHERE i < len(s))
 SELECT conv_id, CAST(len(s) AS BIGINT) AS before, array_to_string(kept, ',') AS kept FROM r JOIN s USING (conv_id) WHERE i = len(s)""",
+    "greedy_removal": rf"""
+WITH RECURSIVE d AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids, list(list_distinct({_WORDS.format('lower(text)')}) ORDER BY doc_id) AS s FROM documents GROUP BY source),
+r(source, i, kept) AS (SELECT source, 0::BIGINT, []::BIGINT[] FROM d UNION ALL
+SELECT r.source, i + 1, CASE WHEN len(list_filter(kept, lambda k: len(s[k + 1]) + len(s[i + 1]) > 0 AND least(len(s[k + 1]), len(s[i + 1])) >= 0.9 * greatest(len(s[k + 1]), len(s[i + 1])) AND len(list_intersect(s[k + 1], s[i + 1])) >= 0.9 * (len(s[k + 1]) + len(s[i + 1]) - len(list_intersect(s[k + 1], s[i + 1]))))) > 0 THEN kept ELSE list_append(kept, i) END
+FROM r JOIN d USING (source) WHERE i < len(ids))
+SELECT source, doc_id, list_contains(kept, i) AS kept FROM (SELECT source, kept, unnest(ids) AS doc_id, unnest(range(len(ids))) AS i FROM r JOIN d USING (source) WHERE r.i = len(ids))""",
     "reference_marker_strip": r"SELECT doc_id, regexp_replace(text, '\[\d+\]', '', 'g') || ' and [x]' AS plain FROM documents",
     "prefix_strip": "SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'Other: Policy: kept, ' WHEN doc_id % 5 = 4 THEN 'kept, ' ELSE 'Policy: kept, ' END || source AS plain FROM documents",
     "preview_200": f"SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview, length(text) // 4 AS tokens, CAST(len({_WORDS.format('text')}) AS BIGINT) AS words FROM documents",

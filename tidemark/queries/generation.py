@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import html_tables, models, qa_generation
 from ..functions.parsing import batch_answers, rubric_score
 from ..functions.text import keywords
-from ..operators import cluster_state, similarity, windows
+from ..operators import cluster_state, density, windows, word_vectors
 from ..plans import summary_metrics as sm
 from ..plans import questions, tasks
 from ..sources.tables import articles, dated_events, read, spread, text_events
+from ..sources.written import Scratch
 from ..streaming import stateful
 
 
@@ -52,9 +53,50 @@ def distinctiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.distinctiveness(rows, "doc_id", "topic", "h", "r", sm.jaccard).withColumn("distinctiveness", F.round("distinctiveness", 5))
 
 
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents")).select("text").union(read(spark, sf_dir, "benchmark").select("text"))
+
+
 def embedded_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pairs(spark, sf_dir).withColumns({"h": models.embed("hypothesis"), "r": models.embed("reference")})
-    return rows.select("doc_id", F.round(similarity.clamp(F.coalesce(similarity.cosine(F.col("h"), F.col("r")), F.lit(0.0))), 6).alias("similarity"))
+    """Cosine of documents and references by vectors learned from both."""
+    words = word_vectors.word_vectors(spark, _corpus(spark, sf_dir), "text")
+    return word_vectors.text_similarity(_pairs(spark, sf_dir), "doc_id", "hypothesis", "reference", words).withColumn("similarity", F.round("similarity", 6))
+
+
+def embedded_token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy matching of the tokens of documents and references by the same vectors."""
+    words = word_vectors.word_vectors(spark, _corpus(spark, sf_dir), "text")
+    found = word_vectors.matched_tokens(_pairs(spark, sf_dir), "doc_id", "hypothesis", "reference", words)
+    return found.select("doc_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
+
+
+def word_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive PMI of words of the references and of conversations that are up to three words apart."""
+    docs = read(spark, sf_dir, "benchmark").select("text").union(read(spark, sf_dir, "conversations").select("text"))
+    scratch = Scratch(spark)
+    words = scratch.write(word_vectors.vocabulary(docs, "text", 3).withColumn("id", F.monotonically_increasing_id()), "vocabulary")
+    found = word_vectors.positive_pmi(word_vectors.cooccurrence(docs, "text", words, 3))
+    name = lambda c: words.select(F.col("id").alias(c), F.col("word").alias(f"{c}_word"))
+    return found.join(name("w"), "w").join(name("c"), "c").select(F.col("w_word").alias("word"), F.col("c_word").alias("context"), F.round("x", 6).alias("pmi"))
+
+
+def density_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of vectors within each label."""
+    return density.density_topics(spark, read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", min_size=5)
+
+
+def seeded_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories whose first five days get topics and terms by density, and whose later documents go on from these clusters."""
+    docs = articles(spark, sf_dir).withColumn("head", F.col("event_date") < F.lit("2024-01-06").cast("date"))
+    words = word_vectors.word_vectors(spark, docs, "text")
+    vectors = word_vectors.text_vectors(docs.where("head"), "doc_id", "text", words)
+    heads = docs.where("head").select("topic", "doc_id", "text").join(vectors, "doc_id", "left").withColumnRenamed("topic", "story")
+    scratch = Scratch(spark)
+    topics = scratch.write(density.density_topics(spark, heads, "story", "doc_id", "vector", min_size=3, neighbours=2), "topics")
+    terms = density.topic_terms(heads.select("doc_id", "text").join(topics, "doc_id"), "story", "topic", "text", 5)
+    known = topics.join(terms, ["story", "topic"], "left").select("doc_id", F.col("topic").alias("known"), "terms")
+    rows = docs.join(known, "doc_id", "left")
+    return cluster_state.cluster_incrementally(rows, "topic", "doc_id", "text", ["event_date", "doc_id"], "head", topics=("known", "terms"))
 
 
 def window_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +232,7 @@ def task_temporal_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    rouge1_f, rouge2_f, summary_sequence_metrics, summary_averages, novelty_tokens, distinctiveness, embedded_similarity, window_summaries, window_clustering_stub, story_clustering_stub, question_building,
+    rouge1_f, rouge2_f, summary_sequence_metrics, summary_averages, novelty_tokens, distinctiveness, embedded_similarity, embedded_token_match, word_associations, density_topics, seeded_stories, window_summaries, window_clustering_stub, story_clustering_stub, question_building,
     question_attempts, question_candidates, question_redundancy, rubric_judge, batched_answers, cluster_level_keywords, micro_metrics,
     task_clustering, task_summarization, task_temporal_qa, html_link_extract, html_article_text, stream_window_counts, stream_cluster_state,
 )}
@@ -210,6 +252,13 @@ f AS (SELECT doc_id, 2 * sum(least(x, y)) / (sum(x) + sum(y)) AS f FROM b GROUP
 _JACCARD = "CASE WHEN len({0}) + len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1})))::DOUBLE END"
 
 ORACLE = {
+    "word_associations": r"""
+WITH d AS (SELECT row_number() OVER () AS d, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+') AS t FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations)),
+w AS (SELECT d, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS w FROM d), v AS (SELECT w FROM w GROUP BY w HAVING count(*) >= 3), k AS (SELECT w.* FROM w JOIN v USING (w)),
+o AS (SELECT x.w AS a, y.w AS b FROM k x JOIN k y ON x.d = y.d AND y.i > x.i AND y.i <= x.i + 3),
+n AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM o UNION ALL SELECT b, a FROM o) GROUP BY ALL),
+s AS (SELECT a, CAST(sum(n) AS DOUBLE) AS s FROM n GROUP BY a)
+SELECT n.a AS word, n.b AS context, round(ln(n * (SELECT sum(s) FROM s) / (x.s * y.s)), 6) AS pmi FROM n JOIN s x ON x.a = n.a JOIN s y ON y.a = n.b WHERE ln(n * (SELECT sum(s) FROM s) / (x.s * y.s)) > 0""",
     "rouge1_f": _rouge_sql(1),
     "rouge2_f": _rouge_sql(2),
     "novelty_tokens": f"""
