@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -103,11 +104,12 @@ def test_features_travel_shortened():
     size, shared = rs.shortened(distinct, np.array([0, 5]))
     own = [b"", *vocabulary]
     full = [b" ".join(own[p] for p in places if p) for places in np.stack(rs._places(distinct), 1)]
-    sent = [p for places, n, k in zip(np.stack(rs._places(distinct), 1), size, shared) for p in places[k:n]]
-    # Lists begin at 0 and 5 and are read each for itself.
-    cut = int(sum(size[:5] - shared[:5]))
-    lists = [rs.features((size * 4 + shared)[a:b].astype(np.uint8), b"\n".join(own[p] for p in words)) for a, b, words in ((0, 5, sent[:cut]), (5, len(size), sent[cut:]))]
-    assert [x.as_py() for part in lists for x in part] == full and shared.max() == 2
+    sent = np.array([p for places, n, k in zip(np.stack(rs._places(distinct), 1), size, shared) for p in places[k:n]])
+    # Lists begin at 0 and 5 and are read each for itself; numbers of words go from 0 on there.
+    cut, shape = int(sum(size[:5] - shared[:5])), (size * 4 + shared).astype(np.uint8)
+    lists = [rs.features(shape[a:b], words - 1, len(vocabulary)) for a, b, words in ((0, 5, sent[:cut]), (5, len(size), sent[cut:]))]
+    found = rs.joined([np.concatenate(p) for p in zip(*lists)], pa.array(vocabulary, pa.binary()))
+    assert found.to_pylist() == full and shared.max() == 2
 
 
 def test_drawn_documents_are_like_the_target(spark):

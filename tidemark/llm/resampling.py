@@ -27,6 +27,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,16 +126,18 @@ def _places(distinct: np.ndarray) -> list[np.ndarray]:
     return [(distinct >> (BITS * (ORDER - 1 - i))) & ((1 << BITS) - 1) for i in range(ORDER)]
 
 
-def routed(distinct: np.ndarray, vocabulary: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of a block's distinct features by part and, within a part, as they were; and where each part ends.
-
-    All words but the third decide on the part, so that neighbours in a list share their beginning."""
+def parted(distinct: np.ndarray, vocabulary: list[bytes], parts: int) -> np.ndarray:
+    """The part of each feature. All words but the third decide on it, so that neighbours in a list share their beginning."""
     own = np.array([0, *map(zlib.crc32, vocabulary)], np.uint64)
     mixed = np.zeros(len(distinct), np.uint64)
     for numbers in _places(distinct)[:2]:
         mixed = (mixed ^ own[numbers]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+
+
+def routed(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of features by part and, within a part, as they were; and where each part ends."""
     return np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))
 
 
@@ -165,7 +168,11 @@ def asked(found: DataFrame, parts: int, turn: int = 0, turns: int = 1) -> DataFr
             row = batch.to_pylist()[0]
             vocabulary = _vocabulary(row["vocabulary"])
             distinct, counts = np.unique(codes(unpacked(row["words"], np.uint32), np.array(row["starts"]), np.array(row["stored"]))[0], return_counts=True)
-            order, ends = routed(distinct, vocabulary, parts)
+            part = parted(distinct, vocabulary, parts)
+            if turns > 1:
+                now = part % turns == turn
+                distinct, counts, part = distinct[now], counts[now], part[now]
+            order, ends = routed(part, parts)
             distinct, counts, firsts = distinct[order], counts[order].astype(np.uint32), np.r_[0, ends[:-1]]
             size, shared = shortened(distinct, firsts[firsts < len(distinct)])
             own, places = pa.array([None, *[w + b"\n" for w in vocabulary]], pa.binary()), np.stack(_places(distinct), 1)
@@ -173,7 +180,7 @@ def asked(found: DataFrame, parts: int, turn: int = 0, turns: int = 1) -> DataFr
             upto, listed = np.r_[0, np.cumsum(sent.sum(1))], own.take(pa.array(places[sent]))
             offsets, data = np.frombuffer(listed.buffers()[1], np.int32), listed.buffers()[2]
             for part, (i, j) in enumerate(zip(firsts, ends)):
-                if i < j and part % turns == turn:
+                if i < j:
                     text = data[offsets[upto[i]] : offsets[upto[j]] - 1].to_pybytes()
                     blobs = [packed((size * 4 + shared)[i:j].astype(np.uint8)), packed(text, LEVEL), packed(counts[i:j])]
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row["block"]]), *[pa.array([b], pa.binary()) for b in blobs]], ["part", "block", "shape", "words", "counts"])
@@ -181,35 +188,51 @@ def asked(found: DataFrame, parts: int, turn: int = 0, turns: int = 1) -> DataFr
     return found.select("block", "starts", "stored", "vocabulary", "words").mapInArrow(run, "part int, block long, shape binary, words binary, counts binary")
 
 
-def features(shape: np.ndarray, words_: bytes) -> pa.Array:
-    """The strings of a list of features, from what each adds to the one before it."""
+def features(shape: np.ndarray, numbers: np.ndarray, none: int) -> list[np.ndarray]:
+    """The words of a list of features, place by place, from what each adds to the one before it; ``none`` stands for no word."""
     size, shared = (shape // 4).astype(np.int64), (shape % 4).astype(np.int64)
-    own = pc.list_flatten(pc.split_pattern(pa.array([words_], pa.binary()), b"\n"))
-    own = pa.concat_arrays([own, pa.array([b""], pa.binary())])
-    first, joined = np.cumsum(size - shared) - (size - shared), []
+    first, found = np.cumsum(size - shared) - (size - shared), []
     for i in range(ORDER):
         # Where a feature has no word of its own here, the last one that had stands for it.
         at = np.maximum.accumulate(np.where((i >= shared) & (i < size), first + i - shared, 0))
-        joined.append(own.take(pa.array(np.where(i < size, at, len(own) - 1))))
-    spaced = [joined[0]]
-    blank = pa.array([b"", b" "], pa.binary())
-    for i in range(1, ORDER):
-        spaced += [blank.take(pa.array((i < size).astype(np.int8))), joined[i]]
-    return pc.binary_join_element_wise(*spaced, pa.scalar(b"", pa.binary()))
+        found.append(np.where(i < size, numbers[at], none))
+    return found
+
+
+def joined(places: list[np.ndarray], words_: pa.Array) -> pa.Array:
+    """Features as strings, one space between words; the number behind the last word stands for no word."""
+    spaced = pc.binary_join_element_wise(pa.scalar(b" ", pa.binary()), words_, pa.scalar(b"", pa.binary()))
+    none = pa.array([b""], pa.binary())
+    tables = [pa.concat_arrays([words_, none]), *[pa.concat_arrays([spaced, none])] * (ORDER - 1)]
+    return pc.binary_join_element_wise(*[t.take(pa.array(p)) for t, p in zip(tables, places)], pa.scalar(b"", pa.binary()))
 
 
 def dictionary(questions: DataFrame) -> DataFrame:
     """(block, part, buckets, sums): for each list its features' buckets, and once for each part, with a null block, counts by bucket."""
 
     def run(group: pa.Table) -> pa.Table:
-        lists = [features(unpacked(s, np.uint8), unpacked(w)) for s, w in zip(group["shape"].to_pylist(), group["words"].to_pylist())]
+        shapes = [unpacked(s, np.uint8) for s in group["shape"].to_pylist()]
+        words_ = pc.list_flatten(pc.split_pattern(pa.array([b"\n".join(unpacked(w) for w in group["words"].to_pylist())], pa.binary()), b"\n")).dictionary_encode()
+        numbers, known = words_.indices.to_numpy().astype(np.int64), words_.dictionary
+        none, bits = len(known), (len(known) + 1).bit_length()
+        at, lists = 0, []
+        for shape in shapes:
+            own = int((shape // 4).sum() - (shape % 4).sum(dtype=np.int64))
+            lists.append(features(shape, numbers[at : at + own], none))
+            at += own
+        places = [np.concatenate(p) for p in zip(*lists)]
+        if bits * ORDER <= 63:
+            of, distinct = pd.factorize(sum(p << (bits * i) for i, p in enumerate(places)))
+            places = [(distinct >> (bits * i)) & ((1 << bits) - 1) for i in range(ORDER)]
+            strings = joined(places, known)
+        else:
+            whole = joined(places, known).dictionary_encode()
+            of, strings = whole.indices.to_numpy(), whole.dictionary
+        bucket = (np.fromiter(map(zlib.crc32, strings.to_pylist()), np.uint32, len(strings)) % BUCKETS).astype(np.uint16)
         counts = np.concatenate([unpacked(c, np.uint32) for c in group["counts"].to_pylist()])
-        ends = np.cumsum([len(x) for x in lists])
-        distinct = pa.concat_arrays(lists).dictionary_encode()
-        of = distinct.indices.to_numpy()
-        bucket = (np.fromiter(map(zlib.crc32, distinct.dictionary.to_pylist()), np.uint32, len(distinct.dictionary)) % BUCKETS).astype(np.uint16)
-        sums = np.zeros(BUCKETS, np.int64)
-        np.add.at(sums, bucket[of], counts)
+        # Counts as floating-point numbers are whole and exact below 2 ** 53.
+        sums = np.bincount(bucket[of], weights=counts, minlength=BUCKETS).astype(np.int64)
+        ends = np.cumsum([len(x) for x in shapes])
         answers = [packed(bucket[of[i:j]]) for i, j in zip([0, *ends[:-1]], ends)]
         n = len(answers) + 1
         return pa.table({
@@ -249,27 +272,39 @@ def gains(raw: DataFrame, target: DataFrame) -> np.ndarray:
     return np.floor(1000 * np.log((t + 1) * (s.sum() + BUCKETS) / ((s + 1) * (t.sum() + BUCKETS)))).astype(np.int64)
 
 
-def weights(found: DataFrame, answers: DataFrame, parts: int, gain: np.ndarray) -> DataFrame:
-    """(row, doc_id, n_words, n_features, weight) for every document of the blocks."""
+def gained(answers: DataFrame, gain: np.ndarray) -> DataFrame:
+    """(block, part, gains): the dictionary's answers with gains instead of buckets, which are fewer different numbers and so travel shorter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [packed(gain[unpacked(b, np.uint16)].astype(np.int32)) for b in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["block", "part", "gains"])
+
+    return answers.where("block IS NOT NULL").select("block", "part", "buckets").mapInArrow(run, "block long, part int, gains binary")
+
+
+def weights(found: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+    """(row, doc_id, n_words, n_features, weight) for every document of the blocks, by the gains that are joined to them."""
 
     def run(block: pa.Table, lists: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         vocabulary, starts, stored = _vocabulary(row["vocabulary"]), np.array(row["starts"]), np.array(row["stored"])
         code, stretch = codes(unpacked(row["words"], np.uint32), starts, stored)
-        distinct, of = np.unique(code, return_inverse=True)
-        order, ends = routed(distinct, vocabulary, parts)
-        bucket = np.zeros(len(distinct), np.uint16)
-        for part, answer in zip(lists["part"].to_pylist(), lists["buckets"].to_pylist()):
-            bucket[order[ends[part - 1] if part else 0 : ends[part]]] = unpacked(answer, np.uint16)
-        weight = np.zeros(len(starts), np.int64)
-        np.add.at(weight, stretch, gain[bucket][of])
+        of, distinct = pd.factorize(code)
+        # As ``asked`` has them: by part, and then by their numbers.
+        by_number = np.argsort(distinct)
+        order, ends = routed(parted(distinct[by_number], vocabulary, parts), parts)
+        order, gain = by_number[order], np.zeros(len(distinct), np.int32)
+        for part, answer in zip(lists["part"].to_pylist(), lists["gains"].to_pylist()):
+            gain[order[ends[part - 1] if part else 0 : ends[part]]] = unpacked(answer, np.int32)
+        weight = np.bincount(stretch, weights=gain[of], minlength=len(starts)).astype(np.int64)
         return pa.table({"row": pa.array(row["rows"], pa.int64()), "doc_id": pa.array(row["ids"], pa.int64()), "n_words": pa.array(starts, pa.int64()), "n_features": pa.array(np.bincount(stretch, minlength=len(starts)), pa.int64()), "weight": weight})
 
     blocks_ = found.select("block", "rows", "ids", "starts", "stored", "vocabulary", "words")
     schema = "row long, doc_id long, n_words long, n_features long, weight long"
-    parted = blocks_.groupBy("block").cogroup(answers.where("block IS NOT NULL").select("block", "part", "buckets").groupBy("block")).applyInArrow(run, schema)
+    parted_ = blocks_.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
     # Long texts lie in several blocks.
-    return parted.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_features", "weight")])
+    return parted_.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_features", "weight")])
 
 
 def noise(key: Column, salt: str = SALT) -> Column:
@@ -283,7 +318,7 @@ def resample(spark: SparkSession, df: DataFrame, target: DataFrame, id_col: str
     """A row for each row of ``df``: doc_id, n_words, n_features, weight, score, and rank for the rows that are drawn."""
     found, answers, parts = counted(spark, df, id_col, text_col)
     gain = gains(bucket_counts(answers), bucket_counts(counted(spark, target, target_id, target_text)[1]))
-    scored = weights(found, answers, parts, gain).withColumn("score", F.col("weight") + noise(F.col("doc_id")))
+    scored = weights(found, gained(answers, gain), parts).withColumn("score", F.col("weight") + noise(F.col("doc_id")))
     scored = table(spark, scored, "scored")
     drawn = percent * scored.where(F.col("n_words") >= min_words).count() // 100
     # Ranks of all that may be drawn by counts of ranges of scores, so that no task sorts more than a range.
