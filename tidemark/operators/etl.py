@@ -34,9 +34,10 @@ def at_modal_date(articles: DataFrame, keys: Sequence[str], date: str, *order: s
 
 
 def keep_one(rows: DataFrame, keys: Sequence[str], prefer: Column, *order: str) -> DataFrame:
-    """One row per key: a preferred one if there is any, else the first."""
-    best = Window.partitionBy(*keys).orderBy(prefer.desc(), *order)
-    return rows.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
+    """One row per key: a preferred one if there is any, else the first. An aggregate, so copies combine before they are shuffled."""
+    rank = F.when(prefer, 0).when(~prefer, 1).otherwise(2)
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(*keys).agg(F.min_by(row, F.struct(rank.alias("rank"), *order)).alias("_row")).select("_row.*")
 
 
 def group_references(refs: DataFrame, summary: str, title: str, url: str, date: str, number: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,10 +38,17 @@ def nearest(queries: DataFrame, targets: DataFrame, query_key: str, target_key:
     return scored.groupBy(query_key).agg(best).select(query_key, f"_best.{target_key}", "_best.similarity")
 
 
+def one_per_key(rows: DataFrame, keys: Sequence[str], ordinal: str, last: bool = False) -> DataFrame:
+    """The first or last row of each key by an aggregate, which combines on the map side; a null ordinal comes first."""
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    at = F.struct(F.col(ordinal).isNotNull().alias("known"), F.col(ordinal).alias("at"))
+    best = (F.max_by if last else F.min_by)(row, at).alias("_row")
+    return rows.groupBy(*keys).agg(best).select("_row.*")
+
+
 def last_per_key(rows: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
     """Last write wins."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(ordinal))
-    return rows.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    return one_per_key(rows, keys, ordinal, last=True)
 
 
 def intersect_runs(a: DataFrame, b: DataFrame, keys: Sequence[str], ordinal: str, value: str) -> DataFrame:
@@ -64,20 +71,25 @@ def zip_pairs(left: str, right: str) -> Column:
     return F.arrays_zip(F.slice(left, F.lit(1), n).alias(left), F.slice(right, F.lit(1), n).alias(right))
 
 
-def exact_then_prefix(markers: DataFrame, references: DataFrame, marker: str, reference: str, ordinal: str, width: int = 1) -> DataFrame:
-    """Each marker's reference: that with its id, else the first whose id begins with the marker."""
-    by_prefix = references.withColumn("_cut", F.substring(reference, 1, width))
-    hit = markers.withColumn("_cut", F.substring(marker, 1, width)).join(by_prefix, "_cut").where(F.startswith(F.col(reference), F.col(marker)))
-    best = F.min_by(reference, F.struct((F.col(reference) != F.col(marker)).alias("later"), F.col(ordinal).alias("at"))).alias(reference)
-    found = hit.groupBy(marker).agg(best)
+def exact_then_prefix(markers: DataFrame, references: DataFrame, marker: str, reference: str, ordinal: str) -> DataFrame:
+    """Each marker's reference: that with its id, else the first whose id begins with the marker.
+
+    An id is cut to each length that markers have, of which there are few, and joined on the whole cut, so ids with one
+    common beginning are spread by what follows it.  Cuts are the same for many ids; the first of each goes on alone."""
+    lengths = markers.select(F.length(marker).alias("_n")).where("_n IS NOT NULL").distinct()
+    lengths = lengths.agg(F.sort_array(F.collect_list("_n")).alias("_lengths"))  # one row: the different lengths of ids
+    at = F.struct(F.col(ordinal).alias("at"), F.col(reference).alias("id"))
+    cut = references.crossJoin(F.broadcast(lengths)).where(F.col(reference).isNotNull())
+    cut = cut.select(reference, ordinal, F.explode(F.filter("_lengths", lambda n: n <= F.length(reference))).alias("_n"))
+    cut = cut.groupBy(F.substring(reference, F.lit(1), F.col("_n")).alias("_cut")).agg(F.min(at).alias("_first"), F.min(F.when(F.length(reference) == F.col("_n"), at)).alias("_same"))
+    found = cut.select(F.col("_cut").alias(marker), F.coalesce("_same.id", "_first.id").alias(reference))
     return markers.join(found, marker, "left")
 
 
 def new_rows(candidates: DataFrame, existing: DataFrame, key: str, ordinal: str) -> DataFrame:
     """Candidates whose key isn't there yet; of repeated ones the first."""
-    first = Window.partitionBy(key).orderBy(ordinal)
     fresh = candidates.join(existing.select(key).distinct(), key, "left_anti")
-    return fresh.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+    return one_per_key(fresh, [key], ordinal)
 
 
 def backfill(rows: DataFrame, fetched: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

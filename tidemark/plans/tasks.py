@@ -12,6 +12,7 @@ from ..functions import models, qa_generation
 from ..functions.parsing import answer_letter, question_type, same_answer
 from ..functions.text import greedy_budget, token_estimate
 from ..operators import cluster_state, windows
+from ..operators.joins import one_per_key
 from . import clustering_metrics as cm
 from . import summary_metrics as sm
 
@@ -96,4 +97,4 @@ def reference_labels(docs: DataFrame, keys: list[str], order: list[str], text: s
 
 def first_windows(rows: DataFrame, topic: str, order: str) -> DataFrame:
     """The first window of each topic."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(topic).orderBy(order))).where("_n = 1").drop("_n")
+    return one_per_key(rows, [topic], order)

@@ -11,8 +11,8 @@ from ..sources import connectors
 from ..sources.tables import articles, dated_events, read, spread, text_events
 
 TARGET = "src3"
-# Literal cases for date forms.
-DATE_CASES = ("Dec 3, 2024", "3 December 2024", "2024/12/3", "March 2024", "n/a", "2024-1-5", "2024.02.30", "on 7 Aug 2023, a Monday", "Sept. 9, 2021", "2024_03_07", "2024_March_7", "2024")
+#: Forms of dates by the remainder of the order's number; None stands for a text without a date.
+DATE_FORMS = ("MMM d, yyyy", "d MMMM yyyy", "yyyy/M/d", "MMMM yyyy", None, "yyyy-M-d", "'on' d MMM yyyy', a Monday'", "yyyy_MM_dd", "yyyy_MMMM_d")
 
 
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def preview_200(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(text.clean_summary(F.col("text"))).alias("summary"), F.md5(text.metric_text(F.col("text"))).alias("metric"), text.folder_name(F.concat_ws("/", "source", "lang")).alias("folder"))
 
 
@@ -166,9 +166,11 @@ def word_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(x,) for x in DATE_CASES], "raw string")
+    """Order dates in several forms, and what each reader of dates makes of them."""
+    form = lambda i, f: F.when(F.col("o_orderkey") % len(DATE_FORMS) == i, F.date_format("o_orderdate", f) if f else F.concat(F.lit("n/a "), F.col("o_orderkey").cast("string")))
+    raw = read(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(*[form(i, f) for i, f in enumerate(DATE_FORMS)]).alias("raw"))
     c = F.col("raw")
-    return raw.select("raw", dates.free_date(c).alias("free"), dates.strict_date(c).alias("strict"), dates.underscored(c).alias("hyphens"), dates.heading_date(c).alias("heading"))
+    return raw.select("o_orderkey", "raw", dates.free_date(c).alias("free"), dates.strict_date(c).alias("strict"), dates.underscored(c).alias("hyphens"), dates.heading_date(c).alias("heading"))
 
 
 def order_date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,13 +355,14 @@ SELECT source, doc_id, list_contains(kept, i) AS kept FROM (SELECT source, kept,
     "prefix_strip": "SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'Other: Policy: kept, ' WHEN doc_id % 5 = 4 THEN 'kept, ' ELSE 'Policy: kept, ' END || source AS plain FROM documents",
     "preview_200": f"SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview, length(text) // 4 AS tokens, CAST(len({_WORDS.format('text')}) AS BIGINT) AS words FROM documents",
     "clean_text": r"""
-SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS summary, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS metric, source || '_' || lang AS folder FROM documents WHERE lang = 'en'""",
+SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS summary, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS metric, source || '_' || lang AS folder FROM documents""",
     "word_cap": f"SELECT doc_id, array_to_string(list_slice({_WORDS.format('text')}, 1, 12), ' ') || '...' AS cut FROM documents",
     "date_normalise": """
-SELECT * FROM (VALUES ('Dec 3, 2024', DATE '2024-12-03', NULL::DATE, 'Dec 3, 2024', NULL::VARCHAR), ('3 December 2024', DATE '2024-12-03', NULL, '3 December 2024', NULL), ('2024/12/3', DATE '2024-12-03', NULL, '2024/12/3', NULL),
-('March 2024', DATE '2024-03-01', NULL, 'March 2024', NULL), ('n/a', NULL, NULL, 'n/a', NULL), ('2024-1-5', DATE '2024-01-05', DATE '2024-01-05', '2024-1-5', NULL), ('2024.02.30', NULL, NULL, '2024.02.30', NULL),
-('on 7 Aug 2023, a Monday', DATE '2023-08-07', NULL, 'on 7 Aug 2023, a Monday', NULL), ('Sept. 9, 2021', DATE '2021-09-09', NULL, 'Sept. 9, 2021', NULL), ('2024_03_07', NULL, NULL, '2024-03-07', NULL),
-('2024_March_7', NULL, NULL, '2024-March-7', '2024_03_07'), ('2024', NULL, NULL, '2024', NULL)) AS t(raw, free, strict, hyphens, heading)""",
+WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS k, o_orderdate AS d FROM orders),
+r AS (SELECT *, CASE k WHEN 0 THEN strftime(d, '%b %-d, %Y') WHEN 1 THEN strftime(d, '%-d %B %Y') WHEN 2 THEN strftime(d, '%Y/%-m/%-d') WHEN 3 THEN strftime(d, '%B %Y') WHEN 4 THEN 'n/a ' || CAST(o_orderkey AS VARCHAR)
+    WHEN 5 THEN strftime(d, '%Y-%-m-%-d') WHEN 6 THEN 'on ' || strftime(d, '%-d %b %Y') || ', a Monday' WHEN 7 THEN strftime(d, '%Y_%m_%d') ELSE strftime(d, '%Y_%B_%-d') END AS raw FROM o)
+SELECT o_orderkey, raw, CASE WHEN k IN (0, 1, 2, 5, 6) THEN CAST(d AS DATE) WHEN k = 3 THEN CAST(date_trunc('month', d) AS DATE) END AS free, CASE WHEN k = 5 THEN CAST(d AS DATE) END AS strict,
+CASE WHEN k IN (7, 8) THEN replace(raw, '_', '-') ELSE raw END AS hyphens, CASE WHEN k = 8 THEN strftime(d, '%Y_%m_%d') END AS heading FROM r""",
     "order_date_forms": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_date, strftime(o_orderdate, '%Y-%m-%d') AS hyphens FROM orders",
     "budget_rule": """
 WITH r AS (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE n_nationkey % 5 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 8 ELSE 1 END AS scale, CAST(CASE n_nationkey % 3 WHEN 0 THEN 8192 WHEN 1 THEN 4096 ELSE 8000 END AS BIGINT) AS l FROM nation)

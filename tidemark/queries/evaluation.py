@@ -11,18 +11,14 @@ from ..plans import clustering_metrics as cm
 from ..plans import qa_metrics as qa
 from ..sources.tables import dated_events, read
 
-# Literal cases for the answer parser.
-ANSWERS = ("Because", "Answer: C", "The option is C, not A", "2", "", "nothing", "Option (B).", "3) yes", "  d", "We say ANSWER: D")
-JUDGED = ('```json\n{"criteria":[{"is_satisfied":true},{"is_satisfied":false}],"score":2}\n```', '{"criteria":[{"is_satisfied":true},{"is_satisfied":true}]}', "garbage", '{"score":2}')
-CHOSEN = ("(3, ['x', \"y\"])", "```python\n(2, ['a b'])\n```", "none", "Cluster: 4, keywords: [p, q]", "I say 7", "(-1, [])")
-
-
-def _literals(spark: SparkSession, values: tuple[str, ...]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(values)), "at long, response string")
-
 
 def qa_answer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, ANSWERS).select("at", parsing.answer_letter(F.col("response")).alias("letter"))
+    """Answers in several spellings, made of the letters of turns."""
+    letter = F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (F.col("conv_id") % 4 + 1).cast("int"))
+    forms = [F.concat(F.lit("Answer: "), letter), F.concat(F.lit("So the option is "), letter, F.lit(", not A")), (F.col("conv_id") % 5).cast("string"), F.lit(""), F.concat(F.lit("Option ("), letter, F.lit(").")),
+             F.concat((F.col("conv_id") % 4 + 1).cast("string"), F.lit(") yes")), F.concat(F.lit("  "), F.lower(letter)), F.concat(F.lit("We say ANSWER: "), letter), F.substring("text", 1, 40)]
+    response = F.element_at(F.array(*forms), ((F.col("conv_id") + F.col("turn")) % len(forms) + 1).cast("int"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", parsing.answer_letter(response).alias("letter"))
 
 
 def qa_answer_parse_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +27,21 @@ def qa_answer_parse_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, JUDGED).select("at", parsing.judge_score(F.col("response")).cast("long").alias("score"))
+    """A judge's answers made of labels, in a code block, bare, unreadable or without criteria."""
+    said = lambda c: F.when(F.col(c) == 1, "true").otherwise("false")
+    bare = F.concat(F.lit('{"criteria":[{"is_satisfied":'), said("quality"), F.lit('},{"is_satisfied":'), said("toxic"), F.lit("}]"))
+    forms = [F.concat(F.lit("```json\n"), bare, F.lit(',"score":2}\n```')), F.concat(bare, F.lit("}")), F.lit("garbage"), F.lit('{"score":2}')]
+    response = F.element_at(F.array(*forms), (F.col("doc_id") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "labels").select("doc_id", parsing.judge_score(response).cast("long").alias("score"))
 
 
 def cluster_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = parsing.cluster_choice(F.col("response"))
-    return _literals(spark, CHOSEN).select("at", c["cluster"].cast("long").alias("cluster"), F.array_join(c["keywords"], "|").alias("keywords"))
+    """Choices of clusters made of events, in several spellings."""
+    n, w = F.col("user_id").cast("string"), F.col("event_type")
+    forms = [F.concat(F.lit("("), n, F.lit(", ['"), w, F.lit("', \"y\"])")), F.concat(F.lit("```python\n("), n, F.lit(", ['a "), w, F.lit("'])\n```")), F.lit("none"),
+             F.concat(F.lit("Cluster: "), n, F.lit(", keywords: [p, "), w, F.lit("]")), F.concat(F.lit("I say "), n), F.lit("(-1, [])")]
+    c = parsing.cluster_choice(F.element_at(F.array(*forms), (F.col("event_id") % len(forms) + 1).cast("int")))
+    return read(spark, sf_dir, "events").select("event_id", c["cluster"].cast("long").alias("cluster"), F.array_join(c["keywords"], "|").alias("keywords"))
 
 
 def question_type_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +127,7 @@ def choice_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = read(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", (F.col("user_id") % 50).cast("string")).alias("question"), "event_id", "value")
-    return events.where("event_id % 3 = 0"), events.where("event_id % 3 = 1")
+    return events.where("event_id % 3 = 0"), events.where("event_id % 3 > 0")
 
 
 def paired_run_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,18 +208,24 @@ z AS (SELECT row_number() OVER (ORDER BY w) - 1 AS window_index, round(p, 6) AS
 _KINDS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{m}')" for m in marks) + f" THEN '{name}'" for name, marks in parsing.QUESTION_TYPES) + " ELSE 'other' END"
 _RUBRIC = ", ".join(f"CASE WHEN doc_id % {i + 2} = 0 THEN 0.0 ELSE 1.0 END AS {c}" for i, c in enumerate(parsing.RUBRIC[:4]))
 _RUN = "r AS (SELECT event_type || '-' || CAST(user_id % 50 AS VARCHAR) AS question, event_id, value FROM events)"
-_LAST = "{0} AS (SELECT question, event_id, value FROM r WHERE event_id % 3 = {1} QUALIFY row_number() OVER (PARTITION BY question ORDER BY event_id DESC) = 1)"
+_LAST = "{0} AS (SELECT question, event_id, value FROM r WHERE event_id % 3 {1} QUALIFY row_number() OVER (PARTITION BY question ORDER BY event_id DESC) = 1)"
 _SCORE = "s AS (SELECT doc_id, doc_id % 3 AS q, quality * 2 AS a, quality + toxic AS c, doc_id % 4 AS hq, quality + 1 AS ha, quality AS hc FROM labels)"
 
+_LETTER = r"""CASE WHEN substr(r, 1, 1) IN ('A', 'B', 'C', 'D') THEN substr(r, 1, 1) WHEN regexp_extract(r, 'ANSWER:\s*([ABCD])', 1) <> '' THEN regexp_extract(r, 'ANSWER:\s*([ABCD])', 1)
+WHEN regexp_matches(r, '\bA\b') THEN 'A' WHEN regexp_matches(r, '\bB\b') THEN 'B' WHEN regexp_matches(r, '\bC\b') THEN 'C' WHEN regexp_matches(r, '\bD\b') THEN 'D'
+WHEN substr(r, 1, 1) IN ('1', '2', '3', '4') THEN translate(substr(r, 1, 1), '1234', 'abcd') ELSE 'A' END"""
 ORACLE = {
-    "qa_answer_parse": "SELECT * FROM (VALUES (0::BIGINT, 'B'), (1, 'A'), (2, 'A'), (3, 'b'), (4, 'A'), (5, 'A'), (6, 'B'), (7, 'c'), (8, 'D'), (9, 'D')) AS t(\"at\", letter)",
-    "qa_answer_parse_turns": r"""
+    "qa_answer_parse": rf"""
+WITH c AS (SELECT *, substr('ABCD', CAST(conv_id % 4 + 1 AS INT), 1) AS l FROM conversations),
+f AS (SELECT conv_id, turn, CASE (conv_id + turn) % 9 WHEN 0 THEN 'Answer: ' || l WHEN 1 THEN 'So the option is ' || l || ', not A' WHEN 2 THEN CAST(conv_id % 5 AS VARCHAR) WHEN 3 THEN '' WHEN 4 THEN 'Option (' || l || ').'
+    WHEN 5 THEN CAST(conv_id % 4 + 1 AS VARCHAR) || ') yes' WHEN 6 THEN '  ' || lower(l) WHEN 7 THEN 'We say ANSWER: ' || l ELSE substr(text, 1, 40) END AS x FROM c),
+u AS (SELECT conv_id, turn, upper(trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS r FROM f) SELECT conv_id, turn, {_LETTER} AS letter FROM u""",
+    "qa_answer_parse_turns": rf"""
 WITH u AS (SELECT role, upper(trim(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS r FROM conversations)
-SELECT role, CASE WHEN substr(r, 1, 1) IN ('A', 'B', 'C', 'D') THEN substr(r, 1, 1) WHEN regexp_extract(r, 'ANSWER:\s*([ABCD])', 1) <> '' THEN regexp_extract(r, 'ANSWER:\s*([ABCD])', 1)
-WHEN regexp_matches(r, '\bA\b') THEN 'A' WHEN regexp_matches(r, '\bB\b') THEN 'B' WHEN regexp_matches(r, '\bC\b') THEN 'C' WHEN regexp_matches(r, '\bD\b') THEN 'D'
-WHEN substr(r, 1, 1) IN ('1', '2', '3', '4') THEN translate(substr(r, 1, 1), '1234', 'abcd') ELSE 'A' END AS letter, count(*) AS n FROM u GROUP BY ALL""",
-    "judge_scores": "SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT), (1, 2), (2, 0), (3, 0)) AS t(\"at\", score)",
-    "cluster_choices": "SELECT * FROM (VALUES (0::BIGINT, 3::BIGINT, 'x|y'), (1, 2, 'a b'), (2, -1, ''), (3, 4, 'p|q'), (4, 7, ''), (5, -1, '')) AS t(\"at\", cluster, keywords)",
+SELECT role, {_LETTER} AS letter, count(*) AS n FROM u GROUP BY ALL""",
+    "judge_scores": "SELECT doc_id, CAST(CASE WHEN doc_id % 4 < 2 THEN CAST(quality = 1 AS INT) + CAST(toxic = 1 AS INT) ELSE 0 END AS BIGINT) AS score FROM labels",
+    "cluster_choices": """
+SELECT event_id, CASE WHEN event_id % 6 IN (2, 5) THEN -1 ELSE user_id END AS cluster, CASE event_id % 6 WHEN 0 THEN event_type || '|y' WHEN 1 THEN 'a ' || event_type WHEN 3 THEN 'p|' || event_type ELSE '' END AS keywords FROM events""",
     "question_type_classify": f"SELECT {_KINDS} AS question_type, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1",
     "qa_accuracy_overall": f"WITH {_PRED} SELECT count(*) AS total, count(*) FILTER (ok) AS correct, round(avg(CAST(ok AS INT)), 6) AS accuracy FROM q",
     "qa_accuracy_by_type": f"WITH {_PRED} SELECT CASE WHEN lang = 'es' THEN 'unknown' ELSE lang END AS question_type, count(*) AS n, round(avg(CAST(ok AS INT)), 6) AS accuracy FROM q GROUP BY 1",
@@ -242,8 +253,8 @@ WITH r AS (SELECT toxic = 1 AS is_struct, {_RUBRIC} FROM labels) SELECT is_struc
     "choice_sanity": """
 WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS x FROM conversations WHERE turn < 4 GROUP BY conv_id), v AS (SELECT conv_id, len(x) = 4 AND len(list_distinct(x)) = 4 AND len(list_filter(x, lambda t: trim(t) = '')) = 0 AS valid FROM c)
 SELECT conv_id, valid, CASE WHEN valid THEN CASE WHEN conv_id % 5 = 0 THEN 'missing answer' ELSE '' END ELSE CASE WHEN conv_id % 5 = 0 THEN 'invalid choices;missing answer' ELSE 'invalid choices' END END AS reasons FROM v""",
-    "paired_run_intersection": f"WITH {_RUN}, {_LAST.format('a', 0)}, {_LAST.format('b', 1)} SELECT question, a.value AS value_a, b.value AS value_b FROM a JOIN b USING (question)",
-    "run_pairing": f"WITH {_RUN}, {_LAST.format('a', 0)}, {_LAST.format('b', 1)} SELECT question, coalesce(a.event_id, -1) AS id_a, coalesce(b.event_id, -1) AS id_b, a.event_id IS NOT NULL AND b.event_id IS NOT NULL AS intersection FROM a FULL JOIN b USING (question)",
+    "paired_run_intersection": f"WITH {_RUN}, {_LAST.format('a', '= 0')}, {_LAST.format('b', '> 0')} SELECT question, a.value AS value_a, b.value AS value_b FROM a JOIN b USING (question)",
+    "run_pairing": f"WITH {_RUN}, {_LAST.format('a', '= 0')}, {_LAST.format('b', '> 0')} SELECT question, coalesce(a.event_id, -1) AS id_a, coalesce(b.event_id, -1) AS id_b, a.event_id IS NOT NULL AND b.event_id IS NOT NULL AS intersection FROM a FULL JOIN b USING (question)",
     "export_rollup": "WITH e AS (SELECT year(ts) AS year, event_type AS model, user_id % 3 AS story, value FROM events) SELECT coalesce(CAST(year AS VARCHAR), 'all') AS year, coalesce(model, 'all') AS model, coalesce(CAST(story AS VARCHAR), 'all') AS story, mean, n FROM (SELECT year, model, story, round(avg(value), 4) AS mean, count(*) AS n FROM e GROUP BY ROLLUP (year, model, story))",
     "run_summary": "SELECT count(*) FILTER (event_id % 13 <> 0) AS successful, count(*) FILTER (event_id % 13 = 0) AS failed, round(avg(CAST(event_id % 13 <> 0 AS INT)), 6) AS success_rate FROM events",
     "b3_metrics": f"""

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .written import Scratch
+
 
 def with_header(rows: DataFrame, header: Sequence[str]) -> DataFrame:
     """Only the header's columns, in its order; missing ones are empty."""
@@ -15,7 +17,8 @@ def with_header(rows: DataFrame, header: Sequence[str]) -> DataFrame:
 
 
 def write_csv_by_year(rows: DataFrame, path: str, header: Sequence[str], order: Sequence[str]) -> None:
-    out = with_header(rows, header).withColumn("_year", F.col("year")).repartition("_year").sortWithinPartitions("_year", *order)
+    """A folder a year; its files in the order of their names are in the order of ``order``. Ranges, so that a large year is several tasks."""
+    out = with_header(rows, header).withColumn("_year", F.col("year")).repartitionByRange("_year", *order).sortWithinPartitions("_year", *order)
     out.write.mode("overwrite").partitionBy("_year").option("header", True).csv(path)
 
 
@@ -25,8 +28,8 @@ def write_json(rows: DataFrame, path: str, first: Sequence[str] = (), mode: str
 
 
 def write_per_file(rows: DataFrame, path: str, file: str = "file") -> None:
-    """One folder of JSON per input file, named by it."""
-    rows.withColumn("input", F.regexp_extract(file, r"([^/]+?)(?:\.json)?$", 1)).repartition("input").write.mode("overwrite").partitionBy("input").json(path)
+    """One folder of JSON per input file, named by it; large ones are split among tasks."""
+    rows.withColumn("input", F.regexp_extract(file, r"([^/]+?)(?:\.json)?$", 1)).hint("rebalance", "input").write.mode("overwrite").partitionBy("input").json(path)
 
 
 def write_with_backup(spark: SparkSession, rows: DataFrame, path: str, stamp: str) -> str | None:
@@ -50,16 +53,20 @@ def annotation_rows(rows: DataFrame, texts: str = "event_text", choices: str = "
 
 
 def append_new(spark: SparkSession, rows: DataFrame, path: str, keys: Sequence[str]) -> int:
-    """Appends the rows whose keys aren't stored yet and returns their number; a restart goes on where it stopped."""
-    try:
-        done = spark.read.parquet(path).select(*keys)
-        rows = rows.join(done, list(keys), "left_anti")
-    except Exception as e:  # the first write
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    before = 0 if "done" not in locals() else done.count()
-    rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    """Appends the rows whose keys aren't stored yet and returns their number; a restart goes on where it stopped.
+
+    The rows to be added are written beside the table first, so what is counted is what is appended."""
+    scratch = Scratch(spark)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    if there:
+        rows = rows.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
+    new = scratch.write(rows, "new")
+    n = new.count()
+    if n or not there:
+        new.write.mode("append").parquet(path)
+    scratch.drop(new)
+    return n
 
 
 def upsert(spark: SparkSession, cache: DataFrame | None, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
