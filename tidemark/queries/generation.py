@@ -12,10 +12,12 @@ from ..functions.parsing import batch_answers, rubric_score
 from ..functions.text import keywords
 from ..operators import cluster_state, density, windows, word_vectors
 from ..plans import summary_metrics as sm
-from ..plans import questions, tasks
+from ..plans import ledger, questions, tasks
+from ..sources import results
 from ..sources.tables import articles, dated_events, read, spread, text_events
 from ..sources.written import Scratch
 from ..streaming import stateful
+from ..streaming.folders import checkpoint_folder
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +101,26 @@ def seeded_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_state.cluster_incrementally(rows, "topic", "doc_id", "text", ["event_date", "doc_id"], "head", topics=("known", "terms"))
 
 
+def ledger_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to all turns through a ledger, asked twice: the second time every answer is there already."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    path = f"{checkpoint_folder(spark)}/ledger"
+    ledger.answered(spark, turns.where("turn % 2 = 0"), F.col("text"), path, max_tokens=20, temperature=0.0)
+    found = ledger.answered(spark, turns, F.col("text"), path, max_tokens=20, temperature=0.0)
+    return found.select("conv_id", "turn", F.md5("answer").alias("answer"), "answer_error")
+
+
+def results_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and their counts as results of a run in two appends, and the head's and the rows' counts read back."""
+    docs = spread(read(spark, sf_dir, "documents")).select("doc_id", "source", "text")
+    path = f"{checkpoint_folder(spark)}/results"
+    results.write_results(spark, docs.where("lang = 'en'").unionByName(docs.where("lang <> 'en'")).where("doc_id % 2 = 0"), path, {"engine": "stub"}, {"score": 1.0}, ("text",))
+    made = results.write_results(spark, docs.where("doc_id % 2 = 1"), path, {"engine": "stub"}, {"score": 1.0}, ("text",), mode="append")
+    back = results.read_results(spark, path, "doc_id long, source string, text string")
+    per = back.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return per.withColumns({"rows": F.lit(made["rows"]).cast("long"), "words": F.lit(made["words"]["text"]).cast("long")})
+
+
 def window_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stub summary per five-day window and topic, from its documents as far as the budget goes, and its overlap with the first of them."""
     held = windows.assign_date_windows(articles(spark, sf_dir), 5, 5)
@@ -232,7 +254,7 @@ def task_temporal_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    rouge1_f, rouge2_f, summary_sequence_metrics, summary_averages, novelty_tokens, distinctiveness, embedded_similarity, embedded_token_match, word_associations, density_topics, seeded_stories, window_summaries, window_clustering_stub, story_clustering_stub, question_building,
+    rouge1_f, rouge2_f, summary_sequence_metrics, summary_averages, novelty_tokens, distinctiveness, embedded_similarity, embedded_token_match, word_associations, density_topics, seeded_stories, ledger_answers, results_round_trip, window_summaries, window_clustering_stub, story_clustering_stub, question_building,
     question_attempts, question_candidates, question_redundancy, rubric_judge, batched_answers, cluster_level_keywords, micro_metrics,
     task_clustering, task_summarization, task_temporal_qa, html_link_extract, html_article_text, stream_window_counts, stream_cluster_state,
 )}
@@ -252,6 +274,9 @@ f AS (SELECT doc_id, 2 * sum(least(x, y)) / (sum(x) + sum(y)) AS f FROM b GROUP
 _JACCARD = "CASE WHEN len({0}) + len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1})))::DOUBLE END"
 
 ORACLE = {
+    "ledger_answers": r"SELECT conv_id, turn, md5(array_to_string(list_slice(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), 1, 10), ' ')) AS answer, NULL::VARCHAR AS answer_error FROM conversations",
+    "results_round_trip": r"""
+SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, (SELECT count(*) FROM documents) AS rows, (SELECT CAST(sum(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))) AS BIGINT) FROM documents) AS words FROM documents GROUP BY source""",
     "word_associations": r"""
 WITH d AS (SELECT row_number() OVER () AS d, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+') AS t FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations)),
 w AS (SELECT d, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS w FROM d), v AS (SELECT w FROM w GROUP BY w HAVING count(*) >= 3), k AS (SELECT w.* FROM w JOIN v USING (w)),
