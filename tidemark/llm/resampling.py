@@ -41,7 +41,7 @@ ORDER, BUCKETS = 3, 10_000
 #: Words that a document needs to be drawn, and the share that is drawn, in percent.
 MIN_WORDS, PERCENT = 20, 5
 SALT = "42:"
-#: Turns in which features are sent to the dictionary, and the compression of their words.
+#: Turns in which features are sent to the dictionary, and the compression of words.
 TURNS, LEVEL = 2, 6
 #: Words of a block at most; their numbers from 1 on need so many bits.
 BLOCK_WORDS, BITS = 1 << 20, 21
@@ -83,7 +83,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def close() -> pa.RecordBatch:
             rows, ids, starts, stored, found = zip(*held)
             columns = [pa.array([list(c)], t) for c, t in zip((rows, ids, starts, stored), lists)]
-            blobs = [pa.array([packed(b"\n".join(numbers))], pa.binary()), pa.array([packed(np.concatenate(found))], pa.binary())]
+            blobs = [pa.array([packed(b"\n".join(numbers), LEVEL)], pa.binary()), pa.array([packed(np.concatenate(found), LEVEL)], pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sum(starts)]), *columns, *blobs], names)
 
         for arrived in slices(batches):
@@ -272,19 +272,8 @@ def gains(raw: DataFrame, target: DataFrame) -> np.ndarray:
     return np.floor(1000 * np.log((t + 1) * (s.sum() + BUCKETS) / ((s + 1) * (t.sum() + BUCKETS)))).astype(np.int64)
 
 
-def gained(answers: DataFrame, gain: np.ndarray) -> DataFrame:
-    """(block, part, gains): the dictionary's answers with gains instead of buckets, which are fewer different numbers and so travel shorter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [packed(gain[unpacked(b, np.uint16)].astype(np.int32)) for b in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["block", "part", "gains"])
-
-    return answers.where("block IS NOT NULL").select("block", "part", "buckets").mapInArrow(run, "block long, part int, gains binary")
-
-
-def weights(found: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-    """(row, doc_id, n_words, n_features, weight) for every document of the blocks, by the gains that are joined to them."""
+def weights(found: DataFrame, answers: DataFrame, parts: int, gain: np.ndarray) -> DataFrame:
+    """(row, doc_id, n_words, n_features, weight) for every document of the blocks, by the answers that are joined to them."""
 
     def run(block: pa.Table, lists: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
@@ -294,15 +283,15 @@ def weights(found: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
         # As ``asked`` has them: by part, and then by their numbers.
         by_number = np.argsort(distinct)
         order, ends = routed(parted(distinct[by_number], vocabulary, parts), parts)
-        order, gain = by_number[order], np.zeros(len(distinct), np.int32)
-        for part, answer in zip(lists["part"].to_pylist(), lists["gains"].to_pylist()):
-            gain[order[ends[part - 1] if part else 0 : ends[part]]] = unpacked(answer, np.int32)
-        weight = np.bincount(stretch, weights=gain[of], minlength=len(starts)).astype(np.int64)
+        order, own = by_number[order], np.zeros(len(distinct), np.int64)
+        for part, answer in zip(lists["part"].to_pylist(), lists["buckets"].to_pylist()):
+            own[order[ends[part - 1] if part else 0 : ends[part]]] = gain[unpacked(answer, np.uint16)]
+        weight = np.bincount(stretch, weights=own[of], minlength=len(starts)).astype(np.int64)
         return pa.table({"row": pa.array(row["rows"], pa.int64()), "doc_id": pa.array(row["ids"], pa.int64()), "n_words": pa.array(starts, pa.int64()), "n_features": pa.array(np.bincount(stretch, minlength=len(starts)), pa.int64()), "weight": weight})
 
     blocks_ = found.select("block", "rows", "ids", "starts", "stored", "vocabulary", "words")
     schema = "row long, doc_id long, n_words long, n_features long, weight long"
-    parted_ = blocks_.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    parted_ = blocks_.groupBy("block").cogroup(answers.where("block IS NOT NULL").select("block", "part", "buckets").groupBy("block")).applyInArrow(run, schema)
     # Long texts lie in several blocks.
     return parted_.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_features", "weight")])
 
@@ -318,7 +307,7 @@ def resample(spark: SparkSession, df: DataFrame, target: DataFrame, id_col: str
     """A row for each row of ``df``: doc_id, n_words, n_features, weight, score, and rank for the rows that are drawn."""
     found, answers, parts = counted(spark, df, id_col, text_col)
     gain = gains(bucket_counts(answers), bucket_counts(counted(spark, target, target_id, target_text)[1]))
-    scored = weights(found, gained(answers, gain), parts).withColumn("score", F.col("weight") + noise(F.col("doc_id")))
+    scored = weights(found, answers, parts, gain).withColumn("score", F.col("weight") + noise(F.col("doc_id")))
     scored = table(spark, scored, "scored")
     drawn = percent * scored.where(F.col("n_words") >= min_words).count() // 100
     # Ranks of all that may be drawn by counts of ranges of scores, so that no task sorts more than a range.
