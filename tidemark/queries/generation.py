@@ -16,7 +16,7 @@ from ..plans import ledger, questions, tasks
 from ..sources import results
 from ..sources.tables import articles, dated_events, read, spread, text_events
 from ..sources.written import Scratch
-from ..streaming import stateful
+from ..streaming import keyed_state, stateful
 from ..streaming.folders import checkpoint_folder
 
 
@@ -222,13 +222,15 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_cluster_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of each source clustered by a stream with state per source."""
-    from ..streaming.folders import checkpoint_folder
-
-    schema = read(spark, sf_dir, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    stream = cluster_state.cluster_stream(docs.select("doc_id", "source", "text"), "source", "doc_id", "text", ["doc_id"])
-    return stateful.run_to_parquet(stream, f"{checkpoint_folder(spark)}/clusters", checkpoint_folder(spark))
+    """Documents of each source clustered by a stream with a row of state for each cluster."""
+    held = spark.conf.get(keyed_state.PROVIDER, None)
+    keyed_state.use_rocksdb(spark)
+    try:
+        docs = spark.readStream.schema(read(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+        stream = keyed_state.cluster_stream_keyed(docs.select("doc_id", "source", "text"), "source", "doc_id", "text", ["doc_id"])
+        return stateful.run_to_parquet(stream, f"{checkpoint_folder(spark)}/clusters", checkpoint_folder(spark))
+    finally:
+        spark.conf.unset(keyed_state.PROVIDER) if held is None else spark.conf.set(keyed_state.PROVIDER, held)
 
 
 def task_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
