@@ -133,8 +133,17 @@ def keywords(c: Column, least: int = 3) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit(keyword_pattern(least)), F.lit(1)), lambda w: ~w.isin(*STOP_WORDS))
 
 
+def sentences(c: Column) -> Column:
+    """What stands between full stops, exclamation and question marks and line ends."""
+    return F.regexp_extract_all(c, F.lit(r"[^.!?\n]+"), F.lit(0))
+
+
+def letter_words(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0))
+
+
 def proper_nouns(c: Column) -> Column:
-    """Capitalised words that do not begin a sentence; a heuristic where no tagger is at hand."""
+    """Capitalised words that do not begin a sentence, where there is no corpus to tell names from other words; see ``operators.names``."""
     return F.regexp_extract_all(c, F.lit(r"(?U)(?<![.!?]\s|^)\b(\p{Lu}\p{L}+)\b"), F.lit(1))
 
 

@@ -25,10 +25,10 @@ def contingency(rows: DataFrame, truth: str, predicted: str, keys: Sequence[str]
 def log_factorial(n: Column) -> Column:
     """ln n!, by Stirling's series for n + 9 and the product of the factors between."""
     z = n + 9.0
-    below = F.ln(n + 1.0)
+    below = n + 1.0
     for i in range(2, 9):
-        below = below + F.ln(n + float(i))
-    return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0))) + 1 / (1188 * F.pow(z, F.lit(9.0))) - below
+        below = below * (n + float(i))
+    return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0))) + 1 / (1188 * F.pow(z, F.lit(9.0))) - F.ln(below)
 
 
 def harmonic(p: Column, r: Column) -> Column:
@@ -64,8 +64,12 @@ def expected_information(cells: DataFrame, keys: Sequence[str] = ()) -> DataFram
     sizes = lambda label, size: cells.select(*keys, label, size, "total").distinct().groupBy(*keys, size, "total").agg(F.count("*").alias(f"m_{size}"))
     a, b = sizes("t", "a"), sizes("p", "b")
     pairs = a.join(b.drop("total"), list(keys)) if keys else a.crossJoin(b.drop("total"))  # distinct sizes, at most sqrt(2 * total) each
-    low = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - F.col("total"))
-    terms = pairs.withColumn("k", F.explode(F.sequence(low, F.least("a", "b"))))
+    pairs = pairs if keys else pairs.repartition(cells.sparkSession.sparkContext.defaultParallelism)
+    # Hoeffding's bound for draws without replacement: farther from the mean than this, all terms together have less than 1e-18.
+    mean, reach = F.col("a") * F.col("b") / F.col("total"), F.sqrt(F.least("a", "b") * (math.log(2e18) / 2))
+    low = F.greatest(F.lit(1).cast("long"), F.col("a") + F.col("b") - F.col("total"), F.floor(mean - reach).cast("long"))
+    high = F.least("a", "b", F.ceil(mean + reach).cast("long"))
+    terms = pairs.withColumn("k", F.explode(F.sequence(low, high)))
     a, b, k, n = (F.col(c).cast("double") for c in ("a", "b", "k", "total"))
     above = (log_factorial(x) for x in (a, b, n - a, n - b))
     under = (log_factorial(x) for x in (n, k, a - k, b - k, n - a - b + k))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import etl, greedy, joins, metric_index, sampling, similarity
+from ..operators import etl, greedy, joins, metric_index, names, sampling, similarity
 from ..sources import connectors
 from ..sources.tables import articles, dated_events, read, spread, text_events
 
@@ -66,9 +66,15 @@ def topk_keywords_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proper_noun_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nouns = spread(read(spark, sf_dir, "documents")).select("source", F.explode(text.proper_nouns(F.col("text"))).alias("noun"))
-    ranked = nouns.groupBy("source", "noun").agg(F.count("*").alias("n"))
-    return ranked.withColumn("rank", F.row_number().over(etl.Window.partitionBy("source").orderBy(F.desc("n"), "noun")).cast("long")).where("rank <= 3")
+    """Each source's most frequent names, by how all documents write their words."""
+    places = names.word_places(spread(read(spark, sf_dir, "documents")), "source", "text")
+    return names.top_names(names.name_counts(places, names.names(places), "source"), "source", 3)
+
+
+def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of two words in all documents."""
+    places = names.word_places(spread(read(spark, sf_dir, "documents")), "source", "text")
+    return names.firm_pairs(places, names.names(places)).withColumn("ratio", F.round("ratio", 3))
 
 
 def scrape_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +262,7 @@ def backfilled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     corpus_statistics, events_per_topic, modal_date_per_group, at_modal_date, dedupe_prefer_target, duplicate_counts, removal_reason_counts, script_filter, url_new_anti_join, distinct_url_count,
-    topk_keywords_per_source, proper_noun_counts, scrape_counters, reference_groups, nearest_topic_assign, topic_bounds_after_merge, semantic_filter, jaccard_pairs_in_group, greedy_dedup, greedy_removal,
+    topk_keywords_per_source, proper_noun_counts, name_pairs, scrape_counters, reference_groups, nearest_topic_assign, topic_bounds_after_merge, semantic_filter, jaccard_pairs_in_group, greedy_dedup, greedy_removal,
     token_budget_greedy, token_budget_equal, smart_truncate, reference_marker_strip, prefix_strip, preview_200, clean_text, word_cap, date_normalise, order_date_forms, budget_rule,
     news_search, enrichment_counters, most_reduced, reduction_report, annotation_progress, articles_by_date, prefix_references, backfilled_texts,
     balanced_sample, stratified_k_sample, ten_percent_sample, sampled_texts,
@@ -265,6 +271,9 @@ QUERIES = {f.__name__: f for f in (
 _ART = "a AS (SELECT *, source AS topic, DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS d FROM documents)"
 _WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
 _STOP = "(" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")"
+_NAMES = r"""z AS (SELECT source, regexp_extract_all(s, '\p{L}+') AS w FROM (SELECT source, unnest(regexp_extract_all(text, '[^.!?\n]+')) AS s FROM documents)),
+p AS (SELECT source, i, word, following, regexp_matches(word, '^\p{Lu}') AS cap FROM (SELECT source, unnest(range(len(w))) AS i, unnest(w) AS word, unnest(list_append(w[2:], NULL)) AS following FROM z WHERE len(w) > 0)),
+k AS (SELECT lower(word) AS name FROM p WHERE i > 0 GROUP BY 1 HAVING count(*) >= 2 AND length(lower(word)) >= 3 AND count(*) FILTER (cap) / count(*) >= 0.5 AND lower(word) NOT IN """ + _STOP + ")"
 _TEXTS = "t AS (SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id)"
 _CENTERS = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 x AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v WHERE vec_id % 2 = 0), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL),
@@ -345,6 +354,16 @@ r(conv_id, i, kept) AS (SELECT conv_id, 0::BIGINT, []::BIGINT[] FROM s UNION ALL
 SELECT r.conv_id, i + 1, CASE WHEN len(list_filter(kept, lambda k: len(list_intersect(s[k + 1], s[i + 1])) >= 0.9 * (len(s[k + 1]) + len(s[i + 1]) - len(list_intersect(s[k + 1], s[i + 1]))) AND len(s[k + 1]) + len(s[i + 1]) > 0)) > 0 THEN kept ELSE list_append(kept, i) END
 FROM r JOIN s USING (conv_id) WHERE i < len(s))
 SELECT conv_id, CAST(len(s) AS BIGINT) AS before, array_to_string(kept, ',') AS kept FROM r JOIN s USING (conv_id) WHERE i = len(s)""",
+    "proper_noun_counts": f"""
+WITH {_NAMES}, c AS (SELECT source, lower(word) AS name, count(*) AS n FROM p WHERE cap GROUP BY ALL)
+SELECT source, name, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, name) AS rank FROM c JOIN k USING (name) QUALIFY rank <= 3""",
+    "name_pairs": f"""
+WITH {_NAMES}, e AS (SELECT lower(word) AS first, lower(following) AS second, count(*) AS n, count(*) FILTER (cap AND regexp_matches(following, '^\\p{{Lu}}')) AS caps FROM p WHERE following IS NOT NULL GROUP BY ALL),
+f AS (SELECT first, sum(n) AS nf FROM e GROUP BY first), s AS (SELECT second, sum(n) AS ns FROM e GROUP BY second),
+m AS (SELECT first, second, caps AS n, [CAST(e.n AS DOUBLE), nf - e.n, ns - e.n, t - nf - ns + e.n] AS cells, [CAST(nf AS DOUBLE), t - nf, ns, t - ns] AS sides, CAST(t AS DOUBLE) AS t
+    FROM (SELECT *, sum(n) OVER () AS t FROM e) e JOIN f USING (first) JOIN s USING (second) WHERE caps > 0 AND first IN (SELECT name FROM k) AND second IN (SELECT name FROM k)),
+x AS (SELECT *, 2 * (list_sum(list_transform(cells, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) - list_sum(list_transform(sides, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) + t * ln(t)) AS ratio FROM m)
+SELECT first, second, n, round(ratio, 3) AS ratio FROM x WHERE ratio >= 10.83 AND cells[1] * t > sides[1] * sides[3]""",
     "greedy_removal": rf"""
 WITH RECURSIVE d AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids, list(list_distinct({_WORDS.format('lower(text)')}) ORDER BY doc_id) AS s FROM documents GROUP BY source),
 r(source, i, kept) AS (SELECT source, 0::BIGINT, []::BIGINT[] FROM d UNION ALL
