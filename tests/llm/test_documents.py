@@ -194,6 +194,18 @@ def test_documents_of_one_template_move_in_proportion(spark, monkeypatch):
         moved.clear()
 
 
+def test_a_template_alone_compares_no_sets(spark, monkeypatch):
+    """Texts that share most of their words collide by the thousand, but post no shingle of the template; links among them are found."""
+    base = words(140, 77, 100_000)
+    own = lambda i: " ".join(base + words(40, 5000 + i, 10**9))
+    texts = [(i, own(i)) for i in range(400)] + [(1000 + i, own(i) + " one more") for i in (3, 50, 51)]
+    pairs, sharing = [], mh._sharing
+    monkeypatch.setattr(mh, "_sharing", lambda *a: pairs.append(sharing(*a)) or pairs[-1])
+    found = {r.doc_id: r.component_id for r in mh.near_dedup(spark, spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    assert found == {i: i - 1000 if i >= 1000 else i for i, _ in texts}
+    assert pairs and sum(p.count() for p in pairs) <= 3
+
+
 @pytest.mark.parametrize(("block", "rows_", "bytes_"), [(4, 8, 2000), (1, 2, 100)])
 def test_near_dedup_links_across_strips(spark, monkeypatch, block, rows_, bytes_):
     """Chains of edits, of which no star of a list sees all links, with small strips and chunks."""
