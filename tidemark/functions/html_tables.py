@@ -111,15 +111,24 @@ def topic_leaves(html: str | None, target: str = "") -> list[dict]:
         if not date:
             continue
         category = ""
-        for node in region.walk():
-            if node.tag in ("b", "h3", "h4") and node is not region:
+        for node, in_item in _below(region):
+            if node.tag in ("b", "h3", "h4"):
                 category = flat(node.text())
-            elif node.tag == "ul" and not any(node in n.find("ul") for n in region.find("li")):
+            elif node.tag == "ul" and not in_item:
                 for item in node.own("li"):
                     out += _leaves(item, [], region.attrs["id"], category, wanted)
     return out
 
 
+def _below(region: Node) -> Iterator[tuple[Node, bool]]:
+    """All nodes of a region in page order, and whether they are part of a list item."""
+    open_ = [(c, False) for c in reversed(region.children) if isinstance(c, Node)]
+    while open_:
+        node, in_item = open_.pop()
+        yield node, in_item
+        open_ += [(c, in_item or node.tag == "li") for c in reversed(node.children) if isinstance(c, Node)]
+
+
 def _leaves(item: Node, chain: list[str], date: str, category: str, wanted: str) -> list[dict]:
     below = item.own("ul")
     if below:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import threading
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 from .text import STOP_WORDS
 
 
+_LOADING = threading.Lock()
+
+
 class Client(Protocol):
     def generate(self, prompt: str, max_tokens: int, temperature: float) -> str: ...
 
@@ -99,7 +103,8 @@ class VllmClient:
     def generate(self, prompt: str, max_tokens: int = 500, temperature: float = 0.7) -> str:
         import vllm
 
-        self._engine = getattr(self, "_engine", None) or vllm.LLM(self.model, **self.options)
+        with _LOADING:  # threads of a task share one engine
+            self._engine = getattr(self, "_engine", None) or vllm.LLM(self.model, **self.options)
         return self._engine.generate([prompt], vllm.SamplingParams(max_tokens=max_tokens, temperature=temperature))[0].outputs[0].text
 
 
