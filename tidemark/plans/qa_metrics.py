@@ -16,6 +16,12 @@ def overall(rows: DataFrame, correct: str) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.coalesce(F.sum(hit), F.lit(0)).alias("correct"), F.coalesce(F.avg(hit), F.lit(0.0)).alias("accuracy"))
 
 
+def structured_use(rows: DataFrame, used: str) -> DataFrame:
+    """(total, used, rate): answers for which structured data was used; a missing mark counts as not used, no answers give 0."""
+    hit = F.coalesce(F.col(used), F.lit(False)).cast("int")
+    return rows.agg(F.count("*").alias("total"), F.coalesce(F.sum(hit), F.lit(0)).alias("used"), F.coalesce(F.avg(hit), F.lit(0.0)).alias("rate"))
+
+
 def by(rows: DataFrame, key: Column, correct: str, name: str) -> DataFrame:
     """Accuracy and count by a key; a missing key is 'unknown'."""
     return rows.groupBy(F.coalesce(key, F.lit("unknown")).alias(name)).agg(F.count("*").alias("n"), F.avg(F.col(correct).cast("int")).alias("accuracy"))

@@ -61,6 +61,12 @@ def qa_accuracy_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.overall(_predictions(spark, sf_dir), "is_correct").withColumn("accuracy", F.round("accuracy", 6))
 
 
+def structured_use_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers count as using structured data by the length of their document; every seventh has no mark."""
+    rows = _predictions(spark, sf_dir).withColumn("used", F.when(F.col("doc_id") % 7 != 0, F.col("n_chars") > 2000))
+    return qa.structured_use(rows, "used").withColumn("rate", F.round("rate", 6))
+
+
 def qa_accuracy_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.by(_predictions(spark, sf_dir), F.col("question_type"), "is_correct", "question_type").withColumn("accuracy", F.round("accuracy", 6))
 
@@ -191,7 +197,7 @@ def window_macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    qa_answer_parse, qa_answer_parse_turns, judge_scores, cluster_choices, question_type_classify, qa_accuracy_overall, qa_accuracy_by_type, qa_answer_distribution, qa_response_stats, qa_temporal_aspect, qa_window_accuracy,
+    qa_answer_parse, qa_answer_parse_turns, judge_scores, cluster_choices, question_type_classify, qa_accuracy_overall, structured_use_rate, qa_accuracy_by_type, qa_answer_distribution, qa_response_stats, qa_temporal_aspect, qa_window_accuracy,
     judge_score_distribution, human_llm_agreement, perfect_scores, structural_statistics, rubric_scores, choice_sanity, paired_run_intersection, run_pairing, export_rollup, run_summary,
     b3_metrics, nmi_metrics, ami_metrics, adjusted_rand, window_b3_metrics, window_macro_metrics,
 )}
@@ -228,6 +234,7 @@ SELECT role, {_LETTER} AS letter, count(*) AS n FROM u GROUP BY ALL""",
 SELECT event_id, CASE WHEN event_id % 6 IN (2, 5) THEN -1 ELSE user_id END AS cluster, CASE event_id % 6 WHEN 0 THEN event_type || '|y' WHEN 1 THEN 'a ' || event_type WHEN 3 THEN 'p|' || event_type ELSE '' END AS keywords FROM events""",
     "question_type_classify": f"SELECT {_KINDS} AS question_type, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1",
     "qa_accuracy_overall": f"WITH {_PRED} SELECT count(*) AS total, count(*) FILTER (ok) AS correct, round(avg(CAST(ok AS INT)), 6) AS accuracy FROM q",
+    "structured_use_rate": "SELECT count(*) AS total, count(*) FILTER (doc_id % 7 <> 0 AND n_chars > 2000) AS used, round(avg(CAST(doc_id % 7 <> 0 AND n_chars > 2000 AS INT)), 6) AS rate FROM labels JOIN documents USING (doc_id)",
     "qa_accuracy_by_type": f"WITH {_PRED} SELECT CASE WHEN lang = 'es' THEN 'unknown' ELSE lang END AS question_type, count(*) AS n, round(avg(CAST(ok AS INT)), 6) AS accuracy FROM q GROUP BY 1",
     "qa_answer_distribution": f"WITH {_PRED}, s AS (SELECT 'predicted' AS side, coalesce(predicted, 'N/A') AS answer FROM q UNION ALL SELECT 'true', truth FROM q) SELECT side, answer, count(*) AS n FROM s GROUP BY ALL",
     "qa_response_stats": rf"""

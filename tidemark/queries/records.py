@@ -179,9 +179,16 @@ def page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.lateralJoin(html_tables.ReferenceTable(F.col("html").outer())).select("doc_id", "reference_id", "link", F.col("date").cast("date").alias("date"))
 
 
+def renested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as topics of as many events as their turn says, and all judged events of a role as one list that is dealt to them again."""
+    turns = read(spark, sf_dir, "conversations").select("role", (F.col("conv_id") * 100 + F.col("turn")).alias("topic"), (F.col("turn") % 4).alias("size"))
+    judged = turns.groupBy("role").agg((F.sum("size") + 2).alias("n")).select("role", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("at"))
+    return corpus.by_running_offset(turns, judged, "role", "topic", "size", "at").select("role", "at", "topic", F.col("event_idx").cast("long").alias("event_idx"))
+
+
 QUERIES = {f.__name__: f for f in (
     corpus_round_trip, qa_round_trip, cue_texts, sections_present, cut_texts, single_article_contexts, annotation_entries, annotation_todo, csv_by_year, cache_upsert, append_resumes, runs_read, reference_labels,
-    first_windows, one_per_group, entities_mentioned, metric_errors, fetched_pages, epoch_windows, page_references,
+    first_windows, one_per_group, entities_mentioned, metric_errors, fetched_pages, epoch_windows, page_references, renested_events,
 )}
 
 _CUE = """list_filter([CASE WHEN event_id % 3 > 0 THEN '  "People": [' || chr(10) || '    "' || event_type || '",' || chr(10) || '    "é \\"x\\""' || chr(10) || '  ]' END{0},
@@ -220,5 +227,9 @@ s AS (SELECT sum(n * n / b) / sum(n) AS p, sum(n * n / a) / sum(n) AS r, CAST(su
 SELECT 'unequal' AS "case", 'unequal lengths' AS error, NULL::DOUBLE AS f1, NULL::BIGINT AS n_items UNION ALL SELECT 'empty', 'empty input', NULL, NULL UNION ALL SELECT 'whole', NULL, round(2 * p * r / (p + r), 6), n_items FROM s""",
     "fetched_pages": "WITH u AS (SELECT DISTINCT url FROM pages) SELECT length(url) % 5 <> 0 AS found, length(url) % 5 = 0 AS failed, count(*) AS n, CAST(sum(CASE WHEN length(url) % 5 <> 0 THEN length(url) + 7 END) AS BIGINT) AS chars FROM u GROUP BY ALL",
     "epoch_windows": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS event_count FROM events GROUP BY ALL",
+    "renested_events": """
+WITH t AS (SELECT role, conv_id * 100 + turn AS topic, turn % 4 AS size FROM conversations), o AS (SELECT *, CAST(sum(size) OVER (PARTITION BY role ORDER BY topic) - size AS BIGINT) AS b FROM t),
+j AS (SELECT role, unnest(range(CAST(sum(size) AS BIGINT) + 2)) AS i FROM t GROUP BY role)
+SELECT j.role, j.i AS "at", o.topic, j.i - o.b AS event_idx FROM j LEFT JOIN o ON o.role = j.role AND j.i >= o.b AND j.i < o.b + o.size""",
     "page_references": "SELECT doc_id, 'r' || CAST(doc_id AS VARCHAR) AS reference_id, 'http://x/' || CAST(doc_id AS VARCHAR) AS link, DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS date FROM documents",
 }

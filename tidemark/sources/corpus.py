@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import strict_date
@@ -176,6 +176,18 @@ def nest(events: DataFrame) -> DataFrame:
     return whole.select("file", F.transform("x", lambda s: s["t"].dropFields("topic_idx")).alias("topics"))
 
 
+def by_running_offset(topics: DataFrame, judged: DataFrame, file: str, topic: str, size: str, at: str) -> DataFrame:
+    """Judged events, which are one list for each file, under the topics again: the first ``size`` belong to the first topic, and so on.
+
+    Adds ``topic`` and ``event_idx``, the place within it, to ``judged``, whose place in its list is ``at``, from 0 on.  Topics are
+    few and get their offsets by a running sum; an event finds its topic by an equality on its place, so nothing is sorted.
+    Events behind the last topic's have neither, topics without events get none."""
+    before = F.coalesce(F.sum(size).over(Window.partitionBy(file).orderBy(topic).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = topics.where(F.col(size) > 0).select(file, topic, F.col(size).alias("_size"), before.alias("_before"))
+    places = places.select(file, topic, F.posexplode(F.sequence(F.col("_before"), F.col("_before") + F.col("_size") - 1)).alias("event_idx", at))
+    return judged.withColumn(at, F.col(at).cast("long")).join(places.withColumn(at, F.col(at).cast("long")), [file, at], "left")
+
+
 def article_dict(raw: Column) -> Column:
     """(outlet, url, title, text) structs from a JSON object whose values are URLs or objects with url, title and text."""
     entries = F.map_entries(F.from_json(raw, "map<string,string>"))
