@@ -119,3 +119,22 @@ def test_plans_have_no_window_over_all_rows(spark):
 def test_metric_error_rows(spark):
     rows = spark.createDataFrame([(dt.date(2024, 1, 1), "a", None)], "d date, t string, p string")
     assert cm.scored_or_error(rows, "t", "p").first().error == "empty input"
+
+
+def test_first_dates_in_texts():
+    from datetime import date
+
+    from tidemark.functions.dates import first_date
+
+    cases = {
+        "retrieved 4\xa0June 2019.": (2019, 6, 4), "March 5 2020 or later": (2020, 3, 5), "May 2020": (2020, 5, 1), "in 2020/1/2, 3 days": (2020, 1, 2), "On Sept. 9, 2021 or 2022-01-01": (2022, 1, 1),
+        "31 February 2020, then 1 March 2020": (2020, 3, 1), "Marchen 2020": None, "12/3/2020": None, "3055-01-01": None, "2020-13-01": None, "": None, "no date": None,
+    }
+    assert {t: first_date(t) for t in cases} == {t: d and date(*d) for t, d in cases.items()}
+
+
+def test_judged_events_go_under_their_topics(spark):
+    topics = spark.createDataFrame([("f", 0, 2), ("f", 1, 0), ("f", 2, 1), ("g", 0, 1), (None, 0, 1)], "file string, topic long, n long")
+    judged = spark.createDataFrame([("f", i, f"e{i}") for i in range(4)] + [("g", 0, "x")], "file string, at int, event string")
+    found = {(r.file, r["at"]): (r.topic, r.event_idx, r.event) for r in corpus.by_running_offset(topics, judged, "file", "topic", "n", "at").collect()}
+    assert found == {("f", 0): (0, 0, "e0"), ("f", 1): (0, 1, "e1"), ("f", 2): (2, 0, "e2"), ("f", 3): (None, None, "e3"), ("g", 0): (0, 0, "x")}
