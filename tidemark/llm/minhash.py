@@ -10,13 +10,15 @@ whole signatures are confirmed on the full shingle sets, and confirmed links are
 by shared lists form a candidate group; a link can't leave it.  Groups that hold several components are searched for
 collisions across components, signature by signature, in strips: what comes back are the classes that collide at all and
 a spanning forest of their collisions, which is confirmed next.  Classes that collided post the rarest of their shingles,
-as many as a set at the bound can lack of another, and those of different components that meet in a posting are compared
-set by set.  So copies cost as many rows as there are copies, shingles of a template are never posted, each full set is
-moved once to be posted, and no link between components is lost.  Every link is confirmed on the full shingle sets.
+as many as a set at the bound can lack of another; those that share none have nothing to be compared with and drop out.
+The others meet in strips bounded in bytes, and of those that collide across components and share a posted shingle the
+sets are compared; each pair of strips returns a spanning forest of its links.  So copies cost as many rows as there are
+copies, shingles of a template are never posted, and no link between components is lost.  Every link is confirmed on the
+full shingle sets.
 
-A group has up to ``STRIPS`` strips of signatures until they reach their bound, so that its rows are moved STRIPS times at
-most, whatever its size; beyond that the number of strips follows its size.  Within a group signatures of different
-components are compared pair by pair, about 256 bytes each.
+A group has up to ``STRIPS`` strips until they reach their bound, so that its rows are moved STRIPS times at most,
+whatever its size; beyond that the number of strips follows its size.  Within a group signatures of different components
+are compared pair by pair, about 256 bytes each.
 
 A pair at the similarity bound 0.85 collides in fewer than 16 of 32 coordinates with probability 1e-6, and in fewer than
 88 of 128 with 1e-6; closer pairs far less often.
@@ -179,31 +181,51 @@ def _colliding(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([None] * int(marked.sum()) + [y for _, y in edges], pa.int64())})
 
 
+def _across(group: pa.Table) -> pa.Table:
+    """A spanning forest of the links between the components of one pair of strips.
+
+    Of the classes that collide only those are compared that share one of the rarest shingles of either."""
+    reps, (labels, wide, left, right, same) = group.column("rep").to_numpy(), _sides(group)
+    sets, rare = ([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(c)] for c in ("shingles", "rare"))
+    posted_, rows = np.concatenate([np.empty(0, np.uint64), *(rare[j] for j in right)]), np.repeat(right, [len(rare[j]) for j in right])
+    order = np.argsort(posted_, kind="stable")
+    posted_, rows = posted_[order], rows[order]
+    joined, a, b = labels.copy(), [], []
+    for i, hits in _collisions(labels, wide, left, right, same):
+        spans = zip(np.searchsorted(posted_, rare[i], "left"), np.searchsorted(posted_, rare[i], "right"))
+        sharing = [rows[x:y] for x, y in spans if x < y]
+        for j in np.intersect1d(hits, np.concatenate(sharing)) if sharing else ():
+            if joined[i] != joined[j] and _similar(sets[i], sets[j]):
+                a.append(reps[i])
+                b.append(reps[j])
+                joined[joined == joined[j]] = joined[i]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets as lists, with their sizes."""
+    """Sets as lists."""
     for batch in slices(batches, 64):
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
-        columns = pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["rep", "label", "n", "s"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], ["rep", "s"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x.as_py() or [], np.int64).tobytes() for x in batch.column(1)], pa.binary())], ["rep", "rare"])
 
 
-def _sharing(spark: SparkSession, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): classes of different components that share one of the rarest shingles of either, among those that can be similar.
+def _rarest(spark: SparkSession, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, rare): of the classes ``members`` the rarest shingles that others have, too.
 
     Of n shingles, a set at the bound shares all but n - ceil(PERCENT * n / 100), so the rarest of the shared ones is among
-    so many and one of the rarest of either set.  Shingles of a template are frequent and never get so far."""
-    rows = members.select("rep", "label").join(sets, "rep").select("rep", "label", "shingles").mapInArrow(_listed, "rep long, label long, n long, s array<long>")
-    rows = table(spark, rows, "listed")
-    tokens = rows.select("rep", "label", "n", F.explode("s").alias("w"))
+    one more than so many rarest of either set.  Shingles of a template are frequent and never get so far."""
+    rows = table(spark, members.select("rep").join(sets, "rep").select("rep", "shingles").mapInArrow(_listed, "rep long, s array<long>"), "listed")
+    tokens = rows.select("rep", F.size("s").alias("n"), F.explode("s").alias("w"))
     shared = table(spark, tokens.groupBy("w").agg(F.count("*").alias("f")).where("f > 1"), "shared")
-    ranked = tokens.join(shared, "w").groupBy("rep", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("r"))  # a set's shingles at most
+    ranked = tokens.join(shared, "w").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("r"))  # a set's shingles at most
     # Shingles of one set alone are the rarest and come first.
-    rarest = F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1 - (F.col("n") - F.size("r"))
-    posted_ = ranked.select("rep", "label", "n", F.explode(F.slice("r", F.lit(1), F.greatest(rarest, F.lit(0)).cast("int"))).alias("x"))
-    posted_ = table(spark, posted_.select("rep", "label", "n", "x.w"), "rare")
-    other = posted_.toDF("b", "other", "m", "w")
-    met = posted_.withColumnRenamed("rep", "a").join(other, "w").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")))
-    return table(spark, met.select("a", "b").distinct(), "sharing")
+    count = F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1 - (F.col("n") - F.size("r"))
+    own = ranked.select("rep", F.transform(F.slice("r", F.lit(1), F.greatest(count, F.lit(0)).cast("int")), lambda x: x["w"]).alias("rare"))
+    return table(spark, own.where(F.size("rare") > 0).mapInArrow(_packed, "rep long, rare binary"), "rare")
 
 
 def _paired(rows: DataFrame, strips: DataFrame) -> DataFrame:
@@ -289,7 +311,7 @@ def near_dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     # Candidate groups that hold several components: strips of signatures against strips, across components.
     groups = components(spark, stars).select(F.col("node").alias("rep"), F.col("label").alias("group"))
     members = table(spark, _labelled(groups.join(wide, "rep"), labels), "members")
-    strips = table(spark, _strips(members, F.count("*") * max(1 / STRIP_ROWS, 2 * WIDE / STRIP_BYTES)), "strips")
+    strips = table(spark, _strips(members, F.count("*") / STRIP_ROWS), "strips")
     found = _paired(members, strips).groupBy("group", "one", "two").applyInArrow(_colliding, "a long, b long")
     found = table(spark, found, "collisions")
     forest, marked = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("rep")).distinct()
@@ -298,9 +320,13 @@ def near_dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
         sets = sets.union(_sets_of(spark, docs, more))
         links = links.union(_confirm(spark, forest, sets))
         new = table(spark, components(spark, links), "labels")
-        members = table(spark, _labelled(marked, new), "members")
-        rest = _confirm(spark, _sharing(spark, members, sets), sets)
-        labels = table(spark, components(spark, links.union(rest)), "labels")
+        # What collides is connected by the forest and by the components that the search began with.
+        stems = components(spark, forest.union(labels.select("node", "label"))).select(F.col("node").alias("rep"), F.col("label").alias("group"))
+        members = marked.join(_rarest(spark, marked, sets), "rep")
+        members = table(spark, _labelled(members.join(stems, "rep").join(wide, "rep"), new), "members")
+        strips = table(spark, _strips(members, F.sum("n_shingles") * 8 / STRIP_BYTES), "strips")
+        rest = _paired(members, strips).join(sets, "rep").groupBy("group", "one", "two").applyInArrow(_across, "a long, b long")
+        labels = table(spark, components(spark, links.union(table(spark, rest, "more"))), "labels")
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("label"))
     named = table(spark, named, "named")
     out = signed.join(named, "set_key", "left")

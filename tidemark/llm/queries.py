@@ -143,11 +143,10 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, c.y AS component_id, c.y = vec_id AS
 """
 
 
-def _crc32(text: str) -> str:
-    """The unsigned crc32 of a text's bytes, byte by byte over a table."""
+def _crc32(hexa: str) -> str:
+    """The unsigned crc32 of bytes in hexadecimal digits, byte by byte over a table."""
     table = "[" + ", ".join(str(c) for c in CRC_TABLE) + "]"
-    hexa = f"hex(encode({text}))"
-    steps = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: CAST('0x' || substr({hexa}, 2 * i - 1, 2) AS BIGINT))"
+    steps = f"list_transform(range(1, length({hexa}) // 2 + 1), lambda i: CAST('0x' || substr({hexa}, 2 * i - 1, 2) AS BIGINT))"
     return f"xor(list_reduce({steps}, lambda c, b: xor(c >> 8, {table}[xor(c & 255, b) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
 
 
@@ -164,7 +163,7 @@ WITH w AS (SELECT true AS raw, row_number() OVER () AS r, doc_id, regexp_extract
     UNION ALL SELECT false, row_number() OVER (), item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
 f AS (SELECT raw, r, array_to_string(w[i : i + k - 1], ' ') AS f FROM (SELECT raw, r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT raw, r, w, unnest([1, 2, 3]) AS k FROM w) WHERE len(w) >= k)),
 d AS (SELECT f, count(*) FILTER (WHERE raw) AS s, count(*) FILTER (WHERE NOT raw) AS t FROM f GROUP BY f),
-k AS (SELECT f, s, t, {_crc32("f")} % 10000 AS bucket FROM d),
+k AS (SELECT f, s, t, {_crc32("x")} % 10000 AS bucket FROM (SELECT *, hex(encode(f)) AS x FROM d)),
 b AS (SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM k GROUP BY bucket),
 g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM b) + 10000) / ((s + 1) * ((SELECT sum(t) FROM b) + 10000)))) AS BIGINT) AS gain FROM b),
 p AS (SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN k USING (f) JOIN g USING (bucket) WHERE raw GROUP BY r),
@@ -197,7 +196,7 @@ def _merkle_sql(levels: int = 20) -> str:
         return f"flatten([{', '.join(steps)}])"
 
     own = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
-    seen = own.replace(field("text"), field(f"(CASE WHEN doc_id IS NOT NULL AND {_crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)"))
+    seen = own.replace(field("text"), field(f"(CASE WHEN doc_id IS NOT NULL AND {_crc32('hex(encode(CAST(doc_id AS VARCHAR)))')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)"))
     return f"""
 WITH d AS (SELECT doc_id, source, sha256({own}) AS leaf, sha256({seen}) AS seen FROM documents),
 n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS LAST, leaf) - 1 AS place FROM d),

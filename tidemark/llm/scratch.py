@@ -2,12 +2,12 @@
 
 Operators cut lineage by writing a Parquet table below ``spark.checkpoint.dir`` and reading it again, so a lost executor
 costs a re-read and never a recomputation from the source.  The folder is read from the session; only where it is unset
-and the master is local (tests) a temporary one is chosen.  Operators drop a table when its last reader has been written;
-what is left goes when the JVM ends.
+and the master is local (tests) a temporary one is chosen.  Tables go when the JVM ends.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,7 +26,7 @@ def shared_root(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
@@ -67,16 +67,7 @@ def table(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     finally:
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._folder = path.removesuffix("/t")
-    return back
-
-
-def drop(spark: SparkSession, *tables: DataFrame) -> None:
-    """Removes tables whose readers have all been written."""
-    for t in tables:
-        hadoop, fs = _path(spark, t._folder)
-        fs.delete(hadoop, True)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
