@@ -76,6 +76,11 @@ def test_answers(spark, raw, expected):
     assert one(spark, parsing.answer_letter(C), raw) == expected
 
 
+@pytest.mark.parametrize("raw,expected", [("Oiment éauxtre éc", "C"), ("gege scher öb", "B"), ("ist cé", "C"), ("ist 1b_ bé2", "B"), ("ist xb b9 _b", "A")])
+def test_answers_beside_accents(spark, raw, expected):
+    assert one(spark, parsing.answer_letter(C), raw) == expected
+
+
 def test_parsers(spark):
     choice = lambda r: tuple(one(spark, parsing.cluster_choice(C), r))
     assert choice("(3, ['x', \"y\"])") == (3, ["x", "y"]) and choice("```\n(1, [a])\n```") == (1, ["a"]) and choice("none") == (-1, [])
