@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.operators import cluster_state as cs
 from tidemark.streaming import keyed_state as ks
 
@@ -51,6 +52,14 @@ def test_stream_is_the_batch_over_a_restart(spark, streamed):
     assert shown == 2 * 3 and shown + hidden == len({(s, c) for s, _, c in found})
 
 
+@pytest.mark.parametrize("name", ["stream_cluster_state", "stream_window_counts", "epoch_windows"])
+def test_streams_read_tables_that_are_folders(spark, sf_dir, tmp_path, name):
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    query = catalog.queries()[name]
+    assert sorted(map(str, query(spark, str(tmp_path)).collect())) == sorted(map(str, query(spark, sf_dir).collect()))
+
+
 def test_stories_end(spark, streamed):
     put, run, folder = streamed
     day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)

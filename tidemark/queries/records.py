@@ -161,7 +161,7 @@ def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epoch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A watermarked count of events per day and type, each micro-batch written by its number."""
     schema = read(spark, sf_dir, "events").schema
-    stream = stateful.windowed_counts(stateful.event_stream(spark, sf_dir, schema, "events.parquet"), "1 day", "1 day", "365 days", "event_type")
+    stream = stateful.windowed_counts(stateful.event_stream(spark, stateful.table_path(sf_dir, "events"), schema), "1 day", "1 day", "365 days", "event_type")
     path = f"{checkpoint_folder(spark)}/batches"
     flat = stream.select(F.to_date("window.start").alias("day"), "event_type", "event_count")
     query = flat.writeStream.outputMode("update").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}")).option("checkpointLocation", checkpoint_folder(spark)).trigger(availableNow=True).start()

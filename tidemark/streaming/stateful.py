@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 from ..operators.windows import assign_date_windows
 
 
+def table_path(sf_dir: str, name: str) -> str:
+    """A table for a stream, one Parquet file or a folder of them: a pattern, as a path without one must be a folder."""
+    return f"{sf_dir}/{name}.parque[t]"
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema) -> DataFrame:
+    """A stream of the files of a table."""
+    return spark.readStream.schema(schema).parquet(table_path(sf_dir, name))
+
+
 def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", per_trigger: int = 1) -> DataFrame:
     """A stream of Parquet files in a folder; times without zone become timestamps, as watermarks need them."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", pattern).parquet(folder)
