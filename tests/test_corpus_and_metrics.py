@@ -141,6 +141,28 @@ def test_cluster_state_caps_what_is_visible():
     assert len(cs.shortened("x" * 5000)) == 2000 + len("... [truncated]")
 
 
+def test_hidden_clusters_cost_a_document_nothing():
+    class Watched(dict):
+        def items(self):
+            raise AssertionError("all clusters are walked through")
+
+        __iter__ = values = keys = items
+
+    state = cs.ClusterState()
+    for n in range(300):
+        state.take(n, [str(n)], cap=3)
+    state.clusters = Watched(state.clusters)
+    assert state.following() == 300 and "Cluster 299" in state.prompt("x") and "Cluster 5:" not in state.prompt("x")
+    assert state.take(5, ["again"], cap=3) == 5 and "Cluster 5:" in state.prompt("x") and "Cluster 297:" not in state.prompt("x")
+    assert state.assign(StubClient(), "a word of its own", 3) == 300
+
+
+def test_texts_travel_as_far_as_the_model_sees_them(spark):
+    docs = spark.createDataFrame([(0, "s", "é" * 2500), (1, "s", None), (2, "s", "y" * 2001)], "id long, story string, text string")
+    for t, n in zip(docs.select("text", cs.opening("text").alias("o")).orderBy("text").collect(), (0, 2001, 2001)):
+        assert len(t.o or "") == n and cs.shortened(t.o) == cs.shortened(t.text)
+
+
 def test_seeded_and_incremental_folds(spark):
     docs = spark.createDataFrame([(i, "s", f"alpha{'' if i < 2 else 'bet'} words here", i < 2) for i in range(4)], "id long, story string, text string, head boolean")
     seeded = {r.id: r.cluster for r in cs.cluster_windows(docs, "story", "id", "text", ["id"]).collect()}
