@@ -9,6 +9,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark import catalog
+from tidemark.operators import etl
 from tidemark.operators import joins as J
 from tidemark.operators import windows as W
 
@@ -85,6 +87,26 @@ def test_as_of_never_sees_the_future(spark):
     assert got == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (2, 3), (2, 4)]
 
 
+def test_suppliers_of_one_span_meet_its_days_once(spark, sf_dir, monkeypatch):
+    real, seen = J.range_join, []
+    monkeypatch.setattr(J, "range_join", lambda points, spans, *more: seen.append((points.select("day"), spans.select("start", "stop"))) or real(points, spans, *more))
+    assert catalog.queries()["order_line_range_join"](spark, sf_dir).count()
+    assert all(side.count() == side.distinct().count() for side in seen[0])
+
+
+def test_name_pairs_cut_texts_once(spark, sf_dir):
+    made = catalog.queries()["name_pairs"](spark, sf_dir)
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_top_keywords_sort_no_words(spark):
+    rows = spark.createDataFrame([("s", None, "zoo apple"), ("s", 1, "apple zoo bear"), (None, 3, "bear the cat"), (None, 2, "cat bear"), ("e", 4, "of")], "g string, id long, t string")
+    made = etl.top_keywords(rows, "g", "t", 2, "id")
+    assert "posexplode" not in made._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.g, r["rank"]): (r.word, r.n) for r in made.where("word <> 'unknown'").collect()}
+    assert found == {("s", 1): ("zoo", 2), ("s", 2): ("apple", 2), (None, 1): ("cat", 2), (None, 2): ("bear", 2)}
+
+
 def test_range_join(spark):
     p = spark.createDataFrame([(x,) for x in range(-20, 60, 3)], "x long")
     s = spark.createDataFrame([(0, -7, 5), (1, 4, 4), (2, 10, 55)], "id long, lo long, hi long")

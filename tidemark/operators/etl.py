@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, collapse, keyword_pattern, truthy, words
+from ..sources.written import Scratch
 
 
 def removal_reason(date: Column, texts: Column, urls: Column, cutoff: Column, script: str) -> Column:
@@ -67,10 +68,20 @@ def duplicate_counts(rows: DataFrame, key: Column) -> DataFrame:
 
 
 def top_keywords(rows: DataFrame, key: str, text: str, k: int, *order: str, least: int = 3) -> DataFrame:
-    """Each group's k most frequent words, the first seen on a tie; a group without any has 'unknown'."""
+    """Each group's k most frequent words, the first seen on a tie; a group without any has 'unknown'.
+
+    Words are counted by hash, with the least of the first ``order`` column where each occurs. Where exactly it occurs is
+    looked up only for words that may be among the first k, in the rows that hold them first."""
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(keyword_pattern(least)), F.lit(1))
-    tokens = rows.select(key, *order, F.posexplode(found).alias("_at", "word")).where(~F.col("word").isin(*STOP_WORDS))
-    counted = tokens.groupBy(key, "word").agg(F.count("*").alias("n"), F.min(F.struct(*order, "_at")).alias("_first"))
+    tokens = rows.select(key, F.col(order[0]).alias("_o"), F.explode(found).alias("word")).where(~F.col("word").isin(*STOP_WORDS))
+    counted = tokens.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("_o").alias("_o"), F.count_if(F.col("_o").isNull()).alias("_nulls"))
+    ahead = counted.withColumn("_r", F.rank().over(Window.partitionBy(key).orderBy(F.desc("n")))).where(F.col("_r") <= k)
+    # A null comes before all others, as in the order of rows.
+    ahead = ahead.select(F.col(key).alias("_k"), "word", "n", F.when(F.col("_nulls") == 0, F.col("_o")).alias("_o"))
+    ahead = Scratch(rows.sparkSession).write(ahead, "ahead")
+    held = rows.join(ahead, F.col(key).eqNullSafe(F.col("_k")) & F.col(order[0]).eqNullSafe(F.col("_o")))
+    placed = held.select(key, *order, "word", "n", F.array_position(found, F.col("word")).alias("_at")).where("_at > 0")
+    counted = placed.groupBy(key, "word", "n").agg(F.min(F.struct(*order, "_at")).alias("_first"))
     rank = Window.partitionBy(key).orderBy(F.desc("n"), "_first")
     top = counted.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(key, "rank", "word", "n")
     none = rows.select(key).distinct().join(top.select(key).distinct(), key, "left_anti")
