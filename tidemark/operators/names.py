@@ -30,13 +30,23 @@ def word_places(docs: DataFrame, group: str, text: str) -> DataFrame:
     return placed.select(group, "at", "p.word", "p.following").where("word IS NOT NULL")
 
 
+def place_counts(places: DataFrame) -> DataFrame:
+    """(at, word, following, n): equal pairs of neighbours once; ``at`` is 1 for all places inside a sentence."""
+    return places.groupBy(F.least("at", F.lit(1)).alias("at"), "word", "following").agg(F.count("*").alias("n"))
+
+
+def _times(places: DataFrame) -> Column:
+    """How often rows of ``word_places`` or of ``place_counts`` occur."""
+    return F.col("n") if "n" in places.columns else F.lit(1).cast("long")
+
+
 def capital(word: Column) -> Column:
     return F.regexp_like(word, F.lit(r"^\p{Lu}"))
 
 
 def names(places: DataFrame, share: float = SHARE, least: int = PLACES) -> DataFrame:
-    """(name, share): lower-case forms of the words that the corpus writes as names."""
-    inside = places.where("at > 0").groupBy("word").agg(F.count("*").alias("n"))
+    """(name, share): lower-case forms of the words that the corpus writes as names. ``places`` may be ``place_counts``."""
+    inside = places.where("at > 0").groupBy("word").agg(F.sum(_times(places)).alias("n"))
     per = inside.groupBy(F.lower("word").alias("name")).agg(F.sum("n").alias("n"), F.sum(F.when(capital(F.col("word")), F.col("n")).otherwise(0)).alias("capitals"))
     per = per.where((F.col("n") >= least) & (F.length("name") >= LETTERS) & ~F.col("name").isin(*STOP_WORDS))
     return per.withColumn("share", F.col("capitals") / F.col("n")).where(F.col("share") >= share).select("name", "share")
@@ -49,9 +59,9 @@ def name_counts(places: DataFrame, known: DataFrame, group: str) -> DataFrame:
 
 
 def firm_pairs(places: DataFrame, known: DataFrame, firm: float = FIRM) -> DataFrame:
-    """(first, second, n, ratio): names that stand together more often than by chance, of two words with capitals."""
-    rows = places.where("following IS NOT NULL").select(F.lower("word").alias("first"), F.lower("following").alias("second"), (capital(F.col("word")) & capital(F.col("following"))).alias("both"))
-    each = rows.groupBy("first", "second").agg(F.count("*").alias("n"), F.sum(F.col("both").cast("long")).alias("capitals"))
+    """(first, second, n, ratio): names that stand together more often than by chance, of two words with capitals. ``places`` may be ``place_counts``."""
+    rows = places.where("following IS NOT NULL").select(F.lower("word").alias("first"), F.lower("following").alias("second"), (capital(F.col("word")) & capital(F.col("following"))).alias("both"), _times(places).alias("n"))
+    each = rows.groupBy("first", "second").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("both"), F.col("n")).otherwise(0)).alias("capitals"))
     left, right = each.groupBy("first").agg(F.sum("n").alias("nf")), each.groupBy("second").agg(F.sum("n").alias("ns"))
     total = each.agg(F.sum("n").cast("double").alias("total"))
     named = lambda c: known.select(F.col("name").alias(c))
