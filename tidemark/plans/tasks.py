@@ -74,8 +74,13 @@ def temporal_qa(questions: DataFrame, articles: DataFrame, max_input: int = 4000
     # A question's context is a prefix of its window's articles in order, so what is behind the budget helps no question.
     line = F.concat(F.lit("["), F.date_format("article_date", "yyyy-MM-dd"), F.lit("] "), F.col("text"))
     lines = articles.where("text is not null").select("window_index", "article_id", "article_date", line.alias("line"))
-    before = F.sum(token_estimate(F.col("line"))).over(Window.partitionBy("window_index").orderBy("article_date", "article_id").rowsBetween(Window.unboundedPreceding, -1))
-    lines = lines.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") <= max_input).drop("_before")
+    # What is sorted in a window are sizes; the few lines within the budget are read again, so that no task takes a window's texts.
+    order = Window.partitionBy("window_index").orderBy("article_date", "article_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.select("window_index", "article_id", "article_date", token_estimate(F.col("line")).alias("_n"))
+    within = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).where(F.col("_before") <= max_input)
+    near = within.select(F.col("window_index").alias("_w"), F.col("article_id").alias("_a"), F.col("article_date").alias("_d"))
+    same = F.col("window_index").eqNullSafe(F.col("_w")) & F.col("article_id").eqNullSafe(F.col("_a")) & F.col("article_date").eqNullSafe(F.col("_d"))
+    lines = lines.join(near, same, "left_semi")
     seen = asked.join(lines, "window_index", "left").where(F.col("article_date").isNull() | (F.col("article_date") <= F.col("question_date")))
     ordered = F.transform(F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("article_date", "article_id", "line")))), lambda s: s["line"])
     context = seen.groupBy("window_index", "question_id").agg(greedy_budget(ordered, max_input).alias("context"))
