@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, models, parsing, qa_generation, stemming, text
 from tidemark.operators import sampling, similarity
 from tidemark.plans import summary_metrics as sm
+from tidemark.plans import tasks
+from tidemark.sources import written
 
 
 def one(spark, column, value=None, kind="string"):
@@ -141,6 +143,45 @@ def test_sequence_metrics():
     assert sm.meteor_exact_stem(["x"], ["y"]) == 0
 
 
+def test_all_metrics_in_one_pass(spark):
+    rows = spark.createDataFrame([(1, "The cats sat.", "the cat sits"), (2, None, "x"), (3, "", ""), (4, "a b c d e", "a b c d e")], "id long, h string, r string")
+    scored = sm.evaluate_all(rows, "h", "r")
+    assert scored._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert scored._jdf.queryExecution().executedPlan().toString().split("ArrowEvalPython [")[1].split("]")[0].count("run(") == 1
+    for found in scored.collect():
+        assert [found[m] for m in sm.SCORES] == [pytest.approx(fn(found.h, found.r)) for fn in sm.SCORES.values()]
+
+
+def test_tables_are_written_in_small_batches(spark):
+    sizes = spark.range(3000, numPartitions=1).mapInPandas(lambda batches: (b.assign(id=len(b)) for b in batches), "id long")
+    before = spark.conf.get(written.BATCH_KEY, None)
+    assert written.Scratch(spark).write(sizes, "sizes").agg({"id": "max"}).first()[0] <= 500
+    assert spark.conf.get(written.BATCH_KEY, None) == before
+
+
+def test_context_sorts_sizes_and_not_texts(spark):
+    asked = spark.createDataFrame([(0, 1, dt.date(2024, 1, 2), "q", {"a": "x"}, "a", None)], "window_index long, question_id long, question_date date, question string, choices map<string,string>, answer string, question_type string")
+    articles = spark.createDataFrame([(0, i, dt.date(2024, 1, 1) if i else None, f"text {i} " * 20) for i in range(9)] + [(0, 10, dt.date(2024, 1, 3), "late")], "window_index long, article_id long, article_date date, text string")
+    made = tasks.temporal_qa(asked, articles, 100)
+    lines = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(lines) if "Window [" in x and "_n#" in x)
+    assert "line#" not in lines[at + 1]
+    row = made.first()
+    assert row.n_articles == 3 and row.error is None  # one without a date, one whole, one cut
+
+
+def test_distinctiveness_shuffles_no_summaries(spark):
+    rows = spark.createDataFrame([(i, f"t{i % 3}", [f"w{i}", "a"], ["a", f"r{i % 4}"]) for i in range(24)], "w long, topic string, h array<string>, r array<string>")
+    made = sm.distinctiveness(rows, "w", "topic", "h", "r", sm.jaccard)
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString() and "Join Cross" in made._jdf.queryExecution().optimizedPlan().toString().replace("Join Inner\n", "Join Cross\n")
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    held = rows.collect()
+    refs = {(r.topic, tuple(r.r)) for r in held}
+    for x, found in zip(held, made.orderBy("w").collect()):
+        far = [1 - jac(x.h, r) for t, r in refs if t != x.topic]
+        assert found.distinctiveness == pytest.approx(sum(far) / (len(far) * (1 - jac(x.h, x.r) + 1e-8)))
+
+
 def test_summary_evolution(spark):
     rows = spark.createDataFrame([(1, "t", "a b", "a b"), (2, "t", "a b", "a c"), (3, "t", "c d", "c d")], "w long, topic string, h string, r string")
     prev = {r.w: r.previous for r in sm.previous(rows, "topic", "w", "h").collect()}

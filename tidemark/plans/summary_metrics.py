@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.qa_generation import bound
 from ..functions.stemming import stem
 from ..functions.text import jaccard, metric_text, token_set, words
+from ..sources.written import Scratch
 
 _TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -88,13 +89,23 @@ def meteor_exact_stem(hyp: list[str], ref: list[str], alpha: float = 0.9, beta:
     return p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * (chunks / m) ** beta)
 
 
-SCORES: dict[str, Callable[[str | None, str | None], float]] = {
-    "rouge1": lambda h, r: rouge_n(tokens(h, True), tokens(r, True), 1),
-    "rouge2": lambda h, r: rouge_n(tokens(h, True), tokens(r, True), 2),
-    "rouge_l": lambda h, r: rouge_l(tokens(h, True), tokens(r, True)),
-    "bleu": lambda h, r: bleu(tokens(h), tokens(r)),
-    "meteor_exact_stem": lambda h, r: meteor_exact_stem(tokens(h), tokens(r)),
+#: Whether a metric reads stems, and what it makes of two lists of tokens.
+ON_TOKENS: dict[str, tuple[bool, Callable[[list[str], list[str]], float]]] = {
+    "rouge1": (True, lambda h, r: rouge_n(h, r, 1)),
+    "rouge2": (True, lambda h, r: rouge_n(h, r, 2)),
+    "rouge_l": (True, rouge_l),
+    "bleu": (False, bleu),
+    "meteor_exact_stem": (False, meteor_exact_stem),
 }
+#: Stems that a task remembers.
+REMEMBERED = 200_000
+
+
+def _on_texts(stemmed: bool, fn: Callable[[list[str], list[str]], float]) -> Callable[[str | None, str | None], float]:
+    return lambda h, r: fn(tokens(h, stemmed), tokens(r, stemmed))
+
+
+SCORES: dict[str, Callable[[str | None, str | None], float]] = {name: _on_texts(*how) for name, how in ON_TOKENS.items()}
 
 
 def score(hyp: Column | str, ref: Column | str, name: str) -> Column:
@@ -156,17 +167,40 @@ def distinctiveness(rows: DataFrame, key: str, topic: str, hyp: str, ref: str, s
 
     The metric is defined over all pairs of a summary and a reference of another topic, so its work is the number of
     summaries times that of distinct references, which are few.  Each distinct reference is compared once to a summary and
-    counts for all its other topics; references are dealt to shards that the summaries meet, so that no side is collected."""
-    refs = rows.groupBy(F.col(ref).alias("_ref")).agg(F.collect_set(topic).alias("_topics")).withColumn("_s", F.pmod(F.xxhash64("_ref"), F.lit(32)))
-    met = rows.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long")))).join(refs, "_s")
+    counts for all its other topics.  Both sides are written, so that their product is read where it is made: no summary
+    is shuffled, whether Spark finds the references small enough to send or not."""
+    scratch = Scratch(rows.sparkSession)
+    rows = scratch.write(rows.select(key, topic, hyp, ref), "summaries")
+    refs = scratch.write(rows.groupBy(F.col(ref).alias("_ref")).agg(F.collect_set(topic).alias("_topics")), "references")
+    met = rows.crossJoin(refs)
     others = F.size("_topics") - F.array_contains("_topics", F.col(topic)).cast("int")
+    # A summary's rows follow each other, so what is shuffled are its sums, one for each part of the references.
     far = met.groupBy(key).agg(F.sum(others * (1 - sim(F.col(hyp), F.col("_ref")))).alias("_far"), F.sum(others).alias("_n"))
-    value = F.col("_far") / (F.col("_n") * (1 - sim(F.col(hyp), F.col(ref)) + 1e-8))
-    return rows.join(far, key, "left").select(key, F.when(F.coalesce("_n", F.lit(0)) == 0, 1.0).otherwise(value).alias("distinctiveness"))
+    value = F.col("_far") / (F.col("_n") * F.col("_own"))
+    own = rows.select(key, (1 - sim(F.col(hyp), F.col(ref)) + 1e-8).alias("_own"))
+    return own.join(far, key, "left").select(key, F.when(F.coalesce("_n", F.lit(0)) == 0, 1.0).otherwise(value).alias("distinctiveness"))
 
 
 def evaluate_all(rows: DataFrame, hyp: str, ref: str, metrics: Sequence[str] = tuple(SCORES)) -> DataFrame:
-    return rows.withColumns({m: score(hyp, ref, m) for m in metrics})
+    """``rows`` with all ``metrics``, in one pass that cuts and stems each text once."""
+    @F.pandas_udf(", ".join(f"{m} double" for m in metrics))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        known: dict[str, str] = {}
+
+        def stemmed(found: list[str]) -> list[str]:
+            if len(known) > REMEMBERED:
+                known.clear()
+            return [known.get(t) or known.setdefault(t, stem(t) if len(t) > 3 else t) for t in found]
+
+        for batch in batches:
+            made = []
+            for h, r in zip(*batch):
+                plain = tokens(h), tokens(r)
+                forms = {True: tuple(map(stemmed, plain)), False: plain}
+                made.append([ON_TOKENS[m][1](*forms[ON_TOKENS[m][0]]) for m in metrics])
+            yield pd.DataFrame(made, columns=list(metrics), dtype="float64")
+
+    return rows.withColumn("_scores", run(hyp, ref)).select(*[c for c in rows.columns if c not in metrics], *[F.col(f"_scores.{m}").alias(m) for m in metrics])
 
 
 def averages(scored: DataFrame, metrics: Sequence[str] = tuple(SCORES)) -> DataFrame:
