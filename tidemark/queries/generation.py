@@ -37,12 +37,13 @@ def rouge2_f(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_sequence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = sm.evaluate_all(_pairs(spark, sf_dir), "hypothesis", "reference")
-    return scored.select("doc_id", *[F.round(m, 6).alias(m) for m in sm.SCORES])
+    scored = sm.evaluate_all(_pairs(spark, sf_dir).select("doc_id", "hypothesis", "reference"), "hypothesis", "reference")
+    return Scratch(spark).write(scored.select("doc_id", *[F.round(m, 6).alias(m) for m in sm.SCORES]), "scores")
 
 
 def summary_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sm.averages(sm.evaluate_all(_pairs(spark, sf_dir), "hypothesis", "reference"))
+    scored = sm.evaluate_all(_pairs(spark, sf_dir).select("hypothesis", "reference"), "hypothesis", "reference").select(*sm.SCORES)
+    return sm.averages(Scratch(spark).write(scored, "scores"))
 
 
 def novelty_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +159,8 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def question_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions about documents with at most three attempts each: how many took how many, and how many failed."""
-    return _asked(spark, sf_dir).groupBy("kind", F.col("q.attempts").alias("attempts"), F.col("q.question").isNotNull().alias("made")).agg(F.count("*").alias("n"))
+    asked = Scratch(spark).write(_asked(spark, sf_dir).select("kind", "q"), "asked")
+    return asked.groupBy("kind", F.col("q.attempts").alias("attempts"), F.col("q.question").isNotNull().alias("made")).agg(F.count("*").alias("n"))
 
 
 def question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +173,7 @@ def question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a topic's questions of one kind and day ask the same."""
     rows = _asked(spark, sf_dir).where("q.question is not null").select(F.concat_ws("/", "topic", F.col("event_date").cast("string")).alias("event"), "kind", "doc_id", "q.question")
+    rows = Scratch(spark).write(rows, "asked")
     return questions.redundancy(rows, "event", "kind", "question", "doc_id")
 
 
@@ -207,7 +210,7 @@ def html_link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").withColumn("a", html_tables.article("html"))
-    return pages.select("page_id", "a.title", F.length("a.text").alias("n_chars"))
+    return Scratch(spark).write(pages.select("page_id", "a.title", F.length("a.text").alias("n_chars")), "articles")
 
 
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
