@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as packed
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,9 @@ from .scratch import narrowed, slices, spread, table
 
 #: Tokens of the longest sequence, a power of two, and the id behind each document.
 LONGEST, END = 1024, 0
-#: Stretches of a text: white space and what follows it, up to the next white space.
-STRETCH = re.compile(r"\s*\S+|\s+")
+#: Stretches of a text: white space and what follows it, up to the next white space, or to a mark right behind a letter or
+#: digit, where a token ends in any case; so a word is one stretch whatever mark follows it.
+STRETCH = re.compile(r"\s*+[^\s.,;:!?]++(?:(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[.,;:!?])|\S*+)|\s*+\S++|\s++")
 #: Characters that this pattern takes for white space and the libraries don't.
 ODD = re.compile("[\x1c-\x1f]")
 #: Remembered stretches of a worker, twice at most, and the longest of them.
@@ -61,19 +63,22 @@ class Encoder:
         self._older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [packed(f"<{len(e)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.by_stretch or ODD.search(text) or (self.own and self.own.search(text)):
             return self._encode([text])[0]
-        stretches, known = STRETCH.findall(text), self._known
-        new = {s: self._older.get(s) for s in stretches if s not in known}
-        unseen = [s for s, ids in new.items() if ids is None]
-        new.update(zip(unseen, self._encode(unseen)))
-        ids = b"".join([known.get(s) or new[s] for s in stretches])
-        known.update((s, v) for s, v in new.items() if len(s) <= SHORT)
+        stretches, known, older = STRETCH.findall(text), self._known, self._older
+        new = set(stretches).difference(known)
+        unseen = [s for s in new if s not in older]
+        known.update((s, older[s]) for s in new if s in older)
+        known.update(zip(unseen, self._encode(unseen)))
+        ids = b"".join(map(known.__getitem__, stretches))
+        for s in unseen:
+            if len(s) > SHORT:
+                del known[s]
         if len(known) >= self.remembered:
             self._known, self._older = {}, known
         return ids
