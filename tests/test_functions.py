@@ -143,6 +143,13 @@ def test_sequence_metrics():
     assert sm.meteor_exact_stem(["x"], ["y"]) == 0
 
 
+def test_plain_rouge_counts_within_rows(spark):
+    rows = spark.createDataFrame([(1, "A b, a b a", "a b a b"), (2, None, "x"), (3, "", ""), (4, "a", "a")], "id long, h string, r string")
+    scored = sm.rouge_n_plain(rows, "id", "h", "r", 2)
+    assert {r.id: r.f for r in scored.collect()} == {1: pytest.approx(6 / 7), 2: 0.0, 3: 0.0, 4: 0.0}
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_all_metrics_in_one_pass(spark):
     rows = spark.createDataFrame([(1, "The cats sat.", "the cat sits"), (2, None, "x"), (3, "", ""), (4, "a b c d e", "a b c d e")], "id long, h string, r string")
     scored = sm.evaluate_all(rows, "h", "r")

@@ -1,6 +1,6 @@
 """Metrics of generated summaries against references: ROUGE, BLEU, METEOR, and the evolution of summaries over windows.
 
-ROUGE-1 and -2 and the set metrics are aggregations or expressions; longest common subsequences, BLEU and METEOR's
+Set metrics are expressions; n-grams, longest common subsequences, BLEU and METEOR's
 alignment run in an Arrow-batched function.  METEOR has the exact and the stem stage only, hence its name.
 """
 
@@ -15,9 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.qa_generation import bound
 from ..functions.stemming import stem
-from ..functions.text import jaccard, metric_text, token_set, words
+from ..functions.text import jaccard, metric_text, token_set
 from ..sources.written import Scratch
 
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -121,22 +120,14 @@ def score(hyp: Column | str, ref: Column | str, name: str) -> Column:
 
 
 def rouge_n_plain(rows: DataFrame, key: str, hyp: str, ref: str, n: int) -> DataFrame:
-    """(key, f) without stemming, by counting n-grams in aggregates."""
-
-    def grams(c: str, side: str) -> DataFrame:
-        def joined(seq: Column) -> Column:
-            spans = seq
-            for k in range(2, n + 1):  # each step adds the next word; what runs over the end is null
-                spans = F.zip_with(spans, F.slice(seq, F.lit(k), F.size(seq)), lambda g, w: F.concat(g, F.lit(" "), w))
-            return F.array_compact(spans)
-
-        spans = bound(words(metric_text(F.col(c))), joined)
-        return rows.select(key, F.explode(spans).alias("g")).groupBy(key, "g").agg(F.count("*").alias(side))
-
-    both = grams(hyp, "h").join(grams(ref, "r"), [key, "g"], "full_outer").na.fill(0, ["h", "r"])
-    sums = both.groupBy(key).agg(F.sum(F.least("h", "r")).alias("hits"), F.sum("h").alias("n_h"), F.sum("r").alias("n_r"))
-    scored = sums.select(key, (2 * F.col("hits") / (F.col("n_h") + F.col("n_r"))).alias("f"))
-    return rows.select(key).join(scored, key, "left").select(key, F.coalesce("f", F.lit(0.0)).alias("f"))
+    """(key, f) without stemming; keys are distinct. A row's n-grams are counted where the row is, so no n-gram is shuffled."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for h, r in batches:
+            yield pd.Series([rouge_n((x or "").split(), (y or "").split(), n) for x, y in zip(h, r)], dtype="float64")
+
+    return rows.select(key, run(metric_text(F.col(hyp)), metric_text(F.col(ref))).alias("f"))
 
 
 def token_similarity(a: Column, b: Column) -> Column:

@@ -29,11 +29,13 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rouge1_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sm.rouge_n_plain(_pairs(spark, sf_dir), "doc_id", "hypothesis", "reference", 1).withColumn("f", F.round("f", 6))
+    scored = sm.rouge_n_plain(_pairs(spark, sf_dir), "doc_id", "hypothesis", "reference", 1)
+    return Scratch(spark).write(scored.withColumn("f", F.round("f", 6)), "rouge")
 
 
 def rouge2_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sm.rouge_n_plain(_pairs(spark, sf_dir), "doc_id", "hypothesis", "reference", 2).withColumn("f", F.round("f", 6))
+    scored = sm.rouge_n_plain(_pairs(spark, sf_dir), "doc_id", "hypothesis", "reference", 2)
+    return Scratch(spark).write(scored.withColumn("f", F.round("f", 6)), "rouge")
 
 
 def summary_sequence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
