@@ -112,6 +112,14 @@ def test_features_travel_shortened():
     assert found.to_pylist() == full and shared.max() == 2
 
 
+def test_hashes_of_features_are_those_of_their_strings():
+    known = [b"a", b"bc", "\u00e9t\u00e9".encode(), b"x" * 5000, b"0", b"y" * 255]
+    places = [np.array(p) for p in zip(*[(i, j, k) for i in range(6) for j in range(7) for k in range(7) if j < 6 or k == 6])]
+    strings = [b" ".join(known[i] for i in row if i < 6) for row in zip(*places)]
+    assert rs.hashes(places, pa.array(known, pa.binary())).tolist() == [zlib.crc32(s) for s in strings]
+    assert len(rs.hashes([np.empty(0, np.int64)] * 3, pa.array([], pa.binary()))) == 0
+
+
 def test_drawn_documents_are_like_the_target(spark):
     rng = np.random.default_rng(1)
     text = lambda i: " ".join(f"{'t' if i % 10 == 0 else 'o'}{k}" for k in rng.integers(0, 100, 60))

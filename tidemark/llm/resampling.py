@@ -47,6 +47,8 @@ TURNS, LEVEL = 2, 6
 BLOCK_WORDS, BITS = 1 << 20, 21
 #: Features that a part of the dictionary receives, about.
 PART_FEATURES = 1 << 21
+#: Features that are hashed at once, so that what is made of them stays in a core's cache.
+HASHED = 1 << 15
 #: Bytes that aren't part of a word, as spaces, and A-Z as a-z; all bytes of other characters are 0x80 or more.
 WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 BLOCK_SCHEMA = "block long, n_words long, rows array<long>, ids array<long>, starts array<int>, stored array<int>, vocabulary binary, words binary"
@@ -108,14 +110,14 @@ def codes(numbers: np.ndarray, starts: np.ndarray, stored: np.ndarray) -> tuple[
     """The features of a block as ORDER numbers in one, 0 for no word, and the stretch of each."""
     w, stretch, at = numbers.astype(np.int64), np.repeat(np.arange(len(stored)), stored), np.arange(len(numbers))
     ends = np.cumsum(stored)
-    begins = at < (ends - stored + starts)[stretch]
+    begins, upto = at < np.repeat(ends - stored + starts, stored), np.repeat(ends, stored)
     code, found, of = w << (BITS * (ORDER - 1)), [], []
     for more in range(ORDER):
         if more:
             shifted = np.zeros_like(w)
             shifted[:-more] = w[more:]
             code = code | shifted << (BITS * (ORDER - 1 - more))
-        whole = begins & (at + more < ends[stretch])
+        whole = begins & (at + more < upto)
         found.append(code[whole])
         of.append(stretch[whole])
     return np.concatenate(found), np.concatenate(of)
@@ -207,6 +209,50 @@ def joined(places: list[np.ndarray], words_: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(*[t.take(pa.array(p)) for t, p in zip(tables, places)], pa.scalar(b"", pa.binary()))
 
 
+def _followed(crc: np.ndarray, tables: np.ndarray, which: np.ndarray | int = 0) -> np.ndarray:
+    """CRC-32 values after as many zero bytes as the tables that stand for them say."""
+    flat, at = tables.ravel(), which << 10
+    out = flat.take(at + (crc & 255))
+    for i in range(1, 4):
+        out ^= flat.take(at + (256 * i) + (crc >> np.uint32(8 * i) & 255))
+    return out
+
+
+def following(lengths: np.ndarray) -> np.ndarray:
+    """For each length four tables of 256: what each byte of a CRC-32 becomes when so many zero bytes follow."""
+    byte = np.empty(256, np.uint32)
+    for b in range(256):
+        byte[b ^ 255] = zlib.crc32(bytes([b])) ^ 0xFF000000
+    alone = np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]
+    power = byte[alone & 255] ^ alone >> np.uint32(8)
+    # Bit by bit first; a byte's value is the sum of those of its bits.
+    bits = np.repeat(np.uint32(1) << np.arange(32, dtype=np.uint32)[None], len(lengths), 0)
+    for bit in range(int(max(lengths, default=0)).bit_length()):
+        now = (lengths >> bit & 1) > 0
+        bits[now], power = _followed(bits[now], power), _followed(power, power)
+    bits, found = bits.reshape(-1, 4, 8), np.zeros((len(lengths), 4, 256), np.uint32)
+    for i in range(8):
+        found[:, :, 1 << i : 2 << i] = found[:, :, : 1 << i] ^ bits[:, :, i : i + 1]
+    return found
+
+
+def hashes(places: list[np.ndarray], known: pa.Array) -> np.ndarray:
+    """The CRC-32 of each feature as a string, from those of its words and of a space and a word; the number behind the last word stands for no word."""
+    listed, none, space = known.to_pylist(), len(known), zlib.crc32(b" ")
+    own = np.fromiter(map(zlib.crc32, listed), np.uint32, none)
+    spaced = np.fromiter((zlib.crc32(w, space) for w in listed), np.uint32, none)
+    lengths, kind = np.unique(np.fromiter(map(len, listed), np.int64, none) + 1, return_inverse=True)
+    tables, found = following(lengths), np.empty(len(places[0]), np.uint32)
+    for at in range(0, len(found), HASHED):
+        here = own[places[0][at : at + HASHED]]
+        for p in places[1:]:
+            more = np.flatnonzero((words_ := p[at : at + HASHED]) < none)
+            w = words_[more]
+            here[more] = _followed(here[more], tables, kind[w]) ^ spaced[w]
+        found[at : at + HASHED] = here
+    return found
+
+
 def dictionary(questions: DataFrame) -> DataFrame:
     """(block, part, buckets, sums): for each list its features' buckets, and once for each part, with a null block, counts by bucket."""
 
@@ -224,11 +270,12 @@ def dictionary(questions: DataFrame) -> DataFrame:
         if bits * ORDER <= 63:
             of, distinct = pd.factorize(sum(p << (bits * i) for i, p in enumerate(places)))
             places = [(distinct >> (bits * i)) & ((1 << bits) - 1) for i in range(ORDER)]
-            strings = joined(places, known)
+            crc = hashes(places, known)
         else:
             whole = joined(places, known).dictionary_encode()
             of, strings = whole.indices.to_numpy(), whole.dictionary
-        bucket = (np.fromiter(map(zlib.crc32, strings.to_pylist()), np.uint32, len(strings)) % BUCKETS).astype(np.uint16)
+            crc = np.fromiter(map(zlib.crc32, strings.to_pylist()), np.uint32, len(strings))
+        bucket = (crc % BUCKETS).astype(np.uint16)
         counts = np.concatenate([unpacked(c, np.uint32) for c in group["counts"].to_pylist()])
         # Counts as floating-point numbers are whole and exact below 2 ** 53.
         sums = np.bincount(bucket[of], weights=counts, minlength=BUCKETS).astype(np.int64)
@@ -279,11 +326,15 @@ def weights(found: DataFrame, answers: DataFrame, parts: int, gain: np.ndarray)
         row = block.to_pylist()[0]
         vocabulary, starts, stored = _vocabulary(row["vocabulary"]), np.array(row["starts"]), np.array(row["stored"])
         code, stretch = codes(unpacked(row["words"], np.uint32), starts, stored)
-        of, distinct = pd.factorize(code)
         # As ``asked`` has them: by part, and then by their numbers.
-        by_number = np.argsort(distinct)
-        order, ends = routed(parted(distinct[by_number], vocabulary, parts), parts)
-        order, own = by_number[order], np.zeros(len(distinct), np.int64)
+        by_number = np.argsort(code)
+        sorted_ = code[by_number]
+        first = np.ones(len(code), bool)
+        first[1:] = sorted_[1:] != sorted_[:-1]
+        distinct, of = sorted_[first], np.empty(len(code), np.int64)
+        of[by_number] = np.cumsum(first) - 1
+        order, ends = routed(parted(distinct, vocabulary, parts), parts)
+        own = np.zeros(len(distinct), np.int64)
         for part, answer in zip(lists["part"].to_pylist(), lists["buckets"].to_pylist()):
             own[order[ends[part - 1] if part else 0 : ends[part]]] = gain[unpacked(answer, np.uint16)]
         weight = np.bincount(stretch, weights=own[of], minlength=len(starts)).astype(np.int64)
