@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ import corpus_pipeline as cp
 from tests.llm.test_documents import WHITE, brute_components, brute_targets, edited, shingles, words
 from tidemark.llm.queries import default_model
 from tidemark.llm.quality import quality
+from tidemark.llm.scratch import released
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -128,3 +131,21 @@ def test_run(spark, sf):
     again = cp.run(spark, sf)
     assert Counter(map(tuple, out.collect())) == Counter(map(tuple, again.collect()))
     assert [n for n, _ in cp.STAGES][0] == "quality classifier" and len(cp.STAGES) == 5
+
+
+def test_released_passes_batches_and_frees_its_memory():
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+
+    def run(batches):
+        held = [bytes(900) for _ in range(200_000)]
+        kept = held[::2000]
+        for batch in batches:
+            yield batch
+        del held
+        run.kept = kept
+
+    batches = [pa.record_batch({"x": pa.array([i])}) for i in range(3)]
+    first = resident()
+    assert list(released(run)(iter(batches))) == batches
+    assert resident() - first < 100

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordinal import CumulativeLink
-from .scratch import numbered_columns, place, slices, spread
+from .scratch import numbered_columns, place, released, slices, spread
 
 Features = Callable[[str], np.ndarray]
 
@@ -34,7 +34,7 @@ def featured(rows: DataFrame, features: Features) -> tuple[list[np.ndarray], np.
             made = [features(t.as_py() or "").astype("<i4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], ["doc_id", "f", "grade"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, f binary, grade int").collect(), key=lambda r: (r.doc_id, r.f))
+    got = sorted(rows.mapInArrow(released(run), "doc_id long, f binary, grade int").collect(), key=lambda r: (r.doc_id, r.f))
     return [np.frombuffer(r.f, "<i4") for r in got], np.array([r.grade for r in got], int), np.array([r.doc_id for r in got], np.int64)
 
 
@@ -61,7 +61,7 @@ def passing(df: DataFrame, text_col: str, model: CumulativeLink, features: Featu
             yield batch.filter(pa.array([own.tails(features(t.as_py() or ""))[0] >= cut for t in batch.column(at)], pa.bool_()))
 
     rows = numbered_columns(df)  # so that names of columns can't clash
-    return spread(rows).mapInArrow(run, rows.schema).toDF(*df.columns)
+    return spread(rows).mapInArrow(released(run), rows.schema).toDF(*df.columns)
 
 
 def scored(docs: DataFrame, model: CumulativeLink, features: Features) -> DataFrame:
@@ -74,4 +74,4 @@ def scored(docs: DataFrame, model: CumulativeLink, features: Features) -> DataFr
             tails = [own.tails(features(t.as_py() or "")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails, pa.list_(pa.float64()))], ["doc_id", "tails"])
 
-    return spread(docs).mapInArrow(run, "doc_id long, tails array<double>")
+    return spread(docs).mapInArrow(released(run), "doc_id long, tails array<double>")

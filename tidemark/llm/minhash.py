@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import narrowed, slices, spread, table
+from .scratch import narrowed, released, slices, spread, table
 
 SHINGLE, COORDS, MATCH, WIDE, WIDE_MATCH = 5, 32, 16, 128, 88
 #: Classes that one strip of a group holds at least, if there are so many; strips of a group at first; bounds of a strip.
@@ -218,14 +218,14 @@ def _rarest(spark: SparkSession, members: DataFrame, sets: DataFrame) -> DataFra
 
     Of n shingles, a set at the bound shares all but n - ceil(PERCENT * n / 100), so the rarest of the shared ones is among
     one more than so many rarest of either set.  Shingles of a template are frequent and never get so far."""
-    rows = table(spark, members.select("rep").join(sets, "rep").select("rep", "shingles").mapInArrow(_listed, "rep long, s array<long>"), "listed")
+    rows = table(spark, members.select("rep").join(sets, "rep").select("rep", "shingles").mapInArrow(released(_listed), "rep long, s array<long>"), "listed")
     tokens = rows.select("rep", F.size("s").alias("n"), F.explode("s").alias("w"))
     shared = table(spark, tokens.groupBy("w").agg(F.count("*").alias("f")).where("f > 1"), "shared")
     ranked = tokens.join(shared, "w").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("r"))  # a set's shingles at most
     # Shingles of one set alone are the rarest and come first.
     count = F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1 - (F.col("n") - F.size("r"))
     own = ranked.select("rep", F.transform(F.slice("r", F.lit(1), F.greatest(count, F.lit(0)).cast("int")), lambda x: x["w"]).alias("rare"))
-    return table(spark, own.where(F.size("rare") > 0).mapInArrow(_packed, "rep long, rare binary"), "rare")
+    return table(spark, own.where(F.size("rare") > 0).mapInArrow(released(_packed), "rep long, rare binary"), "rare")
 
 
 def _paired(rows: DataFrame, strips: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def _confirm(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFram
     heads = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(sets, F.col("a") == F.col("rep"))
     both = members.union(heads.select("a", "chunk", F.lit(None).cast("long").alias("b"), "shingles"))
     both = both.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    return table(spark, both.select("a", "b", "shingles").mapInArrow(_confirmed, "a long, b long"), "links")
+    return table(spark, both.select("a", "b", "shingles").mapInArrow(released(_confirmed), "a long, b long"), "links")
 
 
 def posted(spark: SparkSession, classes: DataFrame) -> DataFrame:
@@ -289,13 +289,13 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _sets_of(spark: SparkSession, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, shingles) of the classes in the first column of ``reps``."""
     wanted = table(spark, reps.toDF("rep").distinct(), "wanted")
-    return table(spark, _picked(docs, wanted).mapInArrow(_sets, "rep long, shingles binary"), "sets")
+    return table(spark, _picked(docs, wanted).mapInArrow(released(_sets), "rep long, shingles binary"), "sets")
 
 
 def near_dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
     docs = narrowed(df, doc_id=(id_col, "long"), text=(text_col, "string"))
-    signed = table(spark, spread(docs).mapInArrow(_signed, "doc_id long, n_shingles long, set_key binary, coords array<long>, wide binary"), "signed")
+    signed = table(spark, spread(docs).mapInArrow(released(_signed), "doc_id long, n_shingles long, set_key binary, coords array<long>, wide binary"), "signed")
     firsts = [F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("coords").alias("coords"), F.min("wide").alias("wide")]
     classes = table(spark, signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(*firsts), "classes")
     wide = classes.select("rep", "wide", "n_shingles")
@@ -304,7 +304,7 @@ def near_dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_
     least = table(spark, postings.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "least")
     stars = table(spark, postings.join(least, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
     alike = stars.join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("wide_b")), "b").join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("wide_a")), "a")
-    alike = table(spark, alike.select("a", "b", "wide_a", "wide_b").mapInArrow(_alike, "a long, b long"), "alike")
+    alike = table(spark, alike.select("a", "b", "wide_a", "wide_b").mapInArrow(released(_alike), "a long, b long"), "alike")
     sets = _sets_of(spark, docs, alike.select("a").union(alike.select("b")))
     links = _confirm(spark, alike, sets)
     labels = table(spark, components(spark, links), "labels")

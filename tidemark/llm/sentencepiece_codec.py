@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .scratch import narrowed, slices, spread
+from .scratch import narrowed, released, slices, spread
 
 SPACE = "▁".encode()
 #: Stretches of up to so many characters are remembered, so many new ones until those that haven't come again are forgotten.
@@ -251,7 +251,7 @@ def encoded(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array([codec.decode(r[0]) for r in rows], pa.string())], ["doc_id", "ids", "begins", "ends", "decoded"])
 
     rows = narrowed(df, doc_id=(id_col, "long"), text=(text_col, "string"))
-    return spread(rows).mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")
+    return spread(rows).mapInArrow(released(run), "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
 
 def digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,4 +270,4 @@ def digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.string()) for c in columns[1:]]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     rows = narrowed(df, doc_id=(id_col, "long"), text=(text_col, "string"))
-    return spread(rows).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return spread(rows).mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
