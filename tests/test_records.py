@@ -100,6 +100,17 @@ def test_jaccard_pairs_against_brute_force(spark):
         assert {(r.left_id, r.right_id) for r in similarity.jaccard_pairs(df, "g", "id", "tokens", threshold).collect()} == want
 
 
+def test_jaccard_pairs_of_copies(spark):
+    """Copies are compared once and are in all pairs of their set; no token is made a row."""
+    ten = [f"t{j}" for j in range(10)]
+    rows = [("g", 9, ten), ("g", 2, ten[::-1]), ("g", 5, [*ten, "u"]), ("g", 1, [*ten, "u"]), ("g", 7, ["v"]), ("h", 3, ten), (None, 4, ten), (None, 6, ten), ("g", 8, []), ("g", 10, None), ("g", None, ten)]
+    df = spark.createDataFrame(rows, "g string, id int, tokens array<string>")
+    out = similarity.jaccard_pairs(df, "g", "id", "tokens", 0.9)
+    assert sorted((r.g, r.left_id, r.right_id, round(r.similarity, 6)) for r in out.collect()) == [
+        ("g", 1, 2, 0.909091), ("g", 1, 5, 1.0), ("g", 1, 9, 0.909091), ("g", 2, 5, 0.909091), ("g", 2, 9, 1.0), ("g", 5, 9, 0.909091)]
+    assert "Generate" not in out._jdf.queryExecution().toString()
+
+
 def test_log_factorials(spark):
     rows = [0, 1, 2, 7, 50, 12_345, 10_000_000]
     got = [r.x for r in spark.createDataFrame([(n,) for n in rows], "n long").select(cm.log_factorial(F.col("n").cast("double")).alias("x")).collect()]
