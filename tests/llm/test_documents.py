@@ -244,6 +244,14 @@ def test_sentencepiece(spark, docs, rows):
         assert full[r.doc_id].decoded == model.decode(ids)
 
 
+def test_words_are_segmented_without_the_mark_or_line_behind_them():
+    """A word is remembered once, whatever follows it; ids are the library's."""
+    codec = sp.Codec(open(default_model(), "rb").read())
+    for text in ("tothwheaan, tothwheaan. tothwheaan; tothwheaan\ntothwheaan! x.y 3.14, a)b \n\n e.g. ª. don't…", "queè###&&& ñrr?\n,\n", "\n" * 40 + "interminablementeinterminablemente. end"):
+        assert codec.encode(text)[0].tolist() == codec.library.encode(text, add_bos=True, add_eos=True)
+    assert "▁tothwheaan" in codec._known and not any(s.startswith("▁tothwheaan") and len(s) > 11 for s in codec._known)
+
+
 def test_spans_cover_the_text(spark):
     codec = sp.Codec(open(default_model(), "rb").read())
     for text in ("", "Hello  world", "日本語 \U0001f600!", " lead", "a\nb\t\x07"):

@@ -21,6 +21,8 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,10 @@ from .scratch import narrowed, released, slices, spread
 SPACE = "▁".encode()
 #: Stretches of up to so many characters are remembered, so many new ones until those that haven't come again are forgotten.
 SHORT, REMEMBERED = 32, 1 << 18
+#: Stretches of up to so many characters are merged at once, longer ones are first cut where no piece goes over.
+WORD = 16
+#: Marks that end a word, and the letters before them.
+MARKS, LETTER = ".,;:!?)\"'\u2026\u2019\u201d", re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
 _NONE = float("-inf")
 
 
@@ -97,11 +103,17 @@ class Codec:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         space = SPACE.decode() if self.escape else " "
         alone = not any(re.search(f"[^{space}]{space}", p) for p in self.pieces)
-        self.stretches = re.compile(f"{space}*[^{space}]+|{space}+" if alone else "(?s).+")
+        self.adjacent = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        # A word and a mark right behind it are two stretches if no piece has a letter before the mark, and so are lines.
+        bound, line = {p[1] for p in self.adjacent if LETTER.match(p[0])}, "" if any("\n" in p for p in self.adjacent) else "\n"
+        marks = re.escape("".join(m for m in MARKS if m not in bound))
+        words = f"{space}*+[^{space}{line}{marks}]++(?:(?<={LETTER.pattern})(?=[{marks}])|[^{space}{line}]*+)|" if marks else ""
+        lines = f"{line}++|" if line else ""
+        self.stretches = re.compile(f"{words}{space}*+[^{space}{line}]++|{lines}{space}++" if alone else "(?s).+")
         self.library = sentencepiece.SentencePieceProcessor(model_proto=self.proto)
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
         self.scores = {piece: score for piece, (_, score) in self.pieces.items()}
-        self.adjacent = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.units = {piece: array("I", [i, len(piece.encode())]).tobytes() for piece, (i, _) in self.pieces.items() if piece not in self.unused}
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
@@ -149,7 +161,7 @@ class Codec:
     def merged_short(self, text: str) -> list[str]:
         """A short stretch in pieces, for a model without unused ones: the best of all pairs is looked for at each step."""
         parts, score = list(text), self.scores.get
-        scores = [score(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        scores = list(map(score, map(add, text, text[1:]), repeat(_NONE)))
         while scores and (best := max(scores)) != _NONE:
             i = scores.index(best)  # the leftmost of equals
             parts[i] += parts.pop(i + 1)
@@ -192,42 +204,44 @@ class Codec:
                 out.append(piece)
         return out
 
+    def unpieced(self, text: str) -> bytes:
+        """The ids of what is no piece, as ``segment`` gives them: those of its bytes, or the unknown one."""
+        data = text.encode()
+        found = [x for b in data for x in (self.bytes[b], 1)] if self.bytes else [self.unknown, len(data)]
+        return array("I", found).tobytes()
+
     def segment(self, text: str) -> bytes:
         """The ids of a stretch, each with how many bytes of it the id covers, as pairs of 32-bit numbers."""
         short = len(text) <= SHORT
         known = self._older.get(text) if short else None
         if known is None:
             # No piece goes over a pair of characters that no piece has, so what lies between such pairs is segmented alone.
-            cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.adjacent]
+            cuts = [] if len(text) <= WORD else [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in self.adjacent]
             if cuts:
                 parts = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])]
                 known = b"".join([self._known.get(part) or self.segment(part) for part in parts])
         if known is None:
-            found = []
-            for piece in self.merged_short(text) if short and not self.unused else self.merged(text):
-                hit = None if piece in self.unused else self.pieces.get(piece)
-                if hit:
-                    found += hit[0], len(piece) if piece.isascii() else len(piece.encode())
-                elif self.bytes:
-                    for b in piece.encode():
-                        found += self.bytes[b], 1
-                else:
-                    found += self.unknown, len(piece.encode())
-            known = array("I", found).tobytes()
+            units = self.units.get
+            known = b"".join([units(piece) or self.unpieced(piece) for piece in (self.merged_short(text) if short and not self.unused else self.merged(text))])
         if short:
-            if len(self._known) >= REMEMBERED:
-                self._known, self._older = {}, self._known
             self._known[text] = known
         return known
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids with begin and end, and the first and last byte (exclusive) of each in the original text."""
         norm, source = self.normalise(text or "")
-        found = [array("I", [self.begin, 0]).tobytes()]
-        for stretch in self.stretches.findall(norm.decode()):
-            found.append(self._known.get(stretch) or self.segment(stretch))
-        found.append(array("I", [self.end, 0]).tobytes())
-        numbers, width = np.frombuffer(b"".join(found), np.uint32).reshape(-1, 2).T.astype(np.int64)
+        stretches, known = self.stretches.findall(norm.decode()), self._known
+        new = set(stretches).difference(known)
+        for stretch in new:
+            known[stretch] = self.segment(stretch)
+        found = b"".join(map(known.__getitem__, stretches))
+        for stretch in new:
+            if len(stretch) > SHORT:
+                del known[stretch]
+        if len(known) >= REMEMBERED:
+            self._known, self._older = {}, known
+        first, last = array("I", [self.begin, 0]).tobytes(), array("I", [self.end, 0]).tobytes()
+        numbers, width = np.frombuffer(first + found + last, np.uint32).reshape(-1, 2).T.astype(np.int64)
         if not self.bytes:
             keep = np.r_[True, (numbers[1:] != self.unknown) | (numbers[:-1] != self.unknown)]
             numbers, width = numbers[keep], np.add.reduceat(width, np.flatnonzero(keep))
