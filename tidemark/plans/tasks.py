@@ -63,14 +63,14 @@ def summarization(docs: DataFrame, size: int, stride: int, key: str, text: str,
     })
 
 
-def temporal_qa(questions: DataFrame, articles: DataFrame, max_input: int = 4000, cap: int = 10, engine: str = "stub", **options) -> DataFrame:
+def temporal_qa(questions: DataFrame, articles: DataFrame, max_input: int = 4000, cap: int | None = None, engine: str = "stub", **options) -> DataFrame:
     """Answers to questions of windows from articles of the same window that aren't later.
 
     ``questions``: window_index, question_id, question_date, question, choices (map), answer, question_type;
-    ``articles``: window_index, article_id, article_date, text.  At most ``cap`` questions per window, by hash."""
+    ``articles``: window_index, article_id, article_date, text.  All questions of a window, or at most ``cap``, by hash."""
     from ..operators.sampling import per_group
 
-    asked = per_group(questions, ["window_index"], ["question_id"], cap)
+    asked = questions if cap is None else per_group(questions, ["window_index"], ["question_id"], cap)
     # A question's context is a prefix of its window's articles in order, so what is behind the budget helps no question.
     line = F.concat(F.lit("["), F.date_format("article_date", "yyyy-MM-dd"), F.lit("] "), F.col("text"))
     lines = articles.where("text is not null").select("window_index", "article_id", "article_date", line.alias("line"))
@@ -81,10 +81,11 @@ def temporal_qa(questions: DataFrame, articles: DataFrame, max_input: int = 4000
     near = within.select(F.col("window_index").alias("_w"), F.col("article_id").alias("_a"), F.col("article_date").alias("_d"))
     same = F.col("window_index").eqNullSafe(F.col("_w")) & F.col("article_id").eqNullSafe(F.col("_a")) & F.col("article_date").eqNullSafe(F.col("_d"))
     lines = lines.join(near, same, "left_semi")
-    seen = asked.join(lines, "window_index", "left").where(F.col("article_date").isNull() | (F.col("article_date") <= F.col("question_date")))
-    ordered = F.transform(F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("article_date", "article_id", "line")))), lambda s: s["line"])
-    context = seen.groupBy("window_index", "question_id").agg(greedy_budget(ordered, max_input).alias("context"))
-    joined = asked.join(context, ["window_index", "question_id"], "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
+    # A window's lines within the budget are one row, which each of its questions reads as far as its date.
+    held = lines.groupBy("window_index").agg(F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("article_date", "article_id", "line")))).alias("_lines"))
+    seen = F.filter("_lines", lambda s: s["article_date"].isNull() | (s["article_date"] <= F.col("question_date")))
+    context = F.coalesce(greedy_budget(F.transform(seen, lambda s: s["line"]), max_input), F.array().cast("array<string>"))
+    joined = asked.join(held, "window_index", "left").withColumn("context", context).drop("_lines")
     prompt = qa_generation.answer_prompt(F.col("question"), F.col("choices"), F.col("context"), F.lit(""))
     out = joined.withColumn("prompt_tokens", token_estimate(prompt)).withColumn("_m", models.generate(prompt, engine, max_tokens=50, **options))
     predicted = answer_letter(F.col("_m.text"))
