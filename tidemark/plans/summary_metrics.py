@@ -11,7 +11,10 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,20 +156,87 @@ def novelty(hyp: Column, prev: Column, ref: Column, sim: Callable[[Column, Colum
     return F.when(F.size(new) > 0, sim(F.array_join(new, " "), ref)).otherwise(0.0)
 
 
+#: Summaries, and references, that are compared at once.
+SUMMARIES, REFERENCES = 128, 512
+
+
+def _batches(scratch: Scratch, rows: DataFrame, most: int, label: str) -> DataFrame:
+    """Rows as lists of up to ``most``, one list for each column, written."""
+    kind = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, most):
+                part = [c.slice(at, most) for c in b.columns]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in part], b.schema.names)
+
+    return scratch.write(rows.mapInArrow(lists, kind), label)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, member) of a column of lists."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), lengths), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def set_distances(scratch: Scratch, rows: DataFrame, refs: DataFrame, key: str, topic: str, hyp: str) -> DataFrame:
+    """(key, _far, _n): sums over a list of summaries and one of references, which meet as two rows; sets are of 64-bit hashes.
+
+    A summary's words are counted for all references at once by the references that hold them, so a pair costs its common words."""
+    hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    left = _batches(scratch, rows.select(F.col(key).alias("key"), F.xxhash64(topic).alias("topic"), hashed(hyp).alias("words")), SUMMARIES, "summary-lists")
+    right = _batches(scratch, refs.select(hashed("_ref").alias("ref"), F.transform("_topics", lambda t: F.xxhash64(t)).alias("topics")), REFERENCES, "reference-lists")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                keys, topics, words, ref, refs_topics = (b[c][i].values for c in ("key", "topic", "words", "ref", "topics"))
+                (at, word), (held, own) = _flat(words), _flat(ref)
+                n, m, sizes = len(keys), len(ref), np.bincount(held, minlength=len(ref))
+                order = np.argsort(own, kind="stable")
+                own, held = own[order], held[order]
+                lo, hi = np.searchsorted(own, word), np.searchsorted(own, word, "right")
+                far = hi > lo
+                # Each summary's words that are in references, and all references that have them.
+                count, start, row = (hi - lo)[far], lo[far], at[far]
+                each = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                both = np.bincount(np.repeat(row, count) * m + held[each], minlength=n * m).reshape(n, m)
+                total = np.bincount(at, minlength=n)[:, None] + sizes[None, :] - both
+                distance = 1 - np.divide(both, total, out=np.zeros((n, m)), where=total > 0)
+                of, known = _flat(refs_topics)
+                numbers, place = np.unique(known, return_inverse=True)
+                has = np.zeros((len(numbers) + 1, m))
+                has[place, of] = 1
+                mine = topics.to_numpy(zero_copy_only=False)
+                found = np.minimum(np.searchsorted(numbers, mine), max(len(numbers) - 1, 0))
+                found = np.where(numbers[found] == mine, found, len(numbers)) if len(numbers) else np.zeros(n, int)
+                others = np.bincount(of, minlength=m)[None, :] - has[found]
+                yield pa.RecordBatch.from_arrays([keys, pa.array((others * distance).sum(1)), pa.array(others.sum(1).astype(np.int64))], ["key", "_far", "_n"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    met = left.crossJoin(right).mapInArrow(compared, f"key {kind}, _far double, _n long")
+    return met.groupBy(F.col("key").alias(key)).agg(F.sum("_far").alias("_far"), F.sum("_n").alias("_n"))
+
+
 def distinctiveness(rows: DataFrame, key: str, topic: str, hyp: str, ref: str, sim: Callable[[Column, Column], Column] = token_similarity) -> DataFrame:
     """(key, distinctiveness): mean distance to the references of other topics over the distance to one's own; 1 without others.
 
     The metric is defined over all pairs of a summary and a reference of another topic, so its work is the number of
     summaries times that of distinct references, which are few.  Each distinct reference is compared once to a summary and
     counts for all its other topics.  Both sides are written, so that their product is read where it is made: no summary
-    is shuffled, whether Spark finds the references small enough to send or not."""
+    is shuffled, whether Spark finds the references small enough to send or not.  For the Jaccard index of token sets, lists
+    of summaries meet lists of references."""
     scratch = Scratch(rows.sparkSession)
     rows = scratch.write(rows.select(key, topic, hyp, ref), "summaries")
     refs = scratch.write(rows.groupBy(F.col(ref).alias("_ref")).agg(F.collect_set(topic).alias("_topics")), "references")
-    met = rows.crossJoin(refs)
-    others = F.size("_topics") - F.array_contains("_topics", F.col(topic)).cast("int")
-    # A summary's rows follow each other, so what is shuffled are its sums, one for each part of the references.
-    far = met.groupBy(key).agg(F.sum(others * (1 - sim(F.col(hyp), F.col("_ref")))).alias("_far"), F.sum(others).alias("_n"))
+    plain = rows.where(F.col(key).isNull() | F.col(topic).isNull() | F.col(hyp).isNull() | F.col(ref).isNull())
+    if sim is jaccard and plain.isEmpty():
+        far = set_distances(scratch, rows, refs, key, topic, hyp)
+    else:
+        met = rows.crossJoin(refs)
+        others = F.size("_topics") - F.array_contains("_topics", F.col(topic)).cast("int")
+        # A summary's rows follow each other, so what is shuffled are its sums, one for each part of the references.
+        far = met.groupBy(key).agg(F.sum(others * (1 - sim(F.col(hyp), F.col("_ref")))).alias("_far"), F.sum(others).alias("_n"))
     value = F.col("_far") / (F.col("_n") * F.col("_own"))
     own = rows.select(key, (1 - sim(F.col(hyp), F.col(ref)) + 1e-8).alias("_own"))
     return own.join(far, key, "left").select(key, F.when(F.coalesce("_n", F.lit(0)) == 0, 1.0).otherwise(value).alias("distinctiveness"))
